@@ -85,7 +85,7 @@ def mentions(docs: DataFrame, p: PiiParams) -> DataFrame:
         return F.struct((a["i"] + 1).alias("i"), (here + F.length(x)).alias("at"), F.when(fits | x.contains("@"), F.concat(a["out"], one)).otherwise(a["out"]).alias("out"))
 
     d = d.withColumn("found", F.aggregate("m", start, step, lambda a: a["out"])).drop("m", "s")
-    d = d.select("doc_id", "text_hash", "spans", F.explode("found").alias("f"))
+    d = d.select("doc_id", "text_hash", "spans", F.explode_outer("found").alias("f")).filter("f is not null")  # explode() would have its input computed twice, for a filter
     words = F.filter(F.split(F.lower("f.left"), r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
     pattern = F.when(F.size(words) >= p.context, F.array_join(F.slice(words, -p.context, p.context), " "))
     seed = F.exists("spans", lambda s: (s["start"] < F.col("f.end")) & (s["end"] > F.col("f.start")))

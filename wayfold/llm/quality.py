@@ -84,7 +84,8 @@ def document_lines(docs: DataFrame, p: QualityParams) -> DataFrame:
     keyed = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.struct(line_key(x).alias("line"), _word_count(x).alias("words")))
     d = docs.select("doc_id", F.coalesce(F.col(p.host).cast("string"), F.lit("")).alias("host"), F.filter(keyed, lambda x: x["line"].isNotNull()).alias("l"))
     d = d.withColumn("least", F.slice(F.sort_array(F.array_distinct(F.col("l")["line"])), 1, 2))
-    d = d.select("doc_id", "host", "least", F.explode("l").alias("l"))
+    # explode() would have its input computed twice, for a filter on its size
+    d = d.select("doc_id", "host", "least", F.explode_outer("l").alias("l")).filter("l is not null")
     first, second = F.get("least", F.lit(0)), F.get("least", F.lit(1))
     return d.select("doc_id", "host", "l.line", "l.words", F.when(F.col("l.line") == first, F.coalesce(second, first)).otherwise(first).alias("copy"))
 

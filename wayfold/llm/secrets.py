@@ -128,7 +128,9 @@ def _trie(trigrams: list[str]) -> str:
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
     """The inverted index (trigram, doc_id, text_hash) for the given trigrams, lower-cased."""
     found = F.regexp_extract_all("text", F.lit(f"(?=((?i:{_trie(trigrams)})))"), F.lit(1))
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(F.array_distinct(F.transform(found, F.lower))).alias("trigram"))
+    # explode() would have its input computed twice, for a filter on its size
+    every = F.explode_outer(F.array_distinct(F.transform(found, F.lower)))
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), every.alias("trigram")).filter("trigram is not null")
 
 
 def _holds(query, has: Column) -> Column:
@@ -180,7 +182,8 @@ def secret_digest(docs: DataFrame, p: SecretParams = SecretParams()) -> DataFram
 
 def redact(docs: DataFrame, p: SecretParams = SecretParams()) -> DataFrame:
     """docs with each secret of the text replaced by <kind>; overlapping spans become one, named by the first."""
-    found, names = secret_spans(docs, p, keep_text=True), F.array(*[F.lit(f"<{k.name}>") for k in p.kinds])
+    row = F.struct(*[c for c in docs.columns if c != "text"]).alias("_row")
+    found, names = secret_spans(docs.select(row, "doc_id", "text"), p, keep_text=True), F.array(*[F.lit(f"<{k.name}>") for k in p.kinds])
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
     def step(a, x):
@@ -192,7 +195,7 @@ def redact(docs: DataFrame, p: SecretParams = SecretParams()) -> DataFrame:
     found = found.withColumn("_r", F.when(F.size("spans") > 0, done))
     rest = F.expr("substring(text, cast(_r.at + 1 as int))")
     text = F.when(F.col("_r").isNotNull(), F.concat(F.col("_r.out"), rest)).otherwise(F.col("text"))
-    return found.withColumn("text", text).drop("_r", "spans").select(*docs.columns)
+    return found.select(*[text.alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def _digest_sql(kinds: list[Kind], n_base: int) -> str:
