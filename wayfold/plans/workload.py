@@ -1,4 +1,714 @@
-"""Queries over the driver's tables for the operators of the survey, with the SQL they must equal."""
+"""Queries over the driver's tables for the operators of the survey, with the SQL they must equal.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Most graph queries run on one derived graph G: nations as nodes; of each supplier nation the three
+customer nations that buy most from it as edges (cost is the rank, risk the count modulo 4, and an
+edge needs its region as condition if the count is a multiple of 3). Weights are whole numbers, so
+both engines agree exactly.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wayfold.functions import keys as K
+from wayfold.functions import text as X
+from wayfold.operators import catalog as C
+from wayfold.operators import cfg, graph, layout, localise
+from wayfold.operators import relational as R
+from wayfold.operators import search as S
+from wayfold.sources import packages
+from wayfold.storage import materialize
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- the derived graph -------------------------------------------------------------------------
+
+G_SQL = """nc AS (
+  SELECT s_nationkey AS src, c_nationkey AS dst, count(*) AS cnt FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey <> c_nationkey GROUP BY 1, 2),
+g AS MATERIALIZED (
+  SELECT src, dst, cnt, rk AS cost, cnt % 4 AS risk, CASE WHEN cnt % 3 = 0 THEN r_name END AS need, r_regionkey AS rk, rk * 100 + (cnt % 4) * 200 AS w
+  FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY cnt DESC, dst) AS rk FROM nc)
+  JOIN nation ON n_nationkey = dst JOIN region ON r_regionkey = n_regionkey WHERE rk <= 3)"""
+#: Conditions that hold: regions with an even key.
+OPEN = "(need IS NULL OR rk % 2 = 0)"
+
+
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    region = _t(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("region"))
+    n = _t(spark, sf_dir, "nation").join(region, "n_regionkey")
+    kind = F.when(F.col("n_nationkey") % 5 == 0, "grace").when(F.col("n_nationkey") % 5 == 1, "entrance").otherwise("place")
+    return n.select(
+        F.col("n_nationkey").alias("id"), F.col("n_name").alias("label"), "region", kind.alias("kind"), (F.col("n_nationkey") % 5 == 0).alias("is_grace_anchor"),
+        F.col("n_nationkey").alias("seq"), F.col("region").alias("package_id"), F.lit(None).cast("string").alias("layer"))
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G's edges. The big join is on the order key alone; the nations of both ends come by broadcastable joins before it."""
+    from pyspark.sql.window import Window as W
+
+    sold = _t(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("s_suppkey")).join(_t(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("src")), "s_suppkey")
+    bought = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")).join(_t(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("dst")), "c_custkey")
+    n = sold.join(bought, "l_orderkey").filter("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("cnt"))
+    top = n.withColumn("cost", F.row_number().over(W.partitionBy("src").orderBy(F.desc("cnt"), "dst")).cast("long")).filter("cost <= 3")
+    region = nodes(spark, sf_dir).select(F.col("id").alias("dst"), "region")
+    return top.join(region, "dst").select(
+        F.concat_ws("-", "src", "dst").alias("id"), "src", "dst", "cnt", "cost", (F.col("cnt") % 4).alias("risk"),
+        F.when(F.col("cnt") % 3 == 0, F.array("region")).otherwise(F.array().cast("array<string>")).alias("requires"), (F.col("src") * 100 + F.col("cost")).alias("seq"))
+
+
+def _g(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize(edges(spark, sf_dir), "g")
+
+
+def _origin(g: DataFrame) -> DataFrame:
+    return g.agg(F.min("src").alias("node")).filter("node is not null")
+
+
+def _active(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The caller's conditions: names of regions with an even key."""
+    return [r[0] for r in _t(spark, sf_dir, "region").filter("r_regionkey % 2 = 0").select("r_name").collect()]
+
+
+_WEIGHT = lambda: F.col("cost") * 100 + F.col("risk") * 200
+
+
+@query(f"WITH {G_SQL} SELECT src, dst, cnt, CAST(cost AS BIGINT) AS cost, CAST(risk AS BIGINT) AS risk, coalesce(need, '') AS needs FROM g")
+def graph_edges_topk(spark, sf_dir):
+    return edges(spark, sf_dir).select("src", "dst", "cnt", "cost", "risk", F.array_join("requires", ",").alias("needs"))
+
+
+def _route_sql(where: str = "true", extra: str = "") -> str:
+    return f"""WITH RECURSIVE {G_SQL}, e AS MATERIALIZED (SELECT src, dst, w FROM g WHERE {where} {extra}),
+p(node, dist) AS (SELECT (SELECT min(src) FROM g), CAST(0 AS BIGINT) UNION SELECT e.dst, CAST(p.dist + e.w AS BIGINT) FROM p JOIN e ON e.src = p.node WHERE p.dist + e.w <= 21600)
+SELECT node, min(dist) AS dist FROM p WHERE node IS NOT NULL GROUP BY node"""
+
+
+@query(_route_sql())
+def route_cost_all_targets(spark, sf_dir):
+    g = _g(spark, sf_dir)
+    return graph.cheapest(g, _origin(g), _WEIGHT()).select("node", "dist")
+
+
+@query(_route_sql(OPEN))
+def route_conditional(spark, sf_dir):
+    g = _g(spark, sf_dir)
+    return graph.cheapest(graph.usable_edges(g, _active(spark, sf_dir)), _origin(g), _WEIGHT()).select("node", "dist")
+
+
+@query(_route_sql("true", "UNION SELECT a.n_nationkey, b.n_nationkey, 100 FROM nation a, nation b WHERE a.n_nationkey % 5 = 0 AND b.n_nationkey % 5 = 0 AND a.n_nationkey <> b.n_nationkey"))
+def route_fast_travel_hub(spark, sf_dir):
+    g = _g(spark, sf_dir)
+    hubs = nodes(spark, sf_dir).filter("is_grace_anchor").select(F.col("id").alias("node"))
+    return graph.cheapest(g, _origin(g), _WEIGHT(), hubs=hubs, hub_cost=100).select("node", "dist")
+
+
+@query(f"""WITH RECURSIVE {G_SQL}, e AS MATERIALIZED (SELECT src, dst, CASE WHEN {OPEN} THEN 0 ELSE 1 END AS m, cost AS c FROM g),
+p(node, missing, cost) AS (SELECT (SELECT min(src) FROM g), CAST(0 AS BIGINT), CAST(0 AS BIGINT)
+  UNION SELECT e.dst, CAST(p.missing + e.m AS BIGINT), CAST(p.cost + e.c AS BIGINT) FROM p JOIN e ON e.src = p.node WHERE p.missing + e.m <= 24 AND p.cost + e.c <= 72)
+SELECT node, missing, cost FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY missing, cost) AS r FROM p WHERE node IS NOT NULL) WHERE r = 1""")
+def route_lexicographic(spark, sf_dir):
+    g = _g(spark, sf_dir)
+    return graph.blocker_costs(g, _origin(g), _active(spark, sf_dir)).select("node", "missing", "cost")
+
+
+@query(f"""WITH RECURSIVE {G_SQL},
+p(node, anchor, dist) AS (SELECT n_nationkey, n_nationkey, CAST(0 AS BIGINT) FROM nation WHERE n_nationkey % 5 = 0
+  UNION SELECT g.src, p.anchor, CAST(p.dist + g.w AS BIGINT) FROM p JOIN g ON g.dst = p.node WHERE p.dist + g.w <= 21600)
+SELECT node, anchor, dist FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY dist, anchor) AS r FROM p) WHERE r = 1""")
+def nearest_anchor(spark, sf_dir):
+    """For each node the anchor that it reaches most cheaply: a search from all anchors over reversed edges."""
+    back = _g(spark, sf_dir).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cost", "risk")
+    anchors = nodes(spark, sf_dir).filter("is_grace_anchor").select(F.col("id").alias("node"))
+    return graph.nearest_anchor(back, anchors, _WEIGHT())
+
+
+def _reach_sql(where: str) -> str:
+    return f"""WITH RECURSIVE {G_SQL}, e AS MATERIALIZED (SELECT src, dst FROM g WHERE {where}),
+p(seed, node) AS (SELECT DISTINCT src, src FROM g UNION SELECT p.seed, e.dst FROM p JOIN e ON e.src = p.node) SELECT seed, node FROM p"""
+
+
+@query(_reach_sql("true"))
+def reach_closure(spark, sf_dir):
+    g = _g(spark, sf_dir)
+    return graph.reach(g, g.select(F.col("src").alias("seed"), F.col("src").alias("node")).distinct()).select("seed", "node")
+
+
+@query(_reach_sql(OPEN))
+def reach_conditional(spark, sf_dir):
+    g = _g(spark, sf_dir)
+    return graph.reach(graph.usable_edges(g, _active(spark, sf_dir)), g.select(F.col("src").alias("seed"), F.col("src").alias("node")).distinct()).select("seed", "node")
+
+
+@query(f"""WITH RECURSIVE {G_SQL}, p(node, level) AS (SELECT (SELECT min(src) FROM g), 0 UNION SELECT g.dst, p.level + 1 FROM p JOIN g ON g.src = p.node WHERE p.level < 26)
+SELECT node, CAST(min(level) AS BIGINT) AS hops FROM p WHERE node IS NOT NULL GROUP BY node""")
+def reach_levels(spark, sf_dir):
+    g = _g(spark, sf_dir)
+    return graph.reach(g, _origin(g).select(F.lit(0).alias("seed"), "node")).select("node", F.col("level").cast("long").alias("hops"))
+
+
+@query(f"""WITH RECURSIVE {G_SQL}, e AS (SELECT src, dst FROM g UNION SELECT a.n_nationkey, b.n_nationkey FROM nation a, nation b WHERE a.n_nationkey % 5 = 0 AND b.n_nationkey % 5 = 0),
+p(node) AS (SELECT min(src) FROM g UNION SELECT e.dst FROM p JOIN e ON e.src = p.node) SELECT node FROM p WHERE node IS NOT NULL""")
+def reach_with_hubs(spark, sf_dir):
+    g = _g(spark, sf_dir)
+    hubs = nodes(spark, sf_dir).filter("is_grace_anchor").select(F.col("id").alias("node"))
+    return graph.reach(g, _origin(g).select(F.lit(0).alias("seed"), "node"), hubs).select("node")
+
+
+_SAME = "JOIN nation a ON a.n_nationkey = g.src JOIN nation b ON b.n_nationkey = g.dst WHERE a.n_regionkey = b.n_regionkey"
+_COMP = f"""WITH RECURSIVE {G_SQL}, e AS (SELECT src AS u, dst AS v FROM g {_SAME}), s AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+p(id, r) AS (SELECT n_nationkey, n_nationkey FROM nation UNION SELECT s.v, p.r FROM p JOIN s ON s.u = p.id), c AS (SELECT id, min(r) AS component FROM p GROUP BY id)"""
+
+
+def _same_region(spark, sf_dir):
+    n = nodes(spark, sf_dir).select("id", "package_id")
+    return graph.partition(n, _g(spark, sf_dir)).filter("package_id <> 'bridge'")
+
+
+@query(f"{_COMP} SELECT id, component FROM c")
+def components(spark, sf_dir):
+    return graph.components(nodes(spark, sf_dir), _same_region(spark, sf_dir))
+
+
+@query(f"""{_COMP} SELECT component, CAST(row_number() OVER (ORDER BY min(id)) - 1 AS INTEGER) AS ordinal, count(*) AS node_count,
+  count(*) FILTER (WHERE id % 5 = 0) AS grace_count, array_to_string(list_sort(list_distinct(list(r_name))), ',') AS regions
+FROM c JOIN nation ON n_nationkey = id JOIN region ON r_regionkey = n_regionkey GROUP BY component""")
+def component_stats(spark, sf_dir):
+    n = nodes(spark, sf_dir)
+    got = graph.component_stats(n, graph.components(n, _same_region(spark, sf_dir)))
+    return got.select("component", "ordinal", "node_count", "grace_count", F.array_join("regions", ",").alias("regions"))
+
+
+@query(f"""WITH RECURSIVE {G_SQL}, p(node) AS (SELECT min(src) FROM g UNION SELECT g.dst FROM p JOIN g ON g.src = p.node WHERE {OPEN})
+SELECT need AS condition, count(*) AS n_edges FROM g WHERE src IN (SELECT node FROM p) AND dst NOT IN (SELECT node FROM p WHERE node IS NOT NULL) AND NOT {OPEN} GROUP BY need""")
+def blocked_frontier(spark, sf_dir):
+    g = _g(spark, sf_dir)
+    return graph.blocked_frontier(g, _origin(g), _active(spark, sf_dir))
+
+
+_GAPS = f"""WITH RECURSIVE {G_SQL}, p(seed, node) AS (SELECT n_nationkey, n_nationkey FROM nation UNION SELECT p.seed, g.dst FROM p JOIN g ON g.src = p.node),
+place AS (SELECT n_nationkey AS id, printf('d%02d', n_nationkey // 2) AS name FROM nation),
+seen AS (SELECT DISTINCT a.name AS a, b.name AS b FROM p JOIN place a ON a.id = p.seed JOIN place b ON b.id = p.node),
+gap AS (SELECT DISTINCT x.name AS src_region, y.name AS dst_region FROM place x, place y WHERE x.id % 2 = 0 AND y.id % 2 = 0 AND x.id <> y.id AND NOT EXISTS (SELECT 1 FROM seen WHERE a = x.name AND b = y.name))"""
+
+
+def _districts(spark, sf_dir):
+    """Two nations make a district, which stands for a region here."""
+    return nodes(spark, sf_dir).withColumn("region", F.format_string("d%02d", F.floor(F.col("id") / 2).cast("int")))
+
+
+def _gaps(spark, sf_dir):
+    r = _districts(spark, sf_dir).select("region").distinct()
+    declared = r.select(F.col("region").alias("src_region")).join(r.select(F.col("region").alias("dst_region")), F.col("src_region") != F.col("dst_region"))
+    return graph.region_gaps(_districts(spark, sf_dir), _g(spark, sf_dir), declared)
+
+
+@query(f"{_GAPS} SELECT src_region, dst_region FROM gap")
+def region_gap_pairs(spark, sf_dir):
+    return _gaps(spark, sf_dir)
+
+
+@query(f"""{_GAPS}, a AS (SELECT name, id AS anchor FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY CASE id % 5 WHEN 1 THEN 1 WHEN 0 THEN 2 ELSE 3 END, id) AS r FROM place) WHERE r = 1)
+SELECT 'bridge:' || src_region || ':' || dst_region AS id, x.anchor AS src, y.anchor AS dst FROM gap JOIN a x ON x.name = src_region JOIN a y ON y.name = dst_region""")
+def close_gaps(spark, sf_dir):
+    anchors = graph.anchors_of_regions(_districts(spark, sf_dir), ["entrance", "grace"])
+    return graph.close_gaps(_gaps(spark, sf_dir), anchors).select("id", "src", "dst")
+
+
+@query(f"""WITH {G_SQL} SELECT CASE WHEN a.n_regionkey = b.n_regionkey THEN r_name ELSE 'bridge' END AS package_id, count(*) AS n_edges, sum(cnt)::BIGINT AS cnt
+FROM g JOIN nation a ON a.n_nationkey = src JOIN nation b ON b.n_nationkey = dst JOIN region ON r_regionkey = a.n_regionkey GROUP BY 1""")
+def graph_partition(spark, sf_dir):
+    return graph.partition(nodes(spark, sf_dir), edges(spark, sf_dir)).groupBy("package_id").agg(F.count("*").alias("n_edges"), F.sum("cnt").alias("cnt"))
+
+
+@query(f"""WITH {G_SQL}, o AS (SELECT min(src) AS node FROM g) SELECT node FROM o WHERE node IS NOT NULL UNION SELECT dst FROM g, o WHERE src = node UNION SELECT src FROM g, o WHERE dst = node""")
+def focus_neighbourhood(spark, sf_dir):
+    g = _g(spark, sf_dir)
+    return graph.focus_set(g, _origin(g))
+
+
+@query(f"WITH {G_SQL} SELECT src, dst FROM g WHERE src % 7 = 3 OR dst % 7 = 3")
+def dangling_edges(spark, sf_dir):
+    return graph.dangling(nodes(spark, sf_dir).filter("id % 7 <> 3"), _g(spark, sf_dir)).select("src", "dst")
+
+
+@query(f"WITH {G_SQL} SELECT src, dst, CASE WHEN need IS NOT NULL AND rk >= 3 THEN need ELSE '' END AS unknown FROM g")
+def unknown_conditions(spark, sf_dir):
+    known = _t(spark, sf_dir, "region").filter("r_regionkey < 3").select(F.col("r_name").alias("id"))
+    return graph.unknown_conditions(_g(spark, sf_dir), known).select("src", "dst", F.array_join("condition_unknown", ",").alias("unknown"))
+
+
+@query(f"""WITH {G_SQL}, few AS (SELECT * FROM g WHERE cost = 1 AND src % 3 = 0), used AS (SELECT src AS n FROM few UNION SELECT dst FROM few),
+a AS (SELECT n_regionkey, min(n_nationkey) AS anchor FROM nation GROUP BY 1),
+al AS (SELECT n_nationkey AS id, anchor FROM nation JOIN a USING (n_regionkey) WHERE n_nationkey NOT IN (SELECT n FROM used) AND n_nationkey <> anchor)
+SELECT id AS src, anchor AS dst FROM al UNION ALL SELECT anchor, id FROM al""")
+def attach_orphans(spark, sf_dir):
+    n = nodes(spark, sf_dir)
+    few = _g(spark, sf_dir).filter("cost = 1 and src % 3 = 0")
+    return graph.attach_orphans(n, few, n.groupBy("region").agg(F.min("id").alias("anchor"))).select("src", "dst")
+
+
+@query(f"WITH {G_SQL}, e AS (SELECT DISTINCT src, dst FROM g) SELECT a.n_nationkey AS a, b.n_nationkey AS b, CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.src = a.n_nationkey AND e.dst = b.n_nationkey) THEN 'forward' WHEN EXISTS (SELECT 1 FROM e WHERE e.src = b.n_nationkey AND e.dst = a.n_nationkey) THEN 'reverse' ELSE 'none' END AS match FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+def direct_or_reverse(spark, sf_dir):
+    n = nodes(spark, sf_dir)
+    pairs = n.select("region", F.col("id").alias("a")).join(n.select("region", F.col("id").alias("b")), "region").filter("a < b").select("a", "b")
+    return graph.direct_or_reverse(pairs, _g(spark, sf_dir))
+
+
+@query(f"""WITH {G_SQL}, i AS (SELECT n_nationkey AS id FROM nation WHERE n_regionkey = 1), t AS (SELECT src, dst FROM g WHERE src IN (SELECT id FROM i) OR dst IN (SELECT id FROM i))
+SELECT id, false AS external FROM i UNION ALL SELECT n, true FROM (SELECT src AS n FROM t UNION SELECT dst FROM t) WHERE n NOT IN (SELECT id FROM i)""")
+def subgraph_nodes(spark, sf_dir):
+    n = nodes(spark, sf_dir)
+    return graph.subgraph(n, _g(spark, sf_dir), F.col("region") == "AMERICA")[0].select("id", "external")
+
+
+@query(f"WITH {G_SQL} SELECT DISTINCT n AS id FROM (SELECT src AS n FROM g UNION SELECT dst FROM g UNION SELECT n_nationkey FROM nation WHERE n_nationkey < 10)")
+def merge_endpoints(spark, sf_dir):
+    return graph.merge_endpoints(nodes(spark, sf_dir).filter("id < 10"), _g(spark, sf_dir)).select("id")
+
+
+@query(f"WITH {G_SQL} SELECT 'dangling-edge' AS rule, src || '-' || dst AS id FROM g WHERE src % 7 = 3 OR dst % 7 = 3 UNION ALL SELECT 'repeated-node', CAST(n_nationkey AS VARCHAR) FROM nation WHERE n_nationkey % 7 <> 3 AND n_nationkey % 11 = 1")
+def graph_violations(spark, sf_dir):
+    n = nodes(spark, sf_dir).filter("id % 7 <> 3")
+    return graph.graph_violations(n.union(n.filter("id % 11 = 1")), _g(spark, sf_dir))
+
+
+@query(f"WITH {G_SQL} SELECT id, count(*) AS degree FROM (SELECT src AS id FROM g UNION ALL SELECT dst FROM g) GROUP BY id")
+def degree(spark, sf_dir):
+    return R.degree(edges(spark, sf_dir).select("src", "dst"))
+
+
+@query(f"""WITH {G_SQL}, u AS (SELECT src AS node, 'out' AS direction, dst AS other, src * 100 + cost AS seq FROM g UNION ALL SELECT dst, 'in', src, src * 100 + cost FROM g)
+SELECT node, direction, other, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY node, direction ORDER BY seq, other) AS r FROM u) WHERE r <= CASE direction WHEN 'out' THEN 2 ELSE 3 END""")
+def incident_edges_topk(spark, sf_dir):
+    return R.ranked_per_direction(edges(spark, sf_dir).select("src", "dst", "seq"), 2, 3)
+
+
+@query(f"WITH {G_SQL} SELECT g.src, g.dst, coalesce(b.src || '-' || b.dst, '') AS reverse FROM g LEFT JOIN g b ON b.src = g.dst AND b.dst = g.src")
+def reverse_pairs(spark, sf_dir):
+    return R.reverse_pairs(_g(spark, sf_dir), "src", "dst", "id").select("src", "dst", F.array_join("reverse_ids", ",").alias("reverse"))
+
+
+@query(f"WITH {G_SQL} SELECT DISTINCT least(src, dst) AS lo, greatest(src, dst) AS hi FROM g")
+def distinct_unordered_pairs(spark, sf_dir):
+    return R.unordered_pairs(edges(spark, sf_dir), "src", "dst")
+
+
+@query(f"WITH {G_SQL} SELECT least(a.r_name, b.r_name) AS lo, greatest(a.r_name, b.r_name) AS hi, count(*) AS n FROM g JOIN nation x ON x.n_nationkey = src JOIN region a ON a.r_regionkey = x.n_regionkey JOIN nation y ON y.n_nationkey = dst JOIN region b ON b.r_regionkey = y.n_regionkey WHERE a.r_name <> b.r_name GROUP BY 1, 2")
+def region_pair_counts(spark, sf_dir):
+    n = nodes(spark, sf_dir).select("id", "region")
+    named = edges(spark, sf_dir).join(n.select(F.col("id").alias("src"), F.col("region").alias("a")), "src").join(n.select(F.col("id").alias("dst"), F.col("region").alias("b")), "dst")
+    return named.filter("a <> b").groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {G_SQL} SELECT g.src, g.dst, CASE WHEN NOT {OPEN} THEN 'blocked' WHEN need IS NOT NULL THEN 'conditional' WHEN a.n_regionkey = b.n_regionkey THEN 'internal' ELSE 'external' END AS class
+FROM g JOIN nation a ON a.n_nationkey = g.src JOIN nation b ON b.n_nationkey = g.dst""")
+def edge_classes(spark, sf_dir):
+    part = graph.partition(nodes(spark, sf_dir), _g(spark, sf_dir))
+    blocked = F.size(graph.missing_conditions(part, _active(spark, sf_dir))) > 0
+    kind = F.when(blocked, "blocked").when(F.size("requires") > 0, "conditional").when(F.col("package_id") != "bridge", "internal").otherwise("external")
+    return part.select("src", "dst", kind.alias("class"))
+
+
+@query("SELECT r_name AS region, count(*) AS n_nodes, count(*) FILTER (WHERE n_nationkey % 5 = 0) AS n_anchors, min(n_nationkey) AS first_id FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY 1")
+def region_rollup(spark, sf_dir):
+    return nodes(spark, sf_dir).groupBy("region").agg(F.count("*").alias("n_nodes"), F.count_if("is_grace_anchor").alias("n_anchors"), F.min_by("id", "seq").alias("first_id"))
+
+
+@query(f"WITH {G_SQL}, p AS (SELECT r.r_name AS id, count(*) AS n FROM nation JOIN region r ON r.r_regionkey = n_regionkey GROUP BY 1), e AS (SELECT CASE WHEN a.n_regionkey = b.n_regionkey THEN r.r_name ELSE 'bridge' END AS id, need FROM g JOIN nation a ON a.n_nationkey = src JOIN nation b ON b.n_nationkey = dst JOIN region r ON r.r_regionkey = a.n_regionkey), k AS (SELECT id, count(*) AS n, count(DISTINCT need) AS c FROM e GROUP BY 1) SELECT coalesce(p.id, k.id) AS id, coalesce(p.n, 0) AS nodes, coalesce(k.n, 0) AS edges, coalesce(c, 0) AS conditions FROM p FULL JOIN k ON p.id = k.id UNION ALL SELECT NULL, (SELECT count(*) FROM nation), (SELECT count(*) FROM g), 0")
+def package_manifest(spark, sf_dir):
+    n = nodes(spark, sf_dir)
+    m = packages.manifest_of(n, graph.partition(n, _g(spark, sf_dir)))
+    return m.select("id", "nodes", "edges", F.coalesce("conditions", F.lit(0)).alias("conditions"))
+
+
+@query("SELECT a.n_nationkey AS src, b.n_nationkey AS dst FROM nation a, nation b WHERE a.n_nationkey % 5 = 0 AND b.n_nationkey % 5 = 0 AND a.n_nationkey <> b.n_nationkey")
+def anchor_pairs(spark, sf_dir):
+    """The explicit fast-travel edges; routing uses the hub rewrite instead, which needs no pairs."""
+    a = nodes(spark, sf_dir).filter("is_grace_anchor")
+    return a.select(F.col("id").alias("src")).join(a.select(F.col("id").alias("dst")), F.col("src") != F.col("dst"))
+
+
+# --- joins, aggregates, windows ----------------------------------------------------------------
+
+
+@query("SELECT o_custkey, min(o_orderkey) AS o_orderkey, count(*) - 1 AS repeated FROM orders GROUP BY 1")
+def first_record_wins(spark, sf_dir):
+    first, rest = R.first_wins(_t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey")
+    more = rest.groupBy("o_custkey").agg(F.count("*").alias("repeated"))
+    return first.join(more, "o_custkey", "left").na.fill(0, ["repeated"])
+
+
+@query("SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM orders) WHERE r = 1")
+def last_record_wins(spark, sf_dir):
+    return R.last_wins(_t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), "o_custkey", "o_orderkey")
+
+
+@query("""WITH r AS (SELECT c_nationkey AS k, c_custkey % 40 AS e, count(*) AS n, min(c_custkey) AS v FROM customer GROUP BY 1, 2)
+SELECT s_suppkey, coalesce(n, 0) AS match_count, CASE WHEN n = 1 THEN 'exact' WHEN n > 1 THEN 'ambiguous' ELSE 'not_found' END AS match_status, CASE WHEN n = 1 THEN v END AS match
+FROM supplier LEFT JOIN r ON r.k = s_nationkey AND r.e = s_suppkey % 40""")
+def resolve_unique_status(spark, sf_dir):
+    left = _t(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("k"), (F.col("s_suppkey") % 40).alias("e"))
+    right = _t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), (F.col("c_custkey") % 40).alias("e"), "c_custkey")
+    return R.resolve_unique(left, right, ["k", "e"], "c_custkey").select("s_suppkey", "match_count", "match_status", "match")
+
+
+@query("""WITH a AS (SELECT c_nationkey AS k, c_custkey % 97 AS e, count(*) AS n, CAST(min(c_custkey) AS VARCHAR) AS v FROM customer GROUP BY 1, 2), b AS (SELECT c_custkey % 1500 AS e2, count(*) AS n, CAST(min(c_custkey) AS VARCHAR) AS v FROM customer GROUP BY 1)
+SELECT s_suppkey, CASE WHEN a.n = 1 THEN 'map' WHEN a.n > 1 THEN 'ambiguous' WHEN b.n = 1 THEN 'global' WHEN b.n > 1 THEN 'ambiguous' ELSE 'not_found' END AS basis, CASE WHEN a.n = 1 THEN a.v WHEN a.n > 1 THEN NULL WHEN b.n = 1 THEN b.v END AS match
+FROM supplier LEFT JOIN a ON a.k = s_nationkey AND a.e = s_suppkey % 97 LEFT JOIN b ON b.e2 = s_suppkey * 7 % 2000""")
+def resolve_fallback(spark, sf_dir):
+    left = _t(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("k"), (F.col("s_suppkey") % 97).alias("e"), (F.col("s_suppkey") * 7 % 2000).alias("e2"))
+    c = _t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), (F.col("c_custkey") % 97).alias("e"), (F.col("c_custkey") % 1500).alias("e2"), "c_custkey")
+    return R.resolve_chain(left, [(c, ["k", "e"], "c_custkey", "map"), (c, ["e2"], "c_custkey", "global")]).select("s_suppkey", "basis", "match")
+
+
+@query("SELECT p_partkey, CASE WHEN starts_with(p_brand, 'Brand#11') THEN 'eleven' WHEN starts_with(p_brand, 'Brand#1') THEN 'one' WHEN starts_with(p_brand, 'Brand#2') THEN 'two' END AS rule FROM part")
+def longest_prefix_rule(spark, sf_dir):
+    rules = spark.createDataFrame([("Brand#1", "one"), ("Brand#2", "two"), ("Brand#11", "eleven")], "prefix string, rule string")
+    return R.longest_prefix(_t(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_brand", rules, "prefix", "rule").select("p_partkey", "rule")
+
+
+@query("""SELECT l_orderkey, max(CASE WHEN l_returnflag = 'A' THEN l_linenumber END) AS "A", max(CASE WHEN l_returnflag = 'R' THEN l_linenumber END) AS "R" FROM lineitem GROUP BY 1
+HAVING count(*) = 2 AND count(*) FILTER (WHERE l_returnflag = 'A') = 1 AND count(*) FILTER (WHERE l_returnflag = 'R') = 1""")
+def pair_mechanisms(spark, sf_dir):
+    return R.two_sided(_t(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linenumber"), "l_orderkey", "l_returnflag", "l_linenumber", ("A", "R"))
+
+
+@query("WITH p AS (SELECT a.n_nationkey AS a, b.n_nationkey AS b, count(*) OVER (PARTITION BY a.n_nationkey) AS n FROM nation a JOIN nation b ON a.n_nationkey <> b.n_nationkey AND a.n_nationkey % 9 = b.n_nationkey % 9 AND contains(b.n_name, a.n_name)) SELECT a, b FROM p WHERE n = 1")
+def theta_contains_unique(spark, sf_dir):
+    n = _t(spark, sf_dir, "nation")
+    left = n.select((F.col("n_nationkey") % 9).alias("k"), F.col("n_nationkey").alias("a"), F.col("n_name").alias("x"))
+    right = n.select((F.col("n_nationkey") % 9).alias("k"), F.col("n_nationkey").alias("b"), F.col("n_name").alias("y"))
+    # the row itself always contains its name; it is left out before the match is judged
+    pairs = left.join(right.select("k", "b"), "k").filter("a <> b")
+    return R.contains_unique(pairs.select("a", "x", "b"), right.select("b", "y"), "b", "x", "y", "a").select("a", "b")
+
+
+@query("SELECT o_orderkey, c_custkey, c_name FROM orders JOIN customer ON c_custkey = o_custkey - 100")
+def offset_key_join(spark, sf_dir):
+    return R.offset_join(_t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), _t(spark, sf_dir, "customer").select("c_custkey", "c_name"), "o_custkey", "c_custkey", 100).select("o_orderkey", "c_custkey", "c_name")
+
+
+@query("SELECT o_orderkey, l_linenumber, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber >= o_custkey % 3 + 1 AND l_linenumber < o_custkey % 3 + 1 + greatest(o_custkey % 4 - 1, 0)")
+def range_slice_join(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 3 + 1).alias("start"), (F.col("o_custkey") % 4 - 1).alias("n"))
+    li = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey")
+    return R.range_slice(o, "start", "n", li, "o_orderkey", "l_linenumber").select("o_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("""WITH per AS (SELECT p_name AS k, p_brand AS o, count(*) AS n, min(p_partkey) AS v FROM part WHERE p_partkey % 10 = 0 GROUP BY 1, 2), l AS (SELECT p_partkey, p_name AS k, p_brand AS o FROM part)
+SELECT p_partkey, CASE WHEN x = 1 THEN 'exact' WHEN x > 1 THEN 'ambiguous' WHEN mine > 0 THEN 'own_only' ELSE 'not_found' END AS status, CASE WHEN x = 1 THEN v END AS match FROM (
+  SELECT p_partkey, coalesce((SELECT sum(n) FROM per WHERE per.k = l.k AND per.o <> l.o), 0) AS x, coalesce((SELECT sum(n) FROM per WHERE per.k = l.k AND per.o = l.o), 0) AS mine, (SELECT min(v) FROM per WHERE per.k = l.k AND per.o <> l.o) AS v FROM l)""")
+def match_elsewhere(spark, sf_dir):
+    p = _t(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
+    right = p.filter("p_partkey % 10 = 0").select("p_name", "p_brand", F.col("p_partkey").alias("v"))
+    return R.not_own_match(p, right, "p_name", "p_brand", "v").select("p_partkey", "status", "match")
+
+
+@query("""WITH need AS (SELECT n_name AS req, lower(split_part('small ring,red widget,blue bolt,hot gear', ',', n_nationkey + 1)) AS item FROM nation WHERE n_nationkey < 4 UNION SELECT 'NATION_0', 'small gizmo')
+SELECT o_custkey AS holder, array_to_string(list_sort(list_distinct(list(req))), ',') AS requirements FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey JOIN need ON item = lower(p_name) GROUP BY 1""")
+def alias_requirements(spark, sf_dir):
+    names = ["small ring", "red widget", "blue bolt", "hot gear"]
+    needs = spark.createDataFrame([(f"NATION_{i}", n) for i, n in enumerate(names)], "req string, name string")
+    aliases = spark.createDataFrame([("small ring", "small gizmo")], "name string, alias string")
+    held = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").join(_t(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("item")), "l_partkey")
+    held = held.join(_t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("holder")), "l_orderkey")
+    return R.alias_matches(needs, aliases, held).select("holder", F.array_join("requirements", ",").alias("requirements"))
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2 UNION ALL SELECT NULL, o_orderpriority, count(*) FROM orders GROUP BY 2")
+def rollup_type_counts(spark, sf_dir):
+    return R.counts_with_totals(_t(spark, sf_dir, "orders"), "o_orderstatus", "o_orderpriority")
+
+
+@query("SELECT l_returnflag, count(*) AS n, count(*) FILTER (WHERE abs(l_discount) > 1e-6 OR abs(l_tax) > 1e-6) AS n_nonzero, min(l_discount) AS min_l_discount, max(l_discount) AS max_l_discount, min(l_tax) AS min_l_tax, max(l_tax) AS max_l_tax FROM lineitem GROUP BY 1")
+def axis_bounds(spark, sf_dir):
+    return R.axis_bounds(_t(spark, sf_dir, "lineitem"), "l_returnflag", ["l_discount", "l_tax"])
+
+
+@query("SELECT p_brand, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM part) WHERE r <= 8 GROUP BY 1")
+def first_samples(spark, sf_dir):
+    return R.first_samples(_t(spark, sf_dir, "part"), "p_brand", "p_partkey", "p_partkey").select("p_brand", F.array_join("samples", ",").alias("samples"))
+
+
+@query("SELECT count(*) FILTER (WHERE l IS NULL) AS left_only, count(*) FILTER (WHERE d IS NULL) AS right_only, count(*) FILTER (WHERE d IS NOT NULL AND l IS NOT NULL) AS \"both\", count(*) FILTER (WHERE d IS NOT NULL AND l IS NOT NULL) / CAST(count(d) AS DOUBLE) AS fraction FROM (SELECT DISTINCT doc_id AS d FROM documents) FULL JOIN (SELECT DISTINCT doc_id AS l FROM labels) ON d = l")
+def coverage_fraction(spark, sf_dir):
+    return R.coverage(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("""WITH s AS (SELECT l_orderkey AS path_id, l_linenumber AS pos, l_suppkey % 5 AS a, l_partkey % 5 AS b, l_returnflag AS f, lead(l_suppkey % 5) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS nx FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey))
+SELECT path_id, count(*) AS n_steps, count(*) FILTER (WHERE nx <> b) AS breaks, array_to_string(list_sort(list_distinct(list(f))), ',') AS requires FROM s GROUP BY 1""")
+def path_requirement_union(spark, sf_dir):
+    first, _ = R.first_wins(_t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"), ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey"])
+    steps = first.select(F.col("l_orderkey").alias("path_id"), F.col("l_linenumber").alias("pos"), (F.col("l_suppkey") % 5).alias("src"), (F.col("l_partkey") % 5).alias("dst"), F.array("l_returnflag").alias("requires"))
+    return graph.check_path(steps).withColumn("requires", F.array_join("requires", ","))
+
+
+@query("SELECT event_id, user_id, last_value(CASE WHEN event_type = 'purchase' THEN props END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS section FROM events")
+def carry_forward_section(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").withColumn("section", F.when(F.col("event_type") == "purchase", F.col("props")))
+    return R.carry_forward(e, "section", "user_id", ["ts", "event_id"]).select("event_id", "user_id", "section")
+
+
+@query("SELECT event_id, CAST(coalesce(sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ordinal FROM events")
+def valid_ordinal(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    return e.select("event_id", R.valid_ordinal(e, F.col("event_type") != "error", "user_id", "event_id").alias("ordinal"))
+
+
+@query("WITH c AS (SELECT a.o_orderkey AS q, b.p_partkey AS c, p_brand = 'Brand#4' AS f, p_size > 25 AS h FROM orders a JOIN part b ON b.p_partkey % 500 = a.o_orderkey % 500 WHERE a.o_orderkey < 2000), x AS (SELECT *, bool_or(f) OVER (PARTITION BY q) AS m FROM c), y AS (SELECT * FROM x WHERE f OR NOT m), z AS (SELECT *, bool_or(h) OVER (PARTITION BY q) AS m2 FROM y) SELECT q, c FROM z WHERE h OR NOT m2")
+def narrow_candidates(spark, sf_dir):
+    q = _t(spark, sf_dir, "orders").filter("o_orderkey < 2000").select(F.col("o_orderkey").alias("q"), (F.col("o_orderkey") % 500).alias("k"))
+    c = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("c"), (F.col("p_partkey") % 500).alias("k"), "p_brand", "p_size")
+    return R.narrow(q.join(c, "k"), "q", F.col("p_brand") == "Brand#4", F.col("p_size") > 25).select("q", "c")
+
+
+@query("SELECT sha256(props) AS content_id, count(*) AS occurrences, min(props) AS body FROM events GROUP BY 1")
+def expression_dedup(spark, sf_dir):
+    return R.content_dedup(_t(spark, sf_dir, "events"), F.col("props"))
+
+
+@query("SELECT c_custkey - s_suppkey AS k, count(*) AS n FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_custkey < 3000 GROUP BY 1")
+def offset_histogram(spark, sf_dir):
+    c = _t(spark, sf_dir, "customer").filter("c_custkey < 3000").select("c_custkey", F.col("c_nationkey").alias("k"))
+    s = _t(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("k"))
+    return c.join(s, "k").groupBy((F.col("c_custkey") - F.col("s_suppkey")).alias("k")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT split_part(o_orderpriority, '-', 1) AS prefix, count(*) AS n FROM orders GROUP BY 1")
+def prefix_histogram(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").groupBy(F.split("o_orderpriority", "-")[0].alias("prefix")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_name, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1")
+def repeated_keys(spark, sf_dir):
+    return R.repeated_keys(_t(spark, sf_dir, "part"), "p_name")
+
+
+@query("SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing' ELSE 'present' END AS state FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
+def full_inventory(spark, sf_dir):
+    d, known = _t(spark, sf_dir, "documents").select("doc_id"), _t(spark, sf_dir, "labels").select("doc_id").distinct()
+    return R.full_inventory(d.join(known, "doc_id", "left_anti"), d, "doc_id")
+
+
+@query("SELECT o_orderkey AS k, array_to_string(list(p_brand ORDER BY i), ',') AS found FROM (SELECT o_orderkey, unnest([o_orderkey % 200, o_custkey % 200, 100000000]) AS p, generate_subscripts([1, 2, 3], 1) AS i FROM orders) JOIN part ON p_partkey = p GROUP BY 1")
+def explode_lookup(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.array(F.col("o_orderkey") % 200, F.col("o_custkey") % 200, F.lit(100000000)).alias("ids"))
+    return R.explode_lookup(o, "k", "ids", _t(spark, sf_dir, "part"), "p_partkey", "p_brand").select("k", F.array_join("found", ",").alias("found"))
+
+
+@query("SELECT 'customer' AS kind, c_name AS name, c_nationkey AS nation, CAST(NULL AS DOUBLE) AS price FROM customer UNION ALL SELECT 'supplier', s_name, s_nationkey, NULL FROM supplier UNION ALL SELECT 'part', p_name, NULL, p_retailprice FROM part")
+def union_of_kinds(spark, sf_dir):
+    c = _t(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))
+    s = _t(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
+    p = _t(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_retailprice").alias("price"))
+    return R.union_tagged(customer=c, supplier=s, part=p).select("kind", "name", "nation", "price")
+
+
+# --- catalog, keys, text -----------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, p_name, p_brand FROM part WHERE contains(lower(p_name || ' / ' || p_type), 'ring') AND lower(p_brand) = 'brand#4' ORDER BY p_partkey LIMIT 50")
+def catalog_text_query(spark, sf_dir):
+    spec = C.CatalogSpec(text=["p_name", "p_type"], equal={"brand": "p_brand"}, order=["p_partkey"])
+    page, _ = C.catalog_query(_t(spark, sf_dir, "part"), spec, {"q": "RING", "brand": "BRAND#4", "limit": "50"})
+    return page.select("p_partkey", "p_name", "p_brand")
+
+
+@query("SELECT CAST(least(count(*), 50) AS BIGINT) AS record_count, count(*) AS total_matches FROM part WHERE contains(lower(p_name), 'ring')")
+def catalog_totals(spark, sf_dir):
+    spec = C.CatalogSpec(text=["p_name"], order=["p_partkey"])
+    return C.catalog_query(_t(spark, sf_dir, "part"), spec, {"q": "ring", "limit": "50"})[1]
+
+
+_KEY = "printf('m%02d_%02d_%02d', p_size, p_partkey % 7, p_partkey % 3)"
+
+
+def _keyed(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_partkey", K.map_key(F.col("p_size"), F.col("p_partkey") % 7, F.col("p_partkey") % 3).alias("key"))
+
+
+@query(f"SELECT p_partkey, {_KEY} AS key FROM part WHERE {_KEY} = 'm10_02' OR starts_with({_KEY}, 'm10_02_')")
+def hier_prefix_filter(spark, sf_dir):
+    return _keyed(spark, sf_dir).filter(K.under(F.col("key"), "m10_02"))
+
+
+@query(f"SELECT {_KEY[:-1].replace('m%02d_%02d_%02d', 'm%02d_%02d').replace(', p_partkey % 3', '')}) AS key, count(*) AS n FROM part GROUP BY 1")
+def short_key_counts(spark, sf_dir):
+    return _keyed(spark, sf_dir).groupBy(F.substring_index("key", "_", 2).alias("key")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey FROM part WHERE list_contains(string_split(p_name, ' '), 'ring')")
+def array_membership(spark, sf_dir):
+    spec = C.CatalogSpec(member={"word": "words"})
+    p = _t(spark, sf_dir, "part").select("p_partkey", F.split("p_name", " ").alias("words"))
+    return C.matching(p, spec, {"word": "ring"}).select("p_partkey")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderpriority = '1' OR starts_with(o_orderpriority, '1-') THEN 'source' ELSE 'destination' END AS match_side FROM (SELECT o_orderkey, replace(o_orderpriority, '-', '_') AS pr, o_orderpriority, o_orderstatus || '_x' AS st FROM orders) WHERE starts_with(pr, '1_') OR starts_with(st, '1_')")
+def either_side_match(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", F.replace("o_orderpriority", F.lit("-"), F.lit("_")).alias("a"), F.concat("o_orderstatus", F.lit("_x")).alias("b"))
+    return C.either_side(o, "a", "b", "1").select("o_orderkey", "match_side")
+
+
+@query("SELECT p_partkey, CASE WHEN regexp_matches(p_name, 'ring|gizmo') THEN 'jewel' WHEN regexp_matches(p_name, 'bolt|gear') THEN 'machine' WHEN regexp_matches(p_name, '^red') THEN 'red' ELSE 'other' END AS class FROM part")
+def classifier_first_match(spark, sf_dir):
+    rules = [("ring|gizmo", "jewel"), ("bolt|gear", "machine"), ("^red", "red")]
+    return _t(spark, sf_dir, "part").select("p_partkey", X.first_match(F.col("p_name"), rules, "other").alias("class"))
+
+
+@query("SELECT p_partkey, array_to_string(list_sort(list_filter(string_split(p_name, ' '), lambda x: x <> '' AND x NOT IN ('the', 'of', 'a', 'an'))), ' ') AS wordset FROM part")
+def wordset_key(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_partkey", X.wordset_key("p_name").alias("wordset"))
+
+
+@query("SELECT n_nationkey - 12 AS n, CASE WHEN n_nationkey > 12 THEN 'AND' WHEN n_nationkey < 12 THEN 'OR' ELSE 'MAIN' END AS meaning, CASE WHEN n_nationkey = 12 THEN 'MAIN' ELSE (CASE WHEN n_nationkey > 12 THEN 'AND_' ELSE 'OR_' END) || lpad(CAST(abs(n_nationkey - 12) AS VARCHAR), 2, '0') END AS alias FROM nation")
+def guard_group_semantics(spark, sf_dir):
+    n = F.col("n")
+    return _t(spark, sf_dir, "nation").select((F.col("n_nationkey") - 12).alias("n")).select("n", X.group_semantics(n).alias("meaning"), X.group_alias(n).alias("alias"))
+
+
+@query("SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN true WHEN event_type IN ('error', 'signup') THEN false END AS truth FROM events")
+def guard_required_truth(spark, sf_dir):
+    taken = F.create_map(*[F.lit(x) for p in {"click": "condition_true", "view": "condition_true_skip", "error": "condition_false", "signup": "end_if_fallthrough"}.items() for x in p])
+    return _t(spark, sf_dir, "events").select("event_id", cfg.required_truth(taken[F.col("event_type")]).alias("truth"))
+
+
+@query("SELECT p_partkey, (CASE WHEN contains(lower(p_name), 'ring') THEN 4 ELSE 0 END) + (CASE WHEN contains(lower(p_brand), 'ring') THEN 1 ELSE 0 END) AS score FROM part WHERE contains(lower(p_name || ' ' || p_brand), 'ring') ORDER BY score DESC, p_name, p_partkey LIMIT 100")
+def search_scored(spark, sf_dir):
+    """A top-k report: the hundred best matches."""
+    n = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"), F.col("p_type").alias("kind"), F.col("p_brand").alias("region"))
+    return S.search(n, "Ring", limit=100).select(F.col("id").alias("p_partkey"), "score")
+
+
+@query("""SELECT p_brand AS "table", p_partkey // 2 AS id, min(CASE WHEN p_partkey % 2 = 0 THEN p_name END) AS source_text, min(CASE WHEN p_partkey % 2 = 1 THEN p_name END) AS target_text FROM part GROUP BY 1, 2""")
+def bilingual_pivot(spark, sf_dir):
+    p = _t(spark, sf_dir, "part").select(F.col("p_brand").alias("table"), F.floor(F.col("p_partkey") / 2).alias("id"), F.when(F.col("p_partkey") % 2 == 0, "en").otherwise("zh").alias("language"), F.col("p_name").alias("text"))
+    return localise.pivot_languages(p, "en", "zh")
+
+
+@query("""WITH d AS (SELECT p_name AS k, list_sort(list_distinct(list(p_brand))) AS t FROM part WHERE p_size < 10 GROUP BY 1),
+s AS (SELECT array_to_string(list_sort(string_split(p_name, ' ')), ' ') AS k, list_sort(list_distinct(list(p_brand))) AS t FROM part WHERE p_size < 10 GROUP BY 1),
+w AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'the ' || split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) ELSE upper(p_name) || '!' END AS x FROM part),
+v AS (SELECT p_partkey, trim(regexp_replace(lower(x), '[^a-z0-9 ]', ' ', 'g')) AS n, array_to_string(list_sort(list_filter(string_split(trim(regexp_replace(lower(x), '[^a-z0-9 ]', ' ', 'g')), ' '), lambda y: y NOT IN ('the', 'of', 'a', 'an'))), ' ') AS ws FROM w)
+SELECT p_partkey, CASE WHEN d.t IS NOT NULL THEN 'norm' WHEN s.t IS NOT NULL THEN 'wordset' END AS level, coalesce(array_to_string(coalesce(d.t, s.t), ','), '') AS targets FROM v LEFT JOIN d ON d.k = n LEFT JOIN s ON s.k = ws""")
+def bilingual_lookup(spark, sf_dir):
+    p = _t(spark, sf_dir, "part")
+    known = localise.dictionary(p.filter("p_size < 10").select(F.col("p_name").alias("source_text"), F.col("p_brand").alias("target_text")))
+    w = F.split("p_name", " ")
+    words = p.select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("the "), w[1], F.lit(" "), w[0])).otherwise(F.concat(F.upper("p_name"), F.lit("!"))).alias("x"))
+    got = localise.lookup(words, "x", materialize(known, "dictionary"))
+    return got.select("p_partkey", "level", F.coalesce(F.array_join("targets", ","), F.lit("")).alias("targets"))
+
+
+@query("""WITH c AS (SELECT n_regionkey, avg(n_nationkey) AS cx, avg(n_nationkey % 7) AS cy FROM nation GROUP BY 1), a AS (SELECT n_nationkey AS id, n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS i FROM nation)
+SELECT id, CAST(round(round(cx + 40 * (1 + i // 12) * cos(2 * pi() * (i % 12) / 12), 1)) AS BIGINT) AS x, CAST(round(round(cy + 40 * (1 + i // 12) * sin(2 * pi() * (i % 12) / 12), 1)) AS BIGINT) AS y FROM a JOIN c USING (n_regionkey)""")
+def ring_layout(spark, sf_dir):
+    n = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("region"))
+    placed = n.select("region", F.col("id").alias("x"), (F.col("id") % 7).alias("y"))
+    got = layout.ring_layout(placed, n)
+    return got.select("id", F.round("x").cast("long").alias("x"), F.round("y").cast("long").alias("y"))
+
+
+@query("SELECT p_partkey, ((r - 1) % 10) * 5.0::DOUBLE AS x, ((r - 1) // 10) * 5.0::DOUBLE AS y FROM (SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM part)")
+def grid_layout(spark, sf_dir):
+    return layout.grid_layout(_t(spark, sf_dir, "part"), "p_brand", "p_partkey", 10, 5.0).select("p_partkey", "x", "y")
+
+
+# --- packages, control flow --------------------------------------------------------------------
+
+_PROPS = "CASE WHEN event_id % 10 = 0 THEN props[:-2] WHEN event_id % 10 = 1 THEN '{\"type\":\"node\",\"record\":{\"id\":\"' || event_type || '\"}}' ELSE props END"
+
+
+@query(f"WITH x AS (SELECT event_id, {_PROPS} AS p FROM events) SELECT event_id, CASE WHEN NOT json_valid(p) THEN 'unparseable' WHEN starts_with(p, '{{\"type\"') THEN 'ok' ELSE 'no-envelope' END AS state FROM x")
+def quarantine_verdicts(spark, sf_dir):
+    n = F.col("event_id") % 10
+    body = F.when(n == 0, F.expr("substring(props, 1, length(props) - 1)")).when(n == 1, F.concat(F.lit('{"type":"node","record":{"id":"'), "event_type", F.lit('"}}'))).otherwise(F.col("props"))
+    files = _t(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("package_id"), F.col("event_id").alias("pos"), body.alias("text"))
+    return packages.parse_lines(files).select(F.col("pos").alias("event_id"), "state")
+
+
+def _lines(spark, sf_dir):
+    """A package for each region of JSON lines: a header, its nations and all edges that leave them."""
+    n, e = nodes(spark, sf_dir), graph.partition(nodes(spark, sf_dir), _g(spark, sf_dir)).join(nodes(spark, sf_dir).select(F.col("id").alias("src"), "region"), "src")
+    node = n.select(F.col("region").alias("package_id"), F.lit(1).alias("k"), "id", F.to_json(F.struct(F.lit("node").alias("type"), F.struct(F.concat(F.lit("n"), "id").alias("id"), "label", "region", F.col("is_grace_anchor").alias("isGraceAnchor")).alias("record"))).alias("line"))
+    edge = e.select(F.col("region").alias("package_id"), F.lit(2).alias("k"), F.col("seq").alias("id"), F.to_json(F.struct(F.lit("edge").alias("type"), F.struct("id", F.concat(F.lit("n"), "src").alias("from"), F.concat(F.lit("n"), F.when(F.col("dst") % 7 == 3, F.col("dst") + 500).otherwise(F.col("dst"))).alias("to"), "cost", "requires").alias("record"))).alias("line"))
+    again = node.filter("id % 11 = 1").withColumn("k", F.lit(3))
+    head = n.select(F.col("region").alias("package_id"), F.lit(0).alias("k"), F.lit(0).alias("id"), F.concat(F.lit('{"schema":"package@1","package":{"id":"'), "region", F.lit('"}}')).alias("line")).distinct()
+    every = head.union(node).union(edge).union(again)
+    return every.groupBy("package_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "id", "line"))), lambda x: x["line"]), "\n").alias("text")).withColumn("pos", F.ascii("package_id") * 1000 + F.length("package_id"))
+
+
+def _load(spark, sf_dir):
+    files = materialize(_lines(spark, sf_dir), "files")
+    manifest = files.select(F.col("package_id").alias("id"))
+    return packages.load_packages(files, manifest, "package@1")
+
+
+@query(f"""WITH {G_SQL} SELECT 'node' AS kind, r_name AS package_id, count(*) AS n FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey % 11 = 1 GROUP BY 2
+UNION ALL SELECT 'dangling-edge', r_name, count(*) FROM g JOIN nation ON n_nationkey = src JOIN region ON r_regionkey = n_regionkey WHERE dst % 7 = 3 GROUP BY 2""")
+def package_quarantine(spark, sf_dir):
+    return _load(spark, sf_dir).quarantine.groupBy("kind", "package_id").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {G_SQL}, e AS (SELECT r_name, count(*) FILTER (WHERE dst % 7 <> 3) AS ok, count(*) FILTER (WHERE dst % 7 = 3) AS bad FROM g JOIN nation ON n_nationkey = src JOIN region ON r_regionkey = n_regionkey GROUP BY 1)
+SELECT r.r_name AS package_id, 'loaded' AS status, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) AS node_count, CAST(coalesce(ok, 0) AS BIGINT) AS edge_count, CAST(coalesce(bad, 0) AS BIGINT) AS quarantined_count FROM region r LEFT JOIN e ON e.r_name = r.r_name""")
+def package_status(spark, sf_dir):
+    return _load(spark, sf_dir).packages
+
+
+def _instructions(spark, sf_dir):
+    """A small event for each order: lines become gotos, skips and labels by their part's number."""
+    li, _ = R.first_wins(_t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey"])
+    from pyspark.sql.window import Window as W
+
+    k = F.col("l_partkey") % 6
+    name = F.when(k == 0, "GOTO IF Condition Group State").when(k == 1, "SKIP IF Event Flag").when(k == 2, F.concat(F.lit("Label "), (F.col("l_suppkey") % 3).cast("string"))).when(k == 3, "END IF Event Flag").otherwise("SET Event Flag")
+    return li.select(
+        F.lit("m").alias("map_id"), F.col("l_orderkey").alias("event_id"), (F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber")) - 1).alias("index"), name.alias("name"),
+        F.when(k == 0, (F.col("l_suppkey") % 3).cast("int")).alias("label"), F.when(k == 1, F.lit(1)).alias("skip"))
+
+
+@query()
+def cfg_paths(spark, sf_dir):
+    """Paths to the last instruction of each event; bounded depth-first search has no SQL form."""
+    i = materialize(_instructions(spark, sf_dir), "instructions")
+    targets = i.groupBy("map_id", "event_id").agg(F.max("index").alias("target_index"))
+    return cfg.bounded_paths(cfg.successors(i), targets).select("event_id", "target_index", "path", F.array_join("trace", ",").alias("trace"), "truncated")
+
+
+@query()
+def guard_expressions(spark, sf_dir):
+    i = materialize(_instructions(spark, sf_dir), "instructions")
+    targets = i.groupBy("map_id", "event_id").agg(F.max("index").alias("target_index"))
+    return cfg.guard_expressions(cfg.bounded_paths(cfg.successors(i), targets)).select("expression_id", "kind", "occurrences", "unresolved")
+
+
+@query()
+def route_rows(spark, sf_dir):
+    """The whole route, node by node, from the least origin to the greatest node it reaches."""
+    g, n = _g(spark, sf_dir), nodes(spark, sf_dir)
+    origin = _origin(g).first()
+    if origin is None:
+        return n.select(F.lit(0).alias("pos"), F.col("id").alias("node")).limit(0)
+    far = graph.reach(g, _origin(g).select(F.lit(0).alias("seed"), "node")).agg(F.max("node")).first()[0]
+    return graph.route(n, g, origin["node"], far, ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]).select(F.posexplode("nodes").alias("pos", "node"))
