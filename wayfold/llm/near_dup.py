@@ -31,7 +31,7 @@ class NearDupParams:
     percent: int = 85
     bands: int = 24
     rows: int = 5
-    leaders: int = 32
+    leaders: int = 256
     broadcast_rows: int = 200_000
 
 
@@ -104,68 +104,109 @@ def texts_of(docs: DataFrame, ids: DataFrame, most: int) -> DataFrame:
     return docs.join(F.broadcast(keys) if small else keys, "doc_id", "left_semi")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity."""
+def _linked(pairs: DataFrame, sets: DataFrame, p: NearDupParams) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the similarity, written; pairs is a written table.
+
+    Only sets of these pairs are shuffled: their ids are broadcast if they are at most p.broadcast_rows.
+    """
+    ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+    small = ids.count() <= p.broadcast_rows
+    sets = sets.join(F.broadcast(ids) if small else ids, "id", "left_semi")
     left = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return (
+    found = (
         pairs.join(left, "a").join(right, "b")
         .select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("sum"))
-        .filter(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("sum") - F.col("both")))
+        .filter(F.lit(100) * F.col("both") >= F.lit(p.percent) * (F.col("sum") - F.col("both")))
         .select("a", "b")
     )
+    return materialize(found, "links")
 
 
 def _ordered(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are not yet in one component."""
+    a, b = (labels.select(F.col("id").alias(c), F.col("component").alias(f"_{c}")) for c in "ab")
+    both = pairs.join(a, "a", "left").join(b, "b", "left")
+    return both.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+
+
+def _ceil_div(x, y: int):
+    return F.floor((x + (y - 1)) / y).cast("long")
+
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(item, id, n, pos, short) of sets (id, items): the rarest items of each set, if another set has them too.
+
+    Two sets that reach the similarity share one of the n - ceil(percent n / 100) + 1 rarest items of
+    the larger and one of the n - ceil(2 percent n / (100 + percent)) + 1 rarest (short) of the
+    smaller, in any order that holds for all sets; this one is by frequency among the given sets.
+    """
+    rows = sets.select("id", F.size("items").cast("long").alias("n"), F.explode("items").alias("item"))
+    often = rows.groupBy("item").agg(F.count("*").alias("df")).filter("df > 1")
+    placed = rows.join(often, "item", "left").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "item"))).alias("x"))
+    n = F.col("n")
+    reach = n - _ceil_div(n * percent, 100) + 1
+    near = n - _ceil_div(n * (2 * percent), 100 + percent) + 1
+    cut = placed.select("id", "n", near.alias("near"), F.posexplode(F.slice("x", F.lit(1), reach.cast("int"))).alias("pos", "i"))
+    return cut.filter("i.df > 1").select("i.item", "id", "n", "pos", (F.col("pos") < F.col("near")).alias("short"))
+
+
 def link_classes(buckets: DataFrame, sets_for, p: NearDupParams) -> DataFrame:
     """(id, component) of all members that are linked, from buckets (bucket, id, n).
 
-    Round one compares every member with its bucket's least id. Later rounds take the buckets
-    whose members are still in several components: up to p.leaders members outside the bucket's
-    largest component are compared with all members in other components and then leave the
-    bucket, since all their links in it are known. It ends when no bucket holds two components, so
-    no candidate link is lost, while the pairs of a round stay linear in the bucket's size.
+    First every member is compared with the least id of its buckets: with the least of these, then
+    with the others that are still in another component. Buckets whose members then lie in one component are done. The members of
+    the others would be pairs in numbers that grow with the square of a bucket, so they are put into
+    finer buckets, one for each of their rarest items (prefixes()), which no link can escape. There up
+    to p.leaders short members of a bucket are compared with its members in other components and
+    then are short no more, until no bucket has a short member and two components. So no
+    candidate link is lost, while the pairs of a round stay linear in the bucket's size.
     """
     size_fits = lambda x, y: F.lit(100) * F.least(x, y) >= F.lit(p.percent) * F.greatest(x, y)
     head = buckets.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("head"), F.count("*").alias("members")).filter("members > 1")
     live = materialize(buckets.join(head.select("bucket", "head"), "bucket"), "buckets")
-    pairs = materialize(
+    heads = materialize(
         live.filter((F.col("id") != F.col("head.id")) & size_fits(F.col("n"), F.col("head.n")))
         .select(F.col("head.id").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    ids = live.select("id").distinct()
-    sets = materialize(sets_for(ids), "sets")
-    links = materialize(_linked(pairs, sets, p.percent), "links")
-    tested = pairs
+    sets = materialize(sets_for(live.select("id").distinct()), "sets")
+    first = materialize(heads.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
+    links = _linked(first, sets, p)
     labels = materialize(connected_components(links, "a", "b"), "labels")
-    rest = live.filter("id <> head.id").select("bucket", "id", "n")
+    more = _linked(materialize(_apart(heads.join(first, ["a", "b"], "left_anti"), labels), "pairs"), sets, p)
+    if not more.isEmpty():
+        links = materialize(links.union(more), "links")
+        labels = materialize(connected_components(links, "a", "b"), "labels")
+    at = live.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("comp"))
+    mixed = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
+    open_ = materialize(live.select("bucket", "id").join(mixed, "bucket").select("id").distinct(), "open")
+    discard(live, heads)
+    if open_.isEmpty():
+        return labels
+    rest = materialize(prefixes(sets.join(open_, "id", "left_semi"), p.percent), "prefixes")
     while True:
-        at = rest.join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("comp"))
-        mixed = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
-        open_ = materialize(at.join(mixed, "bucket"), "open")
-        discard(live)
-        if open_.isEmpty():
+        at = rest.join(labels, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+        alive = at.groupBy("item").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_or("short").alias("s")).filter("lo < hi and s").select("item")
+        left = materialize(at.join(alive, "item"), "prefixes")
+        discard(rest)
+        if left.isEmpty():
             return labels
-        live = open_
-        sizes = open_.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
-        major = sizes.groupBy("bucket").agg(F.max(F.struct("k", "comp")).getField("comp").alias("major"))
-        outer = open_.join(major, "bucket").filter("comp <> major")
-        lead = outer.withColumn("r", F.row_number().over(W.partitionBy("bucket").orderBy("id"))).filter(F.col("r") <= p.leaders)
-        lead = materialize(lead.select("bucket", F.col("id").alias("lid"), F.col("n").alias("ln"), F.col("comp").alias("lcomp")), "lead")
-        new = (
-            open_.join(lead, "bucket").filter((F.col("comp") != F.col("lcomp")) & size_fits(F.col("n"), F.col("ln")))
-            .select(*_ordered("id", "lid")).distinct().join(tested, ["a", "b"], "left_anti")
-        )
-        new = materialize(new, "pairs")
-        found = materialize(_linked(new, sets, p.percent), "links")
+        lead = left.filter("short").withColumn("r", F.row_number().over(W.partitionBy("item").orderBy("id"))).filter(F.col("r") <= p.leaders)
+        lead = materialize(lead.select("item", F.col("id").alias("lid"), F.col("n").alias("ln"), F.col("pos").alias("lpos"), F.col("comp").alias("lcomp")), "lead")
+        # what two sets can share from their first common item on
+        most = 1 + F.least(F.col("n") - 1 - F.col("pos"), F.col("ln") - 1 - F.col("lpos"))
+        fits = (F.col("comp") != F.col("lcomp")) & (F.col("n") >= F.col("ln")) & size_fits(F.col("n"), F.col("ln")) & (most * (100 + p.percent) >= (F.col("n") + F.col("ln")) * p.percent)
+        new = materialize(left.join(lead, "item").filter(fits).select(*_ordered("id", "lid")).distinct(), "pairs")
+        found = _linked(new, sets, p)
         if not found.isEmpty():
             links = materialize(links.union(found), "links")
             labels = materialize(connected_components(links, "a", "b"), "labels")
-        tested = tested.union(new)
-        rest = open_.join(lead.select("bucket", F.col("lid").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id", "n")
+        used = lead.select("item", F.col("lid").alias("id"), F.lit(True).alias("used"))
+        rest = left.join(used, ["item", "id"], "left").select("item", "id", "n", "pos", (F.col("short") & F.col("used").isNull()).alias("short"))
 
 
 def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
