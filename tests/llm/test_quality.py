@@ -35,3 +35,13 @@ def test_common_lines_per_host(spark):
 def test_repeated_rows(spark):
     rows = [(1, "a b c d e", "s", "", 0)] * 3 + [(None, "a b c d e", "s", "", 0)]
     assert [r.kept for r in quality_digest(docs(spark, rows), P).collect()] == [True] * 4
+
+
+def test_distinct_documents_that_share_other_lines(spark):
+    # one template of many lines and one own line: few values of any other line, but 40 documents
+    template = "\n".join(f"template line number {j}" for j in range(60))
+    rows = [(i, f"{template}\nown words of document {i}", "h", "", 0) for i in range(40)]
+    rows += [(100 + i, "copied line of all\nsecond copied line", "h", "", 0) for i in range(40)]
+    df = docs(spark, rows)
+    got = {r.doc_id: (r.n_common_words, r.kept) for r in quality(df, QualityParams(min_words=4)).collect()}
+    assert all(got[i] == (240, False) for i in range(40)) and all(got[100 + i] == (0, True) for i in range(40))

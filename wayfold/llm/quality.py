@@ -13,8 +13,8 @@ _SPACE = r"[\x20\x09-\x0D]+"
 @dataclass(frozen=True)
 class QualityParams:
     """A line is common on a host (column host) if more than max(least_docs, host_percent % of the
-    host's documents) distinct documents hold it. A document is depleted if its common lines hold
-    more than depleted_percent % of its words. min_words and repeat_percent are the base rules.
+    host's documents) distinct documents hold it; exact copies of a text are one document. A document
+    is depleted if its common lines hold more than depleted_percent % of its words. min_words and repeat_percent are the base rules.
     """
 
     host: str = "source"
@@ -78,16 +78,14 @@ def base_rules(docs: DataFrame, p: QualityParams = QualityParams()) -> DataFrame
 def document_lines(docs: DataFrame, p: QualityParams) -> DataFrame:
     """(doc_id, host, line, words, copy): a row for each line with a word.
 
-    copy is the least other line of the document, or the line itself if there is none: documents
-    that agree on it count once, so that copies of one document do not make its lines common.
+    copy is the hash of the whole text: exact copies count as one document, so that they do not
+    make their lines common; all other documents count each.
     """
     keyed = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.struct(line_key(x).alias("line"), _word_count(x).alias("words")))
-    d = docs.select("doc_id", F.coalesce(F.col(p.host).cast("string"), F.lit("")).alias("host"), F.filter(keyed, lambda x: x["line"].isNotNull()).alias("l"))
-    d = d.withColumn("least", F.slice(F.sort_array(F.array_distinct(F.col("l")["line"])), 1, 2))
+    d = docs.select("doc_id", F.coalesce(F.col(p.host).cast("string"), F.lit("")).alias("host"), F.xxhash64("text").alias("copy"), F.filter(keyed, lambda x: x["line"].isNotNull()).alias("l"))
     # explode() would have its input computed twice, for a filter on its size
-    d = d.select("doc_id", "host", "least", F.explode_outer("l").alias("l")).filter("l is not null")
-    first, second = F.get("least", F.lit(0)), F.get("least", F.lit(1))
-    return d.select("doc_id", "host", "l.line", "l.words", F.when(F.col("l.line") == first, F.coalesce(second, first)).otherwise(first).alias("copy"))
+    d = d.select("doc_id", "host", "copy", F.explode_outer("l").alias("l")).filter("l is not null")
+    return d.select("doc_id", "host", "l.line", "l.words", "copy")
 
 
 def common_lines(docs: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
