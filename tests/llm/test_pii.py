@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from wayfold.llm.pii import PiiParams, personal_data, pii_digest
+from wayfold.llm.pii import PiiParams, base_spans, mentions, personal_data, pii_digest
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -44,3 +44,16 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert got[10, 0] == "context:23:34" and got[None, 0] == "context:14:24" and got[11, 0] == "" and got[0, 1].startswith("email:21:")
     full = personal_data(df).collect()
     assert len(full) == len(rows) and pii_digest(df.limit(0)).count() == 0
+
+
+def test_contexts_across_numbers(spark):
+    rows = [(i, f"My phone number is +1 (017) 555-77{i:02d} or 12 Main") for i in range(6)] + [(10, "the phone number is 99-1122 now")]
+    rows += [(20 + i, f"mail: u{i}@x{i}.org, mail: v{i}@y{i}.org") for i in range(6)] + [(30, "mail: AB-1234, mail: CD-5678")]
+    long = "w" * 150
+    rows += [(40 + i, f"{long} {long}: z{i}@q{i}.org") for i in range(4)] + [(50, f"{long} {long}: ZZ-9876")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, r.start): (r.pattern, r.end, r.instance, r.seed) for r in mentions(base_spans(df), PiiParams()).collect()}
+    assert found[0, 19] == ("number is", 36, "+1 (017) 555-7700", 1)
+    assert found[30, 6] == ("mail:", 13, "ab-1234", 0) and found[30, 21] == ("# mail:", 28, "cd-5678", 0)
+    got = {x.doc_id: x.spans for x in pii_digest(df).collect()}
+    assert got[10] == "context:20:27" and got[30] == "context:6:13,context:21:28" and got[50] == "context:303:310"

@@ -45,7 +45,7 @@ _NAMES = [*(k.name for k in BASE), "context"]
 
 @dataclass(frozen=True)
 class PiiParams:
-    """context: words to the left that make a pattern. rounds of scoring; a pattern discovers if its
+    """context: most words to the left that make a pattern. rounds of scoring; a pattern discovers if its
     confidence is at least confidence and support distinct seeds support it. A token is
     identifier-like if it has at least digits digits.
     """
@@ -66,30 +66,62 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return with_spans(docs, "text", BASE, "spans")
 
 
+def _numbered(word: Column) -> Column:
+    """A context's word, lower-cased; numbers and addresses are alike there."""
+    return F.when(word.rlike("[0-9@]"), "#").otherwise(F.lower(word))
+
+
 def mentions(docs: DataFrame, p: PiiParams) -> DataFrame:
-    """(doc_id, text_hash, pattern, start, end, instance, seed) of identifier-like tokens with context.
+    """(doc_id, text_hash, pattern, start, end, instance, seed) of base spans and identifier-like tokens with context.
 
-    docs has spans. pattern is the last words before the token, lower-cased; seed is 1 if a base
-    span touches the token.
+    docs has spans. A base span is one instance, however many tokens it covers, and a seed (1);
+    identifier-like tokens that no base span touches are the others (0). pattern is the last words
+    before the instance in the text, lower-cased, with # for each word that holds a digit or @;
+    fewer at the start of the text, and without any word there is no mention.
     """
     d = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "spans", F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0)).alias("m"), "text").filter(F.size("m") > 0)
-    d = d.withColumn("s", F.split("text", _TOKEN, -1)).drop("text")
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,left:string,token:string>>").alias("out"))
+    d = d.withColumn("s", F.split("text", _TOKEN, -1))
+    # the spans of a kind are its passing matches, in order
+    texts = []
+    for i, k in enumerate(BASE):
+        of = F.filter("spans", lambda s: s["kind"] == i)
+        hits = F.filter(F.regexp_extract_all("text", F.lit(k.regex), F.lit(0)), k.passes)
+        whole = F.zip_with(of, hits, lambda s, m: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lower(m).alias("text")))
+        texts.append(F.when(F.size(of) > 0, whole).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,text:string>>")))
+    d = d.withColumn("base", F.concat(*texts)).drop("text", "spans")
+    fields = "start:bigint,end:bigint,stop:bigint,left:array<string>,token:string,fits:boolean"
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("left"), F.array().cast(f"array<struct<{fields}>>").alias("out"))
+
+    def last(words):
+        return F.when(F.size(words) > p.context, F.slice(words, -p.context, p.context)).otherwise(words)
 
     def step(a, x):
         piece = F.get("s", a["i"])
         here = a["at"] + F.length(piece)
+        stop = here + F.length(x)
+        left = last(F.concat(a["left"], F.filter(F.split(F.lower(piece), r"[\x20\x09-\x0D]+", -1), lambda w: w != "")))
         bare = F.regexp_replace(x, F.lit(r"[.,;:!?)\]\"']+$"), F.lit(""))
-        one = F.array(F.struct(here.alias("start"), (here + F.length(bare)).alias("end"), F.right(piece, F.lit(120)).alias("left"), bare.alias("token")))
-        fits = F.length(F.regexp_replace(x, F.lit("[^0-9]"), F.lit(""))) >= p.digits
-        return F.struct((a["i"] + 1).alias("i"), (here + F.length(x)).alias("at"), F.when(fits | x.contains("@"), F.concat(a["out"], one)).otherwise(a["out"]).alias("out"))
+        fits = (F.length(F.regexp_replace(x, F.lit("[^0-9]"), F.lit(""))) >= p.digits) | x.contains("@")
+        one = F.array(F.struct(here.alias("start"), (here + F.length(bare)).alias("end"), stop.alias("stop"), left.alias("left"), bare.alias("token"), fits.alias("fits")))
+        begins = F.exists("base", lambda s: (s["start"] >= here) & (s["start"] < stop))
+        return F.struct((a["i"] + 1).alias("i"), stop.alias("at"), last(F.concat(left, F.array(F.lit("#")))).alias("left"), F.when(fits | begins, F.concat(a["out"], one)).otherwise(a["out"]).alias("out"))
+
+    def instances(f):
+        def of_span(s):
+            before = F.substring(f["token"], F.lit(1), (s["start"] - f["start"]).cast("int"))
+            left = F.when(before.rlike(r"[A-Za-z0-9@]|[^\x00-\x7F]"), last(F.concat(f["left"], F.array(_numbered(before))))).otherwise(f["left"])
+            return F.struct(left.alias("left"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("instance"), F.lit(1).alias("seed"))
+
+        seeds = F.transform(F.filter("base", lambda s: (s["start"] >= f["start"]) & (s["start"] < f["stop"])), of_span)
+        touched = F.exists("base", lambda s: (s["start"] < f["end"]) & (s["end"] > f["start"]))
+        own = F.array(F.struct(f["left"].alias("left"), f["start"].alias("start"), f["end"].alias("end"), F.lower(f["token"]).alias("instance"), F.lit(0).alias("seed")))
+        return F.when(f["fits"] & ~touched, F.concat(seeds, own)).otherwise(seeds)
 
     d = d.withColumn("found", F.aggregate("m", start, step, lambda a: a["out"])).drop("m", "s")
-    d = d.select("doc_id", "text_hash", "spans", F.explode_outer("found").alias("f")).filter("f is not null")  # explode() would have its input computed twice, for a filter
-    words = F.filter(F.split(F.lower("f.left"), r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
-    pattern = F.when(F.size(words) >= p.context, F.array_join(F.slice(words, -p.context, p.context), " "))
-    seed = F.exists("spans", lambda s: (s["start"] < F.col("f.end")) & (s["end"] > F.col("f.start")))
-    out = d.select("doc_id", "text_hash", pattern.alias("pattern"), "f.start", "f.end", F.lower("f.token").alias("instance"), seed.cast("int").alias("seed"))
+    d = d.select("doc_id", "text_hash", F.flatten(F.transform("found", instances)).alias("found"))
+    d = d.select("doc_id", "text_hash", F.explode_outer("found").alias("f")).filter("f is not null")  # explode() would have its input computed twice, for a filter
+    pattern = F.when(F.size("f.left") > 0, F.array_join("f.left", " "))
+    out = d.select("doc_id", "text_hash", pattern.alias("pattern"), "f.start", "f.end", "f.instance", "f.seed")
     return out.filter(F.col("pattern").isNotNull() & (F.col("start") < F.col("end")))
 
 
