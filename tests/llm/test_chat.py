@@ -44,3 +44,11 @@ def test_repeats(spark):
     df = spark.createDataFrame([(1, 0, "assistant", call("a"))] * 2, "conv_id long, turn long, role string, text string")
     got = format_chats(df, ChatParams(SCHEMAS)).collect()
     assert sorted((r.kind, r.status) for r in got) == [("call", "duplicate"), ("call", "unanswered"), ("message", "ok"), ("message", "ok")]
+
+
+def test_long_chain_is_not_cyclic(spark):
+    n = 54
+    text = "".join(call(f"c{i}", [f"c{i - 1}"] if i else None) for i in range(n))
+    df = spark.createDataFrame([(1, 0, "assistant", text + call("p", ["q"]) + call("q", ["p"]))], "conv_id long, turn long, role string, text string")
+    got = {r.id: (r.status, r.level) for r in format_chats(df, ChatParams(SCHEMAS)).filter("kind = 'call'").collect()}
+    assert got == {f"c{i}": ("unanswered", 2 * i + 1) for i in range(n)} | {"p": ("cyclic", None), "q": ("cyclic", None)}

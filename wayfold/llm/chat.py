@@ -22,11 +22,10 @@ from wayfold.storage import discard, materialize
 @dataclass(frozen=True)
 class ChatParams:
     """schemas: JSON Schema (type, properties, required, enum, items, additionalProperties) by tool
-    name; max_depth bounds the rounds of the topological order, beyond which calls count as cyclic.
+    name.
     """
 
     schemas: dict = field(default_factory=dict, hash=False)
-    max_depth: int = 50
 
 
 def canonical(value) -> str:
@@ -75,11 +74,15 @@ def items(messages: DataFrame) -> DataFrame:
     return messages.select("conv_id", "turn", "role", F.explode_outer(F.concat(whole, one("call", "tool_call"), one("result", "tool_result"))).alias("i")).select("conv_id", "turn", "role", "i.*")
 
 
-def _levels(calls: DataFrame, deps: DataFrame, p: ChatParams) -> DataFrame:
-    """(conv_id, id, level): 0 without dependencies, else one more than the deepest; none on cycles."""
+def _levels(calls: DataFrame, deps: DataFrame) -> DataFrame:
+    """(conv_id, id, level): 0 without dependencies, else one more than the deepest; none on cycles.
+
+    A round for each level; calls on cycles never become ready, so the rounds end.
+    """
     level = calls.join(deps.select("conv_id", "id").distinct(), ["conv_id", "id"], "left_anti").select("conv_id", "id", F.lit(0).alias("level"))
     level = materialize(level, "levels")
-    for _ in range(p.max_depth):
+    parts = [level]
+    while True:
         ready = (
             deps.join(level.withColumnRenamed("id", "on"), ["conv_id", "on"], "left").groupBy("conv_id", "id")
             .agg(F.max("level").alias("deep"), F.count_if(F.col("level").isNull()).alias("open")).filter("open = 0")
@@ -87,9 +90,12 @@ def _levels(calls: DataFrame, deps: DataFrame, p: ChatParams) -> DataFrame:
         )
         ready = materialize(ready, "levels")
         if ready.isEmpty():
-            break
-        level = level.union(ready)
-    return level
+            return level
+        level, parts = level.union(ready), [*parts, ready]
+        if len(parts) > 8:  # keeps the plan short
+            level = materialize(level, "levels")
+            discard(*parts)
+            parts = [level]
 
 
 def _finish(p: ChatParams):
@@ -156,7 +162,7 @@ def format_chats(messages: DataFrame, p: ChatParams = ChatParams()) -> DataFrame
     if deps.isEmpty():
         levels = calls.select("conv_id", "id", F.lit(0).alias("level"), F.col("call_turn").alias("after"))
     else:
-        levels = _levels(calls, deps, p)
+        levels = _levels(calls, deps)
         turns = materialize(levels.join(calls, ["conv_id", "id"]).select("conv_id", "id", "level", F.col("call_turn").alias("after")), "turns")
         while True:  # a call stands no earlier than what it depends on
             late = deps.join(turns.select("conv_id", F.col("id").alias("on"), F.col("after").alias("dep")), ["conv_id", "on"]).groupBy("conv_id", "id").agg(F.max("dep").alias("dep"))
