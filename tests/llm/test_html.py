@@ -28,3 +28,13 @@ def test_edges(spark):
     got = extract(df).orderBy("page_id").collect()
     assert [r.text for r in got][:4] == ["", "", "just one", "just one"] and got[5].text == "deep text, here" and got[6].text == ""
     assert all(r.n_chars == len(r.text) for r in got) and extract(df.limit(0)).count() == 0
+
+
+def test_junk_names_do_not_take_the_article():
+    body = "".join(f"<p>Sentence {i}, with some words, and a few more words to make it long enough.</p>" for i in range(4))
+    want = [f"Sentence {i}, with some words, and a few more words to make it long enough." for i in range(4)]
+    side = "<div class='sidebar'><p>Side, by side.</p></div>"
+    for wrap in ("<div class='content has-sidebar'>%s</div>", "<div id='page' class='no-comments'>%s</div>", "<section class='reader-content'>%s</section>", "<div class='widget'><article>%s</article></div>"):
+        assert main_text(f"<body>{wrap % body}{side}</body>").split("\n") == want
+    page = f"<article>{body}<p class='notice'>Note this.</p><p>A <span class='social'>social</span> word.</p><div class='share'>Share</div></article>{side}"
+    assert main_text(page).split("\n") == [*want, "Note this.", "A social word."]

@@ -32,6 +32,10 @@ JUNK_NAMES = frozenset(
 )
 JUNK_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Words that negate a junk name after them, as in no-comments and has-sidebar.
+NEGATIONS = frozenset("no not non without has have with hide".split())
+#: Elements whose text is running text.
+PARAGRAPHS = frozenset("p pre blockquote td li dd".split())
 
 
 @dataclass(frozen=True)
@@ -40,7 +44,8 @@ class HtmlParams:
     most_points; the parent gets all of them and each further ancestor half of the one below.
     article is added to semantic containers. A sibling of the best container is kept if its score
     reaches sibling_share of the best, or if it is a paragraph of sibling_chars with links below
-    sibling_links of its text.
+    sibling_links of its text. junk_share is what stays of the points of an element that has a junk
+    name but is not pruned.
     """
 
     base: float = 1.0
@@ -50,6 +55,7 @@ class HtmlParams:
     sibling_share: float = 0.2
     sibling_chars: int = 80
     sibling_links: float = 0.25
+    junk_share: float = 0.5
 
 
 @dataclass(eq=False)
@@ -61,6 +67,7 @@ class Node:
     score: float = 0.0
     chars: int = 0
     link_chars: int = 0
+    named_junk: bool = False
 
 
 def parse(page: str) -> Node:
@@ -112,7 +119,19 @@ def _close(node: Node, tags: tuple, stops: tuple) -> Node:
     return node
 
 
+def _named_junk(value: str) -> bool:
+    """Whether a class or id holds a junk name that no word before it negates."""
+    for name in value.split():
+        for w in _NAME.findall(name):
+            if w.lower() in NEGATIONS:
+                break
+            if w.lower() in JUNK_NAMES:
+                return True
+    return False
+
+
 def _junk(n: Node, in_article: bool) -> bool:
+    """Whether n is never article text; sets n.named_junk by its class and id, which alone do not decide."""
     if n.tag in JUNK_TAGS:
         return True
     if n.tag == "header":
@@ -125,13 +144,45 @@ def _junk(n: Node, in_article: bool) -> bool:
             return True
         if name == "role" and value.lower() in JUNK_ROLES:
             return True
-        if name in ("class", "id") and n.tag not in HEADINGS and any(w.lower() in JUNK_NAMES for w in _NAME.findall(value)):
-            return True
+        if name in ("class", "id") and n.tag not in HEADINGS and _named_junk(value):
+            n.named_junk = True
     return False
 
 
+def _paragraph_chars(root: Node) -> tuple[dict[int, int], dict[int, bool]]:
+    """By element: the characters of its paragraphs, without those of junk tags, and whether it contains article or main."""
+    order, inside = [], {}
+    stack = [(root, False)]
+    while stack:
+        n, text = stack.pop()
+        text = text or n.tag in PARAGRAPHS
+        inside[id(n)] = text
+        order.append(n)
+        stack += [(c, text) for c in n.children if not isinstance(c, str) and c.tag not in JUNK_TAGS]
+    chars, holds = {}, {}
+    for n in reversed(order):
+        chars[id(n)] = sum((len(" ".join(c.split())) if inside[id(n)] else 0) if isinstance(c, str) else chars.get(id(c), 0) for c in n.children)
+        holds[id(n)] = any(not isinstance(c, str) and (c.tag in ("article", "main") or holds.get(id(c), False)) for c in n.children)
+    return chars, holds
+
+
 def prune(n: Node, in_article: bool = False) -> None:
-    """Take out what is never article text; of an article's own header only headings stay."""
+    """Take out what is never article text; of an article's own header only headings stay.
+
+    An element with a junk name goes too, unless it holds most of the page's paragraph text, or an
+    article or main and is not itself in one, or is a paragraph of an article or part of its line.
+    """
+    chars, holds = _paragraph_chars(n)
+    most = chars[id(n)]
+
+    def stays(c: Node, above: Node, inside: bool) -> bool:
+        if 2 * chars.get(id(c), 0) > most or holds.get(id(c), False) and not inside:
+            c.named_junk = False
+            return True
+        if c.tag in ("p", "pre"):
+            return inside
+        return c.tag not in BLOCK and (above.tag in PARAGRAPHS or above.tag not in BLOCK and above.tag != "root" or any(isinstance(x, str) and x.strip() for x in above.children))
+
     stack = [(n, in_article)]
     while stack:
         n, inside = stack.pop()
@@ -141,7 +192,7 @@ def prune(n: Node, in_article: bool = False) -> None:
             if isinstance(c, str):
                 if n.tag != "header":
                     kept.append(c)
-            elif not _junk(c, inside):
+            elif not _junk(c, inside) and (not c.named_junk or stays(c, n, inside)):
                 if n.tag != "header" or c.tag in HEADINGS or c.tag in ("div", "hgroup", "section"):
                     kept.append(c)
                     stack.append((c, inside))
@@ -178,7 +229,7 @@ def measure(root: Node, p: HtmlParams) -> list[Node]:
     for n in order:
         direct = any(isinstance(c, str) and c.strip() for c in n.children)
         if n.chars and (n.tag in ("p", "pre", "td", "blockquote", "li", "dd") or n.tag in ("div", "section", "article", "main", "body") and direct):
-            points = p.base + commas[id(n)] + min(p.most_points, n.chars // p.chars_point)
+            points = (p.base + commas[id(n)] + min(p.most_points, n.chars // p.chars_point)) * (p.junk_share if n.named_junk else 1)
             up = n.parent if n.tag in ("p", "pre", "td", "blockquote", "li", "dd") else n
             while up is not None and points > 0.01:
                 up.score += points
