@@ -25,3 +25,11 @@ def test_stages_take_effect(spark, tmp_path):
     assert kept == [[0, 1, 2, 3, 4, 5, 10, 12, 13], [0, 1, 2, 3, 4, 5, 12, 13], [0, 1, 2, 3, 4, 5, 13], [0, 1, 2, 3, 4, 5, 13], [0, 1, 2, 3, 4, 5, 13]]
     assert docs.filter("not round_trip").count() == 0 and docs.filter("n_tokens <> size(ids)").count() == 0
     assert sorted(map(str, cp.run(spark, str(tmp_path)).collect())) == sorted(map(str, docs.collect()))
+
+
+def test_near_duplicates_without_and_with_repeated_ids(spark):
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
+    rows = [(None, text(0)), (None, text(1)), (5, text(1) + " tail"), (6, text(2)), (6, text(2)), (7, text(3)), (7, text(4)), (None, text(5)), (None, text(5))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.text) for r in cp.near_duplicates(spark, df, "").collect())
+    assert got == sorted([("None", text(0)), ("5", text(1) + " tail"), ("6", text(2)), ("7", text(3)), ("7", text(4)), ("None", text(5))])
