@@ -1,5 +1,6 @@
 import random
 
+from wayfold.llm.near_dup import prefixes
 from wayfold.llm.passages import remove_passages, repeated_passages
 
 
@@ -51,3 +52,11 @@ def test_near_paragraphs_and_edges(spark):
     assert sorted((x.doc_id, x.start_word, x.end_word, x.kept) for x in got if x.kind == "paragraph") == [(1, 2, 122, True), (2, 0, 120, False)]
     assert repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert remove_passages("a b  c\nd", [(1, 3)]) == "a\nd" and remove_passages(None, [(0, 1)]) is None
+
+
+def test_repeated_sets_have_the_same_prefixes(spark):
+    sets = [((i, 0), list(range(i, i + 20))) for i in range(4)]
+    df = spark.createDataFrame(sets, "id struct<doc:bigint,line:bigint>, items array<long>")
+    again = df.union(df.filter("id.doc < 2"))
+    once, twice = (sorted(map(str, prefixes(x, 85).collect())) for x in (df, again))
+    assert once == twice and once

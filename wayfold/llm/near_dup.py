@@ -145,8 +145,9 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     Two sets that reach the similarity share one of the n - ceil(percent n / 100) + 1 rarest items of
     the larger and one of the n - ceil(2 percent n / (100 + percent)) + 1 rarest (short) of the
     smaller, in any order that holds for all sets; this one is by frequency among the given sets.
+    A set that is given again counts once.
     """
-    rows = sets.select("id", F.size("items").cast("long").alias("n"), F.explode("items").alias("item"))
+    rows = sets.select("id", F.size("items").cast("long").alias("n"), F.explode("items").alias("item")).distinct()
     often = rows.groupBy("item").agg(F.count("*").alias("df")).filter("df > 1")
     placed = rows.join(often, "item", "left").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "item"))).alias("x"))
     n = F.col("n")

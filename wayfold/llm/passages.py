@@ -163,7 +163,7 @@ def written_paragraphs(docs: DataFrame, p: PassageParams) -> DataFrame:
 
     def sets_for(ids):
         texts = texts_of(docs, ids.select(F.col("id.doc").alias("id")).distinct(), p.near.broadcast_rows)
-        return texts.mapInArrow(_line_batches(p, False), f"id {_ID}, items array<long>").join(ids, "id", "left_semi")
+        return texts.dropDuplicates(["doc_id", "text"]).mapInArrow(_line_batches(p, False), f"id {_ID}, items array<long>").join(ids, "id", "left_semi")
 
     labels = link_classes(classes.select(F.explode("bands").alias("bucket"), "id", "n"), sets_for, p.near)
     of_class = classes.join(labels, "id", "left").select("set_key", "hi", F.coalesce("component", "id").alias("root"))
