@@ -9,30 +9,41 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a temporary folder only where it is unset (tests)."""
+    """The cluster's spark.checkpoint.dir. Where it is unset, a temporary folder in local mode (tests); else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        known = spark.sparkContext.getCheckpointDir()
-        folder = known or tempfile.mkdtemp(prefix="wayfold-")
-        if not known:
-            spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="wayfold-")
+        spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def _path(table: DataFrame):
+    spark = table.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(table._wayfold_path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back; its plan is then one scan."""
+    """Write df as Parquet to the shared folder and read it back; its plan is then one scan.
+
+    The folder is deleted by discard(), or when the driver's JVM ends.
+    """
     path = f"{shared_dir(df.sparkSession)}/wayfold-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._wayfold_path = path
+    target, files = _path(out)
+    files.deleteOnExit(target)
     return out
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete tables of materialize() that no later plan reads."""
     for t in tables:
-        path = getattr(t, "_wayfold_path", None)
-        if path:
-            spark = t.sparkSession
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        if getattr(t, "_wayfold_path", None):
+            target, files = _path(t)
+            files.delete(target, True)
