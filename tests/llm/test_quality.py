@@ -1,4 +1,6 @@
-from wayfold.llm.quality import QualityParams, clean, common_lines, quality, quality_digest
+import time
+
+from wayfold.llm.quality import QualityParams, base_rules, clean, common_lines, quality, quality_digest, rated_rows
 
 P = QualityParams(least_docs=2, min_words=4)
 
@@ -23,7 +25,7 @@ def test_common_lines_per_host(spark):
     rows += [(20 + i, "same copy of one text\nwith a second line", "h1", "", 0) for i in range(6)]
     rows += [(30, "read more here\nread more here\nread more here\nx y", "h1", "", 0), (31, "read more here", None, "", 0)]
     df = docs(spark, rows)
-    assert [(r.host, r.line) for r in common_lines(df, P).collect()] == [("h1", common_lines(df, P).first().line)]
+    assert [r.host for r in common_lines(rated_rows(df, P, keep=False), P).collect()] == ["h1"]
     got = {r.doc_id: r for r in quality(df, P).collect()}
     assert got[0].n_common_words == 3 and got[0].kept and got[10].n_common_words == 0 and got[20].kept
     assert got[30].n_common_words == 9 and not got[30].kept
@@ -45,3 +47,27 @@ def test_distinct_documents_that_share_other_lines(spark):
     df = docs(spark, rows)
     got = {r.doc_id: (r.n_common_words, r.kept) for r in quality(df, QualityParams(min_words=4)).collect()}
     assert all(got[i] == (240, False) for i in range(40)) and all(got[100 + i] == (0, True) for i in range(40))
+
+
+def test_header_and_footer_of_a_site(spark):
+    # two lines that all documents share do not hide each other
+    rows = [(i, f"the header line of the site\nown words of document number {i} and {i * 7}\nthe footer line", "h", "", 0) for i in range(1000)]
+    df = docs(spark, rows)
+    assert common_lines(rated_rows(df, QualityParams(), keep=False)).count() == 2
+    got = clean(df, QualityParams(min_words=4)).collect()
+    assert len(got) == 1000 and all(r.text == f"own words of document number {r.doc_id} and {r.doc_id * 7}" for r in got)
+
+
+def test_a_filter_on_a_long_text_ends(spark):
+    long = " ".join(f"w{i % 900} v{i}" for i in range(10_000))
+    df = docs(spark, [(1, long, "s", "", 0), (2, long + " " + long, "s", "", 0), (3, " ".join(f"u{i}" for i in range(60)), "s", "", 0)])
+    began = time.time()
+    assert sorted(r.doc_id for r in base_rules(df).filter("not base_failed").collect()) == [1, 3]
+    assert sorted(r.doc_id for r in clean(df).collect()) == [1, 3]
+    assert time.time() - began < 60
+
+
+def test_extra_columns_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b c d e", "s", 1, 2, 3, 4)], "doc_id long, text string, source string, _row int, host int, lines int, copy int")
+    assert clean(df, P).collect() == df.collect()
+    assert set(df.columns) < set(quality(df, P).columns)

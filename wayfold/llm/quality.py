@@ -1,12 +1,19 @@
-"""Operator 1: quality rules and cross-document line frequency, in built-in functions only."""
+"""Operator 1: quality rules and cross-document line frequency, in built-in functions only.
+
+The texts are read once: a written table holds, for each row, the base rules' figures and its lines
+as (hash of the normalised line, words). Lines are counted, compared and joined by their hashes.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.storage import materialize
+
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -25,126 +32,151 @@ class QualityParams:
     repeat_percent: int = 50
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once.
+
+    A lambda must not name a column that is itself an expression: when a filter or a projection is
+    merged with the one below, the expression takes the column's place and is computed for each
+    element. A lambda's own variable cannot be replaced so.
+    """
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _words(text: Column) -> Column:
     return F.filter(F.split(text, _SPACE, -1), lambda w: w != "")
 
 
-def _word_count(line: Column) -> Column:
-    """Words of a short text, without an array of them."""
-    return F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+def _normal(text: Column) -> Column:
+    """Lower case, runs of white space within a line as one space; lines keep one space at their ends."""
+    spaced = F.regexp_replace(F.lower(text), F.lit(r"[\x09\x0B-\x0D]"), F.lit(" "))
+    return F.regexp_replace(spaced, F.lit(r"\x20{2,}"), F.lit(" "))
 
 
-def normal_line(line: Column) -> Column:
-    """A-Z lower-cased, white space collapsed and trimmed."""
-    low = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.regexp_replace(F.regexp_replace(low, F.lit(_SPACE), F.lit(" ")), F.lit("^ | $"), F.lit(""))
+def line_key(line: Column) -> Column:
+    """64 bits of the normalised line's hash; null for a line without a word."""
+    return bound(F.trim(_normal(line)), lambda x: F.when(x != "", F.xxhash64(x)))
 
 
-def line_key(line: Column) -> Column:
-    """64 bits of the normalised line's hash, as 16 hex digits; null for a line without a word."""
-    normal = normal_line(line)
-    return F.when(normal != "", F.substring(F.md5(normal.cast("binary")), 1, 16))
+def line_keys(text: Column) -> Column:
+    """array<struct<line, words>> of the lines with a word, in order."""
+    lines = F.transform(F.split(_normal(text), "\n", -1), F.trim)
+    words = lambda x: (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("long")
+    return F.transform(F.filter(lines, lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("line"), words(x).alias("words")))
+
+
+def _covered(w: Column) -> Column:
+    """How many of the words lie in a three-word window that is found twice or more."""
+    windows = F.when(F.size(w) >= 3, F.transform(F.slice(w, F.lit(1), F.size(w) - 2), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))))
+
+    def of_places(at):
+        # each repeated window covers three words, less what the next one covers again
+        gaps = F.transform(at, lambda x, j: F.least(F.lit(3), F.coalesce(F.get(at, j + 1) - x, F.lit(3))))
+        return F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    def of_sorted(p):
+        same = lambda x, j: F.coalesce(x["g"] == F.get(p, j)["g"], F.lit(False))
+        return bound(F.sort_array(F.array_compact(F.transform(p, lambda x, i: F.when(same(x, i - 1) | same(x, i + 1), x["i"])))), of_places)
+
+    def of_windows(g):
+        placed = F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("g"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(g)) < F.size(g), bound(placed, of_sorted)).otherwise(F.lit(0).cast("long"))
+
+    return F.coalesce(bound(windows, of_windows), F.lit(0).cast("long"))
+
+
+def _figures(text: Column) -> Column:
+    """One struct with the contract's counts of a text; every array in it is computed once."""
+    of_words = bound(_words(text), lambda w: F.struct(
+        F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), _covered(w).alias("n_repeat_words")))
+    some = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    copies = bound(some, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
+    symbols = F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long")
+    return F.struct(of_words.alias("w"), symbols.alias("n_symbols"), copies.alias("n_dup_lines"))
 
 
 def base_rules(docs: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed added."""
-    text = F.coalesce("text", F.lit(""))
-    d = docs.withColumn("_t", text).withColumn("_w", _words(F.col("_t")))
-    d = d.withColumn("n_words", F.size("_w").cast("long"))
-    d = d.withColumn("_g", F.when(F.col("n_words") >= 3, F.transform(
-        F.slice("_w", 1, F.col("n_words").cast("int") - 2),
-        lambda w, i: F.xxhash64(w, F.get(F.col("_w"), i + 1), F.get(F.col("_w"), i + 2)))))
-    d = d.withColumn("_some", F.size(F.array_distinct("_g")) < F.size("_g")).drop("_w")
-    placed = F.sort_array(F.transform("_g", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
-    d = d.withColumn("_p", F.when(F.col("_some"), placed)).drop("_g")
-    near = lambda i, by: F.get(F.col("_p"), i + by)["g"]
-    again = F.transform("_p", lambda x, i: F.when(F.coalesce(x["g"] == near(i, -1), F.lit(False)) | F.coalesce(x["g"] == near(i, 1), F.lit(False)), x["i"]))
-    d = d.withColumn("_i", F.sort_array(F.array_compact(again))).drop("_p")
-    # each repeated window covers three words, less what the next one covers again
-    gap = F.transform("_i", lambda x, j: F.least(F.lit(3), F.coalesce(F.get(F.col("_i"), j + 1) - x, F.lit(3))))
-    covered = F.aggregate(gap, F.lit(0).cast("long"), lambda a, x: a + x)
-    lines = F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    d = d.withColumn("_l", lines)
-    d = d.withColumns({
-        "word_chars": F.length(F.translate("_t", " \t\n\x0b\f\r", "")).cast("long"),
-        "n_symbols": (F.length("_t") - F.length(F.translate("_t", "#*$%&|<>", ""))).cast("long"),
-        "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-        "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
-    }).drop("_l", "_i", "_some", "_t")
-    bad = (F.col("n_words") < p.min_words) | (F.lit(100) * F.col("n_repeat_words") > F.lit(p.repeat_percent) * F.col("n_words"))
-    return d.withColumn("base_failed", bad)
-
-
-def document_lines(docs: DataFrame, p: QualityParams) -> DataFrame:
-    """(doc_id, host, line, words, copy): a row for each line with a word.
-
-    copy is the hash of the whole text: exact copies count as one document, so that they do not
-    make their lines common; all other documents count each.
+    d = docs.withColumn("_f", bound(F.coalesce("text", F.lit("")), _figures))
+    n, again = F.col("_f.w.n_words"), F.col("_f.w.n_repeat_words")
+    bad = (n < p.min_words) | (F.lit(100) * again > F.lit(p.repeat_percent) * n)
+    return d.withColumns({
+        "n_words": n, "word_chars": F.col("_f.w.word_chars"), "n_symbols": F.col("_f.n_symbols"),
+        "n_dup_lines": F.col("_f.n_dup_lines"), "n_repeat_words": again, "base_failed": bad,
+    }).drop("_f")
+
+
+def rated_rows(docs: DataFrame, p: QualityParams, keep: bool) -> DataFrame:
+    """A written table of docs: _row (a key of the row), doc (its columns, or doc_id alone unless keep),
+    host, copy (hash of the whole text), lines and the columns of base_rules()."""
+    doc = F.struct("*") if keep else F.struct("doc_id")
+    d = docs.select(F.monotonically_increasing_id().alias("_row"), doc.alias("doc"), F.coalesce(F.col(p.host).cast("string"), F.lit("")).alias("host"), "text")
+    d = d.withColumns({"copy": F.xxhash64(F.coalesce("text", F.lit(""))), "lines": line_keys(F.coalesce("text", F.lit("")))})
+    return materialize(base_rules(d, p).drop("text"), "rated")
+
+
+def _exploded(rated: DataFrame) -> DataFrame:
+    # explode() would add a filter on the array's size
+    return rated.select("_row", "host", "copy", F.explode_outer("lines").alias("l")).filter("l is not null").select("_row", "host", "copy", "l.line", "l.words")
+
+
+def common_lines(rated: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
+    """(host, line), written: lines of rated_rows() above their host's limit.
+
+    Distinct documents of a line are its distinct (host, line, copy): exact copies of a text are one
+    document, all others count each. Both counts are pre-aggregated, so no host's rows meet in one task.
     """
-    keyed = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.struct(line_key(x).alias("line"), _word_count(x).alias("words")))
-    d = docs.select("doc_id", F.coalesce(F.col(p.host).cast("string"), F.lit("")).alias("host"), F.xxhash64("text").alias("copy"), F.filter(keyed, lambda x: x["line"].isNotNull()).alias("l"))
-    # explode() would have its input computed twice, for a filter on its size
-    d = d.select("doc_id", "host", "copy", F.explode_outer("l").alias("l")).filter("l is not null")
-    return d.select("doc_id", "host", "l.line", "l.words", "copy")
+    hosts = rated.groupBy("host").agg(F.count("*").alias("docs"))
+    held = _exploded(rated).select("host", "line", "copy").distinct().groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > p.least_docs)
+    out = held.join(hosts, "host").filter(F.lit(100) * F.col("n") > F.lit(p.host_percent) * F.col("docs"))
+    return materialize(out.select("host", "line"), "common")
 
 
-def common_lines(docs: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
-    """(host, line): lines above the host's limit. Counts are pre-aggregated by copy before hosts meet."""
-    hosts = docs.groupBy(F.coalesce(F.col(p.host).cast("string"), F.lit("")).alias("host")).agg(F.count("*").alias("docs"))
-    held = document_lines(docs, p).select("host", "line", "copy").distinct().groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > p.least_docs)
-    return held.join(hosts, "host").filter(F.lit(100) * F.col("n") > F.lit(p.host_percent) * F.col("docs")).select("host", "line")
+def judged(rated: DataFrame, p: QualityParams) -> DataFrame:
+    """rated with n_common_words, common (line hashes, null without any) and kept added."""
+    hit = _exploded(rated).join(common_lines(rated, p), ["host", "line"])
+    gone = materialize(hit.groupBy("_row").agg(F.sum("words").alias("n_common_words"), F.collect_set("line").alias("common")), "gone")
+    out = rated.join(gone, "_row", "left").withColumn("n_common_words", F.coalesce("n_common_words", F.lit(0)).cast("long"))
+    depleted = F.lit(100) * F.col("n_common_words") > F.lit(p.depleted_percent) * F.col("n_words")
+    return out.withColumn("kept", ~F.col("base_failed") & ~depleted)
 
 
-def removed_words(docs: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
-    """(doc_id, n_common_words, common): for documents with common lines, their words and keys."""
-    hit = document_lines(docs, p).join(common_lines(docs, p), ["host", "line"])
-    lines = hit.groupBy("doc_id", "line").agg(F.sum("words").alias("words"))
-    return lines.groupBy("doc_id").agg(F.sum("words").alias("n_common_words"), F.collect_set("line").alias("common"))
+_BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
 
 def quality(docs: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
     """docs with base_rules() and n_common_words, common, kept added.
 
     kept is false if the base rules fail or the document is depleted. Null and empty texts have no
-    words and fail; a null host is a host of its own; rows that repeat a doc_id share its common
-    words, which count once for each row's text; columns of docs with the added names are replaced.
+    words and fail; a null host is a host of its own; repeated rows are judged one by one, and rows
+    that share a doc_id by their own texts; columns of docs with the added names are replaced.
     """
-    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_common_words", "common", "kept"]
-    docs = docs.drop(*added)
-    gone = removed_words(docs, p).withColumnRenamed("doc_id", "_id")
-    rated = base_rules(docs, p).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
-    rated = rated.withColumn("n_common_words", F.coalesce("n_common_words", F.lit(0)).cast("long"))
-    depleted = F.lit(100) * F.col("n_common_words") > F.lit(p.depleted_percent) * F.col("n_words")
-    return rated.withColumn("kept", ~F.col("base_failed") & ~depleted)
+    added = [*_BASE, "n_common_words", "common", "kept"]
+    out = judged(rated_rows(docs, p, keep=True), p)
+    return out.select(*[F.col("doc")[c].alias(c) for c in docs.columns if c not in added], *added)
 
 
 def quality_digest(docs: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
-    """The contract's columns and n_common_words; texts do not take part in the joins."""
-    gone = removed_words(docs, p).select(F.col("doc_id").alias("_id"), "n_common_words")
-    rated = base_rules(docs.select("doc_id", "text"), p).drop("text")
-    rated = rated.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
-    rated = rated.withColumn("n_common_words", F.coalesce("n_common_words", F.lit(0)).cast("long"))
-    depleted = F.lit(100) * F.col("n_common_words") > F.lit(p.depleted_percent) * F.col("n_words")
-    return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~depleted).alias("kept"), "n_common_words")
+    """The contract's columns and n_common_words; texts are not written and take part in no join."""
+    out = judged(rated_rows(docs.select("doc_id", "text", p.host), p, keep=False), p)
+    return out.select("doc.doc_id", *_BASE, "kept", "n_common_words")
 
 
 def clean(docs: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
     """The kept documents, without their common lines; columns as in docs, n_chars anew if present."""
-    rated = quality(docs, p).filter("kept")
-    stay = F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains(F.col("common"), F.coalesce(line_key(x), F.lit(""))))
-    out = rated.withColumn("text", F.when(F.col("common").isNotNull(), F.array_join(stay, "\n")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    out = judged(rated_rows(docs, p, keep=True), p).filter("kept")
+    stays = lambda common: lambda x: ~F.coalesce(F.array_contains(common, line_key(x)), F.lit(False))
+    rest = F.array_join(F.filter(F.split("doc.text", "\n", -1), stays(F.col("common"))), "\n")
+    text = F.when(F.col("common").isNotNull(), rest).otherwise(F.col("doc.text"))
+    named = {c: F.col("doc")[c] for c in docs.columns} | {"text": text}
+    out = out.select(*[c.alias(n) for n, c in named.items()])
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 ORACLE_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, t FROM d),
-lo AS (SELECT doc_id, host, trim(regexp_replace(translate(unnest(string_split(t, chr(10))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS n FROM d),
-l AS (SELECT doc_id, host, md5(n)[1:16] AS line, len(string_split(n, ' ')) AS words FROM lo WHERE n <> ''),
-least2 AS (SELECT doc_id, list_sort(list_distinct(list(line))) AS ls FROM l GROUP BY 1),
-lc AS (SELECT l.doc_id, host, line, words, CASE WHEN line = ls[1] THEN coalesce(ls[2], ls[1]) ELSE ls[1] END AS cp FROM l JOIN least2 USING (doc_id)),
+lo AS (SELECT doc_id, host, md5(t) AS cp, trim(regexp_replace(lower(unnest(string_split(t, chr(10)))), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS line FROM d),
+lc AS (SELECT doc_id, host, cp, line, len(string_split(line, ' ')) AS words FROM lo WHERE line <> ''),
 hosts AS (SELECT host, count(*) AS docs FROM d GROUP BY 1),
 common AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT cp) AS n FROM lc GROUP BY 1, 2) JOIN hosts USING (host) WHERE n > 20 AND 100 * n > 2 * docs),
 gone AS (SELECT doc_id, sum(words) AS n FROM lc JOIN common USING (host, line) GROUP BY 1),
