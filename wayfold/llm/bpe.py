@@ -2,8 +2,8 @@
 
 A partition's distinct words become token-position rows. A recursive query joins neighbouring
 tokens with the merge table and contracts each word's leftmost pair of least rank, until no pair
-is left; an ordered aggregation turns ids back into bytes. Only words that a worker has not met
-yet are encoded, and its memory of words is bounded.
+is left; an ordered aggregation turns the ids back into bytes. Only words that a worker has not met
+yet are encoded and decoded, and its memory of words is bounded; texts are put together from words.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import hashlib
 from dataclasses import dataclass
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +33,8 @@ class BpeParams:
     ranks: str
     pattern: str
     words_kept: int = 400_000
-    chunk: int = 20_000
-    slice_bytes: int = 2 << 20
+    chunk: int = 80_000
+    slice_bytes: int = 4 << 20
     long_word: int = 64
 
 
@@ -43,26 +44,26 @@ def default_params() -> BpeParams:
     return BpeParams(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-#: k packs rank, position and byte length of the left token, so its minimum is the leftmost least pair.
+#: A round unnests each word to its pairs by position, joins them with the merge table and contracts
+#: the leftmost pair of least rank; k packs rank and position, so its minimum is that pair.
 _ENCODE = """
-WITH RECURSIVE t(w, pos, id, nid, done) AS (
-  SELECT w, pos, id, lead(id) OVER (PARTITION BY w ORDER BY pos), false FROM start
+WITH RECURSIVE t(w, ids, live) AS (
+  SELECT w, ids, true FROM start
   UNION ALL
-  SELECT w, pos, id, lead(id) OVER (PARTITION BY w ORDER BY pos), k IS NULL FROM (
-    SELECT t.w, pos, CASE WHEN pos = ((k >> 12) & 1048575) THEN (k >> 32)::INTEGER ELSE id END AS id, k
-    FROM t JOIN (
-      SELECT w, min((g.m::BIGINT << 32) | (pos << 12) | g.n) AS k
-      FROM t LEFT JOIN merges g ON g.l = t.id AND g.r = t.nid WHERE NOT done GROUP BY w
-    ) b ON t.w = b.w
-    WHERE NOT done AND (k IS NULL OR pos <> ((k >> 12) & 1048575) + (k & 4095))))
-SELECT w, list(id ORDER BY pos) FROM t WHERE done GROUP BY w
+  SELECT t.w, CASE WHEN k IS NULL THEN ids ELSE ids[:(k & 4294967295) - 1] || [(k >> 32)::INTEGER] || ids[(k & 4294967295) + 2:] END, k IS NOT NULL
+  FROM t LEFT JOIN (
+    SELECT w, min((g.m::BIGINT << 32) | u.pos) AS k FROM (
+      SELECT w, (unnest(ids)::BIGINT << 32) | unnest(ids[2:]) AS lr, generate_subscripts(ids, 1) AS pos FROM t WHERE live
+    ) u JOIN pairs g USING (lr) GROUP BY w) b ON b.w = t.w
+  WHERE live)
+SELECT w, ids, array_to_string(ids, ' ') AS joined FROM t WHERE NOT live
 """
 
-#: As above, but a pair whose merge cannot give rise to a lower rank is contracted at all its places
-#: at once, from the left without overlap; `single` marks the other pairs.
+#: The same with a row for each token, and a pair whose merge cannot give rise to a lower rank is
+#: contracted at all its places at once, from the left without overlap; `single` marks the other pairs.
 _ENCODE_LONG = """
 WITH RECURSIVE t(w, pos, id, done) AS (
-  SELECT w, pos, id, false FROM start
+  SELECT w, pos, id, false FROM (SELECT w, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM start)
   UNION ALL
   SELECT w, pos, CASE WHEN hit THEN best ELSE id END, best IS NULL FROM (
     SELECT *, coalesce(lag(hit) OVER (PARTITION BY w ORDER BY pos), false) AS eaten FROM (
@@ -74,7 +75,7 @@ WITH RECURSIVE t(w, pos, id, done) AS (
             SELECT w, pos, id, lead(id) OVER o AS nid, row_number() OVER o AS i
             FROM t WHERE NOT done WINDOW o AS (PARTITION BY w ORDER BY pos)
           ) q LEFT JOIN merges g ON g.l = q.id AND g.r = q.nid)))) WHERE NOT eaten)
-SELECT w, list(id ORDER BY pos) FROM t WHERE done GROUP BY w
+SELECT w, ids, array_to_string(ids, ' ') AS joined FROM (SELECT w, list(id ORDER BY pos) AS ids FROM t WHERE done GROUP BY w)
 """
 
 #: Tokens are held as Latin-1 text, a character for each byte.
@@ -95,8 +96,10 @@ class Codec:
         self.p = p
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines()) if a}
         self.split = regex.compile(p.pattern).findall
-        self.byte = [self.ranks.get(bytes([b])) for b in range(256)]
-        self.known: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
+        self.ids: dict[str, list[int]] = {}
+        self.joined: dict[str, str] = {}
+        self.decoded: dict[str, bytes] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
         tokens = pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "tok": [t.decode("latin-1") for t in self.ranks], "n": pa.array([len(t) for t in self.ranks], pa.int32())})
         self.db.register("given", tokens)
@@ -109,52 +112,51 @@ class Codec:
         self.db.execute("""
             CREATE TABLE merges AS SELECT *, m IN (
               SELECT l FROM parts WHERE m < l UNION ALL SELECT r FROM parts WHERE m < r) AS single FROM parts""")
+        self.db.execute("CREATE TABLE pairs AS SELECT (l::BIGINT << 32) | r AS lr, m FROM merges")
 
-    def _contract(self, words: list[bytes], query: str) -> list[tuple[int, list[int]]]:
-        w, pos, ids = [], [], []
-        for i, x in enumerate(words):
-            w += [i] * len(x)
-            pos += range(len(x))
-            ids += [self.byte[b] for b in x]
-        start = pa.table({"w": pa.array(w, pa.int32()), "pos": pa.array(pos, pa.int32()), "id": pa.array(ids, pa.int32())})
-        self.db.register("start", start)
-        return self.db.execute(query).fetchall()
+    def _contract(self, words: list[bytes], query: str) -> pa.Table:
+        """(w, ids, joined) of the words by number: their ids, and these in decimal joined by a space."""
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        at = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(at), pa.array(self.byte[np.frombuffer(b"".join(words), dtype=np.uint8)]))
+        self.db.register("start", pa.table({"w": pa.array(np.arange(len(words), dtype=np.int32)), "ids": ids}))
+        return self.db.sql(query).to_arrow_table()
 
     def learn(self, words: set[str]) -> None:
-        new = [x for x in words if x not in self.known]
-        if len(self.known) + len(new) > self.p.words_kept:
-            self.known.clear()
+        """Encode and decode the words that are not known yet."""
+        new = [x for x in words if x not in self.ids]
+        if len(self.ids) + len(new) > self.p.words_kept:
+            for known in (self.ids, self.joined, self.decoded):
+                known.clear()
             new = list(words)
-        short, long = [], []
-        for x in new:
-            b = x.encode()
-            whole = self.ranks.get(b)
-            if whole is not None:
-                self.known[x] = ((whole,), str(whole))
-            else:
-                (long if len(b) > self.p.long_word else short).append((x, b))
-        for group, query, size in ((short, _ENCODE, self.p.chunk), (long, _ENCODE_LONG, 1000)):
+        coded = [x.encode() for x in new]
+        long = [len(b) > self.p.long_word for b in coded]
+        for kind, query, size in ((False, _ENCODE, self.p.chunk), (True, _ENCODE_LONG, 1000)):
+            group = [(x, b) for x, b, k in zip(new, coded, long, strict=True) if k is kind]
             for at in range(0, len(group), size):
                 part = group[at : at + size]
-                for i, ids in self._contract([b for _, b in part], query):
-                    self.known[part[i][0]] = (tuple(ids), " ".join(map(str, ids)))
-
-    def encode(self, texts: list[str | None]) -> tuple[list[list[int]], list[str]]:
-        """The ids of each text, and the ids in decimal joined by a space."""
-        pieces = [self.split(t or "") for t in texts]
-        self.learn(set(chain.from_iterable(pieces)))
-        get, ids, joined = self.known.__getitem__, [], []
-        for p in pieces:
-            found = list(map(get, p))
-            ids.append(list(chain.from_iterable(x[0] for x in found)))
-            joined.append(" ".join([x[1] for x in found]))
-        return ids, joined
-
-    def decode(self, ids: list[list[int]]) -> list[bytes]:
-        coded = pa.table({"seq": pa.array(range(len(ids)), pa.int32()), "ids": pa.array(ids, pa.list_(pa.int32()))})
-        self.db.register("coded", coded)
+                got = self._contract([b for _, b in part], query)
+                names = [part[i][0] for i in got.column("w").to_pylist()]
+                lists = got.column("ids").combine_chunks()
+                self.ids.update(zip(names, lists.to_pylist(), strict=True))
+                self.joined.update(zip(names, got.column("joined").to_pylist(), strict=True))
+                self.decoded.update(zip(names, self.decode(lists), strict=True))
+
+    def pieces(self, texts: list[str | None]) -> list[list[str]]:
+        """The pattern's matches of each text, all of them known afterwards."""
+        out = [self.split(t or "") for t in texts]
+        self.learn(set(chain.from_iterable(out)))
+        return out
+
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        return [list(chain.from_iterable(map(self.ids.__getitem__, p))) for p in self.pieces(texts)]
+
+    def decode(self, ids: pa.ListArray) -> list[bytes]:
+        """The bytes behind each list of ids; the bytes of a text are those of its words in order."""
+        self.db.register("coded", pa.table({"seq": pa.array(np.arange(len(ids), dtype=np.int32)), "ids": ids}))
         out = [b""] * len(ids)
-        for i, text in self.db.execute(_DECODE).fetchall():
+        got = self.db.sql(_DECODE).to_arrow_table()
+        for i, text in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
             out[i] = text.encode("latin-1")
         return out
 
@@ -184,7 +186,7 @@ def encode(docs: DataFrame, p: BpeParams) -> DataFrame:
 
     def run(batches):
         for b in slices(batches, "text", p.slice_bytes):
-            ids, _ = _codec(lines, p).encode(b.column("text").to_pylist())
+            ids = _codec(lines, p).encode(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*b.schema.names, "ids"])
 
     return docs.mapInArrow(run, docs.withColumn("ids", F.lit(None).cast("array<int>")).schema)
@@ -201,7 +203,7 @@ def decode(coded: DataFrame, p: BpeParams) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                out = _codec(lines, p).decode([x or [] for x in part.column("ids").to_pylist()])
+                out = _codec(lines, p).decode(part.column("ids").cast(pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[*part.schema.names, "decoded"])
 
     return coded.mapInArrow(run, coded.withColumn("decoded", F.lit(None).cast("binary")).schema)
@@ -214,8 +216,9 @@ def encode_decode(docs: DataFrame, p: BpeParams) -> DataFrame:
     def run(batches):
         for b in slices(batches, "text", p.slice_bytes):
             codec, texts = _codec(lines, p), b.column("text").to_pylist()
-            ids, _ = codec.encode(texts)
-            same = [x == (t or "").encode() for x, t in zip(codec.decode(ids), texts, strict=True)]
+            pieces = codec.pieces(texts)
+            ids = [list(chain.from_iterable(map(codec.ids.__getitem__, x))) for x in pieces]
+            same = [b"".join(map(codec.decoded.__getitem__, x)) == (t or "").encode() for x, t in zip(pieces, texts, strict=True)]
             keep = [n for n in b.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), pa.array(ids, pa.list_(pa.int32())), pa.array(same)], names=[*keep, "ids", "round_trip"])
 
@@ -231,10 +234,11 @@ def round_trip_digest(docs: DataFrame, p: BpeParams) -> DataFrame:
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for b in slices(batches, "text", p.slice_bytes):
             codec = _codec(lines, p)
-            ids, joined = codec.encode(b.column("text").to_pylist())
-            back = codec.decode(ids)
+            pieces = codec.pieces(b.column("text").to_pylist())
+            joined = [" ".join(map(codec.joined.__getitem__, x)) for x in pieces]
+            back = [b"".join(map(codec.decoded.__getitem__, x)) for x in pieces]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([sha(x.encode()) for x in joined]), pa.array([sha(x) for x in back])],
+                [b.column("doc_id"), pa.array([x.count(" ") + 1 if x else 0 for x in joined], pa.int64()), pa.array([sha(x.encode()) for x in joined], pa.string()), pa.array([sha(x) for x in back], pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
