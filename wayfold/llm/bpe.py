@@ -32,8 +32,8 @@ class BpeParams:
 
     ranks: str
     pattern: str
-    words_kept: int = 400_000
-    chunk: int = 80_000
+    words_kept: int = 250_000
+    chunk: int = 40_000
     slice_bytes: int = 4 << 20
     long_word: int = 64
 
@@ -97,10 +97,9 @@ class Codec:
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines()) if a}
         self.split = regex.compile(p.pattern).findall
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.ids: dict[str, list[int]] = {}
         self.joined: dict[str, str] = {}
         self.decoded: dict[str, bytes] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         tokens = pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "tok": [t.decode("latin-1") for t in self.ranks], "n": pa.array([len(t) for t in self.ranks], pa.int32())})
         self.db.register("given", tokens)
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
@@ -124,10 +123,10 @@ class Codec:
 
     def learn(self, words: set[str]) -> None:
         """Encode and decode the words that are not known yet."""
-        new = [x for x in words if x not in self.ids]
-        if len(self.ids) + len(new) > self.p.words_kept:
-            for known in (self.ids, self.joined, self.decoded):
-                known.clear()
+        new = [x for x in words if x not in self.joined]
+        if len(self.joined) + len(new) > self.p.words_kept:
+            self.joined.clear()
+            self.decoded.clear()
             new = list(words)
         coded = [x.encode() for x in new]
         long = [len(b) > self.p.long_word for b in coded]
@@ -137,10 +136,8 @@ class Codec:
                 part = group[at : at + size]
                 got = self._contract([b for _, b in part], query)
                 names = [part[i][0] for i in got.column("w").to_pylist()]
-                lists = got.column("ids").combine_chunks()
-                self.ids.update(zip(names, lists.to_pylist(), strict=True))
                 self.joined.update(zip(names, got.column("joined").to_pylist(), strict=True))
-                self.decoded.update(zip(names, self.decode(lists), strict=True))
+                self.decoded.update(zip(names, self.decode(got.column("ids").combine_chunks()), strict=True))
 
     def pieces(self, texts: list[str | None]) -> list[list[str]]:
         """The pattern's matches of each text, all of them known afterwards."""
@@ -148,8 +145,12 @@ class Codec:
         self.learn(set(chain.from_iterable(out)))
         return out
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        return [list(chain.from_iterable(map(self.ids.__getitem__, p))) for p in self.pieces(texts)]
+    def written(self, pieces: list[str]) -> str:
+        """The ids of a text in decimal, joined by a space."""
+        return " ".join(map(self.joined.__getitem__, pieces))
+
+    def encode(self, pieces: list[str]) -> np.ndarray:
+        return np.array(self.written(pieces).split(), dtype=np.int32)
 
     def decode(self, ids: pa.ListArray) -> list[bytes]:
         """The bytes behind each list of ids; the bytes of a text are those of its words in order."""
@@ -186,7 +187,8 @@ def encode(docs: DataFrame, p: BpeParams) -> DataFrame:
 
     def run(batches):
         for b in slices(batches, "text", p.slice_bytes):
-            ids = _codec(lines, p).encode(b.column("text").to_pylist())
+            codec = _codec(lines, p)
+            ids = [codec.encode(x) for x in codec.pieces(b.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*b.schema.names, "ids"])
 
     return docs.mapInArrow(run, docs.withColumn("ids", F.lit(None).cast("array<int>")).schema)
@@ -217,7 +219,7 @@ def encode_decode(docs: DataFrame, p: BpeParams) -> DataFrame:
         for b in slices(batches, "text", p.slice_bytes):
             codec, texts = _codec(lines, p), b.column("text").to_pylist()
             pieces = codec.pieces(texts)
-            ids = [list(chain.from_iterable(map(codec.ids.__getitem__, x))) for x in pieces]
+            ids = [codec.encode(x) for x in pieces]
             same = [b"".join(map(codec.decoded.__getitem__, x)) == (t or "").encode() for x, t in zip(pieces, texts, strict=True)]
             keep = [n for n in b.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), pa.array(ids, pa.list_(pa.int32())), pa.array(same)], names=[*keep, "ids", "round_trip"])
@@ -235,7 +237,7 @@ def round_trip_digest(docs: DataFrame, p: BpeParams) -> DataFrame:
         for b in slices(batches, "text", p.slice_bytes):
             codec = _codec(lines, p)
             pieces = codec.pieces(b.column("text").to_pylist())
-            joined = [" ".join(map(codec.joined.__getitem__, x)) for x in pieces]
+            joined = [codec.written(x) for x in pieces]
             back = [b"".join(map(codec.decoded.__getitem__, x)) for x in pieces]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([x.count(" ") + 1 if x else 0 for x in joined], pa.int64()), pa.array([sha(x.encode()) for x in joined], pa.string()), pa.array([sha(x) for x in back], pa.string())],
