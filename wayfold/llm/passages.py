@@ -5,7 +5,9 @@ Written paragraphs (lines of min_words or more) are banded by MinHash tuned for
 ones are verified by exact Jaccard. Sliding paragraphs (every min_words consecutive words) find
 passages wherever they stand in a line: two minima of a sliding paragraph's shingles make its band
 key, so equal paragraphs always collide, and the colliding ones are verified by the hash of the
-whole paragraph. Documents that share a paragraph form components; the least document keeps it.
+whole paragraph. Neighbouring sliding paragraphs with one key are a segment: equal segments are
+counted as one, and only where different segments share a key are their paragraphs compared.
+Documents that share a paragraph form components; the least document keeps it.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm.near_dup import NearDupParams, circulant_signatures, link_classes, texts_of
-from wayfold.llm.text import U, mix, shingles, slices, space_words, utf8, word_hashes
+from wayfold.llm.text import LOWER, U, mix, shingles, slices, space_words, utf8, word_hashes
 from wayfold.operators.components import connected_components
 from wayfold.storage import discard, materialize
 
@@ -52,124 +54,186 @@ def paragraph_keys(hashes: np.ndarray, p: PassageParams) -> np.ndarray:
     return mix(_sliding_min(s, width) * U(0x9E3779B97F4A7C15) + _sliding_min(mix(s), width))
 
 
-def _key_batches(p: PassageParams):
-    def run(batches):
-        for b in slices(batches, "text", 4 << 20):
-            ids, keys = [], []
-            for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                k = np.unique(paragraph_keys(word_hashes(space_words(t)), p))
-                keys.append(k)
-                ids += [d] * len(k)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(keys).astype(np.int64))], names=["doc_id", "key"])
+def span_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each `width` consecutive numbers, by doubling; none if there are fewer."""
+    size, step, x = len(hashes) - width + 1, 1, hashes
+    if size < 1:
+        return hashes[:0]
+    while step * 2 <= width:
+        x = mix(x[:-step] * U(0x9E3779B97F4A7C15) + x[step:])
+        step *= 2
+    # two spans that overlap cover the width
+    return mix(x[:size] * U(0xD6E8FEB86659FD93) + x[width - step : width - step + size] + U(width))
 
-    return run
+
+def segments(h: np.ndarray, p: PassageParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, hash, first paragraph, paragraphs) of each segment of a document's word hashes.
+
+    A segment holds fewer paragraphs than a paragraph has words, so its first and last paragraph
+    make up its whole text.
+    """
+    k, most = paragraph_keys(h, p), p.min_words - p.near.shingle + 1
+    if not len(k):
+        none = np.zeros(0, dtype=np.int64)
+        return k, k, none, none
+    run = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+    place = np.arange(len(k)) - np.repeat(run, np.diff(np.append(run, len(k))))
+    starts = np.flatnonzero(place % most == 0)
+    m = np.diff(np.append(starts, len(k)))
+    whole = span_hashes(h, p.min_words)
+    seg = mix(mix(whole[starts] * U(0x9E3779B97F4A7C15) + whole[starts + m - 1]) * U(0x9E3779B97F4A7C15) + m.astype(U))
+    return k[starts], seg, starts, m
 
 
 def _window_batches(p: PassageParams):
+    """The paragraphs of the wanted segments of each document."""
+
     def run(batches):
         for b in slices(batches, "text", 2 << 20):
-            ids, starts, wholes = [], [], []
-            rows = zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("keys"), strict=True)
-            for d, t, known in rows:
+            out = []
+            for t, d, wanted in zip(b.column("text").to_pylist(), b.column("doc_id").to_pylist(), b.column("wanted"), strict=True):
                 h = word_hashes(space_words(t))
-                known = np.asarray(known.values, dtype=np.int64).astype(U)
-                at = np.flatnonzero(np.isin(paragraph_keys(h, p), known))
-                if len(at):
-                    ids += [d] * len(at)
-                    starts.append(at)
-                    wholes.append(shingles(h, p.min_words)[at])
-            if ids:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(wholes).astype(np.int64)), pa.array(ids, pa.int64()), pa.array(np.concatenate(starts).astype(np.int32))], names=["whole", "doc_id", "at"])
+                _, seg, starts, m = segments(h, p)
+                known = np.asarray(wanted.values.field("seg"), dtype=np.int64)
+                hi = np.asarray(wanted.values.field("hi"), dtype=np.int64)
+                order = np.argsort(known)
+                j = np.minimum(np.searchsorted(known[order], seg.astype(np.int64)), len(known) - 1)
+                at = order[j]
+                fits = known[at] == seg.astype(np.int64)
+                seg, starts, m, at = seg[fits], starts[fits], m[fits], at[fits]
+                if len(seg):
+                    off = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                    whole = span_hashes(h, p.min_words)[np.repeat(starts, m) + off]
+                    out.append((whole.astype(np.int64), np.repeat(seg.astype(np.int64), m), off.astype(np.int32), np.full(len(off), d), np.repeat(hi[at], m)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["whole", "seg", "off", "lo", "hi"])
 
     return run
 
 
 def _run_batches(p: PassageParams):
+    def merged(found):
+        ranges = sorted((x["at"] + r["off"], x["at"] + r["off"] + r["n"], r["lo"]) for x in found for r in x["runs"])
+        first, last, kept = ranges[0]
+        for s, e, lo in ranges:
+            if s > last:
+                yield first, last, kept
+                first, kept = s, lo
+            last, kept = max(last, e), min(kept, lo)
+        yield first, last, kept
+
     def run(batches):
         for b in batches:
-            out = []
-            for r in b.to_pylist():
-                found, first = sorted((x["at"], x["lo"]) for x in r["found"]), None
-                for at, lo in found:
-                    if first is None or at > last + 1:
-                        if first is not None:
-                            out.append((r["doc_id"], first, last + p.min_words, kept))
-                        first, kept = at, lo
-                    last, kept = at, min(kept, lo)
-                out.append((r["doc_id"], first, last + p.min_words, kept))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "start_word", "end_word", "kept_doc_id"])
+            out = [(r["doc_id"], s, e - 1 + p.min_words, kept) for r in b.to_pylist() for s, e, kept in merged(r["found"])]
+            columns = zip(*out, strict=True) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start_word", "end_word", "kept_doc_id"])
 
     return run
 
 
-def sliding_passages(docs: DataFrame, p: PassageParams) -> DataFrame:
-    """(doc_id, start_word, end_word, kept_doc_id): maximal runs of paragraphs that other documents hold."""
-    keys = materialize(docs.mapInArrow(_key_batches(p), "doc_id long, key long"), "keys")
-    shared = keys.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("key")
-    of_doc = materialize(keys.join(shared, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "shared")
+def sliding_passages(docs: DataFrame, rows: DataFrame, p: PassageParams) -> DataFrame:
+    """(doc_id, start_word, end_word, kept_doc_id): maximal runs of paragraphs that other documents hold.
+
+    rows are the segments of docs. Small sides of joins on keys that many rows may share are written
+    first, so that adaptive execution can split these keys.
+    """
+    classes = materialize(rows.groupBy("seg", "key", "m").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")), "segments")
+    keys = materialize(classes.groupBy("key").agg(F.min("lo").alias("klo"), F.max("hi").alias("khi"), F.count("*").alias("n")).filter("klo < khi").select("key", "n"), "keys")
+    shared = materialize(classes.join(keys, "key").select("seg", "m", "lo", "hi", "n"), "shared")
+    discard(classes, keys)
+    # the only segment of its key: all of its paragraphs are repeated, and nowhere else
+    one = F.array(F.struct(F.lit(0).alias("off"), F.col("m").alias("n"), "lo"))
+    alone = shared.filter("n = 1").select("seg", one.alias("runs"))
+    of_doc = materialize(shared.filter("n > 1").groupBy(F.col("lo").alias("doc_id")).agg(F.collect_list(F.struct("seg", "hi")).alias("wanted")), "wanted")
     texts = texts_of(docs, of_doc.select(F.col("doc_id").alias("id")), p.near.broadcast_rows)
-    windows = materialize(texts.join(of_doc, "doc_id").mapInArrow(_window_batches(p), "whole long, doc_id long, at int"), "windows")
-    discard(keys)
-    again = windows.groupBy("whole").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("whole", "lo")
-    found = windows.join(again, "whole").groupBy("doc_id").agg(F.collect_set(F.struct("at", "lo")).alias("found"))
+    windows = materialize(texts.join(of_doc, "doc_id").mapInArrow(_window_batches(p), "whole long, seg long, off int, lo long, hi long"), "windows")
+    again = materialize(windows.groupBy("whole").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("whole", "lo"), "again")
+    hits = windows.select("whole", "seg", "off").join(again, "whole")
+    mixed = hits.groupBy("seg").agg(F.collect_set(F.struct("off", F.lit(1).alias("n"), "lo")).alias("runs"))
+    runs = materialize(alone.union(mixed), "runs")
+    discard(shared, of_doc, windows, again)
+    found = rows.select("seg", "doc_id", "at").join(runs, "seg").groupBy("doc_id").agg(F.collect_list(F.struct("at", "runs")).alias("found"))
     return found.mapInArrow(_run_batches(p), "doc_id long, start_word long, end_word long, kept_doc_id long")
 
 
-def _lines(text: str | None, least: int) -> list[tuple[int, int, np.ndarray]]:
-    """(line number, first word's number, word hashes) of the lines with at least `least` words."""
-    out, at = [], 0
-    for i, line in enumerate(utf8(text).split(b"\n")):
-        words = space_words(line.decode("utf-8", "replace"))
-        if len(words) >= least:
-            out.append((i, at, word_hashes(words)))
-        at += len(words)
-    return out
+def _lines(text: str | None, least: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The text's word hashes, and (line number, first word, end) of the lines with at least `least` words."""
+    words, out = [], []
+    for i, line in enumerate(utf8(text).translate(LOWER).split(b"\n")):
+        at = len(words)
+        words += line.split()
+        if len(words) - at >= least:
+            out.append((i, at, len(words)))
+    return word_hashes(words), out
+
+
+_SCANNED = "doc_id long, at int, m int, key long, seg long, line int, n long, set_key binary, bands array<long>"
 
 
-def _line_batches(p: PassageParams, bands: bool):
+def _scan_batches(p: PassageParams):
+    """A row for each segment (key, seg, m paragraphs from at on) and each line (m words from at on) of the texts."""
     n = p.near
+    schema = pa.schema([("doc_id", pa.int64()), ("at", pa.int32()), ("m", pa.int32()), ("key", pa.int64()), ("seg", pa.int64()), ("line", pa.int32()), ("n", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
+
+    def batch(size, **given):
+        return pa.RecordBatch.from_arrays([pa.array(given[f.name], f.type) if f.name in given else pa.nulls(size, f.type) for f in schema], schema=schema)
 
     def run(batches):
         for b in slices(batches, "text", 4 << 20):
-            rows = [(d, i, at, len(h), np.unique(shingles(h, n.shingle))) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) for i, at, h in _lines(t, p.min_words)]
-            if not rows:
-                continue
-            ids = pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["doc", "line"])
-            sets = [r[4] for r in rows]
-            if not bands:
-                yield pa.RecordBatch.from_arrays([ids, pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "items"])
-                continue
-            sig = circulant_signatures(sets, n.bands * n.rows).astype(U).reshape(len(sets), n.bands, n.rows)
-            key = np.broadcast_to(np.arange(n.bands, dtype=U), (len(sets), n.bands))
-            for r in range(n.rows):
-                key = mix(key * U(0x9E3779B97F4A7C15) + sig[:, :, r])
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, key.size + 1, n.bands), pa.int32()), pa.array(key.astype(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([r[2] for r in rows], pa.int64()), pa.array([r[2] + r[3] for r in rows], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), lists],
-                names=["id", "start_word", "end_word", "n", "set_key", "bands"])
+            segs, lines, sets = [], [], []
+            for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                h, found = _lines(t, p.min_words)
+                key, seg, at, m = segments(h, p)
+                segs.append((np.full(len(key), d), at, m, key.astype(np.int64), seg.astype(np.int64)))
+                lines += [(d, i, s, e - s) for i, s, e in found]
+                sets += [np.unique(shingles(h[s:e], n.shingle)) for _, s, e in found]
+            doc, at, m, key, seg = (np.concatenate(c) for c in zip(*segs, strict=True))
+            yield batch(len(doc), doc_id=doc, at=at, m=m, key=key, seg=seg)
+            if lines:
+                doc, line, at, m = zip(*lines, strict=True)
+                sig = circulant_signatures(sets, n.bands * n.rows).astype(U).reshape(len(sets), n.bands, n.rows)
+                band = np.broadcast_to(np.arange(n.bands, dtype=U), (len(sets), n.bands))
+                for r in range(n.rows):
+                    band = mix(band * U(0x9E3779B97F4A7C15) + sig[:, :, r])
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(0, band.size + 1, n.bands), pa.int32()), pa.array(band.astype(np.int64).ravel()))
+                yield batch(len(doc), doc_id=doc, line=line, at=at, m=m, n=[len(x) for x in sets], set_key=[xxhash.xxh3_128_digest(x.tobytes()) for x in sets], bands=bands)
+
+    return run
+
+
+def _set_batches(p: PassageParams):
+    def run(batches):
+        for b in slices(batches, "text", 4 << 20):
+            ids, lines, sets = [], [], []
+            for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                h, found = _lines(t, p.min_words)
+                for i, s, e in found:
+                    ids.append(d)
+                    lines.append(i)
+                    sets.append(np.unique(shingles(h[s:e], p.near.shingle)).astype(np.int64))
+            named = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.int32())], names=["doc", "line"])
+            yield pa.RecordBatch.from_arrays([named, pa.array(sets, pa.list_(pa.int64()))], names=["id", "items"])
 
     return run
 
 
-_ID = "struct<doc:bigint,line:bigint>"
+_ID = "struct<doc:bigint,line:int>"
 
 
-def written_paragraphs(docs: DataFrame, p: PassageParams) -> DataFrame:
+def written_paragraphs(docs: DataFrame, lines: DataFrame, p: PassageParams) -> DataFrame:
     """(doc_id, start_word, end_word, kept_doc_id): lines with a near copy in another document."""
-    sig = materialize(docs.mapInArrow(_line_batches(p, True), f"id {_ID}, start_word long, end_word long, n long, set_key binary, bands array<long>"), "lines")
+    sig = lines.select(F.struct(F.col("doc_id").alias("doc"), "line").alias("id"), F.col("at").cast("long").alias("start_word"), (F.col("at") + F.col("m")).cast("long").alias("end_word"), "n", "set_key", "bands")
     classes = materialize(sig.groupBy("set_key").agg(F.min("id").alias("id"), F.max("id").getField("doc").alias("hi"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
 
     def sets_for(ids):
         texts = texts_of(docs, ids.select(F.col("id.doc").alias("id")).distinct(), p.near.broadcast_rows)
-        return texts.dropDuplicates(["doc_id", "text"]).mapInArrow(_line_batches(p, False), f"id {_ID}, items array<long>").join(ids, "id", "left_semi")
+        return texts.dropDuplicates(["doc_id", "text"]).mapInArrow(_set_batches(p), f"id {_ID}, items array<long>").join(ids, "id", "left_semi")
 
     labels = link_classes(classes.select(F.explode("bands").alias("bucket"), "id", "n"), sets_for, p.near)
     of_class = classes.join(labels, "id", "left").select("set_key", "hi", F.coalesce("component", "id").alias("root"))
     # a component spans documents if its least and greatest document differ
     wide = of_class.groupBy("root").agg(F.max("hi").alias("hi")).filter(F.col("root.doc") < F.col("hi")).select("root")
-    marked = of_class.join(wide, "root").select("set_key", F.col("root.doc").alias("kept_doc_id"))
+    marked = materialize(of_class.join(wide, "root").select("set_key", F.col("root.doc").alias("kept_doc_id")), "marked")
     return sig.join(marked, "set_key").select(F.col("id.doc").alias("doc_id"), "start_word", "end_word", "kept_doc_id")
 
 
@@ -184,8 +248,11 @@ def repeated_passages(docs: DataFrame, p: PassageParams = PassageParams()) -> Da
     and other columns are ignored.
     """
     docs = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
-    kinds = [f(docs, p).distinct().withColumn("kind", F.lit(k)) for f, k in ((sliding_passages, "passage"), (written_paragraphs, "paragraph"))]
-    found = materialize(kinds[0].union(kinds[1]), "passages")
+    scanned = materialize(docs.mapInArrow(_scan_batches(p), _SCANNED), "scanned")
+    sliding = sliding_passages(docs, scanned.filter("line is null"), p).withColumn("kind", F.lit("passage"))
+    written = written_paragraphs(docs, scanned.filter("line is not null"), p).withColumn("kind", F.lit("paragraph"))
+    found = materialize(sliding.union(written).distinct(), "passages")
+    discard(scanned)
     groups = connected_components(found.select("doc_id", "kept_doc_id").distinct(), "doc_id", "kept_doc_id")
     out = found.join(groups.select(F.col("id").alias("doc_id"), F.col("component").alias("component_id")), "doc_id")
     return out.select("doc_id", "kind", "start_word", "end_word", "kept_doc_id", (F.col("doc_id") == F.col("kept_doc_id")).alias("kept"), "component_id")
