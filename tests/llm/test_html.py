@@ -38,3 +38,32 @@ def test_junk_names_do_not_take_the_article():
         assert main_text(f"<body>{wrap % body}{side}</body>").split("\n") == want
     page = f"<article>{body}<p class='notice'>Note this.</p><p>A <span class='social'>social</span> word.</p><div class='share'>Share</div></article>{side}"
     assert main_text(page).split("\n") == [*want, "Note this.", "A social word."]
+
+
+LINES = [f"Sentence {i}, with some words, and a few more words to make it long enough." for i in range(6)]
+BODY = "".join(f"<p>{x}</p>" for x in LINES)
+
+
+def test_characters_whose_lower_case_is_longer():
+    page = f"<article><p>{'İ' * 30}</p><script>var a = 1;</SCRIPT><p>Second, and last.</p></article>"
+    assert main_text(page) == "İ" * 30 + "\nSecond, and last."
+
+
+def test_headline_of_a_head_by_class_stays():
+    page = f"<body><article><div class='article-header'><h1>Title</h1><span>By me</span></div>{BODY}</article></body>"
+    assert main_text(page).split("\n") == ["Title", *LINES]
+
+
+def test_teasers_go_and_parts_of_the_story_stay():
+    page = f"<body><div><article>{BODY}</article><article><p>Teaser, one.</p></article></div></body>"
+    assert main_text(page).split("\n") == LINES
+    page = f"<body><div><div class='story'>{BODY}</div><div class='story'><p>Short end.</p></div><div class='more'><p>Other.</p></div></div></body>"
+    assert main_text(page).split("\n") == [*LINES, "Short end."]
+    page = f"<main><div class='list'><a href='/a'>{'All, the, links ' * 9}</a></div><div><h2>Head</h2>{BODY}</div><p>Too short.</p></main>"
+    assert main_text(page).split("\n")[-8:] == ["Head", *LINES, "Too short."]
+
+
+def test_very_long_page_with_unclosed_tags():
+    n = 20_000
+    got = main_text("<article>" + "".join(f"<p>Part {i}, of <b>many" for i in range(n)))
+    assert got.split("\n") == [f"Part {i}, of many" for i in range(n)]

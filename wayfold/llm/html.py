@@ -16,6 +16,8 @@ _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"
 _NAME = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 RAW = frozenset("script style textarea title noscript iframe template svg math object".split())
+#: A raw element ends at its own end tag only.
+_END = {t: re.compile(f"</{t}", re.I | re.A) for t in RAW}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -42,16 +44,19 @@ PARAGRAPHS = frozenset("p pre blockquote td li dd".split())
 class HtmlParams:
     """Points: base for a paragraph, one for each comma, one for each chars_point characters up to
     most_points; the parent gets all of them and each further ancestor half of the one below.
-    article is added to semantic containers. A sibling of the best container is kept if its score
-    reaches sibling_share of the best, or if it is a paragraph of sibling_chars with links below
-    sibling_links of its text. junk_share is what stays of the points of an element that has a junk
-    name but is not pruned.
+    Scores of article and main count `article` times. If the best container makes up at least
+    article_share of the text of an article or main around it, that is taken in its place. A sibling
+    of the best container is kept if its score reaches sibling_share of the best, or if its links
+    are below sibling_links of its text and it is a paragraph of sibling_chars or shares the best
+    one's tag and class. junk_share is what stays of the points of an element that has a junk name
+    but is not pruned.
     """
 
     base: float = 1.0
     chars_point: int = 100
     most_points: int = 3
-    article: float = 25.0
+    article: float = 1.5
+    article_share: float = 0.5
     sibling_share: float = 0.2
     sibling_chars: int = 80
     sibling_links: float = 0.25
@@ -68,12 +73,13 @@ class Node:
     chars: int = 0
     link_chars: int = 0
     named_junk: bool = False
+    head: bool = False
 
 
 def parse(page: str) -> Node:
     """A tolerant tree of elements and text; unclosed elements end with their parent."""
     root = node = Node("root")
-    at, low = 0, None
+    at = 0
     for m in _TOKEN.finditer(page):
         if m.start() < at:
             continue
@@ -98,9 +104,8 @@ def parse(page: str) -> Node:
         new = Node(tag, node, m[3])
         node.children.append(new)
         if tag in RAW and not m[3].endswith("/"):
-            low = page.lower() if low is None else low
-            end = low.find(f"</{tag}", at)
-            end = len(page) if end < 0 else end
+            close = _END[tag].search(page, at)
+            end = close.start() if close else len(page)
             after = page.find(">", end)
             at = len(page) if after < 0 else after + 1
         elif tag not in VOID and not m[3].endswith("/"):
@@ -149,8 +154,8 @@ def _junk(n: Node, in_article: bool) -> bool:
     return False
 
 
-def _paragraph_chars(root: Node) -> tuple[dict[int, int], dict[int, bool]]:
-    """By element: the characters of its paragraphs, without those of junk tags, and whether it contains article or main."""
+def _paragraph_chars(root: Node) -> tuple[dict[int, int], dict[int, bool], dict[int, bool]]:
+    """By element: the characters of its paragraphs, without those of junk tags, and whether it contains article or main, or h1."""
     order, inside = [], {}
     stack = [(root, False)]
     while stack:
@@ -159,20 +164,22 @@ def _paragraph_chars(root: Node) -> tuple[dict[int, int], dict[int, bool]]:
         inside[id(n)] = text
         order.append(n)
         stack += [(c, text) for c in n.children if not isinstance(c, str) and c.tag not in JUNK_TAGS]
-    chars, holds = {}, {}
+    chars, holds, titled = {}, {}, {}
     for n in reversed(order):
+        titled[id(n)] = any(not isinstance(c, str) and (c.tag == "h1" or titled.get(id(c), False)) for c in n.children)
         chars[id(n)] = sum((len(" ".join(c.split())) if inside[id(n)] else 0) if isinstance(c, str) else chars.get(id(c), 0) for c in n.children)
         holds[id(n)] = any(not isinstance(c, str) and (c.tag in ("article", "main") or holds.get(id(c), False)) for c in n.children)
-    return chars, holds
+    return chars, holds, titled
 
 
 def prune(n: Node, in_article: bool = False) -> None:
-    """Take out what is never article text; of an article's own header only headings stay.
+    """Take out what is never article text; of an article's own header, or of what has a junk name but
+    holds the article's h1, only headings stay.
 
     An element with a junk name goes too, unless it holds most of the page's paragraph text, or an
     article or main and is not itself in one, or is a paragraph of an article or part of its line.
     """
-    chars, holds = _paragraph_chars(n)
+    chars, holds, titled = _paragraph_chars(n)
     most = chars[id(n)]
 
     def stays(c: Node, above: Node, inside: bool) -> bool:
@@ -190,12 +197,19 @@ def prune(n: Node, in_article: bool = False) -> None:
         kept = []
         for c in n.children:
             if isinstance(c, str):
-                if n.tag != "header":
+                if not n.head:
                     kept.append(c)
-            elif not _junk(c, inside) and (not c.named_junk or stays(c, n, inside)):
-                if n.tag != "header" or c.tag in HEADINGS or c.tag in ("div", "hgroup", "section"):
-                    kept.append(c)
-                    stack.append((c, inside))
+                continue
+            if _junk(c, inside):
+                continue
+            c.head = c.tag == "header" or n.head and c.tag not in HEADINGS
+            if c.named_junk and not stays(c, n, inside):
+                if not (inside or n.head) or not titled[id(c)]:
+                    continue
+                c.head = True
+            if not n.head or c.tag in HEADINGS or c.tag in ("div", "hgroup", "section"):
+                kept.append(c)
+                stack.append((c, inside))
         n.children = kept
 
 
@@ -234,23 +248,36 @@ def measure(root: Node, p: HtmlParams) -> list[Node]:
             while up is not None and points > 0.01:
                 up.score += points
                 up, points = up.parent, points / 2
-        if n.tag in ("article", "main"):
-            n.score += p.article
     for n in order:
+        n.score *= p.article if n.tag in ("article", "main") else 1
         n.score *= 1 - n.link_chars / n.chars if n.chars else 0
     return order
 
 
-def best_container(order: list[Node]) -> Node | None:
+def best_container(order: list[Node], p: HtmlParams) -> Node | None:
+    """The element of the highest score, or the article or main that it makes up most of."""
     best = max((n for n in order if n.chars and n.tag not in ("root", "html")), key=lambda n: n.score, default=None)
     n = best
     while n is not None and n.tag != "root":
         if n.tag in ("article", "main"):
-            return n
+            return n if best.chars - best.link_chars >= p.article_share * (n.chars - n.link_chars) else best
         n = n.parent
     return best
 
 
+def _class(n: Node) -> str | None:
+    return next((value.strip("\"'") for name, value in _ATTRIBUTE.findall(n.attributes or "") if name.lower() == "class"), None)
+
+
+def _kept_sibling(c: Node, best: Node, p: HtmlParams) -> bool:
+    if c.chars and c.score >= max(10, best.score * p.sibling_share):
+        return True
+    if not c.chars or c.link_chars >= p.sibling_links * c.chars:
+        return False
+    alike = c.tag == best.tag and c.tag not in ("article", "main") and c.score > 0 and _class(c) not in (None, "") and _class(c) == _class(best)
+    return alike or c.tag == "p" and c.chars >= p.sibling_chars
+
+
 def _blocks(n: Node, out: list[list[str]]) -> None:
     """Append the text of n to out, a list of pieces for each block, in page order."""
     stack: list = [n]
@@ -273,18 +300,12 @@ def main_text(page: str | None, p: HtmlParams = HtmlParams()) -> str:
         return ""
     root = parse(page)
     prune(root)
-    best = best_container(measure(root, p))
+    best = best_container(measure(root, p), p)
     if best is None:
         return ""
     kept = [best]
     if best.parent is not None and best.tag not in ("body", "root"):
-        least = best.score * p.sibling_share
-        kept = []
-        for c in best.parent.children:
-            if c is best or not isinstance(c, str) and (
-                c.chars and c.score >= max(10, least) or c.tag == "p" and c.chars >= p.sibling_chars and c.link_chars < p.sibling_links * c.chars
-            ):
-                kept.append(c)
+        kept = [c for c in best.parent.children if c is best or not isinstance(c, str) and _kept_sibling(c, best, p)]
     out: list[list[str]] = [[]]
     for n in kept:
         out.append([])
