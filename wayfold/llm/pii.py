@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm.spans import SPANS, Kind, _sorted, count_kind, with_spans, written
-from wayfold.storage import materialize
+from wayfold.storage import discard, materialize
 
 _OCTET = r"0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _IP = rf"^{_OCTET}(\.{_OCTET}){{3}}$"
@@ -61,26 +61,24 @@ class PiiParams:
 _TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 
 
-def base_spans(docs: DataFrame) -> DataFrame:
-    """docs with spans, the contract's base spans of text."""
-    return with_spans(docs, "text", BASE, "spans")
-
-
 def _numbered(word: Column) -> Column:
     """A context's word, lower-cased; numbers and addresses are alike there."""
     return F.when(word.rlike("[0-9@]"), "#").otherwise(F.lower(word))
 
 
-def mentions(docs: DataFrame, p: PiiParams) -> DataFrame:
-    """(doc_id, text_hash, pattern, start, end, instance, seed) of base spans and identifier-like tokens with context.
+def scanned(docs: DataFrame, p: PiiParams, keep: bool) -> DataFrame:
+    """A written table: _row (a key of the row), doc (its columns, or doc_id alone unless keep), spans (the
+    contract's base spans of text) and found: (left, start, end, instance, seed) of base spans and
+    identifier-like tokens, with the words to their left.
 
-    docs has spans. A base span is one instance, however many tokens it covers, and a seed (1);
-    identifier-like tokens that no base span touches are the others (0). pattern is the last words
-    before the instance in the text, lower-cased, with # for each word that holds a digit or @;
-    fewer at the start of the text, and without any word there is no mention.
+    A base span is one instance, however many tokens it covers, and a seed (1); identifier-like tokens
+    that no base span touches are the others (0). left holds the last words before the instance in the
+    text, lower-cased, with # for each word that holds a digit or @; fewer at the start of the text.
     """
-    d = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "spans", F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0)).alias("m"), "text").filter(F.size("m") > 0)
-    d = d.withColumn("s", F.split("text", _TOKEN, -1))
+    doc = F.struct("*") if keep else F.struct("doc_id")
+    d = docs.select(F.monotonically_increasing_id().alias("_row"), doc.alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    d = with_spans(d, "text", BASE, "spans")
+    d = d.withColumns({"m": F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0)), "s": F.split("text", _TOKEN, -1)})
     # the spans of a kind are its passing matches, in order
     texts = []
     for i, k in enumerate(BASE):
@@ -88,7 +86,7 @@ def mentions(docs: DataFrame, p: PiiParams) -> DataFrame:
         hits = F.filter(F.regexp_extract_all("text", F.lit(k.regex), F.lit(0)), k.passes)
         whole = F.zip_with(of, hits, lambda s, m: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lower(m).alias("text")))
         texts.append(F.when(F.size(of) > 0, whole).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,text:string>>")))
-    d = d.withColumn("base", F.concat(*texts)).drop("text", "spans")
+    d = d.withColumn("base", F.concat(*texts)).drop("text")
     fields = "start:bigint,end:bigint,stop:bigint,left:array<string>,token:string,fits:boolean"
     start = F.struct(F.lit(0).alias("i"), F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("left"), F.array().cast(f"array<struct<{fields}>>").alias("out"))
 
@@ -118,58 +116,61 @@ def mentions(docs: DataFrame, p: PiiParams) -> DataFrame:
         return F.when(f["fits"] & ~touched, F.concat(seeds, own)).otherwise(seeds)
 
     d = d.withColumn("found", F.aggregate("m", start, step, lambda a: a["out"])).drop("m", "s")
-    d = d.select("doc_id", "text_hash", F.flatten(F.transform("found", instances)).alias("found"))
-    d = d.select("doc_id", "text_hash", F.explode_outer("found").alias("f")).filter("f is not null")  # explode() would have its input computed twice, for a filter
+    return materialize(d.withColumn("found", F.flatten(F.transform("found", instances))).drop("base"), "scanned")
+
+
+def mentions(rows: DataFrame) -> DataFrame:
+    """(_row, pattern, start, end, instance, seed) of scanned(); without any word to the left there is no mention."""
+    d = rows.select("_row", F.explode_outer("found").alias("f")).filter("f is not null")  # explode() would add a filter on the size
     pattern = F.when(F.size("f.left") > 0, F.array_join("f.left", " "))
-    out = d.select("doc_id", "text_hash", pattern.alias("pattern"), "f.start", "f.end", "f.instance", "f.seed")
-    return out.filter(F.col("pattern").isNotNull() & (F.col("start") < F.col("end")))
+    return d.select("_row", pattern.alias("pattern"), "f.start", "f.end", "f.instance", "f.seed").filter(F.col("pattern").isNotNull() & (F.col("start") < F.col("end")))
 
 
 def pattern_confidence(found: DataFrame, p: PiiParams) -> DataFrame:
-    """(pattern, confidence, seeds): the iterative scores of the pattern-instance graph.
+    """(pattern, confidence, seeds), written: the iterative scores of the pattern-instance graph.
 
     The graph has an edge for each distinct (pattern, instance), so that copies and hot patterns
-    are pre-aggregated. Seeds keep confidence 1; other instances start at 0.
+    are pre-aggregated. Seeds keep confidence 1; other instances start at 0. Scores are written
+    before they are joined, so that adaptive execution can split a pattern or instance of many edges.
     """
     edges = materialize(found.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "edges")
-    score = edges.groupBy("pattern").agg(F.avg("seed").alias("confidence"), F.sum("seed").alias("seeds"))
+    score = materialize(edges.groupBy("pattern").agg(F.avg("seed").alias("confidence"), F.sum("seed").alias("seeds")), "scores")
     for _ in range(p.rounds - 1):
         # noisy or over an instance's patterns; a pattern vouches with what its support warrants
         vouch = F.col("confidence") * F.col("seeds") / (F.col("seeds") + 1)
-        told = edges.filter("seed = 0").join(score.select("pattern", "confidence", "seeds"), "pattern")
-        sure = told.groupBy("instance").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - vouch, F.lit(1e-9)))))).alias("sure"))
+        told = edges.filter("seed = 0").join(score.filter("seeds > 0"), "pattern")
+        sure = materialize(told.groupBy("instance").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - vouch, F.lit(1e-9)))))).alias("sure")), "sure")
         # instances that only their one pattern vouches for would confirm it; they keep that share
-        score = edges.join(sure, "instance", "left").groupBy("pattern").agg(F.avg(F.when(F.col("seed") == 1, 1.0).otherwise(F.coalesce("sure", F.lit(0.0)))).alias("confidence"), F.sum("seed").alias("seeds"))
+        new = edges.join(sure, "instance", "left").groupBy("pattern").agg(F.avg(F.when(F.col("seed") == 1, 1.0).otherwise(F.coalesce("sure", F.lit(0.0)))).alias("confidence"), F.sum("seed").alias("seeds"))
+        new = materialize(new, "scores")
+        discard(score, sure)
+        score = new
+    discard(edges)
     return score
 
 
+def _with_discovered(rows: DataFrame, p: PiiParams) -> DataFrame:
+    """rows of scanned() with every: base and discovered spans."""
+    found = mentions(rows)
+    good = materialize(pattern_confidence(found, p).filter((F.col("confidence") >= p.confidence) & (F.col("seeds") >= p.support)).select("pattern"), "good")
+    one = F.struct("start", "end", F.lit(len(BASE)).alias("kind"))
+    new = materialize(found.filter("seed = 0").join(good, "pattern").groupBy("_row").agg(F.collect_list(one).cast(SPANS).alias("new")), "discovered")
+    out = rows.join(new, "_row", "left")
+    return out.withColumn("every", _sorted(F.concat("spans", F.coalesce("new", F.array().cast(SPANS)))))
+
+
 def personal_data(docs: DataFrame, p: PiiParams = PiiParams()) -> DataFrame:
     """docs (doc_id, text and any others but spans) with spans: base kinds 0 to 3, and 4 for discovered ones.
 
     A null text counts as empty; repeated rows are judged one by one with equal results and do not
     weigh more in the graph; a discovered span never overlaps a base span.
     """
-    docs = base_spans(docs.drop("spans").withColumn("text", F.coalesce("text", F.lit(""))))
-    found = materialize(mentions(docs, p), "mentions")
-    good = pattern_confidence(found, p).filter((F.col("confidence") >= p.confidence) & (F.col("seeds") >= p.support)).select("pattern")
-    new = found.filter("seed = 0").join(good, "pattern").select("doc_id", "text_hash", F.struct("start", "end", F.lit(len(BASE)).alias("kind")).alias("x")).distinct()
-    new = materialize(new.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_list("x").cast(SPANS).alias("_new")), "discovered")
-    docs = docs.withColumn("_h", F.xxhash64("text"))
-    docs = docs.join(new, docs["doc_id"].eqNullSafe(new["_id"]) & (F.col("_h") == F.col("_hash")), "left")
-    both = _sorted(F.concat("spans", F.coalesce("_new", F.array().cast(SPANS))))
-    return docs.withColumn("spans", both).drop("_h", "_id", "_hash", "_new")
+    out = _with_discovered(scanned(docs, p, keep=True), p)
+    return out.select(*[F.col("doc")[c].alias(c) for c in docs.columns if c != "spans"], F.col("every").alias("spans"))
 
 
 def pii_digest(docs: DataFrame, p: PiiParams = PiiParams()) -> DataFrame:
-    """The contract's columns; texts do not take part in the join."""
-    text = F.coalesce("text", F.lit(""))
-    spans = base_spans(docs.select("doc_id", text.alias("text")))
-    table = materialize(spans.select("doc_id", F.xxhash64("text").alias("_h"), "spans"), "spans")
-    found = materialize(mentions(spans, p), "mentions")
-    good = pattern_confidence(found, p).filter((F.col("confidence") >= p.confidence) & (F.col("seeds") >= p.support)).select("pattern")
-    new = found.filter("seed = 0").join(good, "pattern").select("doc_id", "text_hash", F.struct("start", "end", F.lit(len(BASE)).alias("kind")).alias("x")).distinct()
-    new = new.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_list("x").cast(SPANS).alias("_new"))
-    out = table.join(new, table["doc_id"].eqNullSafe(new["_id"]) & (F.col("_h") == F.col("_hash")), "left")
-    base, every = F.col("spans"), _sorted(F.concat("spans", F.coalesce("_new", F.array().cast(SPANS))))
-    counts = [count_kind(base, i).alias(f"n_{k.name}") for i, k in enumerate(BASE)]
-    return out.select("doc_id", *counts, F.sha2(written(base, _NAMES), 256).alias("base_sha256"), written(every, _NAMES).alias("spans"))
+    """The contract's columns; texts are read once, not written and take part in no join."""
+    out = _with_discovered(scanned(docs.select("doc_id", "text"), p, keep=False), p)
+    counts = [count_kind(F.col("spans"), i).alias(f"n_{k.name}") for i, k in enumerate(BASE)]
+    return out.select("doc.doc_id", *counts, F.sha2(written(F.col("spans"), _NAMES), 256).alias("base_sha256"), written(F.col("every"), _NAMES).alias("spans"))
