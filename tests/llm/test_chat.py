@@ -1,6 +1,8 @@
 import json
 
-from wayfold.llm.chat import ChatParams, canonical, format_chats, violations
+import duckdb
+
+from wayfold.llm.chat import ORACLE_SQL, ChatParams, canonical, chat_digest, format_chats, violations
 
 SCHEMAS = {"add": {"type": "object", "properties": {"a": {"type": "integer"}, "b": {"type": ["integer", "null"]}, "op": {"enum": ["x", "y"]}}, "required": ["a"], "additionalProperties": False}}
 
@@ -52,3 +54,26 @@ def test_long_chain_is_not_cyclic(spark):
     df = spark.createDataFrame([(1, 0, "assistant", text + call("p", ["q"]) + call("q", ["p"]))], "conv_id long, turn long, role string, text string")
     got = {r.id: (r.status, r.level) for r in format_chats(df, ChatParams(SCHEMAS)).filter("kind = 'call'").collect()}
     assert got == {f"c{i}": ("unanswered", 2 * i + 1) for i in range(n)} | {"p": ("cyclic", None), "q": ("cyclic", None)}
+
+
+def test_bodies_that_python_or_utf8_cannot_hold(spark):
+    deep = '{"id": "d", "name": "add", "arguments": ' + "[" * 100_000 + "]" * 100_000 + "}"
+    rows = [(1, 0, "assistant", f"<tool_call>{deep}</tool_call>"), (2, 0, "assistant", '<tool_call>{"id": "s", "name": "add", "arguments": {"\\ud800": "\\udfff"}}</tool_call>')]
+    rows += [(3, 0, "assistant", '<tool_call>{"id": "n", "name": "add", "arguments": {"a": NaN}}</tool_call>'), (4, 0, "assistant", '<tool_call>{"id": "i", "name": "add", "arguments": {"a": 1e999}}</tool_call>')]
+    rows += [(None, 0, "assistant", call("z")), (None, 1, "tool", result("z")), (5, 0, "user", "long " * 200_000)]
+    got = {(r.conv_id, r.turn): r for r in format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), ChatParams(SCHEMAS)).collect() if r.kind != "message" or r.conv_id == 5}
+    assert all(list(got[k, 0].errors) == ["$: not a JSON object"] for k in (1, 3, 4))
+    assert list(got[2, 0].errors) == ["$.a: missing", "$.\\ud800: unknown"] and '{"\\ud800":"\\udfff"}' in got[2, 0].json
+    assert got[None, 1].status == "orphan" and len(json.loads(got[5, 0].json)["content"]) == 999_999
+
+
+def test_calls_made_from_turns_same_as_sql(spark):
+    rows = [(c, t, ["user", "assistant"][t % 2], f"{'é ' * (t % 3)}word{c} says \"{t}\"\n") for c in range(33) for t in range(2 + c % 9)]
+    rows += [(40, 0, None, None), (41, 0, "system", ""), (42, 1, "assistant", "a"), (42, 1, "assistant", "a"), (-3, 0, "user", "q"), (-3, 1, "assistant", "w")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat_digest(df)
+    con = duckdb.connect()
+    con.register("conversations", df.toPandas().astype({"conv_id": "int64", "turn": "int64"}))
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLE_SQL})").fetchall()
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert {r.status for r in got.select("status").distinct().collect()} == {"ok", "linked", "orphan", "duplicate", "cyclic", "unanswered", "bad"}

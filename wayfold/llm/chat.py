@@ -10,6 +10,7 @@ conversation has to fit into one task.
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -28,9 +29,31 @@ class ChatParams:
     schemas: dict = field(default_factory=dict, hash=False)
 
 
+_LONE = re.compile("[\ud800-\udfff]")
+
+
+def _encodable(text: str) -> str:
+    """The text with lone surrogates, which UTF-8 cannot hold, as JSON escapes."""
+    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(value) -> str:
-    """JSON with sorted keys, no white space and characters as they are."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """JSON with sorted keys, no white space and characters as they are; lone surrogates stay escaped."""
+    return _encodable(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+def _loaded(text: str):
+    """The JSON value; ValueError if the text is none, holds NaN or Infinity, or nests too deeply to be read."""
+
+    def refuse(name):
+        raise ValueError(name)
+
+    try:
+        value = json.loads(text, parse_constant=refuse)
+        canonical(value)  # numbers like 1e999 are read as infinite
+        return value
+    except RecursionError as e:
+        raise ValueError("nested too deeply") from e
 
 
 _TYPES = {"string": str, "boolean": bool, "object": dict, "array": list, "null": type(None)}
@@ -106,7 +129,7 @@ def _finish(p: ChatParams):
         if r["kind"] == "message":
             return errors, canonical(out | {"role": r["role"], "content": r["body"]})
         try:
-            body = json.loads(r["body"])
+            body = _loaded(r["body"])
         except ValueError:
             body = None
         if not isinstance(body, dict):
@@ -117,12 +140,12 @@ def _finish(p: ChatParams):
         args = body.get("arguments", {})
         if isinstance(args, str):
             try:
-                args = json.loads(args)
+                args = _loaded(args)
             except ValueError:
                 errors.append("$: arguments are no JSON")
         schema = p.schemas.get(body.get("name")) if isinstance(body.get("name"), str) else None
         errors += ["$: unknown tool"] if schema is None else [] if errors else violations(args, schema)
-        return errors, canonical(out | {"name": body.get("name"), "arguments": args})
+        return [_encodable(e) for e in errors], canonical(out | {"name": body.get("name"), "arguments": args})
 
     def run(batches):
         for b in batches:
@@ -144,7 +167,8 @@ def format_chats(messages: DataFrame, p: ChatParams = ChatParams()) -> DataFrame
     results after their call. status is ok for messages; linked or unanswered for calls; linked for
     results; orphan for results without a call, duplicate for the later calls or results of one id,
     cyclic for calls whose dependencies form a circle or are missing, bad for bodies that are no
-    JSON object or have no id. A null text is an empty message; a repeated message is given again,
+    JSON object or have no id. NaN, Infinity and nesting beyond Python's recursion limit are no JSON here.
+    Messages without conv_id are given, but link nothing. A null text is an empty message; a repeated message is given again,
     its calls as duplicates; an empty table gives an empty result; other columns are ignored.
     """
     parts = items(messages.select("conv_id", "turn", "role", "text"))
@@ -187,3 +211,69 @@ def format_chats(messages: DataFrame, p: ChatParams = ChatParams()) -> DataFrame
     out = full.select("conv_id", "turn", "role", "kind", "idx", "id", status.alias("status"), F.coalesce(order, F.col("turn")).alias("order_turn"), level.alias("level"), "body")
     fields = "conv_id long, turn long, role string, kind string, idx int, id string, status string, order_turn long, level int, errors array<string>, json string"
     return out.mapInArrow(_finish(p), fields)
+
+
+#: The tool of with_calls().
+LOOKUP = {"lookup": {"type": "object", "properties": {"query": {"type": "string"}, "limit": {"type": "integer"}}, "required": ["query"], "additionalProperties": False}}
+_WORD = "[A-Za-z]+"
+
+
+def with_calls(turns: DataFrame) -> DataFrame:
+    """conversations (conv_id, turn, role, text) with tagged calls and results appended, by fixed rules.
+
+    An assistant's turn t calls lookup as c<t> with its first word and t as arguments, and depends on
+    c<t-2> if t > 1. A user's turn t > 1 brings the result of c<t-1>. By conv_id modulo 11, so that
+    every status occurs: 1 wrong type, 2 every result twice, 3 an orphan result besides, 4 calls 1, 5,
+    9 ... depend on c<t+2> instead (cycles), 5 unknown tool, 6 broken JSON, 7 results come before their
+    calls (as c<t+1> in turn t), 8 missing and unknown arguments; 0, 9 and 10 are sound.
+    """
+    text, kind, t = F.coalesce("text", F.lit("")), F.pmod("conv_id", F.lit(11)), F.col("turn")
+    word = F.regexp_extract(text, _WORD, 0)
+    limit = F.when(kind == 1, F.lit('"three"')).otherwise(t.cast("string"))
+    arguments = F.when(kind == 8, F.concat(F.lit('{"q": "'), word, F.lit('"}'))).otherwise(F.concat(F.lit('{"query": "'), word, F.lit('", "limit": '), limit, F.lit("}")))
+    on = F.when((kind == 4) & (t % 4 == 1), t + 2).when(t > 1, t - 2)
+    depends = F.coalesce(F.concat(F.lit(', "depends_on": ["c'), on, F.lit('"]')), F.lit(""))
+    name = F.when(kind == 5, "nope").otherwise("lookup")
+    sound = F.concat(F.lit('{"name": "'), name, F.lit('", "id": "c'), t, F.lit('", "arguments": '), arguments, depends, F.lit("}"))
+    call = F.concat(F.lit(" <tool_call>"), F.when(kind == 6, "{oops").otherwise(sound), F.lit("</tool_call>"))
+    of = F.when(kind == 7, t + 1).when(t > 1, t - 1)
+    one = F.concat(F.lit('<tool_result>{"id": "c'), of, F.lit('", "content": "'), word, F.lit('"}</tool_result>'))
+    orphan = F.when(kind == 3, F.concat(F.lit('<tool_result>{"id": "x'), t, F.lit('", "content": null}</tool_result>')))
+    results = F.concat(F.lit(" "), F.coalesce(one, F.lit("")), F.when(kind == 2, F.coalesce(one, F.lit(""))).otherwise(""), F.coalesce(orphan, F.lit("")))
+    tail = F.when(F.col("role") == "assistant", call).when(F.col("role") == "user", results)
+    return turns.withColumn("text", F.concat(text, F.coalesce(tail, F.lit(""))))
+
+
+def chat_digest(turns: DataFrame) -> DataFrame:
+    """format_chats() of with_calls(), with the errors of a call as one text."""
+    out = format_chats(with_calls(turns.select("conv_id", "turn", "role", "text")), ChatParams(LOOKUP))
+    return out.withColumn("errors", F.array_join("errors", "; "))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, ((conv_id % 11) + 11) % 11 AS k, regexp_extract(coalesce(text, ''), '[A-Za-z]+', 0) AS word FROM conversations),
+c AS (SELECT conv_id, turn, role, k, word, CASE WHEN k <> 6 THEN concat('c', turn) END AS id,
+    CASE WHEN k = 6 THEN NULL WHEN k = 4 AND turn % 4 = 1 THEN concat('c', turn + 2) WHEN turn > 1 THEN concat('c', turn - 2) END AS dep FROM m WHERE role = 'assistant'),
+first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, id ORDER BY turn) AS rn FROM c WHERE id IS NOT NULL) WHERE rn = 1),
+lv AS (SELECT conv_id, id, 0 AS level FROM first WHERE dep IS NULL UNION ALL SELECT f.conv_id, f.id, level + 1 FROM lv JOIN first f ON f.conv_id = lv.conv_id AND f.dep = lv.id),
+r AS (
+  SELECT conv_id, turn, role, k, 1 AS idx, concat('c', CASE WHEN k = 7 THEN turn + 1 ELSE turn - 1 END) AS id, to_json(word) AS content FROM m WHERE role = 'user' AND (k = 7 OR turn > 1)
+  UNION ALL SELECT conv_id, turn, role, k, 2, concat('c', turn - 1), to_json(word) FROM m WHERE role = 'user' AND k = 2 AND turn > 1
+  UNION ALL SELECT conv_id, turn, role, k, CASE WHEN turn > 1 THEN 2 ELSE 1 END, concat('x', turn), 'null' FROM m WHERE role = 'user' AND k = 3),
+rn AS (SELECT *, row_number() OVER (PARTITION BY conv_id, id ORDER BY turn, idx) AS rn FROM r),
+calls AS (
+  SELECT c.*, row_number() OVER (PARTITION BY c.conv_id, c.id ORDER BY c.turn) AS n, l.level, a.id IS NOT NULL AS answered
+  FROM c LEFT JOIN lv l ON l.conv_id = c.conv_id AND l.id = c.id LEFT JOIN rn a ON a.conv_id = c.conv_id AND a.id = c.id AND a.rn = 1),
+named AS (SELECT *, CASE WHEN id IS NULL THEN 'bad' WHEN n > 1 THEN 'duplicate' WHEN level IS NULL THEN 'cyclic' WHEN NOT answered THEN 'unanswered' ELSE 'linked' END AS status FROM calls),
+results AS (
+  SELECT rn.*, CASE WHEN rn.rn > 1 THEN 'duplicate' WHEN f.id IS NULL THEN 'orphan' ELSE 'linked' END AS status, CASE WHEN l.id IS NULL THEN NULL ELSE f.turn END AS after, l.level
+  FROM rn LEFT JOIN first f ON f.conv_id = rn.conv_id AND f.id = rn.id LEFT JOIN lv l ON l.conv_id = rn.conv_id AND l.id = rn.id)
+SELECT conv_id, turn, role, 'message' AS kind, 0 AS idx, NULL AS id, 'ok' AS status, turn AS order_turn, 0 AS level, '' AS errors,
+  concat('{"content":', to_json(trim(text, ' ')), ',"kind":"message","role":', coalesce(to_json(role), 'null'), ',"turn":', turn, '}') AS json FROM m
+UNION ALL SELECT conv_id, turn, role, 'call', 1, id, status, turn, level * 2 + 1,
+  CASE k WHEN 1 THEN '$.limit: not integer' WHEN 5 THEN '$: unknown tool' WHEN 6 THEN '$: not a JSON object' WHEN 8 THEN '$.query: missing; $.q: unknown' ELSE '' END,
+  CASE WHEN k = 6 THEN concat('{"kind":"call","raw":"{oops","status":"bad","turn":', turn, '}') ELSE
+    concat('{"arguments":', CASE WHEN k = 8 THEN concat('{"q":', to_json(word), '}') ELSE concat('{"limit":', CASE WHEN k = 1 THEN '"three"' ELSE CAST(turn AS VARCHAR) END, ',"query":', to_json(word), '}') END,
+      ',"id":"', id, '","kind":"call","name":"', CASE WHEN k = 5 THEN 'nope' ELSE 'lookup' END, '","status":"', status, '","turn":', turn, '}') END FROM named
+UNION ALL SELECT conv_id, turn, role, 'result', idx, id, status, greatest(turn, coalesce(after, turn)), coalesce(level * 2 + 2, 2), '',
+  concat('{"content":', content, ',"id":"', id, '","kind":"result","status":"', status, '","turn":', turn, '}') FROM results"""

@@ -24,7 +24,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_chats(_read(spark, sf_dir, "conversations"))
+    return chat.chat_digest(_read(spark, sf_dir, "conversations"))
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,4 +55,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_quality_rules, op2_toxicity, op3_decontamination, op4_chat_formatting, op5_secret_scan, op6_bpe, op7_html_text, op8_substring_dedup, op9_pii, op10_near_dup)
 }
-ORACLE_SQL = {"op1_quality_rules": quality.ORACLE_SQL, "op3_decontamination": decontam.ORACLE_SQL, "op5_secret_scan": secrets.ORACLE_SQL, "op10_near_dup": near_dup.ORACLE_SQL}
+ORACLE_SQL = {"op1_quality_rules": quality.ORACLE_SQL, "op3_decontamination": decontam.ORACLE_SQL, "op4_chat_formatting": chat.ORACLE_SQL, "op5_secret_scan": secrets.ORACLE_SQL, "op10_near_dup": near_dup.ORACLE_SQL}
