@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from wayfold.llm.text import mix, shingles, slices, space_words, word_hashes
+from wayfold.llm.text import mix, shingles_of_each, slices, space_words, word_hashes
 from wayfold.operators.components import connected_components
 from wayfold.storage import discard, materialize
 
@@ -58,14 +59,17 @@ def circulant_signatures(sets: list[np.ndarray], coordinates: int) -> np.ndarray
     return out
 
 
-def _shingle_set(text: str | None, n: int) -> np.ndarray:
-    return np.unique(shingles(word_hashes(space_words(text)), n))
+def _shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
+    words = [space_words(t) for t in texts]
+    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    hashes = word_hashes(list(chain.from_iterable(words)))
+    return [np.unique(s) for s in shingles_of_each(hashes, lengths, n)]
 
 
 def _signature_batches(p: NearDupParams):
     def run(batches):
         for b in slices(batches, "text", 4 << 20):
-            sets = [_shingle_set(t, p.shingle) for t in b.column("text").to_pylist()]
+            sets = _shingle_sets(b.column("text").to_pylist(), p.shingle)
             full = [i for i, s in enumerate(sets) if len(s)]
             bands = np.zeros((len(sets), p.bands), dtype=np.int64)
             if full:
@@ -91,7 +95,7 @@ def _signature_batches(p: NearDupParams):
 def _set_batches(n: int):
     def run(batches):
         for b in slices(batches, "text", 4 << 20):
-            sets = [_shingle_set(t, n).astype(np.int64) for t in b.column("text").to_pylist()]
+            sets = [s.astype(np.int64) for s in _shingle_sets(b.column("text").to_pylist(), n)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "items"])
 
     return run

@@ -45,6 +45,13 @@ def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def shingles_of_each(hashes: np.ndarray, lengths: np.ndarray, n: int) -> list[np.ndarray]:
+    """shingles() of each of several texts whose word hashes stand one after the other, in one pass over all."""
+    every = shingles(hashes, n) if len(hashes) >= n else hashes[:0]
+    ends = np.cumsum(lengths)
+    return [every[e - k : e - n + 1] if k >= n else shingles(hashes[e - k : e], n) for e, k in zip(ends.tolist(), lengths.tolist(), strict=True)]
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that a slice holds about most_bytes of the column or one row."""
     for batch in batches:
