@@ -3,9 +3,9 @@
 Two sorts of paragraphs are compared across documents, both by shingles of five words.
 Written paragraphs (lines of min_words or more) are banded by MinHash tuned for high recall, colliding
 ones are verified by exact Jaccard. Sliding paragraphs (every min_words consecutive words) find
-passages wherever they stand in a line: two minima of a sliding paragraph's shingles make its band
-key, so equal paragraphs always collide, and the colliding ones are verified by the hash of the
-whole paragraph. Neighbouring sliding paragraphs with one key are a segment: equal segments are
+passages wherever they stand in a line: the least pair of shingles eight words apart is a sliding
+paragraph's band key, so equal paragraphs always collide, and the colliding ones are verified by
+the hash of the whole paragraph. Neighbouring sliding paragraphs with one key are a segment: equal segments are
 counted as one, and only where different segments share a key are their paragraphs compared.
 Documents that share a paragraph form components; the least document keeps it.
 """
@@ -13,6 +13,7 @@ Documents that share a paragraph form components; the least document keeps it.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +29,13 @@ from wayfold.storage import discard, materialize
 
 @dataclass(frozen=True)
 class PassageParams:
-    """min_words: the least length of a paragraph. near: shingle, similarity and bands for written
+    """min_words: the least length of a paragraph. apart: how many words lie between the starts of a
+    pair of shingles; more make keys more selective and segments shorter. near: shingle, similarity and bands for written
     paragraphs; 16 bands of 4 rows miss a pair at similarity 0.8 with probability under 3e-4.
     """
 
     min_words: int = 50
+    apart: int = 8
     near: NearDupParams = NearDupParams(shingle=5, percent=80, bands=16, rows=4)
 
 
@@ -45,13 +48,17 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:size], x[width - step : width - step + size])
 
 
+def _pairs(p: PassageParams) -> int:
+    """How many pairs of shingles a paragraph has."""
+    return p.min_words - p.near.shingle + 1 - p.apart
+
+
 def paragraph_keys(hashes: np.ndarray, p: PassageParams) -> np.ndarray:
-    """The band key of each sliding paragraph of a document's word hashes."""
-    s = shingles(hashes, p.near.shingle)
-    width = p.min_words - p.near.shingle + 1
+    """The band key of each sliding paragraph of a document's word hashes: its least pair of shingles."""
     if len(hashes) < p.min_words:
-        return s[:0]
-    return mix(_sliding_min(s, width) * U(0x9E3779B97F4A7C15) + _sliding_min(mix(s), width))
+        return hashes[:0]
+    s = shingles(hashes, p.near.shingle)
+    return _sliding_min(mix(s[: -p.apart] * U(0x9E3779B97F4A7C15) + s[p.apart :]), _pairs(p))
 
 
 def span_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -66,23 +73,28 @@ def span_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix(x[:size] * U(0xD6E8FEB86659FD93) + x[width - step : width - step + size] + U(width))
 
 
-def segments(h: np.ndarray, p: PassageParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, hash, first paragraph, paragraphs) of each segment of a document's word hashes.
+def segments(h: np.ndarray, lengths: np.ndarray, p: PassageParams) -> tuple[np.ndarray, ...]:
+    """(text, key, hash, first paragraph, paragraphs, its hash's place) of each segment of several texts, whose word hashes stand one after the other.
 
     A segment holds fewer paragraphs than a paragraph has words, so its first and last paragraph
     make up its whole text.
     """
-    k, most = paragraph_keys(h, p), p.min_words - p.near.shingle + 1
-    if not len(k):
-        none = np.zeros(0, dtype=np.int64)
-        return k, k, none, none
-    run = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-    place = np.arange(len(k)) - np.repeat(run, np.diff(np.append(run, len(k))))
-    starts = np.flatnonzero(place % most == 0)
+    none = np.zeros(0, dtype=np.int64)
+    if len(h) < p.min_words:
+        return none, h[:0], h[:0], none, none, none
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    place = np.flatnonzero(text[: len(h) - p.min_words + 1] == text[p.min_words - 1 :])  # no paragraph crosses texts
+    if not len(place):
+        return none, h[:0], h[:0], none, none, none
+    k, d = paragraph_keys(h, p)[place], text[place]
+    run = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])))
+    inside = np.arange(len(k)) - np.repeat(run, np.diff(np.append(run, len(k))))
+    starts = np.flatnonzero(inside % _pairs(p) == 0)
     m = np.diff(np.append(starts, len(k)))
-    whole = span_hashes(h, p.min_words)
+    whole = span_hashes(h, p.min_words)[place]
     seg = mix(mix(whole[starts] * U(0x9E3779B97F4A7C15) + whole[starts + m - 1]) * U(0x9E3779B97F4A7C15) + m.astype(U))
-    return k[starts], seg, starts, m
+    first = np.cumsum(lengths) - lengths
+    return d[starts], k[starts], seg, place[starts] - first[d[starts]], m, place[starts]
 
 
 def _window_batches(p: PassageParams):
@@ -90,43 +102,47 @@ def _window_batches(p: PassageParams):
 
     def run(batches):
         for b in slices(batches, "text", 2 << 20):
-            out = []
-            for t, d, wanted in zip(b.column("text").to_pylist(), b.column("doc_id").to_pylist(), b.column("wanted"), strict=True):
-                h = word_hashes(space_words(t))
-                _, seg, starts, m = segments(h, p)
-                known = np.asarray(wanted.values.field("seg"), dtype=np.int64)
-                hi = np.asarray(wanted.values.field("hi"), dtype=np.int64)
-                order = np.argsort(known)
-                j = np.minimum(np.searchsorted(known[order], seg.astype(np.int64)), len(known) - 1)
-                at = order[j]
-                fits = known[at] == seg.astype(np.int64)
-                seg, starts, m, at = seg[fits], starts[fits], m[fits], at[fits]
-                if len(seg):
-                    off = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-                    whole = span_hashes(h, p.min_words)[np.repeat(starts, m) + off]
-                    out.append((whole.astype(np.int64), np.repeat(seg.astype(np.int64), m), off.astype(np.int32), np.full(len(off), d), np.repeat(hi[at], m)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["whole", "seg", "off", "lo", "hi"])
+            words = [space_words(t) for t in b.column("text").to_pylist()]
+            lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+            h = word_hashes(list(chain.from_iterable(words)))
+            text, _, seg, _, m, place = segments(h, lengths, p)
+            wanted = b.column("wanted")
+            asked = pa.table({"text": np.repeat(np.arange(len(wanted)), np.diff(wanted.offsets.to_numpy())), "seg": wanted.flatten().field("seg"), "hi": wanted.flatten().field("hi")})
+            have = pa.table({"text": text, "seg": seg.astype(np.int64), "m": m, "place": place})
+            hit = have.join(asked, ["text", "seg"], join_type="inner")
+            text, seg, m, place, hi = (hit.column(x).to_numpy() for x in ("text", "seg", "m", "place", "hi"))
+            off = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            if len(off):
+                whole = span_hashes(h, p.min_words)[np.repeat(place, m) + off]
+                lo = b.column("doc_id").to_numpy()[np.repeat(text, m)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (whole.astype(np.int64), np.repeat(seg, m), off.astype(np.int32), lo, np.repeat(hi, m))], names=["whole", "seg", "off", "lo", "hi"])
 
     return run
 
 
 def _run_batches(p: PassageParams):
-    def merged(found):
-        ranges = sorted((x["at"] + r["off"], x["at"] + r["off"] + r["n"], r["lo"]) for x in found for r in x["runs"])
-        first, last, kept = ranges[0]
-        for s, e, lo in ranges:
-            if s > last:
-                yield first, last, kept
-                first, kept = s, lo
-            last, kept = max(last, e), min(kept, lo)
-        yield first, last, kept
+    """Merge each document's repeated paragraphs, segment by segment, into maximal runs."""
 
     def run(batches):
         for b in batches:
-            out = [(r["doc_id"], s, e - 1 + p.min_words, kept) for r in b.to_pylist() for s, e, kept in merged(r["found"])]
-            columns = zip(*out, strict=True) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start_word", "end_word", "kept_doc_id"])
+            found = b.column("found")
+            parts = found.flatten()
+            runs = parts.field("runs")
+            row = np.repeat(np.arange(len(found)), np.diff(found.offsets.to_numpy()))
+            counts = np.diff(runs.offsets.to_numpy())
+            row, at = np.repeat(row, counts), np.repeat(parts.field("at").to_numpy(), counts).astype(np.int64)
+            flat = runs.flatten()
+            start = at + flat.field("off").to_numpy()
+            end, lo = start + flat.field("n").to_numpy(), flat.field("lo").to_numpy()
+            order = np.lexsort((start, row))
+            row, start, end, lo = row[order], start[order], end[order], lo[order]
+            if len(row):
+                # the furthest end so far in the row: rows are told apart by an offset beyond all ends
+                far = np.maximum.accumulate(row * (end.max() + 1) + end) - row * (end.max() + 1)
+                first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (start[1:] > far[:-1])))
+                row, start, end, lo = row[first], start[first], np.maximum.reduceat(end, first), np.minimum.reduceat(lo, first)
+            ids = b.column("doc_id").take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(start, pa.int64()), pa.array(end - 1 + p.min_words, pa.int64()), pa.array(lo, pa.int64())], names=["doc_id", "start_word", "end_word", "kept_doc_id"])
 
     return run
 
@@ -156,15 +172,28 @@ def sliding_passages(docs: DataFrame, rows: DataFrame, p: PassageParams) -> Data
     return found.mapInArrow(_run_batches(p), "doc_id long, start_word long, end_word long, kept_doc_id long")
 
 
-def _lines(text: str | None, least: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """The text's word hashes, and (line number, first word, end) of the lines with at least `least` words."""
-    words, out = [], []
-    for i, line in enumerate(utf8(text).translate(LOWER).split(b"\n")):
-        at = len(words)
-        words += line.split()
-        if len(words) - at >= least:
-            out.append((i, at, len(words)))
-    return word_hashes(words), out
+def _lines(texts: list[str | None], least: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int, int]]]:
+    """Word hashes of the texts, one after the other, their numbers of words, and (text, line number,
+    first word, end) of the lines with at least `least` words."""
+    words, lengths, out = [], [], []
+    for k, t in enumerate(texts):
+        first = len(words)
+        for i, line in enumerate(utf8(t).translate(LOWER).split(b"\n")):
+            at = len(words)
+            words += line.split()
+            if len(words) - at >= least:
+                out.append((k, i, at - first, len(words) - first))
+        lengths.append(len(words) - first)
+    return word_hashes(words), np.array(lengths, dtype=np.int64), out
+
+
+def _line_sets(texts: list[str | None], p: PassageParams):
+    """_lines() and the set of shingles of each line; lines are longer than a shingle."""
+    h, lengths, found = _lines(texts, p.min_words)
+    if not found:
+        return h, lengths, found, []
+    every, first = shingles(h, p.near.shingle), np.cumsum(lengths) - lengths
+    return h, lengths, found, [np.unique(every[first[k] + s : first[k] + e - p.near.shingle + 1]) for k, _, s, e in found]
 
 
 _SCANNED = "doc_id long, at int, m int, key long, seg long, line int, n long, set_key binary, bands array<long>"
@@ -180,17 +209,13 @@ def _scan_batches(p: PassageParams):
 
     def run(batches):
         for b in slices(batches, "text", 4 << 20):
-            segs, lines, sets = [], [], []
-            for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                h, found = _lines(t, p.min_words)
-                key, seg, at, m = segments(h, p)
-                segs.append((np.full(len(key), d), at, m, key.astype(np.int64), seg.astype(np.int64)))
-                lines += [(d, i, s, e - s) for i, s, e in found]
-                sets += [np.unique(shingles(h[s:e], n.shingle)) for _, s, e in found]
-            doc, at, m, key, seg = (np.concatenate(c) for c in zip(*segs, strict=True))
-            yield batch(len(doc), doc_id=doc, at=at, m=m, key=key, seg=seg)
-            if lines:
-                doc, line, at, m = zip(*lines, strict=True)
+            ids = b.column("doc_id").to_numpy()
+            h, lengths, found, sets = _line_sets(b.column("text").to_pylist(), p)
+            text, key, seg, at, m, _ = segments(h, lengths, p)
+            yield batch(len(text), doc_id=ids[text], at=at.astype(np.int32), m=m.astype(np.int32), key=key.astype(np.int64), seg=seg.astype(np.int64))
+            if found:
+                text, line, at, end = np.array(found).T
+                doc, m = ids[text], end - at
                 sig = circulant_signatures(sets, n.bands * n.rows).astype(U).reshape(len(sets), n.bands, n.rows)
                 band = np.broadcast_to(np.arange(n.bands, dtype=U), (len(sets), n.bands))
                 for r in range(n.rows):
@@ -204,15 +229,11 @@ def _scan_batches(p: PassageParams):
 def _set_batches(p: PassageParams):
     def run(batches):
         for b in slices(batches, "text", 4 << 20):
-            ids, lines, sets = [], [], []
-            for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                h, found = _lines(t, p.min_words)
-                for i, s, e in found:
-                    ids.append(d)
-                    lines.append(i)
-                    sets.append(np.unique(shingles(h[s:e], p.near.shingle)).astype(np.int64))
+            _, _, found, sets = _line_sets(b.column("text").to_pylist(), p)
+            text, lines = np.array([x[:2] for x in found], dtype=np.int64).reshape(-1, 2).T
+            ids = b.column("doc_id").to_numpy()[text]
             named = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.int32())], names=["doc", "line"])
-            yield pa.RecordBatch.from_arrays([named, pa.array(sets, pa.list_(pa.int64()))], names=["id", "items"])
+            yield pa.RecordBatch.from_arrays([named, pa.array([x.astype(np.int64) for x in sets], pa.list_(pa.int64()))], names=["id", "items"])
 
     return run
 
