@@ -61,12 +61,27 @@ def test_round_trip_and_missing_files(spark, tmp_path):
     rows = spark.read.text(str(tmp_path / "out")).collect()
     assert len(rows) == 5 and json.loads(rows[0].value)["schema"] == SCHEMA
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "p.jsonl").write_text(lines(node("a")))
+    (tmp_path / "in" / "p.jsonl").write_bytes(lines(node("a"), "", "last").replace("\n", "\r\n").encode())
     manifest = spark.createDataFrame([("p", "p.jsonl", 0), ("q", "q.jsonl", 1), ("Bad id", "b.jsonl", 2)], "id string, path string, pos int")
-    files, failed = packages.read_packages(spark, manifest, str(tmp_path / "in"))
-    assert [r.package_id for r in files.collect()] == ["p"] and sorted(r.package_id for r in failed.collect()) == ["Bad id", "q"]
+    got, failed = packages.read_packages(spark, manifest, str(tmp_path / "in"))
+    assert sorted((r.package_id, r.line, r.raw) for r in got.collect())[1:] == [("p", 2, json.dumps(node("a"))), ("p", 3, ""), ("p", 4, "last")]
+    assert packages.load_packages(got, manifest, SCHEMA).nodes.first().id == "a"
+    assert sorted(r.package_id for r in failed.collect()) == ["Bad id", "q"]
 
 
 def test_empty(spark):
     g = load(spark, {"p": lines()})
     assert g.nodes.isEmpty() and g.edges.isEmpty() and graph.explain_blocked(g.nodes, g.edges, g.conditions, "a", "b").first().category == "no-data"
+
+
+def test_lines_of_a_file_in_many_splits(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    want = [f"line {i} " + "x" * (i % 50) for i in range(20_000)]
+    (tmp_path / "in" / "p.jsonl").write_text("\n".join(want))
+    manifest = spark.createDataFrame([("p", "p.jsonl", 0)], "id string, path string, pos int")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        got = packages.read_packages(spark, manifest, str(tmp_path / "in"))[0].orderBy("line").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.raw for r in got] == want and [r.line for r in got] == list(range(1, len(want) + 1))

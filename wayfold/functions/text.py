@@ -109,3 +109,22 @@ def align(n: Column, size: int) -> Column:
 def truthy_or(x: Column, default) -> Column:
     """x, or the default if x is null, empty or zero."""
     return F.when(x.isNull() | (x.cast("string").isin("", "0", "0.0", "false")), F.lit(default)).otherwise(x)
+
+
+def layer_of_text(x) -> Column:
+    """underground or legacy by a word of the text, whatever its case, else surface."""
+    return F.when(x.rlike("(?i)underground|depths|well"), "underground").when(x.rlike("(?i)castle|academy|manor|legacy"), "legacy").otherwise("surface")
+
+
+def ascii_label(x) -> Column:
+    """plain_label() of the compatibility decomposition: accents fall away with what is not a-z or 0-9."""
+    return plain_label(nfkd(x))
+
+
+def clamp(x: Column, low: float, high: float) -> Column:
+    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+
+
+def digits_only(x: Column) -> Column:
+    """The number that the text consists of; null unless it is digits alone."""
+    return F.when(x.rlike("^[0-9]+$"), x.try_cast("bigint"))

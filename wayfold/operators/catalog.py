@@ -89,4 +89,42 @@ def bind_identity(df: DataFrame, bindings: DataFrame, key: str, candidates: str
 def kind_first(df: DataFrame, kinds: Sequence[str], label: str = "label", tie: str = "id") -> DataFrame:
     """Ordered by the kinds as listed, others last, then by label."""
     at = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("kind"))
-    return df.orderBy(F.when(F.coalesce(at, F.lit(0)) == 0, len(kinds)).otherwise(at - 1), label, tie)
+    return df.orderBy(F.when(F.coalesce(at, F.lit(0)) == 0, len(kinds)).otherwise(at - 1), in_chinese_order(label), tie)
+
+
+def in_chinese_order(label: str) -> Column:
+    """A sort key: the label under Chinese collation, nulls as empty."""
+    return F.collate(F.coalesce(F.col(label), F.lit("")), "zh")
+
+
+def exact_key(tables: Mapping[str, DataFrame], key: str, value) -> dict[str, DataFrame]:
+    """The rows of one key in each of several tables."""
+    return {name: t.filter(F.col(key) == value) for name, t in tables.items()}
+
+
+def either_endpoint(df: DataFrame, field: str, value, ends: Sequence[str] = ("from", "to")) -> DataFrame:
+    """Rows one of whose endpoint structs has the value in the field."""
+    hit = F.lit(False)
+    for e in ends:
+        hit = hit | F.coalesce(F.col(e)[field] == value, F.lit(False))
+    return df.filter(hit)
+
+
+def with_role(df: DataFrame, column: str, roles: Mapping[str, str], out: str = "role") -> DataFrame:
+    """Rows whose type is listed, with its role."""
+    known = F.create_map(*[F.lit(x) for kv in roles.items() for x in kv])
+    return df.filter(F.col(column).isin(*roles)).withColumn(out, F.element_at(known, F.col(column)))
+
+
+def with_default(df: DataFrame, table: DataFrame, key: str, out: str, default: Mapping[str, object]) -> DataFrame:
+    """df with a struct of table's one row of the key, or of the defaults where it has none."""
+    fields = [x for x in table.columns if x != key]
+    kinds = dict(table.dtypes)
+    side = table.groupBy(key).agg(F.min(F.struct(*fields)).alias(out))
+    none = F.struct(*[F.lit(default.get(f)).cast(kinds[f]).alias(f) for f in fields])
+    return df.join(side, key, "left").withColumn(out, F.coalesce(out, none))
+
+
+def add_if_absent(df: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """df and those rows whose key it does not hold."""
+    return df.unionByName(rows.join(df.select(key), key, "left_anti"), allowMissingColumns=True)

@@ -108,3 +108,34 @@ def guard_expressions(paths: DataFrame) -> DataFrame:
     return e.groupBy(F.substring(F.sha2(text, 256), 1, 16).alias("expression_id")).agg(
         F.lit("all_of").alias("kind"), F.first("terms").alias("terms"), F.count("*").alias("occurrences"),
         F.first(F.size(F.filter("terms", lambda t: t["truth"].isNull()))).alias("unresolved"))
+
+
+def event_status(bindings: DataFrame, files: DataFrame, events: DataFrame) -> DataFrame:
+    """(map_id, event_id, status, n_bindings, n_instructions) of the events that bindings (map_id, event_id) name.
+
+    status is source_event_file_missing without a file (map_id), source_event_missing without an
+    event (map_id, event_id, n_instructions), else source_event_decoded.
+    """
+    asked = bindings.groupBy(*EVENT).agg(F.count("*").alias("n_bindings"))
+    has_file = files.select("map_id").distinct().withColumn("_file", F.lit(True))
+    found = events.groupBy(*EVENT).agg(F.max("n_instructions").alias("n_instructions"))
+    got = asked.join(has_file, "map_id", "left").join(found, list(EVENT), "left")
+    status = F.when(F.col("_file").isNull(), "source_event_file_missing").when(F.col("n_instructions").isNull(), "source_event_missing").otherwise("source_event_decoded")
+    return got.select(*EVENT, status.alias("status"), "n_bindings", "n_instructions")
+
+
+def group_atoms(instructions: DataFrame) -> DataFrame:
+    """(event, result_group, atoms): the IF instructions (index, name, result_group) that feed a condition group, in order; those on groups themselves are none."""
+    fits = F.col("name").startswith("IF ") & ~F.contains("name", F.lit("Condition Group")) & F.col("result_group").isNotNull()
+    return instructions.filter(fits).groupBy(*EVENT, "result_group").agg(F.array_sort(F.collect_list(F.struct("index", "name"))).alias("atoms"))
+
+
+def enrich_flags(rows: DataFrame, key: str, flags: str, catalog: DataFrame) -> DataFrame:
+    """(key, flag_records): the distinct flags of each row in order, with text and status from catalog (flag, text, status), missing without one.
+
+    Flags are exploded, joined and regrouped, so a nested structure needs no recursive rewriting.
+    """
+    one = catalog.groupBy("flag").agg(F.min(F.struct("text", "status")).alias("c"))
+    ids = rows.select(key, F.explode(F.array_distinct(flags)).alias("flag")).join(one, "flag", "left")
+    record = F.struct("flag", F.col("c.text").alias("text"), F.coalesce("c.status", F.lit("missing")).alias("status"))
+    return ids.groupBy(key).agg(F.array_sort(F.collect_list(record)).alias("flag_records"))

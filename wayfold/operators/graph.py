@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.operators.components import connected_components
+from wayfold.operators.relational import numbered
 from wayfold.storage import discard, materialize
 
 #: Presets of the risk weight.
@@ -51,6 +52,16 @@ def edge_weight(edges: DataFrame, risk_weight: float | None = None) -> Column:
     return cost + F.coalesce(_col(edges, "risk", "double"), F.lit(0)) * F.lit(risk_weight or 2.0)
 
 
+def _checked(ways: DataFrame, weights: Sequence[str]) -> DataFrame:
+    """ways, written, without rows whose weight is null or NaN; negative weights raise."""
+    for n in weights:
+        ways = ways.filter(F.col(n).isNotNull() & (~F.isnan(F.col(n).cast("double"))))
+    ways = materialize(ways, "ways")
+    if not ways.filter(" or ".join(f"{n} < 0" for n in weights)).isEmpty():
+        raise ValueError("negative weights")
+    return ways
+
+
 def cheapest(edges: DataFrame, seeds: DataFrame, weight: Column | Sequence[Column], hubs: DataFrame | None = None,
              hub_cost=1, target=None, max_rounds: int = 10_000) -> DataFrame:
     """(node, dist, hops, via, prev) of the cheapest path from any seed (node) to every node it reaches.
@@ -64,11 +75,7 @@ def cheapest(edges: DataFrame, seeds: DataFrame, weight: Column | Sequence[Colum
     parts = [weight] if isinstance(weight, Column) else list(weight)
     names = [f"w{i}" for i in range(len(parts))]
     ways = edges.select("src", "dst", _col(edges, "id", "string").cast("string").alias("via"), *[w.alias(n) for w, n in zip(parts, names, strict=True)])
-    for n in names:
-        ways = ways.filter(F.col(n).isNotNull() & (~F.isnan(F.col(n).cast("double"))))
-    ways = materialize(ways, "ways")
-    if not ways.filter(" or ".join(f"{n} < 0" for n in names)).isEmpty():
-        raise ValueError("negative weights")
+    ways = _checked(ways, names)
     kinds = dict(ways.dtypes)
     dist = F.struct(*[F.lit(0).cast(kinds[n]).alias(n) for n in names])
     start = F.struct(dist.alias("d"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("via"), F.lit(None).cast(dict(edges.dtypes)["src"]).alias("prev"))
@@ -105,6 +112,18 @@ def cheapest(edges: DataFrame, seeds: DataFrame, weight: Column | Sequence[Colum
     return state.select("node", shown.alias("dist"), "hops", "via", "prev")
 
 
+def _with_each(left: DataFrame, right: DataFrame, buckets: int = 64) -> DataFrame:
+    """Each row of left with each of right's (one column), where the result is that product: dealt by buckets of right's rows."""
+    spread = left.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    return spread.join(right.withColumn("_k", F.pmod(F.xxhash64(right.columns[0]), F.lit(buckets)).cast("int")), "_k").drop("_k")
+
+
+def anchor_pairs(anchors: DataFrame) -> DataFrame:
+    """(src, dst): the explicit fast-travel edges between all anchors (node); routing needs none of them, see cheapest()."""
+    a = anchors.select("node").distinct()
+    return _with_each(a.select(F.col("node").alias("src")), a.select(F.col("node").alias("dst"))).filter("src <> dst")
+
+
 def reach(edges: DataFrame, seeds: DataFrame, hubs: DataFrame | None = None, levels: int | None = None, max_rounds: int = 10_000) -> DataFrame:
     """(seed, node, level): what each seed group (seed, node) reaches, and in how many edges.
 
@@ -118,8 +137,7 @@ def reach(edges: DataFrame, seeds: DataFrame, hubs: DataFrame | None = None, lev
         new = front.join(ways, front["node"] == ways["src"]).select("seed", F.col("dst").alias("node"))
         if hubs is not None:
             at_hub = front.join(hubs.select("node"), "node", "left_semi").select("seed").distinct()
-            all_hubs = hubs.select("node").distinct()
-            new = new.union(at_hub.withColumn("_k", F.lit(1)).join(all_hubs.withColumn("_k", F.lit(1)), "_k").select("seed", "node"))
+            new = new.union(_with_each(at_hub, hubs.select("node").distinct()))
         new = materialize(new.distinct().join(seen, ["seed", "node"], "left_anti").withColumn("level", F.lit(k)), "front")
         if new.isEmpty():
             return seen
@@ -132,6 +150,26 @@ def reach(edges: DataFrame, seeds: DataFrame, hubs: DataFrame | None = None, lev
     return seen
 
 
+def path_rows(state: DataFrame, target) -> list:
+    """The rows (node, via, prev, hops) of cheapest() on the way to target, from the seed on; none if it was not reached.
+
+    Predecessors are followed by pointer doubling: a round doubles the length that is known, so a
+    path of n edges takes log2(n) rounds. Only the path's own rows come to the driver.
+    """
+    state = state.select("node", "via", "prev", "hops")
+    goal = state.filter(F.col("node") == F.lit(target)).select("hops").first()
+    if goal is None:
+        return []
+    marks = state.filter(F.col("node") == F.lit(target)).select("node")
+    jump, span = state.filter("prev is not null").select("node", F.col("prev").alias("to")), 1
+    while span <= goal["hops"]:
+        marks = materialize(marks.union(marks.join(jump, "node").select(F.col("to").alias("node"))).distinct(), "marks")
+        span *= 2
+        if span <= goal["hops"]:
+            jump = materialize(jump.join(jump.select(F.col("node").alias("to"), F.col("to").alias("far")), "to").select("node", F.col("far").alias("to")), "jump")
+    return state.join(marks, "node", "left_semi").orderBy("hops").collect()
+
+
 def route(nodes: DataFrame, edges: DataFrame, origin, target, active: Sequence[str] = (), risk_weight: float | None = None,
           fast_travel: bool = False, rule: str | None = None, check_unknown: bool = True) -> DataFrame:
     """One row (nodes, edges, score, time, risk) with the cheapest route, or none.
@@ -151,21 +189,17 @@ def route(nodes: DataFrame, edges: DataFrame, origin, target, active: Sequence[s
     hubs = nodes.filter("is_grace_anchor").select(F.col("id").alias("node")) if fast_travel and rule in active else None
     seed = spark.createDataFrame([(origin,)], f"node {kind}")
     state = materialize(cheapest(open_, seed, edge_weight(open_, risk_weight).cast("double"), hubs, target=target), "state")
-    at, path, taken = target, [target], []
-    while at != origin:
-        row = state.filter(F.col("node") == F.lit(at)).first()
-        if row is None:
-            return spark.createDataFrame([], shape)
-        taken.append((row["via"], row["prev"], at))
-        path.append(row["prev"])
-        at = row["prev"]
-        score = row["dist"] if len(taken) == 1 else score
+    rows = path_rows(state, target)
+    if not rows:
+        return spark.createDataFrame([], shape)
+    score = state.filter(F.col("node") == F.lit(target)).first()["dist"]
+    path, taken = [r["node"] for r in rows], [(r["via"], r["prev"], r["node"]) for r in rows[1:]]
     ids = [e for e, _, _ in taken if e != "hub"]
     kinds = {r["id"]: (r["cost"], r["risk"]) for r in edges.filter(F.col("id").isin(ids)).select(
         F.col("id").cast("string").alias("id"), F.coalesce(_col(edges, "cost", "double"), F.lit(1)).cast("double").alias("cost"),
         F.coalesce(_col(edges, "risk", "double"), F.lit(0)).cast("double").alias("risk")).collect()} if ids else {}
-    legs = [(e, a, b, *(kinds[e] if e != "hub" else (1.0, 0.0))) for e, a, b in reversed(taken)]
-    return spark.createDataFrame([(path[::-1], legs, float(score), sum(x[3] for x in legs), sum(x[4] for x in legs))], shape)
+    legs = [(e, a, b, *(kinds[e] if e != "hub" else (1.0, 0.0))) for e, a, b in taken]
+    return spark.createDataFrame([(path, legs, float(score), sum(x[3] for x in legs), sum(x[4] for x in legs))], shape)
 
 
 def numbered_text(found: DataFrame) -> DataFrame:
@@ -174,14 +208,16 @@ def numbered_text(found: DataFrame) -> DataFrame:
     return found.select(F.array_join(lines, "\n").alias("text"))
 
 
-def blocker_costs(edges: DataFrame, seeds: DataFrame, active: Sequence[str]) -> DataFrame:
+def blocker_costs(edges: DataFrame, seeds: DataFrame, active: Sequence[str] = (), missing: str | None = None) -> DataFrame:
     """(node, missing, cost, hops, via, prev): least number of missing conditions, then least cost.
 
-    A cost of 0 counts as 1 here, as an absent one does; risk and unknown conditions do not count.
+    missing names an array column of each edge's missing conditions, which else are those not in
+    active. A cost of 0 counts as 1 here, as an absent one does; risk and unknown conditions do not count.
     """
     open_ = usable_edges(edges, None, check_unknown=False)
     cost = F.coalesce(_col(open_, "cost", "double"), F.lit(1))
-    got = cheapest(open_, seeds, [F.size(missing_conditions(open_, active)).cast("long"), F.when(cost == 0, F.lit(1)).otherwise(cost)])
+    lacks = missing_conditions(open_, active) if missing is None else F.col(missing)
+    got = cheapest(open_, seeds, [F.size(lacks).cast("long"), F.when(cost == 0, F.lit(1)).otherwise(cost)])
     return got.select("node", F.col("dist.w0").alias("missing"), F.col("dist.w1").alias("cost"), "hops", "via", "prev")
 
 
@@ -211,19 +247,16 @@ def explain_blocked(nodes: DataFrame, edges: DataFrame, conditions: DataFrame, o
         say = "cross-component" if both > 1 else None
     if say is not None:
         return spark.createDataFrame([(say, None, None)], shape)
-    defined = [r["id"] for r in conditions.select("id").distinct().collect()]
     kind = dict(nodes.dtypes)["id"]
-    state = materialize(blocker_costs(edges, spark.createDataFrame([(origin,)], f"node {kind}"), defined), "state")
-    at, taken = target, []
-    while at != origin:
-        row = state.filter(F.col("node") == F.lit(at)).first()
-        if row is None:
-            return spark.createDataFrame([("no-route", None, None)], shape)
-        taken.append(row["via"])
-        at = row["prev"]
+    granted = unknown_conditions(edges, conditions).withColumn("_missing", F.col("condition_unknown"))
+    state = materialize(blocker_costs(granted, spark.createDataFrame([(origin,)], f"node {kind}"), missing="_missing"), "state")
+    taken = [r["via"] for r in path_rows(state, target)[1:]]
+    if not taken:
+        return spark.createDataFrame([("no-route", None, None)], shape)
     needs = edges.filter(F.col("id").cast("string").isin(taken)).select(F.explode(F.array_distinct(F.concat(
         missing_conditions(edges, active), F.coalesce(_col(edges, "condition_unknown", "array<string>"), F.array().cast("array<string>"))))).alias("condition")).distinct()
-    return needs.select(F.lit("conditions").alias("category"), "condition", F.col("condition").isin(defined).alias("defined"))
+    known = conditions.select(F.col("id").alias("condition")).distinct().withColumn("defined", F.lit(True))
+    return needs.join(known, "condition", "left").select(F.lit("conditions").alias("category"), "condition", F.coalesce("defined", F.lit(False)).alias("defined"))
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -237,25 +270,23 @@ def component_stats(nodes: DataFrame, labels: DataFrame) -> DataFrame:
 
     nodes has id, seq, region, is_grace_anchor. Ordinals follow the components' first nodes; at most 12 regions are named.
     """
-    from pyspark.sql.window import Window as W
-
     grouped = nodes.join(labels, "id").groupBy("component").agg(
         F.min("seq").alias("first_seq"), F.count("*").alias("node_count"), F.count_if("is_grace_anchor").alias("grace_count"),
         F.slice(F.array_sort(F.collect_set("region")), 1, 12).alias("regions"), F.min_by("id", "seq").alias("sample"))
-    # one row a component: ordinals need a total order over components, not over nodes
-    ranked = grouped.withColumn("ordinal", F.row_number().over(W.orderBy("first_seq")) - 1)
+    ranked = numbered(grouped, [F.asc("first_seq"), F.asc("component")], "ordinal").withColumn("ordinal", (F.col("ordinal") - 1).cast("int"))
     return ranked.orderBy(F.desc("node_count"), "first_seq").drop("first_seq")
 
 
-def nearest_anchor(edges: DataFrame, anchors: DataFrame, weight: Column) -> DataFrame:
+def nearest_anchor(edges: DataFrame, anchors: DataFrame, weight: Column, max_rounds: int = 10_000) -> DataFrame:
     """(node, anchor, dist): for each node the anchor (node) from which it is cheapest to come, ties to the least.
 
-    One pass from all anchors: the anchor travels along with the distance.
+    One pass from all anchors: the anchor travels along with the distance. Rows whose weight is null
+    or NaN are never taken; negative weights raise.
     """
-    ways = materialize(edges.select("src", "dst", weight.alias("w")), "ways")
+    ways = _checked(edges.select("src", "dst", weight.alias("w")), ["w"])
     start = F.struct(F.lit(0).cast(dict(ways.dtypes)["w"]).alias("dist"), F.col("node").alias("anchor"))
     state = materialize(anchors.select("node").distinct().select("node", start.alias("b"), F.lit(True).alias("new")), "state")
-    while True:
+    for _ in range(max_rounds):
         front = state.filter("new")
         if front.isEmpty():
             return state.select("node", F.col("b.anchor").alias("anchor"), F.col("b.dist").alias("dist"))
@@ -265,6 +296,7 @@ def nearest_anchor(edges: DataFrame, anchors: DataFrame, weight: Column) -> Data
         fresh = materialize(best.select("node", "b", (F.col("old").isNull() | (F.col("b") < F.col("old"))).alias("new")), "state")
         discard(state)
         state = fresh
+    raise RuntimeError("paths did not settle")
 
 
 def blocked_frontier(edges: DataFrame, origin: DataFrame, active: Sequence[str]) -> DataFrame:
@@ -281,11 +313,26 @@ def focus_set(edges: DataFrame, chosen: DataFrame) -> DataFrame:
     return chosen.select("node").union(out).union(back).distinct()
 
 
-def region_gaps(nodes: DataFrame, edges: DataFrame, declared: DataFrame) -> DataFrame:
-    """declared pairs (src_region, dst_region, any others) without a path between their nodes."""
-    seeds = nodes.join(declared.select(F.col("src_region").alias("region")).distinct(), "region", "left_semi").select(F.col("region").alias("seed"), F.col("id").alias("node"))
-    seen = reach(edges, seeds).join(nodes.select(F.col("id").alias("node"), "region"), "node").select(F.col("seed").alias("src_region"), F.col("region").alias("dst_region")).distinct()
-    return declared.join(seen, ["src_region", "dst_region"], "left_anti")
+def region_gaps(nodes: DataFrame, edges: DataFrame, declared: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """declared pairs (src_region, dst_region, any others) without a path between their nodes.
+
+    The search runs from all regions at once; a region is followed no further once all its declared
+    pairs are found, so only what stays open is searched to its end.
+    """
+    ways, of = materialize(edges.select("src", "dst").distinct(), "ways"), nodes.select(F.col("id").alias("node"), "region")
+    left = materialize(declared, "declared")
+    seen = materialize(of.join(left.select(F.col("src_region").alias("region")).distinct(), "region", "left_semi").select(F.col("region").alias("seed"), "node"), "seen")
+    front = seen
+    for k in range(1, max_rounds + 1):
+        met = front.join(of, "node").select(F.col("seed").alias("src_region"), F.col("region").alias("dst_region")).distinct()
+        left = materialize(left.join(met, ["src_region", "dst_region"], "left_anti"), "declared")
+        live = front.join(left.select(F.col("src_region").alias("seed")).distinct(), "seed", "left_semi")
+        new = live.join(ways, live["node"] == ways["src"]).select("seed", F.col("dst").alias("node")).distinct()
+        front = materialize(new.join(seen, ["seed", "node"], "left_anti"), "front")
+        if front.isEmpty():
+            return left
+        seen = seen.union(front) if k % 8 else materialize(seen.union(front), "seen")
+    raise RuntimeError("gaps did not settle")
 
 
 def anchors_of_regions(nodes: DataFrame, kind_rank: Sequence[str]) -> DataFrame:
@@ -388,3 +435,38 @@ def unknown_conditions(edges: DataFrame, conditions: DataFrame) -> DataFrame:
     needs = edges.select("id", F.explode("requires").alias("c"))
     bad = needs.join(conditions.select(F.col("id").alias("c")), "c", "left_anti").groupBy("id").agg(F.array_sort(F.collect_set("c")).alias("condition_unknown"))
     return edges.drop("condition_unknown").join(bad, "id", "left").withColumn("condition_unknown", F.coalesce("condition_unknown", F.array().cast("array<string>")))
+
+
+def route_steps(legs: DataFrame, nodes: DataFrame, edges: DataFrame, active: Sequence[str]) -> DataFrame:
+    """legs (pos, id, src, dst) with one_way, layer_change and missing: whether no edge leads back, the layers if they differ, and the conditions that are not active.
+
+    nodes: id, layer; edges: id, src, dst, requires.
+    """
+    a, b = (nodes.select(F.col("id").alias(e), F.col("layer").alias(f"_{e}")) for e in ("src", "dst"))
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct().withColumn("_back", F.lit(True))
+    lacks = edges.select("id", missing_conditions(edges, active).alias("missing")).dropDuplicates(["id"])
+    out = legs.join(a, "src", "left").join(b, "dst", "left").join(back, ["src", "dst"], "left").join(lacks, "id", "left")
+    change = F.when(~F.col("_src").eqNullSafe(F.col("_dst")), F.concat(F.coalesce("_src", F.lit("?")), F.lit(" -> "), F.coalesce("_dst", F.lit("?"))))
+    return out.select("pos", "id", "src", "dst", F.col("_back").isNull().alias("one_way"), change.alias("layer_change"), F.coalesce("missing", F.array().cast("array<string>")).alias("missing"))
+
+
+def incident_edges(edges: DataFrame, node, active: Sequence[str]) -> DataFrame:
+    """(direction, id, other, available): the edges of one node, and whether all their conditions are active."""
+    ok = F.size(missing_conditions(edges, active)) == 0
+    row = lambda way, other: F.struct(F.lit(way).alias("direction"), F.col("id"), F.col(other).alias("other"), ok.alias("available"))
+    each = F.array_compact(F.array(F.when(F.col("src") == node, row("out", "dst")), F.when(F.col("dst") == node, row("in", "src"))))
+    return edges.select(F.explode(each).alias("r")).select("r.*")
+
+
+def edge_class(edges: DataFrame, active: Sequence[str], bridge: str = "bridge", route: Sequence[str] = (), focus: Sequence = ()) -> Column:
+    """The class of a partitioned edge: route, blocked, unknown, conditional, focus, internal or external, the first that holds.
+
+    route lists edge ids, focus nodes; package_id is that of partition().
+    """
+    unknown = F.coalesce(F.size(_col(edges, "condition_unknown", "array<string>")), F.lit(0)) > 0
+    near = F.col("src").isin(list(focus)) | F.col("dst").isin(list(focus)) if focus else F.lit(False)
+    taken = F.col("id").isin(list(route)) if route else F.lit(False)
+    return (
+        F.when(taken, "route").when(F.size(missing_conditions(edges, active)) > 0, "blocked").when(unknown, "unknown")
+        .when(F.size("requires") > 0, "conditional").when(near, "focus").when(F.col("package_id") != bridge, "internal").otherwise("external")
+    )

@@ -73,3 +73,25 @@ def place_names(names: DataFrame) -> DataFrame:
     ok = names.filter(F.coalesce(F.trim("text"), F.lit("")) != "")
     first = lambda lang: F.min_by(F.when(F.col("language") == lang, F.col("text")), F.when(F.col("language") == lang, F.col("pos")))
     return ok.groupBy("map_id", "text_id").agg(first("en").alias("en"), first("zh").alias("zh"))
+
+
+def apply_patches(patches: DataFrame, texts: DataFrame, fields: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(applied, refused) of templates: patches (id, field, template, sources array of text ids).
+
+    Every {n} becomes the target text (texts: id, target) of sources[n]. Refused (id, field, reason) are
+    patches without an entry in fields (id, field, original), with a source that has no target text,
+    with a placeholder left over, or with a word of the template that the original does not hold.
+    """
+    t = texts.filter("target is not null").groupBy("id").agg(F.min("target").alias("target")).withColumnRenamed("id", "source")
+    got = patches.select("id", "field", "template", "sources").join(fields.groupBy("id", "field").agg(F.min("original").alias("original")), ["id", "field"], "left")
+    found = patches.select("id", "field", F.posexplode("sources").alias("n", "source")).join(t, "source").groupBy("id", "field").agg(F.array_sort(F.collect_list(F.struct("n", "target"))).alias("parts"))
+    got = got.join(found, ["id", "field"], "left").withColumn("parts", F.coalesce("parts", F.array().cast(dict(found.dtypes)["parts"])))
+    put = F.aggregate("parts", F.col("template"), lambda a, p: F.replace(a, F.concat(F.lit("{"), p["n"].cast("string"), F.lit("}")), p["target"]))
+    words = lambda x: F.filter(F.split(without_punctuation(x), " "), lambda w: w != "")
+    extra = F.array_except(words(F.regexp_replace("template", r"\{\d+\}", " ")), words(F.col("original")))
+    reason = (
+        F.when(F.col("original").isNull(), "no entry").when(F.size("parts") < F.size("sources"), "source without text")
+        .when(put.rlike(r"\{\d+\}"), "placeholder left over").when(F.size(extra) > 0, "words not in the original")
+    )
+    got = got.withColumns({"text": put, "reason": reason})
+    return got.filter("reason is null").select("id", "field", "text"), got.filter("reason is not null").select("id", "field", "reason")

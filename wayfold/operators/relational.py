@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from wayfold.storage import materialize
+
 
 def _keys(keys) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
@@ -86,10 +88,17 @@ def offset_join(left: DataFrame, right: DataFrame, a: str, b: str, offset: int)
     return left.withColumn(b, F.col(a) - F.lit(offset)).join(right, b)
 
 
-def range_slice(left: DataFrame, start: str, count: str, items: DataFrame, key, pos: str) -> DataFrame:
-    """left joined with the items of its key at positions start <= pos < start + max(0, count)."""
-    joined = left.join(items, _keys(key))
-    return joined.filter((F.col(pos) >= F.col(start)) & (F.col(pos) < F.col(start) + F.greatest(F.col(count), F.lit(0))))
+def range_slice(left: DataFrame, start: str, count: str, items: DataFrame, key, pos: str, width: int = 64) -> DataFrame:
+    """left joined with the items of its key at positions start <= pos < start + max(0, count).
+
+    Positions are put into bins of `width`, and a row asks for the bins that its range touches, so the
+    join is on (key, bin): a key with many rows and items makes no more pairs than ranges cover.
+    """
+    last = F.col(start) + F.col(count) - 1
+    bins = F.when(F.col(count) > 0, F.sequence(F.floor(F.col(start) / width), F.floor(last / width)))
+    asked = left.withColumn("_bin", F.explode(bins))
+    joined = asked.join(items.withColumn("_bin", F.floor(F.col(pos) / width)), [*_keys(key), "_bin"])
+    return joined.filter((F.col(pos) >= F.col(start)) & (F.col(pos) <= last)).drop("_bin")
 
 
 def narrow(candidates: DataFrame, query: str, *flags: Column) -> DataFrame:
@@ -232,3 +241,69 @@ def not_own_match(left: DataFrame, right: DataFrame, key: str, own: str, value:
     pick = F.when(F.col("_lo._o").eqNullSafe(F.col(own)), F.col("_hi.v")).otherwise(F.col("_lo.v"))
     status = F.when(others == 1, "exact").when(others > 1, "ambiguous").when(F.coalesce("_mine", F.lit(0)) > 0, "own_only").otherwise("not_found")
     return got.withColumns({"status": status, "match": F.when(others == 1, pick)}).drop("_all", "_lo", "_hi", "_mine", "_own_v")
+
+
+def source_counts(df: DataFrame, key: str, source: str) -> DataFrame:
+    """(key, total, kinds, by_source): rows of each key, its sources in order, and (source, n) of each."""
+    per = df.groupBy(key, source).agg(F.count("*").alias("n"))
+    got = per.groupBy(key).agg(F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct(source, "n"))).alias("by_source"))
+    return got.select(key, "total", F.transform("by_source", lambda x: x[source]).alias("kinds"), "by_source")
+
+
+def frequency_dictionary(df: DataFrame, key: str) -> DataFrame:
+    """(key, n, rank): values by falling frequency, ties by value; ranked by ranges of the counted values, not in one task."""
+    return numbered(df.groupBy(key).agg(F.count("*").alias("n")), [F.desc("n"), F.asc(key)], "rank")
+
+
+def numbered(df: DataFrame, order: Sequence[Column], out: str = "rank") -> DataFrame:
+    """df with out, its place from 1 on in a total order.
+
+    Rows are dealt into ranges of the order; a row's number is its number in its range and the size
+    of the ranges before it, which are as many as shuffle partitions.
+    """
+    dealt = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order)
+    dealt = materialize(dealt.withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_size"))
+    # one row a range
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    here = dealt.withColumn("_here", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
+    return here.join(before.select("_part", "_before"), "_part").withColumn(out, F.col("_here") + F.col("_before")).drop("_part", "_here", "_before")
+
+
+def reason_counts(df: DataFrame, reasons: str) -> DataFrame:
+    """(reason, n): in how many rows each reason of the array stands."""
+    return df.select(F.explode(F.array_distinct(reasons)).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def level_histogram(df: DataFrame, kind: str, fields: Sequence[str]) -> DataFrame:
+    """(kind, field, level, n): values of several level columns counted in one pass."""
+    rows = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("level")) for f in fields])
+    return df.select(kind, F.explode(rows).alias("r")).groupBy(kind, "r.field", "r.level").agg(F.count("*").alias("n"))
+
+
+def offset_histogram(left: DataFrame, right: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """(k, n): how often a - b = k among rows of one key; both sides are counted by (key, value) first."""
+    x = left.groupBy(key, a).agg(F.count("*").alias("_na"))
+    y = right.groupBy(key, b).agg(F.count("*").alias("_nb"))
+    return x.join(y, key).groupBy((F.col(a) - F.col(b)).alias("k")).agg(F.sum(F.col("_na") * F.col("_nb")).alias("n"))
+
+
+def prefix_counts(df: DataFrame, text: str, mark: str) -> DataFrame:
+    """(prefix, n): rows by what stands before the first mark."""
+    return df.groupBy(F.substring_index(text, mark, 1).alias("prefix")).agg(F.count("*").alias("n"))
+
+
+def grouped_rollup(df: DataFrame, key: str, flag: str, value: str, order: str) -> DataFrame:
+    """(key, n, n_flagged, first): rows and flagged rows of each key, and its first value by order."""
+    return df.groupBy(key).agg(F.count("*").alias("n"), F.count_if(flag).alias("n_flagged"), F.min_by(value, order).alias("first"))
+
+
+def pair_counts(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(lo, hi, n): rows by their unordered pair; rows whose ends are equal are left out."""
+    return df.filter(F.col(a) != F.col(b)).groupBy(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).agg(F.count("*").alias("n"))
+
+
+def displayed_groups(df: DataFrame, shown: str, raw: str) -> DataFrame:
+    """(name, n): rows by the displayed name, so that synonyms meet; ? without any name."""
+    name = F.coalesce(F.when(F.col(shown) != "", F.col(shown)), F.when(F.col(raw) != "", F.col(raw)), F.lit("?"))
+    return df.groupBy(name.alias("name")).agg(F.count("*").alias("n"))

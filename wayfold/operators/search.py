@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.operators.catalog import in_chinese_order
+
 TEXT = ("id", "label", "region", "floor")
 
 
@@ -27,7 +29,7 @@ def expand_tokens(query: str, aliases: DataFrame) -> DataFrame:
 
 
 def search(nodes: DataFrame, query: str, aliases: DataFrame | None = None, limit: int = 20, most_candidates: int = 1000) -> DataFrame:
-    """(id, label, kind, region, score): nodes that hold a candidate of every token, best score first.
+    """(id, label, kind, region, score): nodes that hold a candidate of every token, best score first, then by label in Chinese collation.
 
     Score is 4 for the whole query in the label, 3 in the id, 1 in the region. An empty query gives no row here;
     its order by kind is catalog.kind_first(). A query with over most_candidates alias targets raises.
@@ -52,7 +54,7 @@ def search(nodes: DataFrame, query: str, aliases: DataFrame | None = None, limit
     q = F.lit(" ".join(query.lower().split()))
     score = sum((F.when(F.contains(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), q), n).otherwise(0) for c, n in (("id", 3), ("region", 1))),
                 F.when(F.contains(F.lower("label"), q), 4).otherwise(0))
-    return nodes.filter(hit).select("id", "label", "kind", "region", score.alias("score")).orderBy(F.desc("score"), "label", "id").limit(limit)
+    return nodes.filter(hit).select("id", "label", "kind", "region", score.alias("score")).orderBy(F.desc("score"), in_chinese_order("label"), "id").limit(limit)
 
 
 def localised_aliases(nodes: DataFrame, names: DataFrame) -> DataFrame:

@@ -208,7 +208,7 @@ def blocked_frontier(spark, sf_dir):
 _GAPS = f"""WITH RECURSIVE {G_SQL}, p(seed, node) AS (SELECT n_nationkey, n_nationkey FROM nation UNION SELECT p.seed, g.dst FROM p JOIN g ON g.src = p.node),
 place AS (SELECT n_nationkey AS id, printf('d%02d', n_nationkey // 2) AS name FROM nation),
 seen AS (SELECT DISTINCT a.name AS a, b.name AS b FROM p JOIN place a ON a.id = p.seed JOIN place b ON b.id = p.node),
-gap AS (SELECT DISTINCT x.name AS src_region, y.name AS dst_region FROM place x, place y WHERE x.id % 2 = 0 AND y.id % 2 = 0 AND x.id <> y.id AND NOT EXISTS (SELECT 1 FROM seen WHERE a = x.name AND b = y.name))"""
+gap AS (SELECT DISTINCT x.name AS src_region, y.name AS dst_region FROM place x, place y, (VALUES (1), (3), (8)) z(k) WHERE x.id % 2 = 0 AND y.id % 2 = 0 AND y.id // 2 = (x.id // 2 + k) % 13 AND NOT EXISTS (SELECT 1 FROM seen WHERE a = x.name AND b = y.name))"""
 
 
 def _districts(spark, sf_dir):
@@ -217,8 +217,9 @@ def _districts(spark, sf_dir):
 
 
 def _gaps(spark, sf_dir):
-    r = _districts(spark, sf_dir).select("region").distinct()
-    declared = r.select(F.col("region").alias("src_region")).join(r.select(F.col("region").alias("dst_region")), F.col("src_region") != F.col("dst_region"))
+    d = F.floor(F.col("id") / 2)
+    name = lambda x: F.format_string("d%02d", x.cast("int"))
+    declared = nodes(spark, sf_dir).select(name(d).alias("src_region"), F.explode(F.array(*[name((d + k) % 13) for k in (1, 3, 8)])).alias("dst_region")).distinct()
     return graph.region_gaps(_districts(spark, sf_dir), _g(spark, sf_dir), declared)
 
 
@@ -267,10 +268,10 @@ def attach_orphans(spark, sf_dir):
     return graph.attach_orphans(n, few, n.groupBy("region").agg(F.min("id").alias("anchor"))).select("src", "dst")
 
 
-@query(f"WITH {G_SQL}, e AS (SELECT DISTINCT src, dst FROM g) SELECT a.n_nationkey AS a, b.n_nationkey AS b, CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.src = a.n_nationkey AND e.dst = b.n_nationkey) THEN 'forward' WHEN EXISTS (SELECT 1 FROM e WHERE e.src = b.n_nationkey AND e.dst = a.n_nationkey) THEN 'reverse' ELSE 'none' END AS match FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+@query(f"WITH {G_SQL}, e AS (SELECT DISTINCT src, dst FROM g) SELECT a.n_nationkey AS a, b.n_nationkey AS b, CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.src = a.n_nationkey AND e.dst = b.n_nationkey) THEN 'forward' WHEN EXISTS (SELECT 1 FROM e WHERE e.src = b.n_nationkey AND e.dst = a.n_nationkey) THEN 'reverse' ELSE 'none' END AS match FROM nation a JOIN nation b ON b.n_nationkey IN (a.n_nationkey + 1, a.n_nationkey + 5, a.n_nationkey + 7)")
 def direct_or_reverse(spark, sf_dir):
-    n = nodes(spark, sf_dir)
-    pairs = n.select("region", F.col("id").alias("a")).join(n.select("region", F.col("id").alias("b")), "region").filter("a < b").select("a", "b")
+    n = nodes(spark, sf_dir).select(F.col("id").alias("a"))
+    pairs = n.select("a", F.explode(F.array(F.col("a") + 1, F.col("a") + 5, F.col("a") + 7)).alias("b")).join(n.select(F.col("a").alias("b")), "b", "left_semi")
     return graph.direct_or_reverse(pairs, _g(spark, sf_dir))
 
 
@@ -298,9 +299,9 @@ def degree(spark, sf_dir):
 
 
 @query(f"""WITH {G_SQL}, u AS (SELECT src AS node, 'out' AS direction, dst AS other, src * 100 + cost AS seq FROM g UNION ALL SELECT dst, 'in', src, src * 100 + cost FROM g)
-SELECT node, direction, other, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY node, direction ORDER BY seq, other) AS r FROM u) WHERE r <= CASE direction WHEN 'out' THEN 2 ELSE 3 END""")
+SELECT node, direction, other, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY node, direction ORDER BY seq, other) AS r FROM u) WHERE r <= CASE direction WHEN 'out' THEN 4 ELSE 3 END""")
 def incident_edges_topk(spark, sf_dir):
-    return R.ranked_per_direction(edges(spark, sf_dir).select("src", "dst", "seq"), 2, 3)
+    return R.ranked_per_direction(edges(spark, sf_dir).select("src", "dst", "seq"))
 
 
 @query(f"WITH {G_SQL} SELECT g.src, g.dst, coalesce(b.src || '-' || b.dst, '') AS reverse FROM g LEFT JOIN g b ON b.src = g.dst AND b.dst = g.src")
@@ -317,21 +318,19 @@ def distinct_unordered_pairs(spark, sf_dir):
 def region_pair_counts(spark, sf_dir):
     n = nodes(spark, sf_dir).select("id", "region")
     named = edges(spark, sf_dir).join(n.select(F.col("id").alias("src"), F.col("region").alias("a")), "src").join(n.select(F.col("id").alias("dst"), F.col("region").alias("b")), "dst")
-    return named.filter("a <> b").groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.count("*").alias("n"))
+    return R.pair_counts(named, "a", "b")
 
 
 @query(f"""WITH {G_SQL} SELECT g.src, g.dst, CASE WHEN NOT {OPEN} THEN 'blocked' WHEN need IS NOT NULL THEN 'conditional' WHEN a.n_regionkey = b.n_regionkey THEN 'internal' ELSE 'external' END AS class
 FROM g JOIN nation a ON a.n_nationkey = g.src JOIN nation b ON b.n_nationkey = g.dst""")
 def edge_classes(spark, sf_dir):
     part = graph.partition(nodes(spark, sf_dir), _g(spark, sf_dir))
-    blocked = F.size(graph.missing_conditions(part, _active(spark, sf_dir))) > 0
-    kind = F.when(blocked, "blocked").when(F.size("requires") > 0, "conditional").when(F.col("package_id") != "bridge", "internal").otherwise("external")
-    return part.select("src", "dst", kind.alias("class"))
+    return part.select("src", "dst", graph.edge_class(part, _active(spark, sf_dir)).alias("class"))
 
 
 @query("SELECT r_name AS region, count(*) AS n_nodes, count(*) FILTER (WHERE n_nationkey % 5 = 0) AS n_anchors, min(n_nationkey) AS first_id FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY 1")
 def region_rollup(spark, sf_dir):
-    return nodes(spark, sf_dir).groupBy("region").agg(F.count("*").alias("n_nodes"), F.count_if("is_grace_anchor").alias("n_anchors"), F.min_by("id", "seq").alias("first_id"))
+    return R.grouped_rollup(nodes(spark, sf_dir), "region", "is_grace_anchor", "id", "seq").toDF("region", "n_nodes", "n_anchors", "first_id")
 
 
 @query(f"WITH {G_SQL}, p AS (SELECT r.r_name AS id, count(*) AS n FROM nation JOIN region r ON r.r_regionkey = n_regionkey GROUP BY 1), e AS (SELECT CASE WHEN a.n_regionkey = b.n_regionkey THEN r.r_name ELSE 'bridge' END AS id, need FROM g JOIN nation a ON a.n_nationkey = src JOIN nation b ON b.n_nationkey = dst JOIN region r ON r.r_regionkey = a.n_regionkey), k AS (SELECT id, count(*) AS n, count(DISTINCT need) AS c FROM e GROUP BY 1) SELECT coalesce(p.id, k.id) AS id, coalesce(p.n, 0) AS nodes, coalesce(k.n, 0) AS edges, coalesce(c, 0) AS conditions FROM p FULL JOIN k ON p.id = k.id UNION ALL SELECT NULL, (SELECT count(*) FROM nation), (SELECT count(*) FROM g), 0")
@@ -344,8 +343,7 @@ def package_manifest(spark, sf_dir):
 @query("SELECT a.n_nationkey AS src, b.n_nationkey AS dst FROM nation a, nation b WHERE a.n_nationkey % 5 = 0 AND b.n_nationkey % 5 = 0 AND a.n_nationkey <> b.n_nationkey")
 def anchor_pairs(spark, sf_dir):
     """The explicit fast-travel edges; routing uses the hub rewrite instead, which needs no pairs."""
-    a = nodes(spark, sf_dir).filter("is_grace_anchor")
-    return a.select(F.col("id").alias("src")).join(a.select(F.col("id").alias("dst")), F.col("src") != F.col("dst"))
+    return graph.anchor_pairs(nodes(spark, sf_dir).filter("is_grace_anchor").select(F.col("id").alias("node")))
 
 
 # --- joins, aggregates, windows ----------------------------------------------------------------
@@ -393,11 +391,11 @@ def pair_mechanisms(spark, sf_dir):
     return R.two_sided(_t(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linenumber"), "l_orderkey", "l_returnflag", "l_linenumber", ("A", "R"))
 
 
-@query("WITH p AS (SELECT a.n_nationkey AS a, b.n_nationkey AS b, count(*) OVER (PARTITION BY a.n_nationkey) AS n FROM nation a JOIN nation b ON a.n_nationkey <> b.n_nationkey AND a.n_nationkey % 9 = b.n_nationkey % 9 AND contains(b.n_name, a.n_name)) SELECT a, b FROM p WHERE n = 1")
+@query("WITH p AS (SELECT a.n_nationkey AS a, b.n_nationkey AS b, count(*) OVER (PARTITION BY a.n_nationkey) AS n FROM nation a JOIN nation b ON a.n_nationkey <> b.n_nationkey AND a.n_regionkey = b.n_regionkey AND contains(b.n_name, a.n_name)) SELECT a, b FROM p WHERE n = 1")
 def theta_contains_unique(spark, sf_dir):
     n = _t(spark, sf_dir, "nation")
-    left = n.select((F.col("n_nationkey") % 9).alias("k"), F.col("n_nationkey").alias("a"), F.col("n_name").alias("x"))
-    right = n.select((F.col("n_nationkey") % 9).alias("k"), F.col("n_nationkey").alias("b"), F.col("n_name").alias("y"))
+    left = n.select(F.col("n_regionkey").alias("k"), F.col("n_nationkey").alias("a"), F.col("n_name").alias("x"))
+    right = n.select(F.col("n_regionkey").alias("k"), F.col("n_nationkey").alias("b"), F.col("n_name").alias("y"))
     # the row itself always contains its name; it is left out before the match is judged
     pairs = left.join(right.select("k", "b"), "k").filter("a <> b")
     return R.contains_unique(pairs.select("a", "x", "b"), right.select("b", "y"), "b", "x", "y", "a").select("a", "b")
@@ -415,12 +413,12 @@ def range_slice_join(spark, sf_dir):
     return R.range_slice(o, "start", "n", li, "o_orderkey", "l_linenumber").select("o_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("""WITH per AS (SELECT p_name AS k, p_brand AS o, count(*) AS n, min(p_partkey) AS v FROM part WHERE p_partkey % 10 = 0 GROUP BY 1, 2), l AS (SELECT p_partkey, p_name AS k, p_brand AS o FROM part)
+@query("""WITH per AS (SELECT p_name AS k, p_brand AS o, count(*) AS n, min(p_partkey) AS v FROM part GROUP BY 1, 2), l AS (SELECT p_partkey, p_name AS k, p_brand AS o FROM part)
 SELECT p_partkey, CASE WHEN x = 1 THEN 'exact' WHEN x > 1 THEN 'ambiguous' WHEN mine > 0 THEN 'own_only' ELSE 'not_found' END AS status, CASE WHEN x = 1 THEN v END AS match FROM (
   SELECT p_partkey, coalesce((SELECT sum(n) FROM per WHERE per.k = l.k AND per.o <> l.o), 0) AS x, coalesce((SELECT sum(n) FROM per WHERE per.k = l.k AND per.o = l.o), 0) AS mine, (SELECT min(v) FROM per WHERE per.k = l.k AND per.o <> l.o) AS v FROM l)""")
 def match_elsewhere(spark, sf_dir):
     p = _t(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
-    right = p.filter("p_partkey % 10 = 0").select("p_name", "p_brand", F.col("p_partkey").alias("v"))
+    right = p.select("p_name", "p_brand", F.col("p_partkey").alias("v"))
     return R.not_own_match(p, right, "p_name", "p_brand", "v").select("p_partkey", "status", "match")
 
 
@@ -475,7 +473,7 @@ def valid_ordinal(spark, sf_dir):
     return e.select("event_id", R.valid_ordinal(e, F.col("event_type") != "error", "user_id", "event_id").alias("ordinal"))
 
 
-@query("WITH c AS (SELECT a.o_orderkey AS q, b.p_partkey AS c, p_brand = 'Brand#4' AS f, p_size > 25 AS h FROM orders a JOIN part b ON b.p_partkey % 500 = a.o_orderkey % 500 WHERE a.o_orderkey < 2000), x AS (SELECT *, bool_or(f) OVER (PARTITION BY q) AS m FROM c), y AS (SELECT * FROM x WHERE f OR NOT m), z AS (SELECT *, bool_or(h) OVER (PARTITION BY q) AS m2 FROM y) SELECT q, c FROM z WHERE h OR NOT m2")
+@query("WITH c AS (SELECT a.o_orderkey AS q, b.p_partkey AS c, p_brand = 'Brand#4' AS f, p_size > 25 AS h FROM orders a JOIN part b ON b.p_partkey % 500 = a.o_orderkey % 500), x AS (SELECT *, bool_or(f) OVER (PARTITION BY q) AS m FROM c), y AS (SELECT * FROM x WHERE f OR NOT m), z AS (SELECT *, bool_or(h) OVER (PARTITION BY q) AS m2 FROM y) SELECT q, c FROM z WHERE h OR NOT m2")
 def narrow_candidates(spark, sf_dir):
     q = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("q"), (F.col("o_orderkey") % 500).alias("k"))
     c = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("c"), (F.col("p_partkey") % 500).alias("k"), "p_brand", "p_size")
@@ -487,16 +485,16 @@ def expression_dedup(spark, sf_dir):
     return R.content_dedup(_t(spark, sf_dir, "events"), F.col("props"))
 
 
-@query("SELECT c_custkey - s_suppkey AS k, count(*) AS n FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_custkey < 3000 GROUP BY 1")
+@query("SELECT c_custkey - s_suppkey AS k, count(*) AS n FROM customer JOIN supplier ON c_nationkey = s_nationkey GROUP BY 1")
 def offset_histogram(spark, sf_dir):
     c = _t(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("k"))
     s = _t(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("k"))
-    return c.join(s, "k").groupBy((F.col("c_custkey") - F.col("s_suppkey")).alias("k")).agg(F.count("*").alias("n"))
+    return R.offset_histogram(c, s, "k", "c_custkey", "s_suppkey")
 
 
 @query("SELECT split_part(o_orderpriority, '-', 1) AS prefix, count(*) AS n FROM orders GROUP BY 1")
 def prefix_histogram(spark, sf_dir):
-    return _t(spark, sf_dir, "orders").groupBy(F.split("o_orderpriority", "-")[0].alias("prefix")).agg(F.count("*").alias("n"))
+    return R.prefix_counts(_t(spark, sf_dir, "orders"), "o_orderpriority", "-")
 
 
 @query("SELECT p_name, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1")
@@ -552,9 +550,10 @@ def hier_prefix_filter(spark, sf_dir):
     return _keyed(spark, sf_dir).filter(K.under(F.col("key"), "m10_02"))
 
 
-@query(f"SELECT {_KEY[:-1].replace('m%02d_%02d_%02d', 'm%02d_%02d').replace(', p_partkey % 3', '')}) AS key, count(*) AS n FROM part GROUP BY 1")
+@query("SELECT printf('m%02d_%02d_%02d', p_size, p_partkey % 7, p_partkey % 3) AS key, count(*) AS n FROM part GROUP BY 1")
 def short_key_counts(spark, sf_dir):
-    return _keyed(spark, sf_dir).groupBy(F.substring_index("key", "_", 2).alias("key")).agg(F.count("*").alias("n"))
+    longer = _keyed(spark, sf_dir).withColumn("key", F.concat_ws("_", "key", (F.col("p_partkey") % 9).cast("string")))
+    return longer.groupBy(K.short_key(F.col("key")).alias("key")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT p_partkey FROM part WHERE list_contains(string_split(p_name, ' '), 'ring')")
@@ -606,17 +605,23 @@ def bilingual_pivot(spark, sf_dir):
     return localise.pivot_languages(p, "en", "zh")
 
 
-@query("""WITH d AS (SELECT p_name AS k, list_sort(list_distinct(list(p_brand))) AS t FROM part WHERE p_size < 10 GROUP BY 1),
-s AS (SELECT array_to_string(list_sort(string_split(p_name, ' ')), ' ') AS k, list_sort(list_distinct(list(p_brand))) AS t FROM part WHERE p_size < 10 GROUP BY 1),
-w AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'the ' || split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) ELSE upper(p_name) || '!' END AS x FROM part),
-v AS (SELECT p_partkey, trim(regexp_replace(lower(x), '[^a-z0-9 ]', ' ', 'g')) AS n, array_to_string(list_sort(list_filter(string_split(trim(regexp_replace(lower(x), '[^a-z0-9 ]', ' ', 'g')), ' '), lambda y: y NOT IN ('the', 'of', 'a', 'an'))), ' ') AS ws FROM w)
-SELECT p_partkey, CASE WHEN d.t IS NOT NULL THEN 'norm' WHEN s.t IS NOT NULL THEN 'wordset' END AS level, coalesce(array_to_string(coalesce(d.t, s.t), ','), '') AS targets FROM v LEFT JOIN d ON d.k = n LEFT JOIN s ON s.k = ws""")
+@query("""WITH d AS (SELECT p_name AS k, list_sort(list_distinct(list(p_brand))) AS t FROM part WHERE p_retailprice < 1000 GROUP BY 1),
+s AS (SELECT array_to_string(list_sort(string_split(p_name, ' ')), ' ') AS k, list_sort(list_distinct(list(p_brand))) AS t FROM part WHERE p_retailprice < 1000 GROUP BY 1),
+w AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'the ' || split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) WHEN 1 THEN p_name || 's' WHEN 2 THEN split_part(p_name, ' ', 2) || ', of a ' || split_part(p_name, ' ', 1) || 's' ELSE upper(p_name) || '!' END AS x FROM part),
+n AS (SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(x), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS n FROM w),
+v AS (SELECT p_partkey, n, regexp_replace(n, '([^s])s$', '\\1') AS g FROM n),
+k AS (SELECT p_partkey, n, g, array_to_string(list_sort(list_filter(string_split(n, ' '), lambda y: y NOT IN ('the', 'of', 'a', 'an'))), ' ') AS ws, array_to_string(list_sort(list_filter(string_split(g, ' '), lambda y: y NOT IN ('the', 'of', 'a', 'an'))), ' ') AS gs FROM v)
+SELECT p_partkey, CASE WHEN d.t IS NOT NULL THEN 'norm' WHEN s.t IS NOT NULL THEN 'wordset' WHEN e.t IS NOT NULL THEN 'singular' WHEN f.t IS NOT NULL THEN 'singular_wordset' END AS level, coalesce(array_to_string(coalesce(d.t, s.t, e.t, f.t), ','), '') AS targets
+FROM k LEFT JOIN d ON d.k = n LEFT JOIN s ON s.k = ws LEFT JOIN d e ON e.k = g LEFT JOIN s f ON f.k = gs""")
 def bilingual_lookup(spark, sf_dir):
     p = _t(spark, sf_dir, "part")
-    known = localise.dictionary(p.filter("p_size < 10").select(F.col("p_name").alias("source_text"), F.col("p_brand").alias("target_text")))
-    w = F.split("p_name", " ")
-    words = p.select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("the "), w[1], F.lit(" "), w[0])).otherwise(F.concat(F.upper("p_name"), F.lit("!"))).alias("x"))
-    got = localise.lookup(words, "x", materialize(known, "dictionary"))
+    known = localise.dictionary(p.filter("p_retailprice < 1000").select(F.col("p_name").alias("source_text"), F.col("p_brand").alias("target_text")))
+    w, k = F.split("p_name", " "), F.col("p_partkey") % 4
+    x = (
+        F.when(k == 0, F.concat(F.lit("the "), w[1], F.lit(" "), w[0])).when(k == 1, F.concat("p_name", F.lit("s")))
+        .when(k == 2, F.concat(w[1], F.lit(", of a "), w[0], F.lit("s"))).otherwise(F.concat(F.upper("p_name"), F.lit("!")))
+    )
+    got = localise.lookup(p.select("p_partkey", x.alias("x")), "x", materialize(known, "dictionary"))
     return got.select("p_partkey", "level", F.coalesce(F.array_join("targets", ","), F.lit("")).alias("targets"))
 
 

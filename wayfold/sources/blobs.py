@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator, Sequence
@@ -28,19 +29,27 @@ def scan_documents(spark: SparkSession, folder: str, name: str = r"^(.*)\.json$"
 
 @F.pandas_udf(T.StringType())
 def _inflate(chunks: pd.Series) -> pd.Series:
-    return chunks.map(lambda b: zlib.decompress(b).decode("utf-8"), na_action="ignore")
+    def one(b):
+        try:
+            return zlib.decompress(b).decode("utf-8")
+        except (zlib.error, UnicodeDecodeError):
+            return None
+
+    return chunks.map(one, na_action="ignore")
 
 
 def decode_chunks(parts: DataFrame, key: str = "key") -> tuple[DataFrame, DataFrame]:
     """(documents, failed) of base64 slices (key, part, parts, chunk): texts (key, text), and keys with a reason.
 
-    Parts must be 1 to parts, each once. A blob is one value of one row, as the format has it.
+    Parts must be 1 to parts, each once, and hold base64 of compressed UTF-8. A blob is one value of one row, as the format has it.
     """
     whole = parts.groupBy(key).agg(
         F.count("*").alias("n"), F.min("part").alias("lo"), F.max("part").alias("hi"), F.countDistinct("part").alias("d"), F.max("parts").alias("want"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "chunk"))), lambda x: x["chunk"]), "").alias("b64"))
     good = (F.col("lo") == 1) & (F.col("n") == F.col("want")) & (F.col("hi") == F.col("want")) & (F.col("d") == F.col("n"))
-    return whole.filter(good).select(key, _inflate(F.unbase64("b64")).alias("text")), whole.filter(~good).select(key, F.lit("parts are not contiguous").alias("reason"))
+    texts = whole.filter(good).select(key, _inflate(F.try_to_binary("b64", F.lit("base64"))).alias("text"))
+    failed = whole.filter(~good).select(key, F.lit("parts are not contiguous").alias("reason"))
+    return texts.filter("text is not null"), failed.union(texts.filter("text is null").select(key, F.lit("corrupt data").alias("reason")))
 
 
 def positional_rows(df: DataFrame, row: str, fields: Sequence[str], out: Sequence[str] | None = None) -> DataFrame:
@@ -160,3 +169,31 @@ def read_string_tables(files: DataFrame) -> DataFrame:
                 yield got
 
     return files.select("path", "content").mapInPandas(run, "path string, id long, text string, error string")
+
+
+def path_manifest(lines: DataFrame, value: str, pattern: str, fields: Sequence[str]) -> DataFrame:
+    """A column for each group of the pattern in lines that name a path; other lines are dropped."""
+    found = lines.filter(F.col(value).rlike(pattern))
+    return found.select(value, *[F.regexp_extract(value, pattern, i + 1).alias(f) for i, f in enumerate(fields)])
+
+
+def snapshot_path(snapshots: dict[str, str], key: str) -> str:
+    """The file of a snapshot key; an unknown key raises."""
+    if key not in snapshots:
+        raise KeyError(f"unknown snapshot {key!r}; known are {', '.join(sorted(snapshots))}")
+    return snapshots[key]
+
+
+def lookup_document(spark: SparkSession, folder: str, key: str, schema: str, valid: str = "^[A-Za-z0-9_]+$", default: bool = False) -> DataFrame:
+    """The rows of one key in a folder that write_by_key() wrote by the column `key`.
+
+    Only that key's files are read. A key that does not fit the pattern raises; without rows the
+    result is empty, or one row of nulls besides the key if default.
+    """
+    if not re.fullmatch(valid, key):
+        raise ValueError(f"invalid key {key!r}")
+    rows = spark.read.schema(f"{schema}, key string").json(folder).filter(F.col("key") == key)
+    if not default:
+        return rows
+    empty = spark.createDataFrame([(key,)], "key string")
+    return empty.join(rows, "key", "left").select(*rows.columns)

@@ -6,7 +6,9 @@ order in which the first record of an id wins. Every verdict is a column, so a l
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,18 +31,25 @@ class GraphTables:
 
 
 def read_packages(spark: SparkSession, manifest: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(files, failed) of a manifest (id, path, pos): whole texts (package_id, pos, text), and packages whose id or file is bad.
+    """(lines, failed) of a manifest (id, path in the folder, pos): (package_id, pos, line, raw), and packages whose id or file is bad.
 
-    A file that is missing or cannot be read fails alone: the folder is read once, and manifest rows
-    without a file are those that failed.
+    Files are read in splits, so a package may be of any size; a line's number is its place in its
+    split and the lines of the splits before it. Manifest rows without a file fail alone, files that
+    cannot be read are skipped and fail like absent ones. An empty file has no line and fails too.
     """
+    source = spark.read.option("ignoreCorruptFiles", True).text(folder)
+    name = F.get(F.split(F.col("_metadata.file_path"), re.escape(urlparse(folder).path.rstrip("/")) + "/", 2), F.lit(1))
+    raw = source.select(name.alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw"))
+    raw = materialize(raw, "raw")
+    splits = raw.groupBy("path", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = raw.join(splits.select("path", "block", "first", before.alias("before")), ["path", "block"])
+    lines = placed.select("path", (F.col("at") - F.col("first") + F.col("before") + 1).cast("int").alias("line"), F.regexp_replace("raw", "\r$", "").alias("raw"))
     names = manifest.filter(F.col("id").rlike(PACKAGE_ID))
-    whole = spark.read.text(folder, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("path"), F.col("value").alias("text"))
-    got = names.join(whole, "path", "left")
-    files = got.filter("text is not null").select(F.col("id").alias("package_id"), "pos", "text")
-    failed = got.filter("text is null").select(F.col("id").alias("package_id"), F.lit("file not found").alias("reason"))
+    got = lines.join(names, "path").select(F.col("id").alias("package_id"), "pos", "line", "raw")
+    failed = names.join(splits.select("path").distinct(), "path", "left_anti").select(F.col("id").alias("package_id"), F.lit("file not found").alias("reason"))
     bad = manifest.filter(~F.col("id").rlike(PACKAGE_ID)).select(F.col("id").alias("package_id"), F.lit("invalid package id").alias("reason"))
-    return files, failed.union(bad)
+    return got, failed.union(bad)
 
 
 def _is_string(v: Column) -> Column:
@@ -61,12 +70,13 @@ def _text(v, path: str) -> Column:
 
 
 def parse_lines(files: DataFrame) -> DataFrame:
-    """(package_id, pos, line, payload, state) of files (package_id, pos, text): a row for each line that is not blank.
+    """(package_id, pos, line, payload, state) of files (package_id, pos, text) or their lines (package_id, pos, line, raw): a row for each line that is not blank.
 
     state is ok, unparseable or no-envelope; header lines are ok and carry a schema.
     """
-    lines = files.select("package_id", "pos", F.posexplode(F.split("text", "\r?\n")).alias("i", "raw"))
-    lines = lines.filter(F.trim("raw") != "").select("package_id", "pos", (F.col("i") + 1).alias("line"), F.try_parse_json("raw").alias("payload"))
+    if "raw" not in files.columns:
+        files = files.select("package_id", "pos", F.posexplode(F.split("text", "\r?\n")).alias("i", "raw")).withColumn("line", F.col("i") + 1)
+    lines = files.filter(F.trim("raw") != "").select("package_id", "pos", "line", F.try_parse_json("raw").alias("payload"))
     v = F.col("payload")
     envelope = _is_string(_part(v, "$.type")) & _is_object(_part(v, "$.record")) | _text(v, "$.schema").isNotNull()
     return lines.withColumn("state", F.when(v.isNull(), "unparseable").when(~envelope, "no-envelope").otherwise("ok"))
