@@ -32,9 +32,9 @@ class BpeParams:
 
     ranks: str
     pattern: str
-    words_kept: int = 250_000
-    chunk: int = 40_000
-    slice_bytes: int = 4 << 20
+    words_kept: int = 150_000
+    chunk: int = 10_000
+    slice_bytes: int = 1 << 20
     long_word: int = 64
 
 
@@ -94,13 +94,14 @@ class Codec:
         import regex
 
         self.p = p
-        self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines()) if a}
+        ranks = self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines()) if a}
         self.split = regex.compile(p.pattern).findall
-        self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.joined: dict[str, str] = {}
-        self.decoded: dict[str, bytes] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
-        tokens = pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "tok": [t.decode("latin-1") for t in self.ranks], "n": pa.array([len(t) for t in self.ranks], pa.int32())})
+        #: Words whose decoded bytes are not the word's, with these; only they need to be kept.
+        self.odd: dict[str, bytes] = {}
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
+        tokens = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "tok": [t.decode("latin-1") for t in ranks], "n": pa.array([len(t) for t in ranks], pa.int32())})
         self.db.register("given", tokens)
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
         self.db.execute("""
@@ -111,6 +112,7 @@ class Codec:
         self.db.execute("""
             CREATE TABLE merges AS SELECT *, m IN (
               SELECT l FROM parts WHERE m < l UNION ALL SELECT r FROM parts WHERE m < r) AS single FROM parts""")
+        self.db.execute("DROP TABLE parts")
         self.db.execute("CREATE TABLE pairs AS SELECT (l::BIGINT << 32) | r AS lr, m FROM merges")
 
     def _contract(self, words: list[bytes], query: str) -> pa.Table:
@@ -126,18 +128,24 @@ class Codec:
         new = [x for x in words if x not in self.joined]
         if len(self.joined) + len(new) > self.p.words_kept:
             self.joined.clear()
-            self.decoded.clear()
+            self.odd.clear()
             new = list(words)
         coded = [x.encode() for x in new]
+        # a word that is a token is that token, whatever its merges
+        whole = {x: self.ranks[b] for x, b in zip(new, coded, strict=True) if b in self.ranks}
+        self._keep(list(whole), pa.array([[r] for r in whole.values()], pa.list_(pa.int32())), list(map(str, whole.values())))
+        new, coded = [x for x in new if x not in whole], [b for b in coded if b not in self.ranks]
         long = [len(b) > self.p.long_word for b in coded]
         for kind, query, size in ((False, _ENCODE, self.p.chunk), (True, _ENCODE_LONG, 1000)):
             group = [(x, b) for x, b, k in zip(new, coded, long, strict=True) if k is kind]
             for at in range(0, len(group), size):
                 part = group[at : at + size]
                 got = self._contract([b for _, b in part], query)
-                names = [part[i][0] for i in got.column("w").to_pylist()]
-                self.joined.update(zip(names, got.column("joined").to_pylist(), strict=True))
-                self.decoded.update(zip(names, self.decode(got.column("ids").combine_chunks()), strict=True))
+                self._keep([part[i][0] for i in got.column("w").to_pylist()], got.column("ids").combine_chunks(), got.column("joined").to_pylist())
+
+    def _keep(self, words: list[str], ids: pa.ListArray, joined: list[str]) -> None:
+        self.joined.update(zip(words, joined, strict=True))
+        self.odd.update((x, b) for x, b in zip(words, self.decode(ids), strict=True) if b != x.encode())
 
     def pieces(self, texts: list[str | None]) -> list[list[str]]:
         """The pattern's matches of each text, all of them known afterwards."""
@@ -149,6 +157,12 @@ class Codec:
         """The ids of a text in decimal, joined by a space."""
         return " ".join(map(self.joined.__getitem__, pieces))
 
+    def decoded(self, pieces: list[str]) -> bytes:
+        """The decoded bytes of a text: those of its words in order, which learn() decoded from their ids."""
+        if not self.odd:
+            return "".join(pieces).encode()
+        return b"".join([self.odd[x] if x in self.odd else x.encode() for x in pieces])
+
     def encode(self, pieces: list[str]) -> np.ndarray:
         return np.array(self.written(pieces).split(), dtype=np.int32)
 
@@ -220,7 +234,7 @@ def encode_decode(docs: DataFrame, p: BpeParams) -> DataFrame:
             codec, texts = _codec(lines, p), b.column("text").to_pylist()
             pieces = codec.pieces(texts)
             ids = [codec.encode(x) for x in pieces]
-            same = [b"".join(map(codec.decoded.__getitem__, x)) == (t or "").encode() for x, t in zip(pieces, texts, strict=True)]
+            same = [codec.decoded(x) == (t or "").encode() for x, t in zip(pieces, texts, strict=True)]
             keep = [n for n in b.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), pa.array(ids, pa.list_(pa.int32())), pa.array(same)], names=[*keep, "ids", "round_trip"])
 
@@ -238,7 +252,7 @@ def round_trip_digest(docs: DataFrame, p: BpeParams) -> DataFrame:
             codec = _codec(lines, p)
             pieces = codec.pieces(b.column("text").to_pylist())
             joined = [codec.written(x) for x in pieces]
-            back = [b"".join(map(codec.decoded.__getitem__, x)) for x in pieces]
+            back = [codec.decoded(x) for x in pieces]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([x.count(" ") + 1 if x else 0 for x in joined], pa.int64()), pa.array([sha(x.encode()) for x in joined], pa.string()), pa.array([sha(x) for x in back], pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
