@@ -32,9 +32,9 @@ class BpeParams:
 
     ranks: str
     pattern: str
-    words_kept: int = 150_000
-    chunk: int = 10_000
-    slice_bytes: int = 1 << 20
+    words_kept: int = 200_000
+    chunk: int = 20_000
+    slice_bytes: int = 2 << 20
     long_word: int = 64
 
 
@@ -78,6 +78,8 @@ WITH RECURSIVE t(w, pos, id, done) AS (
 SELECT w, ids, array_to_string(ids, ' ') AS joined FROM (SELECT w, list(id ORDER BY pos) AS ids FROM t WHERE done GROUP BY w)
 """
 
+#: Stands for no token, and is no Latin-1 character.
+_MARK_ID, _MARK = -1, "\u0100"
 #: Tokens are held as Latin-1 text, a character for each byte.
 _DECODE = """
 SELECT seq, string_agg(tok, '' ORDER BY pos) FROM (
@@ -113,6 +115,7 @@ class Codec:
             CREATE TABLE merges AS SELECT *, m IN (
               SELECT l FROM parts WHERE m < l UNION ALL SELECT r FROM parts WHERE m < r) AS single FROM parts""")
         self.db.execute("DROP TABLE parts")
+        self.db.execute("INSERT INTO vocabulary VALUES (?, ?, 0)", [_MARK_ID, _MARK])
         self.db.execute("CREATE TABLE pairs AS SELECT (l::BIGINT << 32) | r AS lr, m FROM merges")
 
     def _contract(self, words: list[bytes], query: str) -> pa.Table:
@@ -145,7 +148,19 @@ class Codec:
 
     def _keep(self, words: list[str], ids: pa.ListArray, joined: list[str]) -> None:
         self.joined.update(zip(words, joined, strict=True))
-        self.odd.update((x, b) for x, b in zip(words, self.decode(ids), strict=True) if b != x.encode())
+        self.odd.update((x, b) for x, b in zip(words, self._decode_words(ids), strict=True) if b != x.encode())
+
+    def _decode_words(self, ids: pa.ListArray, together: int = 256) -> list[bytes]:
+        """decode() of many short lists: so many are aggregated as one, with a mark after each."""
+        if not len(ids):
+            return []
+        sizes = np.diff(ids.offsets.to_numpy())
+        ends = np.cumsum(sizes + 1)
+        flat = np.full(ends[-1], _MARK_ID, dtype=np.int32)
+        flat[np.delete(np.arange(ends[-1]), ends - 1)] = ids.flatten().to_numpy()
+        cuts = np.append(np.append(0, ends)[:-1][::together], ends[-1]).astype(np.int32)
+        texts = self._texts(pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat)))
+        return [x.encode("latin-1") for t in texts for x in t.split(_MARK)[:-1]]
 
     def pieces(self, texts: list[str | None]) -> list[list[str]]:
         """The pattern's matches of each text, all of them known afterwards."""
@@ -166,15 +181,19 @@ class Codec:
     def encode(self, pieces: list[str]) -> np.ndarray:
         return np.array(self.written(pieces).split(), dtype=np.int32)
 
-    def decode(self, ids: pa.ListArray) -> list[bytes]:
-        """The bytes behind each list of ids; the bytes of a text are those of its words in order."""
+    def _texts(self, ids: pa.ListArray) -> list[str]:
+        """The tokens behind each list of ids, joined."""
         self.db.register("coded", pa.table({"seq": pa.array(np.arange(len(ids), dtype=np.int32)), "ids": ids}))
-        out = [b""] * len(ids)
+        out = [""] * len(ids)
         got = self.db.sql(_DECODE).to_arrow_table()
         for i, text in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
-            out[i] = text.encode("latin-1")
+            out[i] = text
         return out
 
+    def decode(self, ids: pa.ListArray) -> list[bytes]:
+        """The bytes behind each list of ids."""
+        return [t.encode("latin-1", "ignore") for t in self._texts(ids)]
+
 
 _CODECS: dict[tuple, Codec] = {}
 
