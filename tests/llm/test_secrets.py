@@ -43,3 +43,10 @@ def test_edges(spark):
     assert len(got) == 4 and sorted(len(x.spans) for x in got) == [0, 1, 1, 1]
     assert sorted(x.text for x in redact(df.drop("_h")).collect()) == ["", "<access>", "é <assign> b", "é <assign> b"]
     assert secret_digest(df.limit(0)).count() == 0
+
+
+def test_extra_columns_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "password=abcdef99", "h", "r", 5)], "doc_id long, text string, _h string, _row string, _id int")
+    got = secret_spans(df, keep_text=True)
+    assert got.columns == [*df.columns, "spans"] and got.drop("spans").collect() == df.collect() and len(got.first().spans) == 1
+    assert redact(df).first().text == "<assign>" and redact(df).first()._row == "r"

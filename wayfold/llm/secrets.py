@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm.spans import Kind, count_kind, spans_sql, with_spans, written
+from wayfold.storage import materialize
 
 _ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 _FOLD = {c: f"[{c.upper()}{c}]" for c in "abcdefghijklmnopqrstuvwxyz"}
@@ -47,8 +48,11 @@ ADDED = [
 
 @dataclass(frozen=True)
 class SecretParams:
+    """broadcast_rows is the most candidates that are broadcast to their texts; more are joined by a shuffle."""
+
     kinds: tuple[Kind, ...] = (*BASE, *ADDED)
     n_base: int = len(BASE)
+    broadcast_rows: int = 200_000
 
 
 def _sequence(nodes, most: int = 64) -> tuple[list[frozenset], set[str] | None]:
@@ -160,16 +164,19 @@ def secret_spans(docs: DataFrame, p: SecretParams = SecretParams(), keep_text: b
     """
     kinds = list(p.kinds)
     docs = docs.drop("spans").withColumn("text", F.coalesce("text", F.lit("")))
-    others = [c for c in docs.columns if keep_text or c != "text"]
-    queries = [trigram_query(k.regex.replace("++", "+").replace("}+", "}")) for k in kinds]
+    others = F.struct(*[c for c in docs.columns if keep_text or c != "text"])
+    docs = docs.select(others.alias("_row"), "doc_id", "text")
+    queries = [trigram_query(k.regex) for k in kinds]
     if any(queries):
-        found = candidates(docs, queries).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("rules").alias("_rules"))
+        found = materialize(candidates(docs, queries).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("rules").alias("_rules")), "candidates")
+        if found.count() <= p.broadcast_rows:  # texts then stay where they are
+            found = F.broadcast(found)
         docs = docs.withColumn("_h", F.xxhash64("text"))
         docs = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (F.col("_h") == F.col("_hash")), "left")
         given = F.array(*[F.coalesce(F.get("_rules", F.lit(i)), F.lit(False)) if q else F.lit(True) for i, q in enumerate(queries)])
         docs = docs.withColumn("_given", given)
-        return with_spans(docs, "text", kinds, "spans", F.col("_given")).select(*others, "spans")
-    return with_spans(docs, "text", kinds, "spans").select(*others, "spans")
+        return with_spans(docs, "text", kinds, "spans", F.col("_given")).select("_row.*", "spans")
+    return with_spans(docs, "text", kinds, "spans").select("_row.*", "spans")
 
 
 def secret_digest(docs: DataFrame, p: SecretParams = SecretParams()) -> DataFrame:
