@@ -1,3 +1,8 @@
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from tests.llm.test_near_dup import brute as near_brute
 from wayfold.storage import materialize
@@ -33,3 +38,21 @@ def test_near_duplicates_without_and_with_repeated_ids(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((str(r.doc_id), r.text) for r in cp.near_duplicates(spark, df, "").collect())
     assert got == sorted([("None", text(0)), ("5", text(1) + " tail"), ("6", text(2)), ("7", text(3)), ("7", text(4)), ("None", text(5))])
+
+
+def test_empty_long_and_repeated_documents_with_extra_columns(spark, tmp_path):
+    spark.createDataFrame([(1, "b " * 20)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(1, long, "s", 0, "x"), (1, long, "s", 0, "y"), (2, "", "s", 0, "x"), (None, None, None, None, None), (3, " ".join(f"v{i}" for i in range(80)), None, 0, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, lines string").withColumn("lang", F.lit("en")).withColumn("_row", F.lit(7))
+    for docs, ids in ((df, [1, 3]), (df.limit(0), [])):
+        for _, stage in cp.STAGES:
+            docs = materialize(stage(spark, docs, str(tmp_path)))
+        assert sorted(r.doc_id for r in docs.collect()) == ids
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_whole_small_tables(spark):
+    out = cp.run(spark, "/root/testdata/sf0.001")
+    kept = out.count()
+    assert 0 < kept < spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count() and out.filter("round_trip").count() == kept
