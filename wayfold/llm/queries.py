@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfold.llm import bpe, chat, decontam, html, near_dup, passages, pii, quality, secrets, toxicity, vector_codes
+from wayfold.llm import bpe, chat, decontam, html, near_dup, passages, pii, quality, secrets, speculate, toxicity, vector_codes
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,12 +51,16 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op11_bpe_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return speculate.round_trip_digest(_read(spark, sf_dir, "documents"), speculate.default_params())
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.code_digest(_read(spark, sf_dir, "embeddings"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_toxicity, op3_decontamination, op4_chat_formatting, op5_secret_scan, op6_bpe, op7_html_text, op8_substring_dedup, op9_pii, op10_near_dup, op12_vector_codes)
+    for f in (op1_quality_rules, op2_toxicity, op3_decontamination, op4_chat_formatting, op5_secret_scan, op6_bpe, op7_html_text, op8_substring_dedup, op9_pii, op10_near_dup, op11_bpe_verified, op12_vector_codes)
 }
 ORACLE_SQL = {"op1_quality_rules": quality.ORACLE_SQL, "op3_decontamination": decontam.ORACLE_SQL, "op4_chat_formatting": chat.ORACLE_SQL, "op5_secret_scan": secrets.ORACLE_SQL, "op10_near_dup": near_dup.ORACLE_SQL, "op12_vector_codes": vector_codes.ORACLE_SQL}
