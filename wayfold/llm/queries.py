@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfold.llm import bpe, chat, decontam, html, near_dup, passages, pii, quality, secrets, speculate, toxicity, vector_codes
+from wayfold.llm import align, bpe, chat, decontam, html, near_dup, passages, pii, quality, secrets, speculate, toxicity, vector_codes
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,8 +59,12 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.code_digest(_read(spark, sf_dir, "embeddings"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment_digest(_read(spark, sf_dir, "documents"), align.default_params())
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_toxicity, op3_decontamination, op4_chat_formatting, op5_secret_scan, op6_bpe, op7_html_text, op8_substring_dedup, op9_pii, op10_near_dup, op11_bpe_verified, op12_vector_codes)
+    for f in (op1_quality_rules, op2_toxicity, op3_decontamination, op4_chat_formatting, op5_secret_scan, op6_bpe, op7_html_text, op8_substring_dedup, op9_pii, op10_near_dup, op11_bpe_verified, op12_vector_codes, op13_token_alignment)
 }
 ORACLE_SQL = {"op1_quality_rules": quality.ORACLE_SQL, "op3_decontamination": decontam.ORACLE_SQL, "op4_chat_formatting": chat.ORACLE_SQL, "op5_secret_scan": secrets.ORACLE_SQL, "op10_near_dup": near_dup.ORACLE_SQL, "op12_vector_codes": vector_codes.ORACLE_SQL}

@@ -14,6 +14,7 @@ import hashlib
 import heapq
 import json
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import chain
 
@@ -246,6 +247,43 @@ class Merges:
         return every[spread(starts, counts)], counts
 
 
+class WordPool:
+    """The words that one Python worker has met, with their ids in one array; both are forgotten when they grow too large.
+
+    encode gives (ids, counts) of new words; fixed holds words of one given id.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], words_kept: int, bytes_kept: int, fixed: dict[str, int] | None = None):
+        self.encode, self.words_kept, self.bytes_kept, self.fixed = encode, words_kept, bytes_kept, fixed or {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number = {w: k for k, w in enumerate(self.fixed)}
+        self.pool, self.counts = np.array(list(self.fixed.values()), dtype=np.int64), np.ones(len(self.fixed), dtype=np.int64)
+        self.kept = 0
+
+    def _learn(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self.number]
+        if len(self.number) + len(new) > self.words_kept or self.kept > self.bytes_kept:
+            self._forget()
+            new = [w for w in words if w not in self.number]
+        if new:
+            ids, counts = self.encode(new)
+            at = len(self.number)
+            self.number.update(zip(new, range(at, at + len(new)), strict=True))
+            self.pool, self.counts = np.append(self.pool, ids), np.append(self.counts, counts)
+            self.kept += sum(map(len, new))
+
+    def ids(self, words: list[list[str]], every: set[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts) of lists of words, one list after the other; every holds all different words."""
+        self._learn(every)
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        numbers = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=sizes.sum())
+        many = self.counts[numbers]
+        ends = np.append(0, np.cumsum(many))[np.cumsum(sizes)]
+        return self.pool[spread((np.cumsum(self.counts) - self.counts)[numbers], many)], np.diff(np.append(0, ends))
+
+
 class Codec:
     """A tokenizer's tables and the words that one Python worker has met."""
 
@@ -280,13 +318,7 @@ class Codec:
             sizes[i] = len(b)
         self.token_sizes, self.token_at = sizes, np.cumsum(sizes) - sizes
         self.token_bytes = np.frombuffer(b"".join(token.get(i, b"") for i in range(len(sizes))), dtype=np.uint8)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.number: dict[str, int] = {s: k for k, s in enumerate(self.special)} if self.p.special else {}
-        self.pool = [np.array(list(self.special.values())[: len(self.number)], dtype=np.int64)]
-        self.counts = [np.ones(len(self.number), dtype=np.int64)]
-        self.kept = 0
+        self.pool = WordPool(self._encode, p.words_kept, p.bytes_kept, self.special if p.special else None)
 
     def split(self, text: str, with_late: bool = False) -> list[str]:
         """The words of a text in order; a special token is one word. with_late: the text holds letters of later versions."""
@@ -315,34 +347,12 @@ class Codec:
             every = set(chain.from_iterable(out))
         return out, every
 
-    def _learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.number]
-        if len(self.number) + len(new) > self.p.words_kept or self.kept > self.p.bytes_kept:
-            self._forget()
-            new = [w for w in words if w not in self.number]
-        if not new:
-            return
-        coded = [w.encode("utf-8", "replace") for w in new]
-        ids, counts = self.merges.encode(coded, self.p.long_word)
-        at = len(self.number)
-        self.number.update(zip(new, range(at, at + len(new)), strict=True))
-        self.pool.append(ids)
-        self.counts.append(counts)
-        self.kept += sum(map(len, coded))
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self.merges.encode([w.encode("utf-8", "replace") for w in words], self.p.long_word)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts): the ids of all texts one after the other, and how many each has."""
-        words, every = self.split_all(texts)
-        self._learn(every)
-        self.pool, self.counts = [np.concatenate(self.pool)], [np.concatenate(self.counts)]
-        pool, counts = self.pool[0], self.counts[0]
-        starts = np.cumsum(counts) - counts
-        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        numbers = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=sizes.sum())
-        many = counts[numbers]
-        ends = np.append(0, np.cumsum(many))
-        text_ends = ends[np.cumsum(sizes)]
-        return pool[spread(starts[numbers], many)], np.diff(np.append(0, text_ends))
+        return self.pool.ids(*self.split_all(texts))
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """The bytes behind each list of ids; ids outside the vocabulary have none."""
