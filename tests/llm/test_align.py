@@ -70,11 +70,11 @@ def sample(seed, n=60):
     return [*out, None, "", " ", "a▁b", "▁", "é" * 300, " two  spaces  ", "中" * 200, "x" * 400]
 
 
-@pytest.mark.parametrize("size", [4 << 20, 200, 1])
-def test_same_as_brute_force(spark, libraries, size):
+@pytest.mark.parametrize("size, chars", [(4 << 20, 1 << 19), (200, 30), (1, 1)])
+def test_same_as_brute_force(spark, libraries, size, chars):
     rows = list(enumerate(sample(size))) + [(3, sample(size)[3])] * 2 + [(None, "the end")]
     df = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], "doc_id long, text string, links string, slice long, n_best int").repartition(3)
-    p = A.AlignParams(P.first, P.second, slice_bytes=size)
+    p = A.AlignParams(P.first, P.second, slice_bytes=size, piece_chars=chars)
     assert sorted(map(tuple, A.alignment_digest(df, p).collect()), key=str) == brute(libraries, rows)
 
 

@@ -29,13 +29,18 @@ from wayfold.storage import materialize
 
 @dataclass(frozen=True)
 class AlignParams:
-    """first: the byte-level tokenizer A; second: path of a SentencePiece model, B; slice_bytes of text are aligned at once."""
+    """first: the byte-level tokenizer A; second: path of a SentencePiece model, B.
+
+    slice_bytes of text share one table of pairs; of these, piece_chars are aligned at once, so that
+    a very long text is worked in pieces too. words_kept and bytes_kept bound a worker's memory of B's words.
+    """
 
     first: SpeculateParams
     second: str
     words_kept: int = 200_000
     bytes_kept: int = 8 << 20
     slice_bytes: int = 4 << 20
+    piece_chars: int = 1 << 19
 
 
 def default_params() -> AlignParams:
@@ -73,7 +78,14 @@ def overlaps(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.nda
     """
     ends = np.sort(np.concatenate([a_ends, b_ends]), kind="stable")  # two sorted runs, which are merged
     ends = ends[np.append(True, ends[1:] != ends[:-1])[: len(ends)]]
-    return np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
+    return tuple(_before(x, ends) for x in (a_ends, b_ends))
+
+
+def _before(some: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many of some, which all are among the ends, are less than each end."""
+    marks = np.zeros(len(ends), dtype=np.int64)
+    marks[np.searchsorted(ends, some)] = 1
+    return np.cumsum(marks) - marks
 
 
 def _joined(ids: np.ndarray, counts: np.ndarray, sizes: np.ndarray, at: np.ndarray, data: np.ndarray) -> list[bytes]:
@@ -83,6 +95,9 @@ def _joined(ids: np.ndarray, counts: np.ndarray, sizes: np.ndarray, at: np.ndarr
     return [every[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
 
 
+FIGURES = ["n_a", "n_b", "n_groups", "n_links"]
+
+
 class Aligner:
     """Both tokenizers of one Python worker."""
 
@@ -96,7 +111,10 @@ class Aligner:
         names = [self.model.id_to_piece(i) for i in range(n)]
         pieces = [bytes([int(x[3:5], 16)]) if self.model.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names)]
         # where no piece goes on with a space after another character, merges never cross such a place
-        self.chunks = None if any("▁" in x.lstrip("▁") for x in names) else regex.compile(r" +[^ ]*").findall
+        self.chunked = not any("▁" in x.lstrip("▁") for x in names)
+        self.chunks = regex.compile(r" +[^ ]*").findall
+        # tokens of neither side cross the place before a lone space
+        self.gap = regex.compile(r"(?<=\S) (?=\S)").search
         self.space = self.model.piece_to_id("▁")
         self.pool = WordPool(self._pieces, p.words_kept, p.bytes_kept)
         self.sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=n)
@@ -107,40 +125,102 @@ class Aligner:
         self.m, self.n = m, n
 
     def _pieces(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        # the model puts a space before each text, which stands for the chunk's first one
-        lists = [[self.space] if len(c) == 1 else x for c, x in zip(chunks, self.model.encode([c[1:] for c in chunks], num_threads=1), strict=True)]
+        # the model puts a space before each text, which stands for the chunk's first one; it puts none before an empty text
+        lists = [x if c else [self.space] for c, x in zip(chunks, self.model.encode(chunks, num_threads=1), strict=True)]
         counts = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
         return np.fromiter(chain.from_iterable(lists), dtype=np.int64, count=counts.sum()), counts
 
-    def second(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def _chunks(self, text: str) -> list[str]:
+        """The chunks of a text that begins with a space, each without its first space."""
+        if not self.chunked:
+            return [text[1:]]
+        if "  " not in text:
+            return text[1:].split(" ")
+        return [c[1:] for c in self.chunks(text)]
+
+    def second(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts) of B for texts that begin with the space that the model adds."""
-        chunks = [[] if not t else [t] if self.chunks is None else self.chunks(t) for t in texts]
+        chunks = list(map(self._chunks, texts))
         return self.pool.ids(chunks, set(chain.from_iterable(chunks)))
 
-    def align(self, texts: list[str | None]) -> dict:
-        """For the texts together: figures of each, its groups as text, and its links as numbers of the slice's different pairs."""
-        texts = [f" {t}" if t else None for t in texts]
+    def cut(self, text: str, chars: int) -> list[str]:
+        """The text in pieces of about so many characters, each from the second on with the space that begins it."""
+        out, at = [], 0
+        while self.chunked and len(text) - at > chars and (gap := self.gap(text, at + chars)):
+            out.append(text[at : gap.start()])
+            at = gap.start()
+        return [*out, text[at:]]
+
+    def align(self, texts: list[str | None], chars: int, digest: bool) -> dict:
+        """For the texts together: figures of each, its groups as text or SHA-256, and its links as numbers of all different pairs.
+
+        Pieces are aligned some at a time; of each text only its different pairs and their numbers are kept meanwhile.
+        """
+        n, pieces = len(texts), [(i, x) for i, t in enumerate(texts) if t for x in self.cut(f" {t}", chars)]
+        figures, bad = np.zeros((len(FIGURES), n), dtype=np.int64), np.zeros(n, dtype=bool)
+        written: list[list] = [[] for _ in texts]
+        shas, held = {}, []
+        at = 0
+        while at < len(pieces):
+            end, size = at, 0
+            while end < len(pieces) and (end == at or size + len(pieces[end][1]) <= chars):
+                size += len(pieces[end][1])
+                end += 1
+            of = np.array([i for i, _ in pieces[at:end]])
+            good, counts, groups, (text, pair, times) = self._align([x for _, x in pieces[at:end]])
+            bad[of[~good]] = True
+            for k in range(len(FIGURES)):
+                np.add.at(figures[k], of, counts[k])
+            for i, g in zip(of.tolist(), groups, strict=True):
+                if digest:
+                    sha = shas.get(i)
+                    if sha is None:
+                        sha = shas[i] = hashlib.sha256()
+                    else:
+                        sha.update(b";")
+                    sha.update(g.encode())
+                else:
+                    written[i].append(g)
+            held.append((of[text], pair, times))
+            at = end
+        text, pair, times = (np.concatenate([np.empty(0, np.int64), *(h[k] for h in held)]) for k in range(3))
+        kept = ~bad[text]
+        text, pair, times = text[kept], pair[kept], times[kept]
+        pairs, which = np.unique(pair, return_inverse=True)
+        # a text in pieces has met a pair more than once
+        own, first = np.unique(text * max(1, len(pairs)) + which, return_inverse=True)
+        times = np.bincount(first, weights=times, minlength=len(own)).astype(np.int64)  # far below 2^53
+        links = own % max(1, len(pairs))
+        figures[:, bad] = 0
+        some = lambda i: texts[i] and not bad[i]
+        groups = [("" if not some(i) else shas[i].hexdigest() if digest else ";".join(written[i])) for i in range(n)]
+        seen = np.bincount(links, weights=times, minlength=len(pairs)).astype(np.int64)
+        return dict(zip(FIGURES, figures, strict=True)) | {
+            "groups": groups, "pairs": pairs, "seen": seen, "links": links, "times": times, "per_text": np.bincount(own // max(1, len(pairs)), minlength=n)}
+
+    def _align(self, texts: list[str]) -> tuple:
+        """(good, figures, groups, (text, pair, times)) of texts that begin with a space: whether their tokens give them back, and their different pairs."""
+        n = len(texts)
         a, a_n = self.a.encode(texts)
         b, b_n = self.second(texts)
         one, two = self.a.decode(a, a_n), _joined(b, b_n, self.sizes, self.at, self.data)
-        good = np.array([t is not None and x == y == t.encode("utf-8", "replace") for t, x, y in zip(texts, one, two, strict=True)], dtype=bool)
-        a, b = a[np.repeat(good, a_n)], b[np.repeat(good, b_n)]
-        a_n, b_n = np.where(good, a_n, 0), np.where(good, b_n, 0)
+        good = np.array([x == y == t.encode("utf-8", "replace") for t, x, y in zip(texts, one, two, strict=True)], dtype=bool)
+        del one, two
+        if not good.all():
+            a, b = a[np.repeat(good, a_n)], b[np.repeat(good, b_n)]
+            a_n, b_n = np.where(good, a_n, 0), np.where(good, b_n, 0)
         i, j = overlaps(np.cumsum(self.a.token_sizes[a]), np.cumsum(self.sizes[b]))
         root = components(i, len(a) + j, len(a) + len(b))
         first = root[: len(a)] == np.arange(len(a))  # each component's least token is one of A
         a_group = np.cumsum(first) - 1
         b_group = a_group[root[len(a) :]]
-        text_of = np.repeat(np.arange(len(texts)), a_n)
+        text_of = np.repeat(np.arange(n), a_n)
         of = text_of[i]
-        pairs, which, seen = np.unique(a[i] << 32 | b[j], return_inverse=True, return_counts=True)
+        pairs, which = np.unique(a[i] << 32 | b[j], return_inverse=True)
         own, times = np.unique(of * max(1, len(pairs)) + which, return_counts=True)
-        per_text = np.bincount(own // max(1, len(pairs)), minlength=len(texts))
-        return {
-            "n_a": a_n, "n_b": b_n, "n_groups": np.bincount(text_of[first], minlength=len(texts)), "n_links": np.bincount(of, minlength=len(texts)),
-            "groups": self._written(a, b, a_group, b_group, a_n + b_n, np.cumsum(b_n)), "pairs": pairs, "seen": seen,
-            "links": own % max(1, len(pairs)), "times": times, "per_text": per_text,
-        }
+        figures = [a_n, b_n, np.bincount(text_of[first], minlength=n), np.bincount(of, minlength=n)]
+        groups = self._written(a, b, a_group, b_group, a_n + b_n, np.cumsum(b_n))
+        return good, figures, groups, (own // max(1, len(pairs)), pairs[own % max(1, len(pairs))], times)
 
     def _written(self, a, b, a_group, b_group, sizes, b_ends) -> list[str]:
         """Each text's groups, a1,a2|b1;a3|b2: tokens are put in their places by counting those of the groups before."""
@@ -158,7 +238,6 @@ class Aligner:
 
 
 _ALIGNERS: dict[AlignParams, Aligner] = {}
-FIGURES = ["n_a", "n_b", "n_groups", "n_links"]
 
 
 def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
@@ -192,8 +271,8 @@ def aligned(docs: DataFrame, p: AlignParams, digest: bool = False) -> DataFrame:
         number = TaskContext.get().partitionId() << 32
         for s in slices(batches, "text", p.slice_bytes):
             number += 1
-            x = aligner().align(text_list(s.column(s.schema.get_field_index("text"))))
-            groups = [g and hashlib.sha256(g.encode()).hexdigest() for g in x["groups"]] if digest else x["groups"]
+            x = aligner().align(text_list(s.column(s.schema.get_field_index("text"))), p.piece_chars, digest)
+            groups = x["groups"]
             kept = [s.column(s.schema.get_field_index(c)) for c in rest]
             none = lambda kind: pa.nulls(len(groups), kind)
             yield pa.RecordBatch.from_arrays(
