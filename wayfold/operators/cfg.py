@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from wayfold.operators.scans import carry_forward
+from wayfold.storage import discard, materialize
+
 EVENT = ("map_id", "event_id")
 _COMPILED_END = "END IF Condition Group State (Compiled)"
 
@@ -52,43 +54,89 @@ def successors(instructions: DataFrame) -> DataFrame:
     return d.select(*EVENT, "index", "name", F.posexplode(ways).alias("rank", "b")).select(*EVENT, "index", "name", "b.target", "b.taken", "rank")
 
 
-def bounded_paths(branches: DataFrame, targets: DataFrame, most_paths: int = 32, most_steps: int = 512) -> DataFrame:
+def blocks(branches: DataFrame, targets: DataFrame) -> DataFrame:
+    """(event, at, ways): straight runs of instructions by their first one, and where each run leads.
+
+    A run begins at instruction 0, at a target (event, goal) and wherever a branch leads, and ends at the next branch or before
+    the next beginning; nothing enters it elsewhere. ways lists (target, step) of the branches that
+    do not end the event, in order; step is index:taken, null where nothing is decided.
+    """
+    each = branches.groupBy(*EVENT, "index").agg(F.array_sort(F.collect_list(F.struct("rank", "target", "taken"))).alias("b"))
+    first = F.col("b")[0]
+    plain = (F.size("b") == 1) & first["taken"].isNull()
+    way = F.filter("b", lambda x: x["target"].isNotNull())
+    ways = F.transform(way, lambda x: F.struct(x["target"].alias("target"), F.concat_ws(":", F.col("index").cast("string"), x["taken"]).alias("_step"), x["taken"].alias("taken")))
+    ways = F.transform(ways, lambda x: F.struct(x["target"].alias("target"), F.when(x["taken"].isNotNull(), x["_step"]).alias("step")))
+    each = materialize(each.select(*EVENT, "index", plain.alias("plain"), F.when(plain, first["target"]).alias("next"), ways.alias("ways")), "steps")
+    led = each.filter(~F.col("plain")).select(*EVENT, F.explode("ways.target").alias("index"))
+    starts = led.union(each.select(*EVENT, F.lit(0).alias("index"))).union(targets.select(*EVENT, F.col("goal").alias("index"))).distinct()
+    starts = starts.withColumn("starts", F.lit(True))
+    follows = starts.select(*EVENT, (F.col("index") - 1).alias("index"), F.lit(True).alias("_stop"))
+    marked = each.join(starts, [*EVENT, "index"], "left").join(follows, [*EVENT, "index"], "left")
+    ends = ~F.col("plain") | F.col("next").isNull() | F.col("_stop").isNotNull()
+    # the end of a run is the nearest one from here on: a scan in falling order
+    marked = marked.withColumns({"end": F.when(ends, F.struct("index", "ways")), "_back": -F.col("index")})
+    return carry_forward(marked, "end", EVENT, "_back").filter("starts").select(*EVENT, F.col("index").alias("at"), F.col("end.ways").alias("ways"))
+
+
+def bounded_paths(branches: DataFrame, targets: DataFrame, most_paths: int = 32, most_steps: int = 512, together: int = 64, max_rounds: int = 100_000) -> DataFrame:
     """(event, target_index, path, trace, truncated): simple paths from instruction 0 to each target, depth first.
 
     branches: successors(); targets: event, target_index. trace lists index:taken of the decisions.
-    A target's first most_paths paths are given, and truncated tells that the search was cut. The
-    order and the cut are sequential by nature, so an event's instructions are one task's group.
+    A target's first most_paths paths are given, and truncated tells that the search was cut: a
+    path that runs into itself, out of the event or over most_steps decisions before the last given path, or a branch left after it.
+
+    A round follows the first `together` unfinished paths of each target by one straight run (blocks()). A path's key
+    is the list of the branches it took, so the order of keys is the depth-first order: when a
+    target has most_paths paths, those with a greater key are dropped, and it ends when no lesser one is open.
     """
-    way = branches.select(*EVENT, F.col("index").alias("at"), "target", "taken", "rank", F.lit(None).cast("int").alias("goal"))
-    goals = targets.select(*EVENT, F.col("target_index").cast("int").alias("goal"))
-    shape = "map_id string, event_id long, target_index int, path int, trace array<string>, truncated boolean"
-
-    def search(ways: dict[int, list], goal: int) -> tuple[list[list[str]], bool]:
-        paths, cut, stack = [], False, [(0, (), frozenset())]
-        while stack:
-            at, trace, seen = stack.pop()
-            if at == goal:
-                paths.append(list(trace))
-                if len(paths) >= most_paths:
-                    return paths, cut or bool(stack)
-            elif at not in ways or at in seen or len(trace) > most_steps:
-                cut = True
-            else:
-                stack += [(t, trace + ((f"{at}:{k}",) if k else ()), seen | {at}) for t, k in reversed(ways[at]) if t is not None]
-        return paths, cut
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        ways: dict[int, list] = {}
-        for at, target, taken in pdf[pdf["goal"].isna()].sort_values(["at", "rank"])[["at", "target", "taken"]].itertuples(index=False):
-            ways.setdefault(int(at), []).append((None if pd.isna(target) else int(target), taken if isinstance(taken, str) else None))
-        out = []
-        for goal in sorted({int(g) for g in pdf["goal"].dropna()}):
-            paths, cut = search(ways, goal)
-            out += [(*key, goal, i, p, cut) for i, p in enumerate(paths)] or [(*key, goal, None, [], cut)]
-        got = pd.DataFrame(out, columns=[*EVENT, "target_index", "path", "trace", "truncated"])
-        return got.astype({"path": "Int32"})
-
-    return way.unionByName(goals, allowMissingColumns=True).groupBy(*EVENT).applyInPandas(run, shape)
+    key, goal = [*EVENT, "goal"], targets.select(*EVENT, F.col("target_index").cast("int").alias("goal")).dropna().distinct()
+    goal = materialize(goal, "targets")
+    runs = materialize(blocks(branches, goal), "runs")
+    steps, numbers = F.array().cast("array<string>"), F.array().cast("array<int>")
+    start = goal.select(*key, F.lit(0).alias("at"), numbers.alias("key"), steps.alias("trace"), numbers.alias("seen"), F.lit(False).alias("more"))
+    open_ = materialize(start, "open")
+    found = cuts = None
+    first = W.partitionBy(*key).orderBy("key")
+    for _ in range(max_rounds):
+        if open_.isEmpty():
+            break
+        ranked = open_.withColumn("_r", F.row_number().over(first))
+        met = ranked.filter(F.col("_r") <= together).join(runs, [*EVENT, "at"], "left")
+        over = F.col("ways").isNull() | F.array_contains("seen", F.col("at")) | (F.size("trace") > most_steps)
+        met = materialize(met.withColumn("state", F.when(F.col("at") == F.col("goal"), "found").when(over, "cut").otherwise("open")), "met")
+        new = met.filter("state = 'found'").select(*key, "key", "trace", "more")
+        if not new.isEmpty():
+            every = new if found is None else found.union(new)
+            found = materialize(every.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= most_paths).drop("_r"), "found")
+        cut = met.filter("state = 'cut'").groupBy(*key).agg(F.min("key").alias("key"))
+        if not cut.isEmpty():
+            cuts = materialize(cut if cuts is None else cuts.union(cut).groupBy(*key).agg(F.min("key").alias("key")), "cuts")
+        several, last = F.size("ways") > 1, F.size("ways") - 1
+        child = met.filter("state = 'open'").select(*key, "key", "trace", "seen", "more", "at", "ways", F.posexplode("ways").alias("i", "w"))
+        child = child.select(
+            *key, F.col("w.target").alias("at"), F.when(several, F.array_append("key", F.col("i"))).otherwise(F.col("key")).alias("key"),
+            F.when(F.col("w.step").isNotNull(), F.array_append("trace", F.col("w.step"))).otherwise(F.col("trace")).alias("trace"),
+            F.array_append("seen", F.col("at")).alias("seen"), (F.col("more") | (F.col("i") < last)).alias("more"))
+        rest = child.union(ranked.filter(F.col("_r") > together).drop("_r"))
+        if found is not None:
+            full = found.groupBy(*key).agg(F.count("*").alias("n"), F.max("key").alias("last")).filter(F.col("n") >= most_paths)
+            rest = rest.join(full, key, "left").filter(F.col("last").isNull() | (F.col("key") < F.col("last"))).drop("n", "last")
+        fresh = materialize(rest, "open")
+        discard(open_, met)
+        open_ = fresh
+    else:
+        raise RuntimeError("paths did not end")
+    empty = start.select(*key, "key", "trace", "more").limit(0)
+    found = empty if found is None else found
+    cuts = empty.select(*key, "key") if cuts is None else cuts
+    ends = found.groupBy(*key).agg(F.count("*").alias("n"), F.max(F.struct("key", "more")).alias("last"))
+    told = goal.join(ends, key, "left").join(cuts.withColumnRenamed("key", "cut"), key, "left")
+    whole = F.coalesce(F.col("n"), F.lit(0)) >= most_paths
+    truncated = F.when(whole, F.coalesce(F.col("cut") < F.col("last.key"), F.lit(False)) | F.col("last.more")).otherwise(F.col("cut").isNotNull())
+    numbered = found.select(*key, (F.row_number().over(first) - 1).alias("path"), "trace")
+    out = told.select(*key, truncated.alias("truncated")).join(numbered, key, "left")
+    return out.select(*EVENT, F.col("goal").alias("target_index"), "path", F.coalesce("trace", steps).alias("trace"), "truncated")
 
 
 def required_truth(taken: Column) -> Column:

@@ -693,21 +693,6 @@ def _instructions(spark, sf_dir):
         F.when(k == 0, (F.col("l_suppkey") % 3).cast("int")).alias("label"), F.when(k == 1, F.lit(1)).alias("skip"))
 
 
-@query()
-def cfg_paths(spark, sf_dir):
-    """Paths to the last instruction of each event; bounded depth-first search has no SQL form."""
-    i = materialize(_instructions(spark, sf_dir), "instructions")
-    targets = i.groupBy("map_id", "event_id").agg(F.max("index").alias("target_index"))
-    return cfg.bounded_paths(cfg.successors(i), targets).select("event_id", "target_index", "path", F.array_join("trace", ",").alias("trace"), "truncated")
-
-
-@query()
-def guard_expressions(spark, sf_dir):
-    i = materialize(_instructions(spark, sf_dir), "instructions")
-    targets = i.groupBy("map_id", "event_id").agg(F.max("index").alias("target_index"))
-    return cfg.guard_expressions(cfg.bounded_paths(cfg.successors(i), targets)).select("expression_id", "kind", "occurrences", "unresolved")
-
-
 @query()
 def route_rows(spark, sf_dir):
     """The whole route, node by node, from the least origin to the greatest node it reaches."""

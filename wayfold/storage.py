@@ -21,12 +21,17 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def _path(table: DataFrame):
-    spark = table.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(table._wayfold_path)
+def _path(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Delete the folder when the driver's JVM ends."""
+    target, files = _path(spark, path)
+    files.deleteOnExit(target)
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df as Parquet to the shared folder and read it back; its plan is then one scan.
 
@@ -36,8 +41,7 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._wayfold_path = path
-    target, files = _path(out)
-    files.deleteOnExit(target)
+    delete_at_end(df.sparkSession, path)
     return out
 
 
@@ -45,5 +49,5 @@ def discard(*tables: DataFrame) -> None:
     """Delete tables of materialize() that no later plan reads."""
     for t in tables:
         if getattr(t, "_wayfold_path", None):
-            target, files = _path(t)
+            target, files = _path(t.sparkSession, t._wayfold_path)
             files.delete(target, True)
