@@ -110,33 +110,45 @@ class Merges:
         self.left[halved], self.right[halved] = m[self.last[halved], 0], m[self.last[halved], 1]
         self._tree([(i, tokens[i]) for i in self.sound.tolist()])
 
-    def _tree(self, tokens: list[tuple[int, bytes]]) -> None:
-        """A tree of the tokens' bytes: step finds a node's child by byte, ends the token that a node completes."""
+    def _tree(self, tokens: list[tuple[int, bytes]], dense: int = 2) -> None:
+        """A tree of the tokens' bytes: step finds a node's child by byte, ends the token that a node completes.
+
+        Nodes are numbered by depth. Those of up to `dense` bytes have a row of children each, which
+        most steps use; the others' are looked up.
+        """
         nodes: dict[int, int] = {}
-        ends = [-1]
+        ends, depth = [-1], [0]
         for i, b in tokens:
             at = 0
-            for x in b:
+            for k, x in enumerate(b):
                 at = nodes.setdefault(at << 8 | x, len(ends))
                 if at == len(ends):
                     ends.append(-1)
+                    depth.append(k + 1)
             ends[at] = i
-        self.step = Lookup(np.fromiter(nodes, dtype=np.int64, count=len(nodes)), np.fromiter(nodes.values(), dtype=np.int64, count=len(nodes)))
-        self.ends = np.array(ends, dtype=np.int64)
-        self.first = np.full(256, -1, dtype=np.int64)
-        for x in range(256):
-            self.first[x] = nodes.get(x, -1)
+        order = np.argsort(np.array(depth), kind="stable")
+        new = np.empty(len(order), dtype=np.int64)
+        new[order] = np.arange(len(order))
+        self.ends = np.array(ends, dtype=np.int64)[order]
+        keys = np.fromiter(nodes, dtype=np.int64, count=len(nodes))
+        keys, to = new[keys >> 8] << 8 | keys & 255, new[np.fromiter(nodes.values(), dtype=np.int64, count=len(nodes))]
+        n = int(np.searchsorted(np.array(depth)[order], dense, side="right"))
+        self.dense, self.shallow = dense, np.full(n << 8, -1, dtype=np.int32)
+        here = keys < n << 8
+        self.shallow[keys[here]] = to[here]
+        self.step = Lookup(keys[~here], to[~here])
 
     def propose(self, data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts): of each word (one after the other in data) the greedy longest tokens, and how many."""
         stop = np.repeat(np.cumsum(lengths), lengths)
-        at, node = np.arange(len(data)), self.first[data]
+        at, node = np.arange(len(data)), self.shallow[data].astype(np.int64)
         best, size = self.base[data], np.ones(len(data), dtype=np.int64)
         depth = 1
         while len(at):
             going = at + depth < stop[at]
             at, node = at[going], node[going]
-            node = self.step(node << 8 | data[at + depth])
+            key = node << 8 | data[at + depth]
+            node = self.shallow[key].astype(np.int64) if depth <= self.dense else self.step(key)
             at, node = at[node >= 0], node[node >= 0]
             depth += 1
             ended = self.ends[node] >= 0
