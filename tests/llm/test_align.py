@@ -64,7 +64,7 @@ def brute(libraries, rows):
 
 def sample(seed, n=60):
     r = random.Random(seed)
-    words = ["the", "unrelated", "tokenisation", "ab", "xyzzy", "é", "naïve", "中文", "🙂", "\n", "\t", "  ", "1234567", "don't", "!!", "\x00", " ", "ﬁ", "<s>", "<0x41>", "<|endoftext|>"]
+    words = ["the", "unrelated", "tokenisation", "ab", "xyzzy", "é", "naïve", "中文", "🙂", "\n", "\t", "  ", "1234567", "don't", "!!", "\x00", " ", "ﬁ", "\t \n", " \n", "\n ", "\xa0", "<s>", "<0x41>", "<|endoftext|>"]
     out = [" ".join(r.choice(words) for _ in range(r.randint(1, 25))) for _ in range(n)]
     out += ["".join(chr(r.choice([r.randrange(1, 0xD800), r.randrange(0xE000, 0x110000), 32, 97])) for _ in range(20)) for _ in range(n)]
     return [*out, None, "", " ", "a▁b", "▁", "é" * 300, " two  spaces  ", "中" * 200, "x" * 400]

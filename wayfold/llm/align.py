@@ -1,10 +1,14 @@
 """Operator 13: minimal groups of two tokenizers' tokens over the same bytes, and corpus-wide counts of linked ids.
 
 A token of A and one of B are linked if their byte ranges overlap; the connected components of
-this bipartite graph are exactly the groups between byte offsets where tokens of both end. A slice
-of documents is worked at once: its components are found by union-find over all its links. A
-slice hands on its different id pairs once, with their numbers, so that the distributed counting
-shuffles a row for each pair and slice, not for each link. Each slice then gets the counts of its
+this bipartite graph are exactly the groups between byte offsets where tokens of both end. Neither
+side has a token across the place before a space that follows something else, so a text is a
+sequence of chunks, and each distinct chunk is aligned once: its tokens are encoded and its components
+found by union-find, for many chunks at a time. A text then puts its chunks' groups together and adds
+up their links.
+
+A slice of documents hands on its different id pairs once, with their numbers, so that the
+distributed counting shuffles a row for each pair and slice, not for each link. Each slice then gets the counts of its
 own pairs back, which no task needs to hold for the whole corpus, and its documents add them up.
 """
 
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from wayfold.llm import speculate
-from wayfold.llm.speculate import SpeculateParams, WordPool, spread, text_list
+from wayfold.llm.speculate import SpeculateParams, spread, text_list
 from wayfold.llm.text import slices
 from wayfold.storage import materialize
 
@@ -31,14 +35,14 @@ from wayfold.storage import materialize
 class AlignParams:
     """first: the byte-level tokenizer A; second: path of a SentencePiece model, B.
 
-    slice_bytes of text share one table of pairs; of these, piece_chars are aligned at once, so that
-    a very long text is worked in pieces too. words_kept and bytes_kept bound a worker's memory of B's words.
+    slice_bytes of text share one table of pairs; of these, piece_chars are worked at once, so that
+    a very long text is worked in pieces too. chunks_kept and chars_kept bound a worker's memory of aligned chunks.
     """
 
     first: SpeculateParams
     second: str
-    words_kept: int = 200_000
-    bytes_kept: int = 8 << 20
+    chunks_kept: int = 200_000
+    chars_kept: int = 8 << 20
     slice_bytes: int = 4 << 20
     piece_chars: int = 1 << 19
 
@@ -88,11 +92,21 @@ def _before(some: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.cumsum(marks) - marks
 
 
-def _joined(ids: np.ndarray, counts: np.ndarray, sizes: np.ndarray, at: np.ndarray, data: np.ndarray) -> list[bytes]:
-    """The bytes of each list of ids, from a table of token bytes."""
-    every = data[spread(at[ids], sizes[ids])].tobytes()
-    ends = np.append(0, np.cumsum(sizes[ids]))[np.append(0, np.cumsum(counts))].tolist()
-    return [every[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+def _added(of: np.ndarray, pair: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each different (of, pair) once, in order, with its times added up."""
+    order = np.lexsort((pair, of))
+    of, pair, times = of[order], pair[order], times[order]
+    starts = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (pair[1:] != pair[:-1]))[: len(of)])
+    return of[starts], pair[starts], np.add.reduceat(times, starts) if len(starts) else times
+
+
+def _bytes(ids: np.ndarray, sizes: np.ndarray, at: np.ndarray, data: np.ndarray) -> bytes:
+    """The bytes of all ids, from a table of token bytes."""
+    return data[spread(at[ids], sizes[ids])].tobytes()
+
+
+def _ends_in_space(chunk: str) -> bool:
+    return not chunk or chunk[-1].isspace()
 
 
 FIGURES = ["n_a", "n_b", "n_groups", "n_links"]
@@ -110,39 +124,72 @@ class Aligner:
         n = self.model.vocab_size()
         names = [self.model.id_to_piece(i) for i in range(n)]
         pieces = [bytes([int(x[3:5], 16)]) if self.model.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names)]
-        # where no piece goes on with a space after another character, merges never cross such a place
+        # where no piece goes on with a space after another character, B's merges never cross such a place
         self.chunked = not any("▁" in x.lstrip("▁") for x in names)
-        self.chunks = regex.compile(r" +[^ ]*").findall
-        # tokens of neither side cross the place before a lone space
+        self.chunks = regex.compile(r" (?:[^ ]|(?<=\s) )*").findall
+        self.run = regex.compile(r"\s ").search
         self.gap = regex.compile(r"(?<=\S) (?=\S)").search
         self.space = self.model.piece_to_id("▁")
-        self.pool = WordPool(self._pieces, p.words_kept, p.bytes_kept)
+        self._forget()
         self.sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=n)
         self.at, self.data = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(pieces), dtype=np.uint8)
         # a token's text in a group: with what follows it
         m = len(self.a.token_sizes)
         self.shown = [f"{i}{c}" for c in ",|" for i in range(m)] + [f"{i}{c}" for c in (",", ";", "") for i in range(n)]
-        self.m, self.n = m, n
-
-    def _pieces(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        # the model puts a space before each text, which stands for the chunk's first one; it puts none before an empty text
-        lists = [x if c else [self.space] for c, x in zip(chunks, self.model.encode(chunks, num_threads=1), strict=True)]
-        counts = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-        return np.fromiter(chain.from_iterable(lists), dtype=np.int64, count=counts.sum()), counts
+        self.m, self.n, self.p = m, n, p
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.groups: list[str] = []
+        self.good, self.figures = np.empty(0, dtype=bool), np.empty((len(FIGURES), 0), dtype=np.int64)
+        self.pair, self.times, self.n_pairs, self.met = (np.empty(0, dtype=np.int64) for _ in range(4))
+        self.kept = 0
+
+    def _forget_rare(self) -> None:
+        """Keep the chunks that were met most often, a quarter of chunks_kept and of chars_kept at most."""
+        names, limit = list(self.number), self.p.chunks_kept // 4
+        stay = np.argsort(-self.met, kind="stable")[:limit]
+        sizes = np.cumsum([len(names[i]) for i in stay.tolist()])
+        stay = np.sort(stay[(self.met[stay] > 1) & (4 * sizes < self.p.chars_kept)])
+        link = spread((np.cumsum(self.n_pairs) - self.n_pairs)[stay], self.n_pairs[stay])
+        self.pair, self.times = self.pair[link], self.times[link]
+        self.good, self.figures, self.n_pairs, self.met = self.good[stay], self.figures[:, stay], self.n_pairs[stay], self.met[stay] // 2
+        self.number = {names[i]: k for k, i in enumerate(stay.tolist())}
+        self.groups = [self.groups[i] for i in stay.tolist()]
+        self.kept = sum(map(len, self.number))
+
+    def _learn(self, chunks: set[str], chars: int) -> None:
+        """Align the chunks that are not known yet, about so many characters at a time."""
+        new = [c for c in chunks if c not in self.number]
+        if len(self.number) + len(new) > self.p.chunks_kept or self.kept > self.p.chars_kept:
+            self._forget_rare()
+            new = [c for c in chunks if c not in self.number]
+        at, done = 0, []
+        new.sort(key=_ends_in_space)
+        while at < len(new):
+            end, size = at, 0
+            while end < len(new) and (end == at or size + len(new[end]) < chars):
+                size += len(new[end]) + 1
+                end += 1
+            good, figures, groups, (of, pair, times) = self._align(new[at:end])
+            self.groups += groups
+            done.append((good, np.array(figures), pair, times, np.bincount(of, minlength=end - at), np.zeros(end - at, dtype=np.int64)))
+            self.kept += size
+            at = end
+        if done:
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+            add = lambda old, k, axis=0: np.concatenate([old, *(d[k] for d in done)], axis=axis)
+            self.good, self.figures = add(self.good, 0), add(self.figures, 1, 1)
+            self.pair, self.times, self.n_pairs, self.met = add(self.pair, 2), add(self.times, 3), add(self.n_pairs, 4), add(self.met, 5)
 
     def _chunks(self, text: str) -> list[str]:
         """The chunks of a text that begins with a space, each without its first space."""
         if not self.chunked:
             return [text[1:]]
-        if "  " not in text:
+        if self.run(text) is None:
             return text[1:].split(" ")
         return [c[1:] for c in self.chunks(text)]
 
-    def second(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, counts) of B for texts that begin with the space that the model adds."""
-        chunks = list(map(self._chunks, texts))
-        return self.pool.ids(chunks, set(chain.from_iterable(chunks)))
-
     def cut(self, text: str, chars: int) -> list[str]:
         """The text in pieces of about so many characters, each from the second on with the space that begins it."""
         out, at = [], 0
@@ -152,61 +199,79 @@ class Aligner:
         return [*out, text[at:]]
 
     def align(self, texts: list[str | None], chars: int, digest: bool) -> dict:
-        """For the texts together: figures of each, its groups as text or SHA-256, and its links as numbers of all different pairs.
-
-        Pieces are aligned some at a time; of each text only its different pairs and their numbers are kept meanwhile.
-        """
+        """For the texts together: figures of each, its groups as text or SHA-256, and its links as numbers of all different pairs."""
         n, pieces = len(texts), [(i, x) for i, t in enumerate(texts) if t for x in self.cut(f" {t}", chars)]
         figures, bad = np.zeros((len(FIGURES), n), dtype=np.int64), np.zeros(n, dtype=bool)
-        written: list[list] = [[] for _ in texts]
-        shas, held = {}, []
-        at = 0
+        written: list[list[str]] = [[] for _ in texts]
+        shas: dict = {}
+        held, at = [], 0
         while at < len(pieces):
             end, size = at, 0
             while end < len(pieces) and (end == at or size + len(pieces[end][1]) <= chars):
                 size += len(pieces[end][1])
                 end += 1
-            of = np.array([i for i, _ in pieces[at:end]])
-            good, counts, groups, (text, pair, times) = self._align([x for _, x in pieces[at:end]])
-            bad[of[~good]] = True
-            for k in range(len(FIGURES)):
-                np.add.at(figures[k], of, counts[k])
-            for i, g in zip(of.tolist(), groups, strict=True):
-                if digest:
-                    sha = shas.get(i)
-                    if sha is None:
-                        sha = shas[i] = hashlib.sha256()
-                    else:
-                        sha.update(b";")
-                    sha.update(g.encode())
+            chunks = [self._chunks(x) for _, x in pieces[at:end]]
+            self._learn(set(chain.from_iterable(chunks)), chars)
+            numbers = list(map(self.number.__getitem__, chain.from_iterable(chunks)))
+            shown, low = list(map(self.groups.__getitem__, numbers)), 0
+            for (i, _), c in zip(pieces[at:end], chunks, strict=True):
+                groups = ";".join(shown[low : low + len(c)])
+                low += len(c)
+                if not digest:
+                    written[i].append(groups)
+                elif i in shas:
+                    shas[i].update(b";" + groups.encode())
                 else:
-                    written[i].append(g)
-            held.append((of[text], pair, times))
+                    shas[i] = hashlib.sha256(groups.encode())
+            of = np.repeat([i for i, _ in pieces[at:end]], [len(c) for c in chunks])
+            k = len(self.groups)
+            met, often = np.unique(of * k + np.array(numbers, dtype=np.int64), return_counts=True)
+            of, chunk = met // k, met % k
+            self.met += np.bincount(chunk, minlength=k)
+            bad[of[~self.good[chunk]]] = True
+            for f, x in zip(figures, self.figures, strict=True):
+                f += np.bincount(of, weights=x[chunk] * often, minlength=n).astype(np.int64)  # far below 2^53
+            many = self.n_pairs[chunk]
+            link = spread((np.cumsum(self.n_pairs) - self.n_pairs)[chunk], many)
+            held.append(_added(np.repeat(of, many), self.pair[link], self.times[link] * np.repeat(often, many)))
             at = end
         text, pair, times = (np.concatenate([np.empty(0, np.int64), *(h[k] for h in held)]) for k in range(3))
         kept = ~bad[text]
-        text, pair, times = text[kept], pair[kept], times[kept]
-        pairs, which = np.unique(pair, return_inverse=True)
-        # a text in pieces has met a pair more than once
-        own, first = np.unique(text * max(1, len(pairs)) + which, return_inverse=True)
-        times = np.bincount(first, weights=times, minlength=len(own)).astype(np.int64)  # far below 2^53
-        links = own % max(1, len(pairs))
+        text, pair, times = _added(text[kept], pair[kept], times[kept])
+        pairs, links = np.unique(pair, return_inverse=True)
         figures[:, bad] = 0
         some = lambda i: texts[i] and not bad[i]
-        groups = [("" if not some(i) else shas[i].hexdigest() if digest else ";".join(written[i])) for i in range(n)]
+        groups = ["" if not some(i) else shas[i].hexdigest() if digest else ";".join(written[i]) for i in range(n)]
         seen = np.bincount(links, weights=times, minlength=len(pairs)).astype(np.int64)
-        return dict(zip(FIGURES, figures, strict=True)) | {
-            "groups": groups, "pairs": pairs, "seen": seen, "links": links, "times": times, "per_text": np.bincount(own // max(1, len(pairs)), minlength=n)}
-
-    def _align(self, texts: list[str]) -> tuple:
-        """(good, figures, groups, (text, pair, times)) of texts that begin with a space: whether their tokens give them back, and their different pairs."""
-        n = len(texts)
-        a, a_n = self.a.encode(texts)
-        b, b_n = self.second(texts)
-        one, two = self.a.decode(a, a_n), _joined(b, b_n, self.sizes, self.at, self.data)
-        good = np.array([x == y == t.encode("utf-8", "replace") for t, x, y in zip(texts, one, two, strict=True)], dtype=bool)
-        del one, two
-        if not good.all():
+        return dict(zip(FIGURES, figures, strict=True)) | {"groups": groups, "pairs": pairs, "seen": seen, "links": links, "times": times, "per_text": np.bincount(text, minlength=n)}
+
+    def _second(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts) of B for chunks without the space that the model puts before each; it puts none before an empty one."""
+        lists = [x if c else [self.space] for c, x in zip(chunks, self.model.encode(chunks, num_threads=1), strict=True)]
+        counts = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+        return np.fromiter(chain.from_iterable(lists), dtype=np.int64, count=counts.sum()), counts
+
+    def _align(self, chunks: list[str]) -> tuple:
+        """(good, figures, groups, (chunk, pair, times)) of chunks without their first space: whether their tokens give them back, and their different pairs.
+
+        Chunks that end in white space stand last. The others are encoded as one text, which is cut by the
+        bytes of its tokens; if the bytes do not fit, each chunk is encoded by itself.
+        """
+        n, k = len(chunks), next((i for i, c in enumerate(chunks) if _ends_in_space(c)), len(chunks))
+        texts = [" " + " ".join(chunks[:k])] * (self.chunked and k > 0) + [f" {c}" for c in chunks[k if self.chunked else 0 :]]
+        a, _ = self.a.encode(texts)
+        b, _ = self._second([t[1:] for t in texts])
+        whole = "".join(texts).encode("utf-8", "replace")
+        good = np.ones(n, dtype=bool)
+        if whole == _bytes(a, self.a.token_sizes, self.a.token_at, self.a.token_bytes) == _bytes(b, self.sizes, self.at, self.data):
+            ends = np.cumsum([len(c.encode("utf-8", "replace")) + 1 for c in chunks])
+            a_n, b_n = (np.diff(np.append(0, np.searchsorted(np.cumsum(sizes), ends, side="right"))) for sizes in (self.a.token_sizes[a], self.sizes[b]))
+        else:
+            texts = [f" {c}" for c in chunks]
+            a, a_n = self.a.encode(texts)
+            b, b_n = self._second(chunks)
+            for i, (t, x, y) in enumerate(zip(texts, np.split(a, np.cumsum(a_n)[:-1]), np.split(b, np.cumsum(b_n)[:-1]), strict=True)):
+                good[i] = t.encode("utf-8", "replace") == _bytes(x, self.a.token_sizes, self.a.token_at, self.a.token_bytes) == _bytes(y, self.sizes, self.at, self.data)
             a, b = a[np.repeat(good, a_n)], b[np.repeat(good, b_n)]
             a_n, b_n = np.where(good, a_n, 0), np.where(good, b_n, 0)
         i, j = overlaps(np.cumsum(self.a.token_sizes[a]), np.cumsum(self.sizes[b]))
@@ -216,11 +281,9 @@ class Aligner:
         b_group = a_group[root[len(a) :]]
         text_of = np.repeat(np.arange(n), a_n)
         of = text_of[i]
-        pairs, which = np.unique(a[i] << 32 | b[j], return_inverse=True)
-        own, times = np.unique(of * max(1, len(pairs)) + which, return_counts=True)
         figures = [a_n, b_n, np.bincount(text_of[first], minlength=n), np.bincount(of, minlength=n)]
         groups = self._written(a, b, a_group, b_group, a_n + b_n, np.cumsum(b_n))
-        return good, figures, groups, (own // max(1, len(pairs)), pairs[own % max(1, len(pairs))], times)
+        return good, figures, groups, _added(of, a[i] << 32 | b[j], np.ones(len(of), dtype=np.int64))
 
     def _written(self, a, b, a_group, b_group, sizes, b_ends) -> list[str]:
         """Each text's groups, a1,a2|b1;a3|b2: tokens are put in their places by counting those of the groups before."""
@@ -240,6 +303,14 @@ class Aligner:
 _ALIGNERS: dict[AlignParams, Aligner] = {}
 
 
+def _aligner(first, second, p: AlignParams) -> Aligner:
+    """This worker's aligner of two broadcast files."""
+    if p not in _ALIGNERS:
+        _ALIGNERS.clear()
+        _ALIGNERS[p] = Aligner(first.value, second.value, p)
+    return _ALIGNERS[p]
+
+
 def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(values, kind))
 
@@ -261,17 +332,11 @@ def aligned(docs: DataFrame, p: AlignParams, digest: bool = False) -> DataFrame:
     first = speculate.file_lines(docs, p.first)
     rest = [c for c in docs.columns if c != "text"]
 
-    def aligner() -> Aligner:
-        if p not in _ALIGNERS:
-            _ALIGNERS.clear()
-            _ALIGNERS[p] = Aligner(first.value, second.value, p)
-        return _ALIGNERS[p]
-
     def run(batches):
         number = TaskContext.get().partitionId() << 32
         for s in slices(batches, "text", p.slice_bytes):
             number += 1
-            x = aligner().align(text_list(s.column(s.schema.get_field_index("text"))), p.piece_chars, digest)
+            x = _aligner(first, second, p).align(text_list(s.column(s.schema.get_field_index("text"))), p.piece_chars, digest)
             groups = x["groups"]
             kept = [s.column(s.schema.get_field_index(c)) for c in rest]
             none = lambda kind: pa.nulls(len(groups), kind)
