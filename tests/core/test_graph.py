@@ -54,7 +54,7 @@ def test_route_semantics(spark):
     assert one("a", "e") is None and one("a", "zz") is None
     fast = one("a", "d", ["rule"], fast_travel=True, rule="rule")
     assert fast.score == 1.0 and one("a", "d", [], fast_travel=True, rule="rule") is None
-    assert graph.numbered_text(graph.route(nodes, edges, "a", "c", ["key"])).first().text == "1. a -> b\n2. b -> c"
+    assert graph.numbered_text(graph.route(nodes, edges, "a", "c", ["key"]).withColumn("k", F.lit(1)), "k", nodes.limit(0).select("id", F.col("id").alias("label"))).first().text == "1. a -> b\n2. b -> c"
 
 
 def test_explanations(spark):

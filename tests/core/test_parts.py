@@ -32,8 +32,11 @@ def test_keys(spark):
 def test_text(spark):
     t = lambda f, s: one(spark, f(F.lit(s)))
     assert t(X.collapse_lower, "  A \n b ") == "a b" and t(X.plain_label, "The (old) Gate-2") == "thegate2"
-    assert t(X.wordset_key, "The Lord of the Rings, a lord") == "lord lord rings"
-    assert [t(X.singular, s) for s in ("ruby", "rubies", "boxes", "cats", "glass")] == ["ruby", "ruby", "box", "cat", "glass"]
+    assert t(X.wordset_key, "The Lord of the Rings, a lord") == "a lord lord rings"
+    assert t(X.without_punctuation, " Ranni's  Half-Way: \"x\"; ") == "rannis half-way x"
+    assert [t(X.merge_plural, s) for s in ("The  Virgins", "Two women", "Beasts", "cats", "", "Men")] == ["The virgin", "Two woman", "beast", "cats", "", "man"]
+    assert [t(X.end_side, s) for s in ("レバー（下） {3}", "Lever lower", "LEVER TOP {1}", "扉上側", "扉")] == [None, "lower", "upper", "upper", None]
+    assert [t(X.side_free_label, s) for s in ("レバー 下側", "Ｌｅｖｅｒ Top {2}", "lever bottom")] == ["レバー", "lever", "lever"]
     assert t(X.has_cjk, "a中") is True and t(X.nfkc, "ｱ") == "ア" and t(X.casefold, "Straße") == "strasse" and t(X.slug, " Ab--c d!") == "ab-c-d"
     main, inner = X.bracket_parts(F.lit("Gate (north)"))
     assert one(spark, main) == "Gate" and one(spark, inner) == "north" and one(spark, X.bracket_parts(F.lit("Gate"))[1]) is None
@@ -101,7 +104,7 @@ def test_catalog_and_search(spark):
     page, total = catalog.catalog_query(df, spec, {"include_dummy": "1", "limit": "2"})
     assert page.count() == 2 and tuple(total.first()) == (2, 3)
     bound = catalog.bind_identity(df, spark.createDataFrame([(1, "x", "old", 1), (1, "y", "new", 2)], "id int, formal_id string, binding_basis string, seq int"), "id")
-    assert bound.filter("id = 1").first().formal_candidates == ["f1", "y"] and bound.filter("id = 3").first().formal_binding is None
+    assert bound.filter("id = 1").first().formal_candidates == ["f1", "y"] and bound.filter("id = 3").first().formal_binding is None and bound.filter("id = 1").first().formal_binding.routeable is False
     nodes = df.withColumn("kind", F.lit("k"))
     names = spark.createDataFrame([("门", "gate")], "alias string, target string")
     assert [(r.id, r.score) for r in search.search(nodes, "gate").collect()] == [(1, 4), (2, 4)]
@@ -110,8 +113,8 @@ def test_catalog_and_search(spark):
 
 
 def test_localise(spark):
-    known = localise.dictionary(spark.createDataFrame([("Stone Gate", "石门"), ("North", "北"), ("Rubies", "红")], "source_text string, target_text string"))
-    words = spark.createDataFrame([(1, "stone gate"), (2, "gate of Stone"), (3, "ruby"), (4, "none")], "k int, x string")
+    known = localise.dictionary(spark.createDataFrame([("Stone Gate", "石门"), ("North", "北"), ("Ruby man", "红")], "source_text string, target_text string"))
+    words = spark.createDataFrame([(1, "stone gate"), (2, "gate of Stone"), (3, "Ruby Men"), (4, "none")], "k int, x string")
     assert [(r.level, r.targets) for r in localise.lookup(words, "x", known).orderBy("k").collect()] == [("norm", ["石门"]), ("wordset", ["石门"]), ("singular", ["红"]), (None, None)]
     got = localise.split_match(spark.createDataFrame([(1, "Stone Gate (North)"), (2, "North, East")], "k int, x string"), "k", "x", known).orderBy("k").collect()
     assert (got[0].joined, got[0].complete, got[1].complete) == ("石门 北", True, False)
@@ -135,4 +138,4 @@ def test_layout(spark):
     out = layout.repel(df, "g", 10.0).orderBy("id").collect()
     assert abs(out[1].x - out[0].x - 10) < 1e-6
     v = layout.viewport(df).first()
-    assert abs(v.x + 0.08) < 1e-9 and abs(v.width - 1.16) < 1e-9 and layout.zoom_to_fit(df, 100, 100).first().scale == 3.0
+    assert abs(v.x + 0.08) < 1e-9 and abs(v.width - 1.16) < 1e-9 and tuple(layout.zoom_to_fit(df, 300.0, 300.0).first()) == (0.5, 0.0, 4.0) and layout.zoom_to_fit(df.limit(0), 1.0, 1.0).count() == 0

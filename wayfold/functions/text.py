@@ -21,23 +21,30 @@ def plain_label(x) -> Column:
 
 
 def without_punctuation(x) -> Column:
-    """Lower case, punctuation to spaces, white space collapsed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}\s]", " "), r"\s+", " "))
+    """Lower case without , . ; : ' and ", white space collapsed and trimmed; all other marks stay, hyphens too."""
+    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(x, "[,.;:'\"]", "")), r"(?U)\s+", " "))
 
 
-def wordset_key(x, stop: Sequence[str] = ("the", "of", "a", "an")) -> Column:
-    """The sorted words without stop words, repeated words kept."""
+#: The words that a word-set key leaves out, and the endings that are merged, in order.
+STOP_WORDS = ("of", "the", "and")
+PLURALS = (("men", "man"), ("virgins", "virgin"), ("champions", "champion"), ("beasts", "beast"))
+
+
+def wordset_key(x, stop: Sequence[str] = STOP_WORDS) -> Column:
+    """The sorted words of without_punctuation() without stop words, repeated words kept."""
     kept = F.filter(F.split(without_punctuation(x), " "), lambda w: (w != "") & ~w.isin(list(stop)))
     return F.array_join(F.array_sort(kept), " ")
 
 
-def singular(x) -> Column:
-    """The last word's plural ending removed: -ies to -y, -es after s, x, z, ch, sh, else -s but not -ss."""
-    return (
-        F.when(x.rlike("[^aeiou]ies$"), F.regexp_replace(x, "ies$", "y"))
-        .when(x.rlike("(s|x|z|ch|sh)es$"), F.regexp_replace(x, "es$", ""))
-        .when(x.rlike("[^s]s$"), F.regexp_replace(x, "s$", "")).otherwise(x)
-    )
+def merge_plural(x, endings: Sequence[tuple[str, str]] = PLURALS) -> Column:
+    """The text with its last word in lower case and that word's ending replaced by the first rule that fits; without one, as it is."""
+    words = F.split(F.trim(F.regexp_replace(x, r"(?U)\s+", " ")), " ")
+    last = F.lower(F.element_at(words, -1))
+    out = F
+    for plural, one in endings:
+        cut = F.substring(last, F.lit(1), F.length(last) - len(plural))
+        out = out.when(last.endswith(plural), F.array_join(F.concat(F.slice(words, F.lit(1), F.size(words) - 1), F.array(F.concat(cut, F.lit(one)))), " "))
+    return out.otherwise(x) if endings else x
 
 
 def has_cjk(x) -> Column:
@@ -128,3 +135,20 @@ def clamp(x: Column, low: float, high: float) -> Column:
 def digits_only(x: Column) -> Column:
     """The number that the text consists of; null unless it is digits alone."""
     return F.when(x.rlike("^[0-9]+$"), x.try_cast("bigint"))
+
+
+def _without_number(x: Column) -> Column:
+    """Without {n}, then without an upper or lower mark in brackets, at the end."""
+    return F.regexp_replace(F.regexp_replace(x, r"(?U)\s*\{\d+\}\s*$", ""), r"(?U)\s*\(\s*[下上]\s*\)\s*$", "")
+
+
+def end_side(x) -> Column:
+    """lower or upper, if the text in compatibility form ends with such a word, else null; a null text counts as empty."""
+    t = _without_number(F.regexp_replace(nfkc(F.coalesce(x, F.lit(""))), r"(?U)^\s+|\s+$", ""))
+    return F.when(t.rlike(r"(?Ui)(?:下側|下|lower|bottom)\s*$"), "lower").when(t.rlike(r"(?Ui)(?:上側|上|upper|top)\s*$"), "upper")
+
+
+def side_free_label(x) -> Column:
+    """The case-folded compatibility form without number, side and white space, so that both sides of one thing are equal."""
+    t = _without_number(casefold(nfkc(F.coalesce(x, F.lit("")))))
+    return F.regexp_replace(F.regexp_replace(t, r"(?U)(?:下側|上側|下|上|lower|upper|bottom|top)\s*$", ""), r"(?U)\s+", "")

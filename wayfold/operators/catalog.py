@@ -76,14 +76,16 @@ def either_side(df: DataFrame, left: str, right: str, prefix: str, names: tuple[
 
 
 def bind_identity(df: DataFrame, bindings: DataFrame, key: str, candidates: str = "formal_candidates") -> DataFrame:
-    """df with formal_binding (id, basis) from bindings (key, formal_id, binding_basis, seq), and the id among its candidates.
+    """df with formal_binding (formal_id, binding_basis, identity_only true, routeable false) from bindings (key, formal_id, binding_basis, seq).
 
-    The last binding of a key counts.
+    The last binding of a key counts, and its id is appended to the row's candidates if it is not
+    among them. Rows without a binding stay as they are, with a null formal_binding.
     """
-    last = bindings.groupBy(key).agg(F.max_by(F.struct(F.col("formal_id").alias("id"), F.col("binding_basis").alias("basis")), "seq").alias("formal_binding"))
+    made = F.struct("formal_id", "binding_basis", F.lit(True).alias("identity_only"), F.lit(False).alias("routeable"))
+    last = bindings.groupBy(key).agg(F.max_by(made, "seq").alias("formal_binding"))
     out = df.join(last, key, "left")
-    have = F.coalesce(candidates, F.array().cast("array<string>"))
-    return out.withColumn(candidates, F.when(F.col("formal_binding").isNotNull(), F.array_union(have, F.array("formal_binding.id"))).otherwise(have))
+    have, new = F.coalesce(candidates, F.array().cast("array<string>")), F.col("formal_binding.formal_id")
+    return out.withColumn(candidates, F.when(F.col("formal_binding").isNull(), F.col(candidates)).when(F.array_contains(have, new), have).otherwise(F.array_append(have, new)))
 
 
 def kind_first(df: DataFrame, kinds: Sequence[str], label: str = "label", tie: str = "id") -> DataFrame:

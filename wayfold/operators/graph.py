@@ -202,10 +202,25 @@ def route(nodes: DataFrame, edges: DataFrame, origin, target, active: Sequence[s
     return spark.createDataFrame([(path, legs, float(score), sum(x[3] for x in legs), sum(x[4] for x in legs))], shape)
 
 
-def numbered_text(found: DataFrame) -> DataFrame:
-    """(text): a route of route() as numbered lines."""
-    lines = F.transform("edges", lambda e, i: F.concat((i + 1).cast("string"), F.lit(". "), e["src"].cast("string"), F.lit(" -> "), e["dst"].cast("string")))
-    return found.select(F.array_join(lines, "\n").alias("text"))
+def numbered_text(found: DataFrame, key: str, labels: DataFrame, notes: DataFrame | None = None, heading: str | None = None, one_way_mark: str = "", arrow: str = " -> ") -> DataFrame:
+    """(key, text): routes (key, edges array of id, src, dst) as numbered lines `1. A -> B`, a route without edges as its heading only.
+
+    labels: id, label; a node without one is shown by its id. notes: id, one_way, mode of edges; a
+    one-way edge gets the mark, and a mode is added after ` · `. heading may hold {} for the number of edges.
+    """
+    legs = found.select(key, F.posexplode("edges").alias("pos", "e")).select(key, "pos", F.col("e.id").cast("string").alias("id"), F.col("e.src").alias("src"), F.col("e.dst").alias("dst"))
+    for end in ("src", "dst"):
+        legs = legs.join(labels.select(F.col("id").alias(end), F.col("label").alias(f"_{end}")).dropDuplicates([end]), end, "left")
+    shown = lambda end: F.coalesce(f"_{end}", F.col(end).cast("string"), F.lit("?"))
+    line = F.concat((F.col("pos") + 1).cast("string"), F.lit(". "), shown("src"), F.lit(arrow), shown("dst"))
+    if notes is not None:
+        side = notes.select(F.col("id").cast("string").alias("id"), F.col("one_way").alias("_one"), F.col("mode").alias("_mode")).dropDuplicates(["id"])
+        legs = legs.join(side, "id", "left")
+        line = F.concat(line, F.when(F.col("_one"), one_way_mark).otherwise(""), F.when(F.col("_mode").isNotNull(), F.concat(F.lit(" · "), F.col("_mode"))).otherwise(""))
+    text = legs.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]), "\n").alias("_text"))
+    out = found.select(key, F.size("edges").alias("_n")).join(text, key, "left")
+    head = [] if heading is None else [F.replace(F.lit(heading), F.lit("{}"), F.greatest("_n", F.lit(0)).cast("string"))]
+    return out.select(key, F.concat_ws("\n", *head, F.col("_text")).alias("text"))
 
 
 def blocker_costs(edges: DataFrame, seeds: DataFrame, active: Sequence[str] = (), missing: str | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -36,11 +37,17 @@ def viewport(df: DataFrame, margin: float = 0.08) -> DataFrame:
     return b.select((F.col("x0") - w * margin).alias("x"), (F.col("y0") - h * margin).alias("y"), (w * (1 + 2 * margin)).alias("width"), (h * (1 + 2 * margin)).alias("height"))
 
 
-def zoom_to_fit(df: DataFrame, width: float, height: float, least: float = 0.2, most: float = 3.0) -> DataFrame:
-    """One row scale, cx, cy that shows all points in a window."""
-    v = viewport(df)
-    scale = F.greatest(F.lit(least), F.least(F.lit(most), F.lit(width) / F.col("width"), F.lit(height) / F.col("height")))
-    return v.select(scale.alias("scale"), (F.col("x") + F.col("width") / 2).alias("cx"), (F.col("y") + F.col("height") / 2).alias("cy"))
+def zoom_to_fit(df: DataFrame, width: float, height: float, pad: float = 70.0, least: float = 0.5, most: float = 4.0, by: Sequence[str] = ()) -> DataFrame:
+    """(by, x, y, zoom): for each group the middle of its finite points and the zoom that shows them in a window with a margin of pad.
+
+    Sides below 1 count as 1; zoom is kept between least and most. A group without a finite point has no row.
+    """
+    number = lambda c: F.col(c).try_cast("double")
+    ok = df.select(*by, number("x").alias("x"), number("y").alias("y")).filter("x is not null and y is not null and not isnan(x) and not isnan(y) and abs(x) < double('infinity') and abs(y) < double('infinity')")
+    b = ok.groupBy(*by).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).filter("x0 is not null")
+    w, h = F.greatest(F.col("x1") - F.col("x0"), F.lit(1.0)), F.greatest(F.col("y1") - F.col("y0"), F.lit(1.0))
+    zoom = F.greatest(F.lit(least), F.least(F.lit(most), F.lit(width - 2 * pad) / w, F.lit(height - 2 * pad) / h))
+    return b.select(*by, ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"), zoom.alias("zoom"))
 
 
 def repel(df: DataFrame, group: str, least: float, rounds: int = 90, most: int = 2000) -> DataFrame:

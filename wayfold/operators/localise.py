@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from wayfold.functions.text import singular, without_punctuation, wordset_key
+from wayfold.functions.text import merge_plural, without_punctuation, wordset_key
 
-#: Ways of a lookup, the most exact first.
+#: Ways of a lookup, the most exact first: forms of the text. The dictionary holds the first two forms of its texts;
+#: the last two are the same forms of the text with its last plural merged.
 LEVELS = ("norm", "wordset", "singular", "singular_wordset")
+FORMS = ("norm", "wordset")
 
 
 def _keys(x) -> dict:
-    n = without_punctuation(x)
-    return {"norm": n, "wordset": wordset_key(x), "singular": singular(n), "singular_wordset": wordset_key(singular(n))}
+    one = merge_plural(x)
+    return {"norm": without_punctuation(x), "wordset": wordset_key(x), "singular": without_punctuation(one), "singular_wordset": wordset_key(one)}
 
 
 def pivot_languages(texts: DataFrame, source: str, target: str) -> DataFrame:
@@ -24,18 +26,18 @@ def pivot_languages(texts: DataFrame, source: str, target: str) -> DataFrame:
 
 
 def dictionary(pairs: DataFrame) -> DataFrame:
-    """(level, key, targets): all translations of each key form of a source text."""
+    """(level, key, targets): all translations of a source text by its two forms; level is the form's number in FORMS."""
     keys = _keys(F.col("source_text"))
-    rows = F.array(*[F.struct(F.lit(i).alias("level"), keys[n].alias("key")) for i, n in enumerate(LEVELS)])
+    rows = F.array(*[F.struct(F.lit(i).alias("level"), keys[n].alias("key")) for i, n in enumerate(FORMS)])
     d = pairs.filter("source_text is not null and target_text is not null").select(F.explode(rows).alias("k"), "target_text")
     return d.filter("k.key <> ''").groupBy("k.level", "k.key").agg(F.array_sort(F.collect_set("target_text")).alias("targets"))
 
 
 def lookup(words: DataFrame, text: str, known: DataFrame) -> DataFrame:
-    """words with level and targets of the most exact form that the dictionary holds; null if none."""
+    """words with level and targets of the first of LEVELS that the dictionary holds; null if none."""
     keys, out = _keys(F.col(text)), words
     for i, n in enumerate(LEVELS):
-        side = known.filter(F.col("level") == i).select(F.col("key").alias(f"_k{i}"), F.col("targets").alias(f"_t{i}"))
+        side = known.filter(F.col("level") == i % len(FORMS)).select(F.col("key").alias(f"_k{i}"), F.col("targets").alias(f"_t{i}"))
         out = out.join(side, keys[n] == F.col(f"_k{i}"), "left")
     level = F.coalesce(*[F.when(F.col(f"_t{i}").isNotNull(), F.lit(n)) for i, n in enumerate(LEVELS)])
     out = out.withColumns({"level": level, "targets": F.coalesce(*[F.col(f"_t{i}") for i in range(len(LEVELS))])})
@@ -87,7 +89,7 @@ def apply_patches(patches: DataFrame, texts: DataFrame, fields: DataFrame) -> tu
     found = patches.select("id", "field", F.posexplode("sources").alias("n", "source")).join(t, "source").groupBy("id", "field").agg(F.array_sort(F.collect_list(F.struct("n", "target"))).alias("parts"))
     got = got.join(found, ["id", "field"], "left").withColumn("parts", F.coalesce("parts", F.array().cast(dict(found.dtypes)["parts"])))
     put = F.aggregate("parts", F.col("template"), lambda a, p: F.replace(a, F.concat(F.lit("{"), p["n"].cast("string"), F.lit("}")), p["target"]))
-    words = lambda x: F.filter(F.split(without_punctuation(x), " "), lambda w: w != "")
+    words = lambda x: F.filter(F.split(F.lower(x), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     extra = F.array_except(words(F.regexp_replace("template", r"\{\d+\}", " ")), words(F.col("original")))
     reason = (
         F.when(F.col("original").isNull(), "no entry").when(F.size("parts") < F.size("sources"), "source without text")

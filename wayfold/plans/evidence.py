@@ -746,15 +746,15 @@ def incident_edges(spark, sf_dir):
 # --- text ----------------------------------------------------------------------------------------
 
 
-@query("""SELECT p_partkey, 'the ' || p_name AS collapsed, replace(p_name, ' ', '') || 'e' AS label, CASE WHEN p_partkey % 3 = 0 THEN p_name || CASE WHEN regexp_matches(p_name, '[aeiou]$') THEN 'ie' ELSE 'y' END WHEN p_partkey % 3 = 1 THEN p_name ELSE p_name || 'ss' END AS singular, p_partkey % 4 = 0 AS cjk, replace(p_name, ' ', '-') AS slug, p_name AS main, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS inner_part FROM part""")
+@query("""SELECT p_partkey, 'the ' || p_name AS collapsed, replace(p_name, ' ', '') || 'e' AS label, CASE WHEN p_partkey % 3 = 0 THEN p_name || 'woman' WHEN p_partkey % 3 = 1 THEN p_name || ' half-beast' ELSE p_name || 'ss' END AS singular, replace(p_name, ' ', 's ') || 's half-way' AS plain, p_partkey % 4 = 0 AS cjk, replace(p_name, ' ', '-') AS slug, p_name AS main, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS inner_part FROM part""")
 def text_forms(spark, sf_dir):
     p, n = _t(spark, sf_dir, "part"), c("p_name")
-    ending = F.concat(n, F.when(c("p_partkey") % 3 == 0, "ies").when(c("p_partkey") % 3 == 1, "s").otherwise("ss"))
-    # after a vowel, -ies only loses its s
+    ending = F.concat(n, F.when(c("p_partkey") % 3 == 0, "woMEN").when(c("p_partkey") % 3 == 1, " Half-beasts").otherwise("ss"))
+    marked = F.concat(F.replace(n, F.lit(" "), F.lit("'s  ")), F.lit("'S; \"half-way\"."))
     main, inner = X.bracket_parts(F.concat(n, F.when(c("p_partkey") % 2 == 0, F.concat(F.lit(" ("), "p_brand", F.lit(")"))).otherwise("")))
     return p.select(
         "p_partkey", X.collapse_lower(F.concat(F.lit("  The \t"), F.upper(n), F.lit(" "))).alias("collapsed"), X.ascii_label(F.concat(n, F.lit(" (old)É"))).alias("label"),
-        X.singular(ending).alias("singular"), X.has_cjk(F.when(c("p_partkey") % 4 == 0, "a中").otherwise("b")).alias("cjk"), X.slug(F.concat(F.lit("--"), F.upper(n), F.lit(" !"))).alias("slug"), main.alias("main"), inner.alias("inner_part"))
+        X.merge_plural(ending).alias("singular"), X.without_punctuation(marked).alias("plain"), X.has_cjk(F.when(c("p_partkey") % 4 == 0, "a中").otherwise("b")).alias("cjk"), X.slug(F.concat(F.lit("--"), F.upper(n), F.lit(" !"))).alias("slug"), main.alias("main"), inner.alias("inner_part"))
 
 
 @query("""SELECT event_id, CASE WHEN event_type = 'error' THEN 'condition' WHEN event_type IN ('click', 'view') THEN 'action' END AS kind, CASE WHEN event_type = 'click' THEN 'player_transport' WHEN event_type = 'view' THEN 'generic_scripted_transport' END AS role,

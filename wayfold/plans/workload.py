@@ -605,21 +605,29 @@ def bilingual_pivot(spark, sf_dir):
     return localise.pivot_languages(p, "en", "zh")
 
 
-@query("""WITH d AS (SELECT p_name AS k, list_sort(list_distinct(list(p_brand))) AS t FROM part WHERE p_retailprice < 1000 GROUP BY 1),
-s AS (SELECT array_to_string(list_sort(string_split(p_name, ' ')), ' ') AS k, list_sort(list_distinct(list(p_brand))) AS t FROM part WHERE p_retailprice < 1000 GROUP BY 1),
-w AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'the ' || split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) WHEN 1 THEN p_name || 's' WHEN 2 THEN split_part(p_name, ' ', 2) || ', of a ' || split_part(p_name, ' ', 1) || 's' ELSE upper(p_name) || '!' END AS x FROM part),
-n AS (SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(x), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS n FROM w),
-v AS (SELECT p_partkey, n, regexp_replace(n, '([^s])s$', '\\1') AS g FROM n),
-k AS (SELECT p_partkey, n, g, array_to_string(list_sort(list_filter(string_split(n, ' '), lambda y: y NOT IN ('the', 'of', 'a', 'an'))), ' ') AS ws, array_to_string(list_sort(list_filter(string_split(g, ' '), lambda y: y NOT IN ('the', 'of', 'a', 'an'))), ' ') AS gs FROM v)
+_WORDS_SQL = "array_to_string(list_sort(list_filter(string_split({}, ' '), lambda y: y <> '' AND y NOT IN ('of', 'the', 'and'))), ' ')"
+_NORM_SQL = """trim(regexp_replace(lower(regexp_replace({}, '[,.;:''"]', '', 'g')), '\\s+', ' ', 'g'))"""
+
+
+@query(f"""WITH base AS (SELECT p_partkey, p_brand, p_retailprice, split_part(p_name, ' ', 1) || '''s' AS a, split_part(p_name, ' ', 2) AS b, CASE WHEN p_size % 2 = 0 THEN 'man' ELSE 'half-beast' END AS c, CASE WHEN p_size % 2 = 0 THEN 'men' ELSE 'half-beasts' END AS cs FROM part),
+src AS (SELECT {_NORM_SQL.format("a || ' ' || b || ' ' || c")} AS n, p_brand FROM base WHERE p_retailprice < 1000),
+d AS (SELECT n AS k, list_sort(list_distinct(list(p_brand))) AS t FROM src GROUP BY 1),
+s AS (SELECT {_WORDS_SQL.format("n")} AS k, list_sort(list_distinct(list(p_brand))) AS t FROM src GROUP BY 1),
+w AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN upper(a || '  ' || b || ' ' || c) || ' .;' WHEN 1 THEN 'The ' || b || ' of ' || a || ', ' || c WHEN 2 THEN a || ' ' || b || ' ' || cs ELSE 'and ' || b || ': ' || a || ' ' || cs END AS x FROM base),
+m AS (SELECT p_partkey, x, CASE WHEN x LIKE '%men' THEN left(x, length(x) - 3) || 'man' WHEN x LIKE '%beasts' THEN left(x, length(x) - 1) ELSE x END AS y FROM w),
+n AS (SELECT p_partkey, {_NORM_SQL.format("x")} AS n, {_NORM_SQL.format("y")} AS g FROM m),
+k AS (SELECT p_partkey, n, g, {_WORDS_SQL.format("n")} AS ws, {_WORDS_SQL.format("g")} AS gs FROM n)
 SELECT p_partkey, CASE WHEN d.t IS NOT NULL THEN 'norm' WHEN s.t IS NOT NULL THEN 'wordset' WHEN e.t IS NOT NULL THEN 'singular' WHEN f.t IS NOT NULL THEN 'singular_wordset' END AS level, coalesce(array_to_string(coalesce(d.t, s.t, e.t, f.t), ','), '') AS targets
 FROM k LEFT JOIN d ON d.k = n LEFT JOIN s ON s.k = ws LEFT JOIN d e ON e.k = g LEFT JOIN s f ON f.k = gs""")
 def bilingual_lookup(spark, sf_dir):
-    p = _t(spark, sf_dir, "part")
-    known = localise.dictionary(p.filter("p_retailprice < 1000").select(F.col("p_name").alias("source_text"), F.col("p_brand").alias("target_text")))
-    w, k = F.split("p_name", " "), F.col("p_partkey") % 4
+    """Names with apostrophes and hyphens, looked up whole, by their words, and with the last word's plural merged."""
+    p, w, k = _t(spark, sf_dir, "part"), F.split("p_name", " "), F.col("p_partkey") % 4
+    a, b, even = F.concat(w[0], F.lit("'s")), w[1], F.col("p_size") % 2 == 0
+    one, many = F.when(even, "man").otherwise("half-beast"), F.when(even, "men").otherwise("half-beasts")
+    known = localise.dictionary(p.filter("p_retailprice < 1000").select(F.concat_ws(" ", a, b, one).alias("source_text"), F.col("p_brand").alias("target_text")))
     x = (
-        F.when(k == 0, F.concat(F.lit("the "), w[1], F.lit(" "), w[0])).when(k == 1, F.concat("p_name", F.lit("s")))
-        .when(k == 2, F.concat(w[1], F.lit(", of a "), w[0], F.lit("s"))).otherwise(F.concat(F.upper("p_name"), F.lit("!")))
+        F.when(k == 0, F.concat(F.upper(F.concat(a, F.lit("  "), b, F.lit(" "), one)), F.lit(" .;"))).when(k == 1, F.concat(F.lit("The "), b, F.lit(" of "), a, F.lit(", "), one))
+        .when(k == 2, F.concat_ws(" ", a, b, many)).otherwise(F.concat(F.lit("and "), b, F.lit(": "), a, F.lit(" "), many))
     )
     got = localise.lookup(p.select("p_partkey", x.alias("x")), "x", materialize(known, "dictionary"))
     return got.select("p_partkey", "level", F.coalesce(F.array_join("targets", ","), F.lit("")).alias("targets"))

@@ -175,17 +175,31 @@ def diagnostics(g: GraphTables) -> DataFrame:
 def write_packages(g_nodes: DataFrame, g_edges: DataFrame, conditions: DataFrame, schema: str, path: str) -> None:
     """One folder a package of JSON lines: header, nodes, edges and the conditions its edges refer to.
 
-    nodes, edges: any columns beside package_id and id; rows are sorted within a package's file.
+    nodes, edges: any columns beside package_id and id. Rows are dealt by ranges of the order, so a
+    large package is several files, whose names are in the order of their lines; see written_lines().
     """
     row = lambda df, kind, rank: df.select("package_id", F.lit(rank).alias("_k"), "id", F.to_json(F.struct(F.lit(kind).alias("type"), F.struct(*[c for c in df.columns if c not in ("package_id", "pos", "line")]).alias("record"))).alias("value"))
     ids = g_nodes.select("package_id").union(g_edges.select("package_id")).distinct()
     head = ids.select("package_id", F.lit(0).alias("_k"), F.lit("").alias("id"), F.to_json(F.struct(F.lit(schema).alias("schema"), F.struct(F.col("package_id").alias("id")).alias("package"))).alias("value"))
     used = g_edges.select("package_id", F.explode("requires").alias("id")).distinct().join(conditions.drop("package_id"), "id")
     out = head.union(row(g_nodes, "node", 1)).union(row(g_edges, "edge", 2)).union(row(used, "condition", 3))
-    parts = out.repartition("package_id").sortWithinPartitions("package_id", "_k", "id")
+    parts = out.repartitionByRange("package_id", "_k", "id").sortWithinPartitions("package_id", "_k", "id")
     parts.select("package_id", "value").write.partitionBy("package_id").text(path)
 
 
+def written_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(package_id, line, raw) of what write_packages() wrote; lines are numbered through all files of a package.
+
+    A line's number is its place in its split and the lines of the splits before it, so no task reads a whole package.
+    """
+    raw = spark.read.text(path).select("package_id", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw"))
+    raw = materialize(raw, "raw")
+    splits = raw.groupBy("package_id", "file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("package_id").orderBy("file", "block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = raw.join(splits.select("package_id", "file", "block", "first", before.alias("before")), ["package_id", "file", "block"])
+    return placed.select("package_id", (F.col("at") - F.col("first") + F.col("before") + 1).cast("int").alias("line"), "raw")
+
+
 def manifest_of(nodes: DataFrame, edges: DataFrame, bridge: str = "bridge") -> DataFrame:
     """(id, isolated_record_count, regions, layers, condition_count) a package, and its totals with id null."""
     n = nodes.groupBy("package_id").agg(F.count("*").alias("nodes"), F.array_sort(F.collect_set(F.coalesce("region", F.lit("")))).alias("regions"), F.array_sort(F.collect_set(F.coalesce("layer", F.lit("")))).alias("layers"))
