@@ -1,4 +1,8 @@
-from wayfold.llm.html import extract, main_text
+import random
+import re
+import time
+
+from wayfold.llm.html import _Tags, extract, main_text
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
 <header class="site"><a href="/">Home</a></header><nav><ul><li><a href="/a">Menu, one</a></li></ul></nav><!-- ad <p>no</p> -->
@@ -67,3 +71,46 @@ def test_very_long_page_with_unclosed_tags():
     n = 20_000
     got = main_text("<article>" + "".join(f"<p>Part {i}, of <b>many" for i in range(n)))
     assert got.split("\n") == [f"Part {i}, of many" for i in range(n)]
+
+
+BODY = "".join(f"<p>Sentence {i}, with some words, and a few more words to make it long enough.</p>" for i in range(6))
+LINES = [f"Sentence {i}, with some words, and a few more words to make it long enough." for i in range(6)]
+
+
+def test_shells_around_the_whole_page():
+    side = "<form class=search><p>Find, what, you, want.</p></form><dialog><p>We, have, cookies.</p></dialog>"
+    for shell in ("<form id=aspnetForm>%s</form>", "<fieldset>%s</fieldset>", "<object>%s</object>", "<dialog open>%s</dialog>", "<form><fieldset>%s</fieldset></form>"):
+        assert main_text(f"<body>{shell % f'<div id=content>{BODY}</div>'}{side}</body>").split("\n") == LINES
+    assert main_text(f"<article>{BODY}<form><p>Sign up, now.</p><label>Name</label></form><p>A <label>Label</label> end.</p></article>").split("\n") == [*LINES, "A end."]
+
+
+def test_headline_outside_the_story_and_formulas():
+    assert main_text(f"<body><div><h1>The title</h1><div class=story>{BODY}</div><h1>Other</h1></div></body>").split("\n") == ["The title", *LINES]
+    assert main_text(f"<body><div><h1><a href='/'>Site</a></h1><div class=story>{BODY}</div></div></body>").split("\n") == LINES
+    assert main_text(f"<article>{BODY}<p>The energy <math><mi>E</mi><mo>=</mo></math> is.</p></article>").split("\n")[-1] == "The energy E= is."
+
+
+def test_time_is_linear_in_the_length():
+    n = 500_000
+    pages = {
+        "unclosed tags": "<a " * (n // 3), "end tags of nothing": "<b>" * (n // 8) + "</i>" * (n // 8), "nested": "<div>" * (n // 5),
+        "junk in one line": "<div>" + "<span class=ad>x</span>" * (n // 23) + "</div>", "open quotes": "<a \"> '" * (n // 7), "quoted ends": "<a \">\" " * (n // 7),
+        "one long name": "<a" * (n // 2) + ' " >', "behind a stop": "<p><table>" + "<div>" * (n // 5), "notes": "<!-" * (n // 3), "signs": "<" * n, "items": "<li>" * (n // 4),
+    }
+    for name, page in pages.items():
+        began = time.process_time()
+        main_text(page)
+        assert time.process_time() - began < 15, name
+
+
+def test_tags_as_a_plain_search_finds_them():
+    token = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S)
+    r = random.Random(6)
+    bits = ["<", "<a ", "</b>", ">", '"', "'", "<!--", "-->", "<p>", "text", " ", "<br/>", "<?", "<!x", '<x"y>', "<i k='>'>", "\n"]
+    for _ in range(5000):
+        page = "".join(r.choice(bits) for _ in range(r.randint(1, 25)))
+        tags, at, got = _Tags(page), 0, []
+        while (found := tags.next(at)) is not None:
+            got.append(found)
+            at = found[1]
+        assert got == [(m.start(), m.end(), m[1] or "", m[2] or "", m[3] or "") for m in token.finditer(page)], page

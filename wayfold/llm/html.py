@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame
 
 from wayfold.llm.text import slices
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S)
+_NOTE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+_START = re.compile(r"<(/?)([a-zA-Z])")
+_NAME_END = re.compile(r"[\s/>]|\Z")
+_STOP = re.compile(r"""[>"']""")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _NAME = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
-RAW = frozenset("script style textarea title noscript iframe template svg math object".split())
+RAW = frozenset("script style textarea title noscript iframe template svg".split())
 #: A raw element ends at its own end tag only.
 _END = {t: re.compile(f"</{t}", re.I | re.A) for t in RAW}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -26,7 +29,9 @@ BLOCK = frozenset(
 #: Elements that an opening tag of these kinds closes.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 STOPS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "p": ("td", "th", "button", "table")}
-JUNK_TAGS = frozenset("nav footer aside form button select head menu dialog input label fieldset".split()) | RAW
+JUNK_TAGS = frozenset("nav footer aside button select head menu input".split()) | RAW
+#: Elements that go unless they hold most of the page's paragraph text, or an article or main: some sites wrap their whole page in one.
+SHELLS = frozenset("form dialog fieldset label object".split())
 JUNK_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored banner promo promotion nav navbar navigation menu breadcrumb breadcrumbs "
     "footer header masthead sidebar aside comment comments disqus replies respond reader cookie cookies consent gdpr notice notices alert popup modal overlay "
@@ -76,54 +81,133 @@ class Node:
     head: bool = False
 
 
+class _Tags:
+    """The tags of a page in order, in time linear in its length.
+
+    A tag ends at the first > outside quotes. Where there is none, the < is text; the places that
+    such a search met are kept, so that no later search goes over them again.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.low, self.high = 0, -1  # from low on, the next stop is at high
+        self.name_low, self.name_high = 0, -1
+        self.dead: set[int] = set()
+        self.without: dict[str, int] = {}  # a quote that does not come again from here on
+
+    def _stop(self, at: int) -> int:
+        if not self.low <= at <= self.high:
+            m = _STOP.search(self.page, at)
+            self.low, self.high = at, m.start() if m else len(self.page)
+        return self.high
+
+    def _name_end(self, at: int) -> int:
+        if not self.name_low <= at <= self.name_high:
+            self.name_low, self.name_high = at, _NAME_END.search(self.page, at).start()
+        return self.name_high
+
+    def _end(self, at: int) -> int:
+        """Where the tag whose attributes begin at `at` has its >, or -1."""
+        met, page = [], self.page
+        while True:
+            stop = self._stop(at)
+            if stop in self.dead or stop == len(page):
+                break
+            if page[stop] == ">":
+                return stop
+            met.append(stop)
+            quote = page[stop]
+            if stop >= self.without.get(quote, len(page)):
+                break
+            close = page.find(quote, stop + 1)
+            if close < 0:
+                self.without[quote] = stop
+                break
+            at = close + 1
+        self.dead.update(met)
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, slash, name, attributes) of the first tag or note from `at` on; a note has no name."""
+        page = self.page
+        while True:
+            at = page.find("<", at)
+            if at < 0:
+                return None
+            if (m := _NOTE.match(page, at)) is not None:
+                return at, m.end(), "", "", ""
+            if at > self.last:
+                # only a note can begin behind the last >
+                at = min((x for x in (page.find("<!", at), page.find("<?", at)) if x >= 0), default=len(page))
+                continue
+            if (m := _START.match(page, at)) is not None:
+                name = self._name_end(m.start(2))
+                end = self._end(name)
+                if end >= 0:
+                    return at, end + 1, m[1], page[m.start(2) : name], page[name:end]
+            at += 1
+
+
+class _Open:
+    """The open elements, with the depths of each tag's, so that nothing is searched by walking up."""
+
+    def __init__(self, root: Node):
+        self.path, self.depths = [root], {}
+
+    def push(self, n: Node) -> None:
+        self.depths.setdefault(n.tag, []).append(len(self.path))
+        self.path.append(n)
+
+    def nearest(self, tags) -> int:
+        return max((d[-1] for t in tags if (d := self.depths.get(t))), default=0)
+
+    def cut(self, depth: int) -> None:
+        """End the elements from this depth on."""
+        for n in self.path[depth:]:
+            self.depths[n.tag].pop()
+        del self.path[depth:]
+
+    def close(self, tags, stops) -> None:
+        """End the nearest element of these tags, unless one of the stops is nearer."""
+        depth = self.nearest(tags)
+        if depth > self.nearest(stops):
+            self.cut(depth)
+
+
 def parse(page: str) -> Node:
     """A tolerant tree of elements and text; unclosed elements end with their parent."""
-    root = node = Node("root")
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() < at:
-            continue
-        if m.start() > at:
-            node.children.append(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
+    root = Node("root")
+    open_, tags, at = _Open(root), _Tags(page), 0
+    while (found := tags.next(at)) is not None:
+        start, end, slash, tag, attributes = found
+        if start > at:
+            open_.path[-1].children.append(page[at:start])
+        at = end
         if not tag:
             continue
         tag = tag.lower()
-        if m[1]:
-            n = node
-            while n.tag not in (tag, "root"):
-                n = n.parent
-            if n.tag == tag:
-                node = n.parent
+        if slash:
+            if depth := open_.nearest((tag,)):
+                open_.cut(depth)
             continue
         if tag in BLOCK:
-            node = _close(node, ("p",), STOPS["p"])
+            open_.close(("p",), STOPS["p"])
         if tag in CLOSES:
-            node = _close(node, CLOSES[tag], STOPS.get(tag, ()))
-        new = Node(tag, node, m[3])
-        node.children.append(new)
-        if tag in RAW and not m[3].endswith("/"):
+            open_.close(CLOSES[tag], STOPS.get(tag, ()))
+        new = Node(tag, open_.path[-1], attributes)
+        new.parent.children.append(new)
+        if tag in RAW and not attributes.endswith("/"):
             close = _END[tag].search(page, at)
             end = close.start() if close else len(page)
             after = page.find(">", end)
             at = len(page) if after < 0 else after + 1
-        elif tag not in VOID and not m[3].endswith("/"):
-            node = new
+        elif tag not in VOID and not attributes.endswith("/"):
+            open_.push(new)
     if at < len(page):
-        node.children.append(page[at:])
+        open_.path[-1].children.append(page[at:])
     return root
 
 
-def _close(node: Node, tags: tuple, stops: tuple) -> Node:
-    n = node
-    while n.tag != "root" and n.tag not in stops:
-        if n.tag in tags:
-            return n.parent
-        n = n.parent
-    return node
-
-
 def _named_junk(value: str) -> bool:
     """Whether a class or id holds a junk name that no word before it negates."""
     for name in value.split():
@@ -139,6 +223,7 @@ def _junk(n: Node, in_article: bool) -> bool:
     """Whether n is never article text; sets n.named_junk by its class and id, which alone do not decide."""
     if n.tag in JUNK_TAGS:
         return True
+    n.named_junk = n.tag in SHELLS
     if n.tag == "header":
         return not in_article
     if not n.attributes or n.tag in ("html", "body", "article", "main"):
@@ -176,25 +261,27 @@ def prune(n: Node, in_article: bool = False) -> None:
     """Take out what is never article text; of an article's own header, or of what has a junk name but
     holds the article's h1, only headings stay.
 
-    An element with a junk name goes too, unless it holds most of the page's paragraph text, or an
-    article or main and is not itself in one, or is a paragraph of an article or part of its line.
+    An element with a junk name or of SHELLS goes too, unless it holds most of the page's paragraph text, or an
+    article or main and is not itself in one, or (by its name only) is a paragraph of an article or part of its line.
     """
     chars, holds, titled = _paragraph_chars(n)
     most = chars[id(n)]
 
-    def stays(c: Node, above: Node, inside: bool) -> bool:
+    def stays(c: Node, above: Node, inside: bool, lines: bool) -> bool:
         if 2 * chars.get(id(c), 0) > most or holds.get(id(c), False) and not inside:
             c.named_junk = False
             return True
+        if c.tag in SHELLS:
+            return False
         if c.tag in ("p", "pre"):
             return inside
-        return c.tag not in BLOCK and (above.tag in PARAGRAPHS or above.tag not in BLOCK and above.tag != "root" or any(isinstance(x, str) and x.strip() for x in above.children))
+        return c.tag not in BLOCK and (above.tag in PARAGRAPHS or above.tag not in BLOCK and above.tag != "root" or lines)
 
     stack = [(n, in_article)]
     while stack:
         n, inside = stack.pop()
         inside = inside or n.tag in ("article", "main")
-        kept = []
+        kept, lines = [], any(isinstance(c, str) and c.strip() for c in n.children)
         for c in n.children:
             if isinstance(c, str):
                 if not n.head:
@@ -203,7 +290,7 @@ def prune(n: Node, in_article: bool = False) -> None:
             if _junk(c, inside):
                 continue
             c.head = c.tag == "header" or n.head and c.tag not in HEADINGS
-            if c.named_junk and not stays(c, n, inside):
+            if c.named_junk and not stays(c, n, inside, lines):
                 if not (inside or n.head) or not titled[id(c)]:
                     continue
                 c.head = True
@@ -274,6 +361,8 @@ def _kept_sibling(c: Node, best: Node, p: HtmlParams) -> bool:
         return True
     if not c.chars or c.link_chars >= p.sibling_links * c.chars:
         return False
+    if c.tag == "h1":
+        return True
     alike = c.tag == best.tag and c.tag not in ("article", "main") and c.score > 0 and _class(c) not in (None, "") and _class(c) == _class(best)
     return alike or c.tag == "p" and c.chars >= p.sibling_chars
 
@@ -305,7 +394,9 @@ def main_text(page: str | None, p: HtmlParams = HtmlParams()) -> str:
         return ""
     kept = [best]
     if best.parent is not None and best.tag not in ("body", "root"):
-        kept = [c for c in best.parent.children if c is best or not isinstance(c, str) and _kept_sibling(c, best, p)]
+        at = next(i for i, c in enumerate(best.parent.children) if c is best)
+        # a headline stands before the story
+        kept = [c for i, c in enumerate(best.parent.children) if c is best or not isinstance(c, str) and (c.tag != "h1" or i < at) and _kept_sibling(c, best, p)]
     out: list[list[str]] = [[]]
     for n in kept:
         out.append([])
