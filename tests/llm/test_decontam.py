@@ -57,3 +57,26 @@ def test_edges(spark):
     assert decontaminate(d, b.limit(0)).count() == 4 and decontaminate(d.limit(0), b).count() == 0
     got = contamination(d, b).filter("doc_id = 1").first()
     assert got.spans == [1, 4] and got.n_hit == 3 and mask_spans("x A, b. c y", got.spans) == "x , .  y"
+
+
+def test_any_column_names_and_many_blocks(spark):
+    r = random.Random(12)
+    vocab = [f"w{i}" for i in range(40)]
+    items = [(i, " ".join(r.choice(vocab) for _ in range(r.choice([1, 5, 20, 40])))) for i in range(60)]
+    docs = [(i, " ".join([r.choice(items)[1], *(r.choice(vocab) for _ in range(r.choice([0, 30])))])) for i in range(40)]
+    names = "`earlier` string, `row` int, `a b` array<int>, `items` string, `spans` int, `x.y` double, `t``k` int, doc_id long, text string"
+    d = spark.createDataFrame([("e", 1, [2], "i", 3, 0.5, 4, *x) for x in docs], names)
+    b = spark.createDataFrame(items, "item_id int, text string")
+    one, many = DecontamParams(), DecontamParams(block_bytes=300)  # the items are dealt into over 20 blocks
+    shown = lambda p: sorted((x.doc_id, x.n_words, x.spans, x["items"], x.n_hit, x.contaminated, x["a b"], x["x.y"]) for x in contamination(d, b, p).collect())
+    assert shown(one) == shown(many) and any(x[5] for x in shown(one))
+    left = decontaminate(d, b, many)
+    assert left.columns == d.columns and sorted(x.doc_id for x in left.collect()) == [x[0] for x in shown(one) if not x[5]]
+
+
+def test_very_long_text(spark):
+    item = " ".join(f"k{i}" for i in range(20))
+    text = "filler words of no item " * 60_000 + item
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    b = spark.createDataFrame([(1, item)], "item_id int, text string")
+    assert [(x.n_words, x.n_hit, x.spans) for x in contamination(d, b).collect()] == [(300_020, 20, [300_000, 300_020])]

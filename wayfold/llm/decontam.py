@@ -10,8 +10,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wayfold.llm.text import U, mix, slices, utf8
+from wayfold.storage import discard, materialize
 
 #: Bytes of words: digits, letters (A-Z lower-cased) and all bytes of characters from U+0080 on.
 _WORD_BYTES = bytes(
@@ -118,20 +120,23 @@ def _runs(hit: np.ndarray) -> list[int]:
     return edges.tolist()
 
 
-def _scan_batches(index):
+def _scan_batches(index, with_text: bool):
     def run(batches):
         idx = index.value
         for b in slices(batches, "text"):
             n, spans, items = [], [], []
-            for t in b.column("text").to_pylist():
+            for t, runs, known in zip(*(b.column(c).to_pylist() for c in ("text", "spans", "items")), strict=True):
                 words = bench_words(t)
                 hit, owners = idx.scan(words)
+                for start, end in zip((runs or [])[::2], (runs or [])[1::2], strict=True):
+                    hit[start:end] = True
                 n.append(len(words))
                 spans.append(_runs(hit))
-                items.append(sorted(owners))
+                items.append(sorted(owners.union(known or ())))
+            kept = ["row", "text"] if with_text else ["row"]
             yield pa.RecordBatch.from_arrays(
-                [b.column("row"), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
-                names=["row", "n_words", "spans", "items"],
+                [*(b.column(c) for c in kept), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
+                names=[*kept, "n_words", "spans", "items"],
             )
 
     return run
@@ -159,46 +164,32 @@ def contamination(docs: DataFrame, benchmark: DataFrame, p: DecontamParams = Dec
     """
     added = ["n_words", "spans", "items", "n_hit", "contaminated"]
     docs = docs.drop(*added)
-    spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text")
-    names = [c for c in docs.columns if keep_text or c != "text"]
-    out = None
+    # a document's own columns stay in one struct, so that no name of theirs meets one of the scan's
+    own = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if keep_text or c != "text"]
+    out, before = docs.select(F.struct(*own).alias("row"), "text", F.lit(None).cast("array<bigint>").alias("spans"), F.lit(None).cast("array<string>").alias("items")), None
     n, blocks = _blocks(items, p)
     for k, block in enumerate(blocks):
-        index = spark.sparkContext.broadcast(WindowIndex(block, p.window))
-        now = names if k == n - 1 else docs.columns
-        if out is None:
-            out = _attach(docs, now, index)
-        else:
-            more = _attach(out.select(*docs.columns, F.struct("n_words", "spans", "items").alias("earlier")), [*now, "earlier"], index)
-            merged = more.select(
-                *now, "n_words", F.concat("spans", F.col("earlier.spans")).alias("spans"),
-                F.array_distinct(F.concat("items", F.col("earlier.items"))).alias("items"))
-            out = merged.withColumn("spans", _merge("spans"))
+        out = _scanned(out, WindowIndex(block, p.window), k < n - 1)
+        if k < n - 1:
+            # written, so that one block's index is in memory at a time
+            out = materialize(out, "scanned")
+            if before is not None:
+                discard(before)
+            before = out
+    out = out.select("row.*", "n_words", "spans", "items")
     ends = F.transform(F.col("spans"), lambda x, i: F.when(i % 2 == 0, -x).otherwise(x))
     out = out.withColumn("n_hit", F.aggregate(ends, F.lit(0).cast("long"), lambda a, x: a + x))
     bad = (F.col("n_hit") > 0) & (F.lit(100) * F.col("n_hit") >= F.lit(p.percent) * F.col("n_words"))
     return out.withColumn("items", F.array_sort("items")).withColumn("contaminated", bad)
 
 
-def _merge(spans: str):
-    """Union of flat (start, end) runs, in order."""
-    n = F.size(spans) / 2
-    pairs = F.array_sort(F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda i: F.struct(F.col(spans)[2 * i].alias("s"), F.col(spans)[2 * i + 1].alias("e"))))
-    kind = "array<bigint>"
-    joined = F.aggregate(
-        pairs, F.expr(f"cast(array() as {kind})"),
-        lambda a, x: F.when((F.size(a) > 0) & (F.element_at(a, -1) >= x["s"]),
-                            F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.greatest(F.element_at(a, -1), x["e"])))).otherwise(F.concat(a, F.array(x["s"], x["e"]))))
-    return F.when(F.size(spans) == 0, F.col(spans)).otherwise(joined)
-
-
-def _attach(docs: DataFrame, names: list[str], index) -> DataFrame:
-    """docs with what the scan of one block found; rows keep their columns through the Arrow pass."""
-    row = docs.select(F.struct(*names).alias("row"), F.col("text"))
-    kind = row.schema["row"].dataType.simpleString()
-    got = row.mapInArrow(_scan_batches(index), f"row {kind}, n_words long, spans array<long>, items array<string>")
-    return got.select("row.*", "n_words", "spans", "items")
+def _scanned(out: DataFrame, index: WindowIndex, with_text: bool) -> DataFrame:
+    """out (row, text, spans, items) with n_words, and with one block's hits added to spans and items; text is kept for more blocks only."""
+    shared = out.sparkSession.sparkContext.broadcast(index)
+    long, text = T.ArrayType(T.LongType()), T.ArrayType(T.StringType())
+    shape = [out.schema["row"], *[T.StructField("text", T.StringType())] * with_text, T.StructField("n_words", T.LongType()), T.StructField("spans", long), T.StructField("items", text)]
+    return out.select("row", "text", "spans", "items").mapInArrow(_scan_batches(shared, with_text), T.StructType(shape))
 
 
 def contamination_digest(docs: DataFrame, benchmark: DataFrame, p: DecontamParams = DecontamParams()) -> DataFrame:
