@@ -15,7 +15,7 @@ own pairs back, which no task needs to hold for the whole corpus, and its docume
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import chain
 
 import numpy as np
@@ -41,16 +41,18 @@ class AlignParams:
 
     first: SpeculateParams
     second: str
-    chunks_kept: int = 200_000
-    chars_kept: int = 8 << 20
-    slice_bytes: int = 4 << 20
-    piece_chars: int = 1 << 19
+    chunks_kept: int = 120_000
+    chars_kept: int = 4 << 20
+    slice_bytes: int = 2 << 20
+    piece_chars: int = 1 << 18
 
 
 def default_params() -> AlignParams:
     import public_tokenizers
 
-    return AlignParams(speculate.default_params(special=False), public_tokenizers.path("piece_bpe_32k.model"))
+    # A meets new chunks only, so it need not keep many words
+    first = replace(speculate.default_params(special=False), words_kept=40_000, bytes_kept=1 << 20)
+    return AlignParams(first, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def components(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
