@@ -2,8 +2,10 @@
 
 A partition's distinct words become token-position rows. A recursive query joins neighbouring
 tokens with the merge table and contracts each word's leftmost pair of least rank, until no pair
-is left; an ordered aggregation turns the ids back into bytes. Only words that a worker has not met
-yet are encoded and decoded, and its memory of words is bounded; texts are put together from words.
+is left; an ordered aggregation turns ids back into bytes. Only words that a worker has not met yet
+are encoded and decoded, and its memory of words is bounded: a text's ids are those of its words in
+order, and its decoded bytes are what the aggregation made of these ids. A long word is encoded in
+blocks, whose seams are then mended: see Codec._long().
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.llm.speculate import Splitter, text_list
 from wayfold.llm.text import slices
 
 
@@ -27,7 +30,7 @@ class BpeParams:
 
     words_kept bounds a worker's memory of encoded words, chunk the words of one recursive query,
     slice_bytes the text that is encoded and decoded at once. Words of more than long_word bytes
-    take the query that contracts all places of a pair in one round where order cannot matter.
+    are encoded in blocks of that size.
     """
 
     ranks: str
@@ -59,25 +62,6 @@ WITH RECURSIVE t(w, ids, live) AS (
 SELECT w, ids, array_to_string(ids, ' ') AS joined FROM t WHERE NOT live
 """
 
-#: The same with a row for each token, and a pair whose merge cannot give rise to a lower rank is
-#: contracted at all its places at once, from the left without overlap; `single` marks the other pairs.
-_ENCODE_LONG = """
-WITH RECURSIVE t(w, pos, id, done) AS (
-  SELECT w, pos, id, false FROM (SELECT w, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM start)
-  UNION ALL
-  SELECT w, pos, CASE WHEN hit THEN best ELSE id END, best IS NULL FROM (
-    SELECT *, coalesce(lag(hit) OVER (PARTITION BY w ORDER BY pos), false) AS eaten FROM (
-      SELECT w, pos, id, best, coalesce(m = best AND CASE WHEN single THEN pos = first_pos
-        ELSE (row_number() OVER (PARTITION BY w, m, run ORDER BY pos)) % 2 = 1 END, false) AS hit FROM (
-        SELECT *, min(CASE WHEN m = best THEN pos END) OVER (PARTITION BY w) AS first_pos,
-          i - row_number() OVER (PARTITION BY w, m ORDER BY pos) AS run FROM (
-          SELECT q.w, q.pos, q.id, q.i, g.m, g.single, min(g.m) OVER (PARTITION BY q.w) AS best FROM (
-            SELECT w, pos, id, lead(id) OVER o AS nid, row_number() OVER o AS i
-            FROM t WHERE NOT done WINDOW o AS (PARTITION BY w ORDER BY pos)
-          ) q LEFT JOIN merges g ON g.l = q.id AND g.r = q.nid)))) WHERE NOT eaten)
-SELECT w, ids, array_to_string(ids, ' ') AS joined FROM (SELECT w, list(id ORDER BY pos) AS ids FROM t WHERE done GROUP BY w)
-"""
-
 #: Stands for no token, and is no Latin-1 character.
 _MARK_ID, _MARK = -1, "\u0100"
 #: Tokens are held as Latin-1 text, a character for each byte.
@@ -93,96 +77,141 @@ class Codec:
 
     def __init__(self, lines: bytes, p: BpeParams):
         import duckdb
-        import regex
 
         self.p = p
         ranks = self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines()) if a}
-        self.split = regex.compile(p.pattern).findall
+        self.tokens = {i: t for t, i in ranks.items()}
+        self.splitter = Splitter(p.pattern)
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.joined: dict[str, str] = {}
-        #: Words whose decoded bytes are not the word's, with these; only they need to be kept.
-        self.odd: dict[str, bytes] = {}
+        self.sound: dict[tuple[int, int], bool] = {}
+        self._forget()
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         tokens = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "tok": [t.decode("latin-1") for t in ranks], "n": pa.array([len(t) for t in ranks], pa.int32())})
         self.db.register("given", tokens)
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
         self.db.execute("""
-            CREATE TABLE parts AS
-            SELECT a.id AS l, b.id AS r, v.id AS m, a.n FROM (
+            CREATE TABLE pairs AS
+            SELECT (a.id::BIGINT << 32) | b.id AS lr, v.id AS m FROM (
               SELECT id, tok, unnest(range(1, n)) AS at FROM vocabulary) v
             JOIN vocabulary a ON a.tok = left(v.tok, v.at) JOIN vocabulary b ON b.tok = substr(v.tok, v.at + 1)""")
-        self.db.execute("""
-            CREATE TABLE merges AS SELECT *, m IN (
-              SELECT l FROM parts WHERE m < l UNION ALL SELECT r FROM parts WHERE m < r) AS single FROM parts""")
-        self.db.execute("DROP TABLE parts")
         self.db.execute("INSERT INTO vocabulary VALUES (?, ?, 0)", [_MARK_ID, _MARK])
-        self.db.execute("CREATE TABLE pairs AS SELECT (l::BIGINT << 32) | r AS lr, m FROM merges")
 
-    def _contract(self, words: list[bytes], query: str) -> pa.Table:
-        """(w, ids, joined) of the words by number: their ids, and these in decimal joined by a space."""
-        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        at = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(at), pa.array(self.byte[np.frombuffer(b"".join(words), dtype=np.uint8)]))
-        self.db.register("start", pa.table({"w": pa.array(np.arange(len(words), dtype=np.int32)), "ids": ids}))
-        return self.db.sql(query).to_arrow_table()
+    def _forget(self) -> None:
+        self.joined: dict[str, str] = {}
+        #: The bytes behind ids in decimal, joined by a space.
+        self.back: dict[str, bytes] = {}
+
+    def _contract(self, words: list[bytes]) -> list[tuple[list[int], str]]:
+        """(ids, these in decimal joined by a space) of each word."""
+        out: list = [None] * len(words)
+        for at in range(0, len(words), self.p.chunk):
+            part = words[at : at + self.p.chunk]
+            lengths = np.fromiter(map(len, part), dtype=np.int64, count=len(part))
+            ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(self.byte[np.frombuffer(b"".join(part), dtype=np.uint8)]))
+            self.db.register("start", pa.table({"w": pa.array(np.arange(len(part), dtype=np.int32)), "ids": ids}))
+            got = self.db.sql(_ENCODE).to_arrow_table()
+            for w, x, text in zip(*(got.column(c).to_pylist() for c in ("w", "ids", "joined")), strict=True):
+                out[at + w] = (x, text)
+        return out
+
+    def _seams_hold(self, seams: list[tuple[int, int]]) -> list[bool]:
+        """For pairs of tokens whether their bytes together encode to these two."""
+        new = [s for s in dict.fromkeys(seams) if s not in self.sound]
+        if len(self.sound) + len(new) > self.p.words_kept:
+            self.sound.clear()
+            new = list(dict.fromkeys(seams))
+        for s, (ids, _) in zip(new, self._contract([self.tokens[a] + self.tokens[b] for a, b in new]), strict=True):
+            self.sound[s] = tuple(ids) == s
+        return [self.sound[s] for s in seams]
+
+    def _long(self, word: bytes, reach: int = 8) -> list[int]:
+        """The ids of a long word: its blocks are encoded by themselves, then mended where they meet.
+
+        A sequence of tokens is the word's encoding if each two neighbours are the encoding of their
+        bytes, for the first merge across a border would also be made with these two alone. Within
+        a block they are, so only seams are tested. Where one fails, `reach` tokens on both sides are
+        encoded together and make a block of their own; reach doubles from round to round.
+        """
+        size = self.p.long_word
+        blocks = [ids for ids, _ in self._contract([word[i : i + size] for i in range(0, len(word), size)])]
+        while True:
+            hold = self._seams_hold([(a[-1], b[0]) for a, b in zip(blocks, blocks[1:])])
+            if all(hold):
+                return list(chain.from_iterable(blocks))
+            flat, ends = list(chain.from_iterable(blocks)), np.cumsum([len(b) for b in blocks]).tolist()
+            windows: list[list[int]] = []
+            for end, ok in zip(ends, hold):
+                if not ok:
+                    low, high = max(0, end - reach), min(len(flat), end + reach)
+                    if windows and low <= windows[-1][1]:
+                        windows[-1][1] = high
+                    else:
+                        windows.append([low, high])
+            mended = self._contract([b"".join(map(self.tokens.__getitem__, flat[a:b])) for a, b in windows])
+            # between the windows, blocks stay as they are but for what the windows took
+            out, at, cuts = [], 0, iter(ends)
+            end = next(cuts)
+            for (low, high), (ids, _) in zip([*windows, [len(flat), len(flat)]], [*mended, ([], "")], strict=True):
+                while at < low:
+                    stop = min(end, low)
+                    if at < stop:
+                        out.append(flat[at:stop])
+                    at = stop
+                    if at == end:
+                        end = next(cuts, len(flat))
+                if ids:
+                    out.append(ids)
+                at = max(at, high)
+                while end <= at and end < len(flat):
+                    end = next(cuts, len(flat))
+            blocks, reach = out, 2 * reach
 
     def learn(self, words: set[str]) -> None:
-        """Encode and decode the words that are not known yet."""
+        """Encode the words that are not known yet, and decode their ids."""
         new = [x for x in words if x not in self.joined]
         if len(self.joined) + len(new) > self.p.words_kept:
-            self.joined.clear()
-            self.odd.clear()
+            self._forget()
             new = list(words)
-        coded = [x.encode() for x in new]
+        if not new:
+            return
+        coded = [x.encode("utf-8", "replace") for x in new]
         # a word that is a token is that token, whatever its merges
-        whole = {x: self.ranks[b] for x, b in zip(new, coded, strict=True) if b in self.ranks}
-        self._keep(list(whole), pa.array([[r] for r in whole.values()], pa.list_(pa.int32())), list(map(str, whole.values())))
-        new, coded = [x for x in new if x not in whole], [b for b in coded if b not in self.ranks]
-        long = [len(b) > self.p.long_word for b in coded]
-        for kind, query, size in ((False, _ENCODE, self.p.chunk), (True, _ENCODE_LONG, 1000)):
-            group = [(x, b) for x, b, k in zip(new, coded, long, strict=True) if k is kind]
-            for at in range(0, len(group), size):
-                part = group[at : at + size]
-                got = self._contract([b for _, b in part], query)
-                self._keep([part[i][0] for i in got.column("w").to_pylist()], got.column("ids").combine_chunks(), got.column("joined").to_pylist())
-
-    def _keep(self, words: list[str], ids: pa.ListArray, joined: list[str]) -> None:
-        self.joined.update(zip(words, joined, strict=True))
-        self.odd.update((x, b) for x, b in zip(words, self._decode_words(ids), strict=True) if b != x.encode())
-
-    def _decode_words(self, ids: pa.ListArray, together: int = 256) -> list[bytes]:
+        out: list = [([r], str(r)) if (r := self.ranks.get(b)) is not None else None for b in coded]
+        short = [i for i, b in enumerate(coded) if out[i] is None and len(b) <= self.p.long_word]
+        for i, got in zip(short, self._contract([coded[i] for i in short]), strict=True):
+            out[i] = got
+        for i, b in enumerate(coded):
+            if out[i] is None:
+                ids = self._long(b)
+                out[i] = (ids, " ".join(map(str, ids)))
+        self.joined.update(zip(new, (text for _, text in out), strict=True))
+        fresh = {text: ids for ids, text in out if text not in self.back}
+        self.back.update(zip(fresh, self._decode_words(list(fresh.values())), strict=True))
+
+    def _decode_words(self, words: list[list[int]], together: int = 256) -> list[bytes]:
         """decode() of many short lists: so many are aggregated as one, with a mark after each."""
-        if not len(ids):
+        if not words:
             return []
-        sizes = np.diff(ids.offsets.to_numpy())
-        ends = np.cumsum(sizes + 1)
+        ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
         flat = np.full(ends[-1], _MARK_ID, dtype=np.int32)
-        flat[np.delete(np.arange(ends[-1]), ends - 1)] = ids.flatten().to_numpy()
+        flat[np.delete(np.arange(ends[-1]), ends - 1)] = np.fromiter(chain.from_iterable(words), dtype=np.int32, count=ends[-1] - len(words))
         cuts = np.append(np.append(0, ends)[:-1][::together], ends[-1]).astype(np.int32)
         texts = self._texts(pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat)))
         return [x.encode("latin-1") for t in texts for x in t.split(_MARK)[:-1]]
 
-    def pieces(self, texts: list[str | None]) -> list[list[str]]:
-        """The pattern's matches of each text, all of them known afterwards."""
-        out = [self.split(t or "") for t in texts]
-        self.learn(set(chain.from_iterable(out)))
-        return out
-
-    def written(self, pieces: list[str]) -> str:
-        """The ids of a text in decimal, joined by a space."""
-        return " ".join(map(self.joined.__getitem__, pieces))
-
-    def decoded(self, pieces: list[str]) -> bytes:
-        """The decoded bytes of a text: those of its words in order, which learn() decoded from their ids."""
-        if not self.odd:
-            return "".join(pieces).encode()
-        return b"".join([self.odd[x] if x in self.odd else x.encode() for x in pieces])
+    def words(self, texts: list[str | None]) -> list[list[str]]:
+        """The words of each text, each by its ids in decimal joined by a space; all of them are in back."""
+        pieces, every = self.splitter.all(texts)
+        self.learn(every)
+        return [list(map(self.joined.__getitem__, x)) for x in pieces]
 
-    def encode(self, pieces: list[str]) -> np.ndarray:
-        return np.array(self.written(pieces).split(), dtype=np.int32)
+    def bytes_of(self, words: list[str]) -> bytes:
+        """The bytes behind the ids of a text's words in order."""
+        return b"".join(map(self.back.__getitem__, words))
 
     def _texts(self, ids: pa.ListArray) -> list[str]:
-        """The tokens behind each list of ids, joined."""
+        """The tokens behind each list of ids, joined by an ordered aggregation of the (position, id) rows."""
         self.db.register("coded", pa.table({"seq": pa.array(np.arange(len(ids), dtype=np.int32)), "ids": ids}))
         out = [""] * len(ids)
         got = self.db.sql(_DECODE).to_arrow_table()
@@ -195,6 +224,10 @@ class Codec:
         return [t.encode("latin-1", "ignore") for t in self._texts(ids)]
 
 
+def _ids(words: list[list[str]]) -> pa.Array:
+    return pa.array([np.array(" ".join(x).split(), dtype=np.int32) for x in words], pa.list_(pa.int32()))
+
+
 _CODECS: dict[tuple, Codec] = {}
 
 
@@ -220,9 +253,8 @@ def encode(docs: DataFrame, p: BpeParams) -> DataFrame:
 
     def run(batches):
         for b in slices(batches, "text", p.slice_bytes):
-            codec = _codec(lines, p)
-            ids = [codec.encode(x) for x in codec.pieces(b.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*b.schema.names, "ids"])
+            ids = _ids(_codec(lines, p).words(text_list(b.column("text"))))
+            yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*b.schema.names, "ids"])
 
     return docs.mapInArrow(run, docs.withColumn("ids", F.lit(None).cast("array<int>")).schema)
 
@@ -250,12 +282,11 @@ def encode_decode(docs: DataFrame, p: BpeParams) -> DataFrame:
 
     def run(batches):
         for b in slices(batches, "text", p.slice_bytes):
-            codec, texts = _codec(lines, p), b.column("text").to_pylist()
-            pieces = codec.pieces(texts)
-            ids = [codec.encode(x) for x in pieces]
-            same = [codec.decoded(x) == (t or "").encode() for x, t in zip(pieces, texts, strict=True)]
+            codec, texts = _codec(lines, p), text_list(b.column("text"))
+            words = codec.words(texts)
+            same = [codec.bytes_of(x) == (t or "").encode("utf-8", "replace") for x, t in zip(words, texts, strict=True)]
             keep = [n for n in b.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), pa.array(ids, pa.list_(pa.int32())), pa.array(same)], names=[*keep, "ids", "round_trip"])
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), _ids(words), pa.array(same)], names=[*keep, "ids", "round_trip"])
 
     schema = docs.drop("text").withColumns({"ids": F.lit(None).cast("array<int>"), "round_trip": F.lit(None).cast("boolean")}).schema
     return docs.mapInArrow(run, schema)
@@ -269,9 +300,8 @@ def round_trip_digest(docs: DataFrame, p: BpeParams) -> DataFrame:
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for b in slices(batches, "text", p.slice_bytes):
             codec = _codec(lines, p)
-            pieces = codec.pieces(b.column("text").to_pylist())
-            joined = [codec.written(x) for x in pieces]
-            back = [codec.decoded(x) for x in pieces]
+            words = codec.words(text_list(b.column("text")))
+            joined, back = [" ".join(x) for x in words], [codec.bytes_of(x) for x in words]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([x.count(" ") + 1 if x else 0 for x in joined], pa.int64()), pa.array([sha(x.encode()) for x in joined], pa.string()), pa.array([sha(x) for x in back], pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],

@@ -14,7 +14,7 @@ import hashlib
 import heapq
 import json
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from itertools import chain
 
@@ -259,6 +259,46 @@ class Merges:
         return every[spread(starts, counts)], counts
 
 
+class Splitter:
+    """Splits texts into a pattern's words, special tokens apart, as a library of an older Unicode version than regex's does."""
+
+    def __init__(self, pattern: str, special: Iterable[str] = ()):
+        import regex
+
+        self.words = regex.compile(pattern).findall
+        names = sorted(special, key=len, reverse=True)
+        self.parts = regex.compile("(" + "|".join(map(regex.escape, names)) + ")").split if names else None
+        self.late = unknown_letters()
+        self.as_other = dict.fromkeys(map(ord, self.late), "\ue000")
+
+    def split(self, text: str, with_late: bool = False) -> list[str]:
+        """The words of a text in order; a special token is one word. with_late: the text holds letters that are unknown there."""
+        words = self._words_with_late if with_late else self.words
+        if self.parts is None:
+            return words(text)
+        out = self.parts(text)
+        if len(out) == 1:
+            return words(text)
+        return list(chain.from_iterable([x] if i % 2 else words(x) for i, x in enumerate(out)))
+
+    def _words_with_late(self, text: str) -> list[str]:
+        out, at = [], 0
+        for w in self.words(text.translate(self.as_other)):
+            out.append(text[at : at + len(w)])
+            at += len(w)
+        return out
+
+    def all(self, texts: list[str | None]) -> tuple[list[list[str]], set[str]]:
+        """split() of each text, and all different words."""
+        out = [self.split(t) if t else [] for t in texts]
+        every = set(chain.from_iterable(out))
+        late = {w for w in every if not w.isascii() and not self.late.isdisjoint(w)}
+        if late:
+            out = [ws if late.isdisjoint(ws) else self.split(t, True) for ws, t in zip(out, texts, strict=True)]
+            every = set(chain.from_iterable(out))
+        return out, every
+
+
 class WordPool:
     """The words that one Python worker has met, with their ids in one array; both are forgotten when they grow too large.
 
@@ -300,8 +340,6 @@ class Codec:
     """A tokenizer's tables and the words that one Python worker has met."""
 
     def __init__(self, lines: bytes, p: SpeculateParams):
-        import regex
-
         self.p, spec = p, json.loads(lines)
         model, pre = spec["model"], spec["pre_tokenizer"] or {}
         odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
@@ -318,11 +356,7 @@ class Codec:
         self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         if any(x["normalized"] or x["lstrip"] or x["rstrip"] or x["single_word"] for x in spec.get("added_tokens", [])):
             raise ValueError("added tokens with conditions")
-        self.words = regex.compile(p.pattern).findall
-        names = sorted(self.special, key=len, reverse=True) if p.special else []
-        self.parts = regex.compile("(" + "|".join(map(regex.escape, names)) + ")").split if names else None
-        self.late = unknown_letters()
-        self.as_other = dict.fromkeys(map(ord, self.late), "\ue000")
+        self.splitter = Splitter(p.pattern, self.special if p.special else ())
         # the bytes of all tokens one after the other, for decoding
         token |= {i: s.encode() for s, i in self.special.items()}
         sizes = np.zeros(max(token) + 2, dtype=np.int64)
@@ -332,39 +366,12 @@ class Codec:
         self.token_bytes = np.frombuffer(b"".join(token.get(i, b"") for i in range(len(sizes))), dtype=np.uint8)
         self.pool = WordPool(self._encode, p.words_kept, p.bytes_kept, self.special if p.special else None)
 
-    def split(self, text: str, with_late: bool = False) -> list[str]:
-        """The words of a text in order; a special token is one word. with_late: the text holds letters of later versions."""
-        words = self._words_with_late if with_late else self.words
-        if self.parts is None:
-            return words(text)
-        out = self.parts(text)
-        if len(out) == 1:
-            return words(text)
-        return list(chain.from_iterable([x] if i % 2 else words(x) for i, x in enumerate(out)))
-
-    def _words_with_late(self, text: str) -> list[str]:
-        out, at = [], 0
-        for w in self.words(text.translate(self.as_other)):
-            out.append(text[at : at + len(w)])
-            at += len(w)
-        return out
-
-    def split_all(self, texts: list[str | None]) -> tuple[list[list[str]], set[str]]:
-        """split() of each text, and all different words."""
-        out = [self.split(t) if t else [] for t in texts]
-        every = set(chain.from_iterable(out))
-        late = {w for w in every if not w.isascii() and not self.late.isdisjoint(w)}
-        if late:
-            out = [ws if late.isdisjoint(ws) else self.split(t, True) for ws, t in zip(out, texts, strict=True)]
-            every = set(chain.from_iterable(out))
-        return out, every
-
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return self.merges.encode([w.encode("utf-8", "replace") for w in words], self.p.long_word)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts): the ids of all texts one after the other, and how many each has."""
-        return self.pool.ids(*self.split_all(texts))
+        return self.pool.ids(*self.splitter.all(texts))
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """The bytes behind each list of ids; ids outside the vocabulary have none."""
