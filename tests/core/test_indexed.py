@@ -1,11 +1,12 @@
 """The index, scan and path operators against plain Python on small random tables."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from wayfold.operators import cfg, grams, reachability, scans, search
+from wayfold.operators import cfg, grams, layout, reachability, scans, search
 
 
 def closure(edges):
@@ -150,3 +151,35 @@ def test_paths_are_depth_first(spark, most, steps, together):
             assert x.path == len(paths)
             paths.append(list(x.trace))
     assert got == want
+
+
+def pushed(points, least, rounds=90):
+    """One sequential run over a group's (id, x, y)."""
+    xy = [[x, y] for _, x, y in sorted(points)]
+    for _ in range(rounds):
+        moved = False
+        for i in range(len(xy)):
+            for j in range(i + 1, len(xy)):
+                dx, dy = xy[j][0] - xy[i][0], xy[j][1] - xy[i][1]
+                size = math.hypot(dx, dy)
+                if size < least:
+                    ux, uy = (dx / size, dy / size) if size > 1e-9 else (math.cos(i + j), math.sin(i + j))
+                    step = (least - size) / 2
+                    xy[i], xy[j], moved = [xy[i][0] - ux * step, xy[i][1] - uy * step], [xy[j][0] + ux * step, xy[j][1] + uy * step], True
+        if not moved:
+            break
+    return {i: tuple(p) for (i, _, _), p in zip(sorted(points), xy, strict=True)}
+
+
+def test_repelled_as_in_one_run(spark):
+    r = random.Random(3)
+    rows = [(g, i, r.uniform(0, 120), r.uniform(0, 120)) for g, n in (("a", 60), ("b", 25), (None, 5)) for i in range(n)]
+    rows += [("a", 100 + i, 50.0, 50.0) for i in range(6)] + [("c", 1, 0.0, 0.0)]
+    df = spark.createDataFrame([(*x, "t", 1) for x in rows] + [("a", 900, None, 1.0, "t", 1), ("a", 901, math.nan, 1.0, "t", 1)], "g string, id int, x double, y double, part string, cells int")
+    out = layout.repel(df, "g", 10.0)
+    got = {(x.g, x.id): (x.x, x.y) for x in out.collect()}
+    assert out.columns == df.columns and len(got) == len(rows) + 2 and got.pop(("a", 900)) == (None, 1.0) and got.pop(("a", 901))[1] == 1.0
+    for g in ("a", "b", "c", None):
+        for i, p in pushed([x[1:] for x in rows if x[0] == g], 10.0).items():
+            assert got[g, i] == pytest.approx(p, abs=1e-6), (g, i)
+    assert layout.repel(df.limit(0), "g", 10.0).count() == 0

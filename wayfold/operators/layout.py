@@ -1,4 +1,4 @@
-"""Layouts and bounds: rings, grids, viewports, and a repulsion layout for one small group."""
+"""Layouts and bounds: rings, grids, viewports, and a repulsion layout by parts that never meet."""
 
 from __future__ import annotations
 
@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from wayfold.operators.components import connected_components
+from wayfold.operators.scans import count_before
+from wayfold.storage import materialize
+
 
 def ring_layout(placed: DataFrame, added: DataFrame, region: str = "region", order: str = "id", radius: float = 40.0, per_ring: int = 12) -> DataFrame:
     """added (id, region) with x, y on rings around the centre of the region's placed nodes (x, y); 0, 0 without any."""
@@ -50,35 +54,85 @@ def zoom_to_fit(df: DataFrame, width: float, height: float, pad: float = 70.0, l
     return b.select(*by, ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"), zoom.alias("zoom"))
 
 
-def repel(df: DataFrame, group: str, least: float, rounds: int = 90, most: int = 2000) -> DataFrame:
-    """df (group, id, x, y) with nodes of a group pushed apart until they are `least` apart.
-
-    Pair updates follow each other, so a group is one task; a group of more than `most` nodes raises.
+def _push_apart(xy: np.ndarray, place: np.ndarray, least: float, rounds: int) -> list[set[tuple[int, int]]]:
+    """Move the points of xy until all are `least` apart, pair after pair in order; the grid cells that each point was in."""
+    cell = lambda p: (math.floor(p[0] / least), math.floor(p[1] / least))
+    cells = [{cell(p)} for p in xy]
+    for _ in range(rounds):
+        moved = False
+        for i in range(len(xy) - 1):
+            j = i
+            while True:
+                near = np.flatnonzero(np.hypot(xy[j + 1 :, 0] - xy[i, 0], xy[j + 1 :, 1] - xy[i, 1]) < least)
+                if not len(near):
+                    break
+                j += 1 + int(near[0])
+                d = xy[j] - xy[i]
+                size = math.hypot(*d)
+                turn = float(place[i] + place[j])
+                unit = d / size if size > 1e-9 else np.array([math.cos(turn), math.sin(turn)])
+                xy[i] -= unit * (least - size) / 2
+                xy[j] += unit * (least - size) / 2
+                cells[i].add(cell(xy[i]))
+                cells[j].add(cell(xy[j]))
+                moved = True
+        if not moved:
+            break
+    return cells
+
+
+def _meeting(cells: DataFrame, part: str) -> DataFrame:
+    """(src, dst): different parts of one group that have a cell (group, part, cx, cy) in common or side by side."""
+    ways = F.array(*[F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x, y in ((0, 0), (1, 0), (-1, 1), (0, 1), (1, 1))])
+    own = cells.select("_group", "cx", "cy", F.col(part).alias("src")).distinct()
+    beside = own.select("_group", "src", "cx", "cy", F.explode(ways).alias("w")).select("_group", "src", (F.col("cx") + F.col("w.dx")).alias("cx"), (F.col("cy") + F.col("w.dy")).alias("cy"))
+    other = own.select("_group", "cx", "cy", F.col("src").alias("dst"))
+    return beside.join(other, ["_group", "cx", "cy"]).filter("src <> dst").select("src", "dst").distinct()
+
+
+def repel(df: DataFrame, group: str, least: float, rounds: int = 90) -> DataFrame:
+    """df (group, id, x, y and any columns) with nodes of a group pushed apart, pair after pair in the order of id, until they are `least` apart.
+
+    Pairs that are never nearer than `least` do not touch each other, so the plane is cut into cells
+    of that size and only nodes of connected cells are moved in one task. If the cells that two such parts
+    passed through are the same or side by side, they could have met: they become one part and are moved again from
+    their first places, until no two parts meet. The result is that of one sequential run over the
+    whole group. A part is one task; nodes without a finite place stay as they are.
     """
-    big = df.groupBy(group).count().filter(F.col("count") > most)
-    if not big.isEmpty():
-        raise ValueError("group too large for a sequential layout")
+    rows = df.withColumns({"_group": F.col(group).cast("string"), "_x": F.col("x").cast("double"), "_y": F.col("y").cast("double")}).withColumn("_group", F.coalesce("_group", F.lit("")))
+    fine = F.coalesce(~F.isnan("_x") & ~F.isnan("_y") & (F.abs("_x") < float("inf")) & (F.abs("_y") < float("inf")), F.lit(False))
+    placed = count_before(rows.filter(fine), F.lit(True), "_group", "id", "_i").withColumn("_cell", F.struct(F.floor(F.col("_x") / least).alias("cx"), F.floor(F.col("_y") / least).alias("cy")))
+    placed = materialize(placed.withColumn("_part", F.concat_ws("|", "_cell.cx", "_cell.cy", "_group")), "placed")
+    points = placed.select("_group", "_i", "_x", "_y", "_part")
+    parts = points.select("_part").distinct().select(F.col("_part").alias("cell"), F.col("_part").alias("part"))
+    meets = _meeting(placed.select("_group", "_part", "_cell.cx", "_cell.cy"), "_part")
+    shape = "_group string, _i long, _x double, _y double, part string, cells array<struct<cx:long,cy:long>>"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        xy = pdf[["x", "y"]].to_numpy(dtype=float).copy()
-        for _ in range(rounds):
-            moved = False
-            for i in range(len(xy)):
-                for j in range(i + 1, len(xy)):
-                    d = xy[j] - xy[i]
-                    size = math.hypot(*d)
-                    if size < least:
-                        unit = d / size if size > 1e-9 else np.array([math.cos(i + j), math.sin(i + j)])
-                        xy[i] -= unit * (least - size) / 2
-                        xy[j] += unit * (least - size) / 2
-                        moved = True
-            if not moved:
-                break
-        pdf["x"], pdf["y"] = xy[:, 0], xy[:, 1]
-        return pdf
-
-    return df.groupBy(group).applyInPandas(run, df.schema)
+        pdf = pdf.sort_values("_i")
+        xy = pdf[["_x", "_y"]].to_numpy(dtype=float).copy()
+        cells = _push_apart(xy, pdf["_i"].to_numpy(), least, rounds)
+        return pd.DataFrame({"_group": pdf["_group"], "_i": pdf["_i"], "_x": xy[:, 0], "_y": xy[:, 1], "part": pdf["part"], "cells": [[{"cx": x, "cy": y} for x, y in sorted(c)] for c in cells]})
+
+    done = None
+    while True:
+        # parts that meet become one; those that do not keep what they have
+        joined = connected_components(meets).select(F.col("id").alias("part"), F.col("component").alias("_new"))
+        parts = materialize(parts.join(joined, "part", "left").select("cell", F.coalesce("_new", "part").alias("part"), F.col("_new").isNotNull().alias("again")), "parts")
+        todo = points.join(parts if done is None else parts.filter("again"), F.col("_part") == F.col("cell"))
+        moved = todo.select("_group", "_i", "_x", "_y", "part").groupBy("part").applyInPandas(run, shape)
+        if done is not None:
+            gone = parts.filter("again").select("cell").join(points.select("_group", "_i", F.col("_part").alias("cell")), "cell").select("_group", "_i")
+            moved = done.join(gone, ["_group", "_i"], "left_anti").unionByName(moved)
+        done = materialize(moved, "moved")
+        meets = materialize(_meeting(done.select("_group", "part", F.explode("cells").alias("c")).select("_group", "part", "c.cx", "c.cy"), "part"), "meets")
+        if meets.isEmpty():
+            break
+        parts = parts.select("cell", "part")
+    new = done.select("_group", "_i", F.col("_x").alias("_nx"), F.col("_y").alias("_ny"))
+    kinds = dict(df.dtypes)
+    out = placed.join(new, ["_group", "_i"]).withColumns({"x": F.col("_nx").cast(kinds["x"]), "y": F.col("_ny").cast(kinds["y"])}).select(*df.columns)
+    return out.union(rows.filter(~fine).select(*df.columns))
 
 
 def region_labels(df: DataFrame, region: str = "region") -> DataFrame:

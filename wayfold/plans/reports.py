@@ -110,3 +110,11 @@ def region_camera(spark, sf_dir):
     k, r = F.col("n_nationkey"), F.col("n_regionkey")
     n = _t(spark, sf_dir, "nation").select(F.concat(F.lit("r"), r.cast("string")).alias("region"), (k * 40).alias("x"), (k * 7 % 25 * r).alias("y"))
     return layout.zoom_to_fit(n, 1000.0, 700.0, pad=70.0, least=0.5, most=4.0, by=["region"])
+
+
+@query()
+def repelled_places(spark, sf_dir):
+    """Customers of each nation pushed apart; a sequential rule without SQL, held against one plain run in the tests."""
+    k = F.col("c_custkey")
+    places = _t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), k.alias("id"), (k * 7919 % 10007 / 10.0).alias("x"), (k * 104729 % 9973 / 10.0).alias("y"))
+    return layout.repel(places, "nation", 12.0)
