@@ -56,7 +56,8 @@ STAGES = [
     ("tokenise", tokenise),
 ]
 
-#: SQL does not express byte-level BPE; tests/llm/test_pipeline.py holds each stage against brute force.
+#: SQL does not express byte-level BPE. Each stage's operator is held against SQL, brute force or its library in tests/llm; test_pipeline.py
+#: holds near_duplicates against brute force and checks on planted rows what the stages do together.
 ORACLE_SQL = None
 
 
