@@ -24,11 +24,14 @@ BROADCAST_GRAMS = 500_000
 
 
 def grams(text: Column, size) -> Column:
-    """The distinct grams of size characters; none if the text is shorter or null."""
-    size = F.lit(size) if isinstance(size, int) else size
-    # the sequence is evaluated for short texts too, so it is kept from running backwards
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
-    return F.when(F.length(text) >= size, F.array_distinct(F.transform(starts, lambda i: text.substr(i, size)))).otherwise(F.array().cast("array<string>"))
+    """The distinct grams of size characters; none if the text is shorter or null.
+
+    The text is taken apart once, into a bound array of characters: taking a substring at each place would walk there from the start.
+    """
+    size, none = F.lit(size) if isinstance(size, int) else size, F.array().cast("array<string>")
+    every = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - size + 1), lambda i: F.array_join(F.slice(c, i, size), ""))
+    bound = F.transform(F.array(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))), lambda c: F.when(F.size(c) >= size, F.array_distinct(every(c))).otherwise(none))
+    return F.coalesce(F.get(bound, F.lit(0)), none)
 
 
 def _few(df: DataFrame) -> DataFrame:
