@@ -16,6 +16,21 @@ def test_narrow_candidates_of_every_order(spark, tmp_path):
     assert sorted(map(tuple, workload.narrow_candidates(spark, str(tmp_path)).collect())) == sorted(want)
 
 
+def test_narrow_by_key_makes_result_rows_only(spark):
+    """Null conditions count as false; no operator sees all pairs of a key."""
+    from pyspark.sql import functions as F
+
+    from wayfold.operators import relational as R
+
+    queries = spark.createDataFrame([(i, i % 2) for i in range(2000)] + [(9000, None)], "q long, k int")
+    candidates = spark.createDataFrame([(i, i % 2, None if i % 3 else i < 8, i % 5 == 0) for i in range(300)] + [(999, None, True, True)], "c long, k int, f boolean, g boolean")
+    got = R.narrow_by_key(queries, candidates, "k", F.col("f"), F.col("g")).select("q", "c")
+    want = R.narrow(queries.join(candidates, "k"), "q", F.col("f"), F.col("g")).select("q", "c")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 2000
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
 def test_offset_histogram_of_every_customer(spark, tmp_path):
     customers, suppliers = [(1, 0), (2999, 1), (3000, 0), (14_999, 1)], [(5, 0), (7, 1), (2004, 0)]
     spark.createDataFrame(customers, "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")

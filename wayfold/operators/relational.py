@@ -109,6 +109,21 @@ def narrow(candidates: DataFrame, query: str, *flags: Column) -> DataFrame:
     return candidates
 
 
+def narrow_by_key(queries: DataFrame, candidates: DataFrame, on, *flags: Column) -> DataFrame:
+    """queries joined with what narrow() leaves of the candidates of their key, where the conditions are on candidates alone.
+
+    All queries of a key have the same candidates, so these are narrowed once a key, before the join:
+    what is left of a key has the greatest (flag, flag, ...) in it. The join makes result rows only.
+    """
+    keys, flag = _keys(on), F.struct(*[F.coalesce(f, F.lit(False)).alias(f"_f{i}") for i, f in enumerate(flags)])
+    best = candidates.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max(flag).alias("_best"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"_{k}"))
+    left = materialize(candidates.withColumn("_flag", flag).join(best, same & (F.col("_flag") == F.col("_best"))).select(*candidates.columns), "narrowed")
+    return queries.join(left, keys)
+
+
 def first_wins(df: DataFrame, keys, order) -> tuple[DataFrame, DataFrame]:
     """(published, repeated): the first row of each key by order, and the others."""
     r = df.withColumn("_r", F.row_number().over(W.partitionBy(*_keys(keys)).orderBy(*_keys(order))))
