@@ -41,3 +41,19 @@ def test_offset_histogram_of_every_customer(spark, tmp_path):
             if n == m:
                 want[c - s] = want.get(c - s, 0) + 1
     assert {r.k: r.n for r in workload.offset_histogram(spark, str(tmp_path)).collect()} == want
+
+
+def test_string_tables_of_large_files(spark, tmp_path):
+    """Two files of many texts each, made and read in linear time."""
+    import time
+
+    from wayfold.plans import reports
+
+    n = 60_000
+    rows = spark.range(n).selectExpr("id as p_partkey", "concat('name ', id % 97) as p_name", "concat('Brand#', id % 2) as p_brand")
+    rows.write.parquet(f"{tmp_path}/part.parquet")
+    t = time.monotonic()
+    got = reports.string_tables(spark, str(tmp_path)).collect()
+    assert time.monotonic() - t < 60
+    want = [(f"Brand#{b}", 101 + i, f"name {(2 * i + b) % 97}中") for b in (0, 1) for i in range(n // 2)]
+    assert sorted((r.path, r.id, r.text) for r in got if r.path != "broken") == want and len(got) == n + 1

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from wayfold.functions import text as X
-from wayfold.operators import catalog, graph, layout
+from wayfold.operators import catalog, graph, layout, scans
 from wayfold.plans.workload import G_SQL, _g, _load, _t, nodes, query
 from wayfold.sources import blobs, packages
-from wayfold.storage import delete_at_end, shared_dir
+from wayfold.storage import delete_at_end, materialize, shared_dir
 
 
 @query(f"""WITH {G_SQL}, q AS (
@@ -90,16 +90,17 @@ def _little(n, size: int = 4):
 @query("SELECT p_brand AS path, 100 + row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS id, p_name || '中' AS text FROM part UNION ALL SELECT 'broken', NULL, NULL FROM (SELECT 1 FROM part LIMIT 1)")
 def string_tables(spark, sf_dir):
     """A binary table of texts for each brand, one group of ids each, and one file that is cut short."""
-    p = _t(spark, sf_dir, "part").withColumn("i", F.row_number().over(W.partitionBy("p_brand").orderBy("p_partkey")))
-    texts = p.groupBy(F.col("p_brand").alias("path")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "p_name"))), lambda x: F.encode(F.concat(x["p_name"], F.lit("中\0")), "UTF-16LE")).alias("t"))
-    n = F.size("t")
+    p = _t(spark, sf_dir, "part").select(F.col("p_brand").alias("path"), F.col("p_partkey").alias("key"), F.encode(F.concat("p_name", F.lit("中\0")), "UTF-16LE").alias("t"))
+    placed = scans.running_sum(p, F.octet_length("t"), "path", "key", "end").select("path", "key", "t", (F.col("end") - F.octet_length("t")).alias("at"))
+    n = F.count("*").over(W.partitionBy("path"))
     # 20 bytes of header, three numbers, a group of 12 bytes, an offset for each text, the texts
-    starts = F.transform(F.sequence(F.lit(1), n), lambda i: F.aggregate(F.slice("t", F.lit(1), i - 1), F.lit(44) + 4 * n, lambda a, x: a + F.octet_length(x)))
-    header = F.concat(F.unhex(F.lit("000001000000000001000000")), _little(F.lit(1)), _little(n))
-    made = F.concat(header, _little(F.lit(44)), _little(F.lit(0)), _little(F.lit(0)), _little(F.lit(101)), _little(100 + n))
+    texts = placed.withColumn("start", _little(F.col("at") + 44 + 4 * n)).groupBy("path").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("key", "start", "t"))).alias("rows"))
+    # joined as one text of hexadecimal digits, each of them written once
+    joined = lambda c: F.unhex(F.array_join(F.transform("rows", lambda x: F.hex(x[c])), ""))
+    header = F.concat(F.unhex(F.lit("000001000000000001000000")), _little(F.lit(1)), _little(F.col("n")))
+    made = F.concat(header, _little(F.lit(44)), _little(F.lit(0)), _little(F.lit(0)), _little(F.lit(101)), _little(100 + F.col("n")))
     made = F.concat(made, F.unhex(F.lit("00000000")))  # the table may stand anywhere
-    whole = F.aggregate("t", F.aggregate(starts, made, lambda a, s: F.concat(a, _little(s))), lambda a, x: F.concat(a, x))
-    files = texts.select("path", whole.alias("content"))
+    files = materialize(texts.select("path", F.concat(made, joined("start"), joined("t")).alias("content")), "tables")
     cut = files.orderBy("path").limit(1).select(F.lit("broken").alias("path"), F.substring("content", 1, 15).alias("content"))
     return blobs.read_string_tables(files.union(cut)).select("path", "id", "text")
 
