@@ -69,3 +69,18 @@ def test_common_branches_of_one_order(spark, tmp_path):
     sql = workload.ORACLE_SQL["common_branches"].replace("FROM orders", f"FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
     want = sorted(duckdb.connect().execute(sql).fetchall())
     assert ("0,0,7" in dict(want).values()) and sorted(map(tuple, evidence.common_branches(spark, str(tmp_path)).collect())) == want
+
+
+def test_named_points_of_hot_names(spark):
+    """Every name has all points of the other kind twice; the join has one row a variant, not one a point."""
+    from pyspark.sql import functions as F
+
+    from wayfold.operators import evidence
+
+    names = spark.createDataFrame([(1, 1, ["a", "b"]), (2, 2, ["a", "a"]), (3, 1, ["c"]), (4, None, ["c", None]), (5, 1, ["d"]), (6, 3, ["e", "f"]), (7, 1, ["g"])], "id int, region int, variants array<string>")
+    points = [("a", 1, 10), ("a", 1, 10), ("a", 2, 11), ("a", 2, 12), ("b", 1, 10), ("c", 2, 13), ("c", None, 13), ("d", 1, None), ("d", 2, 14), ("e", 1, 15), ("f", 2, 15)] + [("h", 9, i) for i in range(500)]
+    points = spark.createDataFrame(points, "name string, region int, point int")
+    got = evidence.name_points(names, points)
+    assert {r.id: r.point for r in got.collect()} == {1: 10, 2: None, 3: 13, 4: 13, 5: 14, 6: 15, 7: None}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.rindex("Aggregate [name")  # points are reduced below the join

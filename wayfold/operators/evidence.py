@@ -156,13 +156,15 @@ def cascade_status(left: DataFrame, key: str, tables: Sequence[tuple[str, DataFr
 
 def name_points(names: DataFrame, points: DataFrame, region: str = "region") -> DataFrame:
     """names (id, variants array, region) with point: the one point (name, region, point) of any variant, narrowed to the own region if any lies there; else null."""
+    # whether a name has none, one or more points is told by its least and greatest one, so points are one row a name before they meet names
+    per = points.groupBy("name", F.col(region).alias("_r")).agg(F.min("point").alias("_lo"), F.max("point").alias("_hi"))
+    every = per.groupBy("name").agg(F.min("_lo").alias("_all_lo"), F.max("_hi").alias("_all_hi"))
+    own = per.filter("_r is not null").withColumnsRenamed({"_lo": "_own_lo", "_hi": "_own_hi"})
     rows = names.select("id", F.col(region).alias("_r"), F.explode(F.array_distinct("variants")).alias("name"))
-    found = rows.join(points.select("name", F.col(region).alias("_pr"), "point"), "name").withColumn("_own", F.col("_pr") == F.col("_r"))
-    per = found.groupBy("id").agg(
-        F.countDistinct(F.when(F.col("_own"), F.col("point"))).alias("own"), F.min(F.when(F.col("_own"), F.col("point"))).alias("own_point"),
-        F.countDistinct("point").alias("every"), F.min("point").alias("every_point"))
-    point = F.when(F.col("own") == 1, F.col("own_point")).when((F.col("own") == 0) & (F.col("every") == 1), F.col("every_point"))
-    return names.join(per.select("id", point.alias("point")), "id", "left")
+    found = rows.join(every, "name").join(own, ["name", "_r"], "left").groupBy("id").agg(
+        *[f(c).alias(c) for f, c in ((F.min, "_own_lo"), (F.max, "_own_hi"), (F.min, "_all_lo"), (F.max, "_all_hi"))])
+    point = F.when(F.col("_own_lo").isNotNull(), F.when(F.col("_own_lo") == F.col("_own_hi"), F.col("_own_lo"))).when(F.col("_all_lo") == F.col("_all_hi"), F.col("_all_lo"))
+    return names.join(found.select("id", point.alias("point")), "id", "left")
 
 
 def binding_mismatches(bindings: DataFrame, source: DataFrame, nodes: DataFrame) -> DataFrame:
