@@ -84,3 +84,28 @@ def test_named_points_of_hot_names(spark):
     assert {r.id: r.point for r in got.collect()} == {1: 10, 2: None, 3: 13, 4: 13, 5: 14, 6: 15, 7: None}
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.rindex("Aggregate [name")  # points are reduced below the join
+
+
+def test_offset_histogram_of_dense_and_sparse_blocks(spark):
+    """As many offsets as pairs of values, for values of any sign, repeated, null and far apart; without a row for each pair."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from wayfold.operators import relational as R
+
+    rng = np.random.default_rng(7)
+    a = [(k, int(v)) for k in (0, 1) for v in rng.integers(-70_000, 70_000, 4000)] + [(1, 10**15), (1, 10**15), (0, None), (None, 3), (2, 4)]
+    b = [(k, int(v)) for k in (0, 1) for v in rng.integers(-3_000, 140_000, 3000)] + [(1, -(10**15)), (1, None), (None, 3), (0, 5)]
+    want: dict = {None: 0}
+    for key in (0, 1):
+        x, y = ([v for k, v in t if k == key] for t in (a, b))
+        k, n = np.unique(np.subtract.outer([v for v in x if v is not None], [v for v in y if v is not None]), return_counts=True)
+        for i, m in zip(k.tolist(), n.tolist(), strict=True):
+            want[i] = want.get(i, 0) + m
+        want[None] += len(x) * len(y) - int(n.sum())
+    left, right = spark.createDataFrame(a, "k int, a long"), spark.createDataFrame(b, "k int, b long")
+    got = R.offset_histogram(left, right, "k", "a", "b")
+    assert {r.k: r.n for r in got.collect()} == want
+    assert "mapinpandas" in got._jdf.queryExecution().executedPlan().toString().lower()  # no join of values
+    halves = R.offset_histogram(left.withColumn("a", F.col("a") / 2), right, "k", "a", "b").filter("k is null").first()
+    assert halves.n == want[None]

@@ -6,8 +6,11 @@ splits hot keys; the counted side is pre-aggregated before it meets the other.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -296,11 +299,76 @@ def level_histogram(df: DataFrame, kind: str, fields: Sequence[str]) -> DataFram
     return df.select(kind, F.explode(rows).alias("r")).groupBy(kind, "r.field", "r.level").agg(F.count("*").alias("n"))
 
 
+#: Width of the blocks of offset_histogram(), a power of two.
+_BLOCK = 1 << 16
+
+
+def _correlate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(k, n) of pairs of blocks (d, xs, xn, ys, yn) in the order of d: offsets of sparse pairs one by one, of dense ones by a transform.
+
+    Products of the transforms are added up for all pairs of one d, as long as the bound of their error shows that the counts are exact.
+    """
+    size, d, total, error = 2 * _BLOCK, None, None, 0.0
+
+    def told() -> Iterator[pd.DataFrame]:
+        if total is not None:
+            n = np.rint(np.fft.irfft(total, size)).astype(np.int64)
+            at = np.flatnonzero(n)
+            yield pd.DataFrame({"k": d * _BLOCK + np.where(at < _BLOCK, at, at - size), "n": n[at]})
+
+    for b in batches:
+        for r in b.itertuples(index=False):
+            if d != r.d:
+                yield from told()
+                d, total, error = r.d, None, 0.0
+            xn, yn = np.asarray(r.xn, dtype=float), np.asarray(r.yn, dtype=float)
+            more = 64 * np.finfo(float).eps * math.log2(size) * math.sqrt(float(xn @ xn) * float(yn @ yn))
+            if len(r.xs) * len(r.ys) <= 4 * _BLOCK or more > 0.1:
+                for i in range(0, len(r.xs), 64):  # 64 * _BLOCK at most
+                    k = np.subtract.outer(np.asarray(r.xs[i : i + 64], dtype=np.int64), np.asarray(r.ys, dtype=np.int64)) + _BLOCK
+                    n = np.zeros(size, dtype=np.int64)
+                    np.add.at(n, k.ravel(), np.multiply.outer(np.asarray(r.xn[i : i + 64]), np.asarray(r.yn)).ravel())
+                    at = np.flatnonzero(n)
+                    yield pd.DataFrame({"k": d * _BLOCK + at - _BLOCK, "n": n[at]})
+                continue
+            if error + more > 0.1:
+                yield from told()
+                total, error = None, 0.0
+            x, y = np.zeros(size), np.zeros(size)
+            x[r.xs], y[r.ys] = xn, yn
+            product = np.fft.rfft(x) * np.conj(np.fft.rfft(y))
+            total, error = product if total is None else total + product, error + more
+    yield from told()
+
+
 def offset_histogram(left: DataFrame, right: DataFrame, key: str, a: str, b: str) -> DataFrame:
-    """(k, n): how often a - b = k among rows of one key; both sides are counted by (key, value) first."""
-    x = left.groupBy(key, a).agg(F.count("*").alias("_na"))
-    y = right.groupBy(key, b).agg(F.count("*").alias("_nb"))
-    return x.join(y, key).groupBy((F.col(a) - F.col(b)).alias("k")).agg(F.sum(F.col("_na") * F.col("_nb")).alias("n"))
+    """(k, n): how often a - b = k among rows of one key; a null makes k null.
+
+    Both sides are counted by (key, value). Whole numbers are cut into blocks of neighbouring values, and pairs of blocks are
+    correlated: two blocks that hold many values cost one product of their transforms, not a row for each pair of values.
+    """
+    if {dict(left.dtypes)[a], dict(right.dtypes)[b]} - {"tinyint", "smallint", "int", "bigint"}:
+        x, y = left.groupBy(key, a).agg(F.count("*").alias("_na")), right.groupBy(key, b).agg(F.count("*").alias("_nb"))
+        return x.join(y, key).groupBy((F.col(a) - F.col(b)).alias("k")).agg(F.sum(F.col("_na") * F.col("_nb")).alias("n"))
+
+    def counted(df: DataFrame, value: str, n: str) -> DataFrame:
+        return materialize(df.filter(F.col(key).isNotNull()).groupBy(key, F.col(value).cast("long").alias("v")).agg(F.count("*").alias(n)), "counted")
+
+    def blocks(df: DataFrame, n: str, side: str) -> DataFrame:
+        places = F.array_sort(F.collect_list(F.struct(F.col("v").bitwiseAND(F.lit(_BLOCK - 1)).cast("int").alias("s"), F.col(n).alias("n"))))
+        got = df.filter("v is not null").groupBy(key, F.shiftright("v", _BLOCK.bit_length() - 1).alias(f"b{side}")).agg(places.alias("p"))
+        return got.select(key, f"b{side}", F.col("p.s").alias(f"{side}s"), F.col("p.n").alias(f"{side}n"))
+
+    x, y = counted(left, a, "_na"), counted(right, b, "_nb")
+    # few rows a key, of up to a block each, dealt by key and blocks before they are paired
+    pairs = blocks(x, "_na", "x").join(blocks(y, "_nb", "y"), key).withColumn("d", F.col("bx") - F.col("by"))
+    dealt = pairs.select("d", "xs", "xn", "ys", "yn", F.pmod(F.hash(key, "bx"), F.lit(8)).alias("_deal"))
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(parts, "d", "_deal").sortWithinPartitions("d").drop("_deal")
+    whole = dealt.mapInPandas(_correlate, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    total = lambda df, n: df.groupBy(key).agg(F.sum(n).alias(n), F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col(n))), F.lit(0)).alias(f"{n}_known"))
+    nulls = total(x, "_na").join(total(y, "_nb"), key).agg(F.sum(F.col("_na") * F.col("_nb") - F.col("_na_known") * F.col("_nb_known")).alias("n"))
+    return whole.union(nulls.filter("n > 0").select(F.lit(None).cast("long").alias("k"), "n"))
 
 
 def prefix_counts(df: DataFrame, text: str, mark: str) -> DataFrame:
