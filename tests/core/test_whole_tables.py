@@ -43,49 +43,6 @@ def test_offset_histogram_of_every_customer(spark, tmp_path):
     assert {r.k: r.n for r in workload.offset_histogram(spark, str(tmp_path)).collect()} == want
 
 
-def test_string_tables_of_large_files(spark, tmp_path):
-    """Two files of many texts each, made and read in linear time."""
-    import time
-
-    from wayfold.plans import reports
-
-    n = 60_000
-    rows = spark.range(n).selectExpr("id as p_partkey", "concat('name ', id % 97) as p_name", "concat('Brand#', id % 2) as p_brand")
-    rows.write.parquet(f"{tmp_path}/part.parquet")
-    t = time.monotonic()
-    got = reports.string_tables(spark, str(tmp_path)).collect()
-    assert time.monotonic() - t < 60
-    want = [(f"Brand#{b}", 101 + i, f"name {(2 * i + b) % 97}中") for b in (0, 1) for i in range(n // 2)]
-    assert sorted((r.path, r.id, r.text) for r in got if r.path != "broken") == want and len(got) == n + 1
-
-
-def test_common_branches_of_one_order(spark, tmp_path):
-    """A list that meets no other keeps what it repeats, as in SQL."""
-    import duckdb
-
-    from wayfold.plans import evidence
-
-    spark.createDataFrame([(15, 1), (15, 2), (16, 2), (7, 3), (22, 3), (31, 4)], "o_orderkey long, o_custkey long").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
-    sql = workload.ORACLE_SQL["common_branches"].replace("FROM orders", f"FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
-    want = sorted(duckdb.connect().execute(sql).fetchall())
-    assert ("0,0,7" in dict(want).values()) and sorted(map(tuple, evidence.common_branches(spark, str(tmp_path)).collect())) == want
-
-
-def test_named_points_of_hot_names(spark):
-    """Every name has all points of the other kind twice; the join has one row a variant, not one a point."""
-    from pyspark.sql import functions as F
-
-    from wayfold.operators import evidence
-
-    names = spark.createDataFrame([(1, 1, ["a", "b"]), (2, 2, ["a", "a"]), (3, 1, ["c"]), (4, None, ["c", None]), (5, 1, ["d"]), (6, 3, ["e", "f"]), (7, 1, ["g"])], "id int, region int, variants array<string>")
-    points = [("a", 1, 10), ("a", 1, 10), ("a", 2, 11), ("a", 2, 12), ("b", 1, 10), ("c", 2, 13), ("c", None, 13), ("d", 1, None), ("d", 2, 14), ("e", 1, 15), ("f", 2, 15)] + [("h", 9, i) for i in range(500)]
-    points = spark.createDataFrame(points, "name string, region int, point int")
-    got = evidence.name_points(names, points)
-    assert {r.id: r.point for r in got.collect()} == {1: 10, 2: None, 3: 13, 4: 13, 5: 14, 6: 15, 7: None}
-    plan = got._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.index("Join") < plan.rindex("Aggregate [name")  # points are reduced below the join
-
-
 def test_offset_histogram_of_dense_and_sparse_blocks(spark):
     """As many offsets as pairs of values, for values of any sign, repeated, null and far apart; without a row for each pair."""
     import numpy as np
@@ -109,3 +66,86 @@ def test_offset_histogram_of_dense_and_sparse_blocks(spark):
     assert "mapinpandas" in got._jdf.queryExecution().executedPlan().toString().lower()  # no join of values
     halves = R.offset_histogram(left.withColumn("a", F.col("a") / 2), right, "k", "a", "b").filter("k is null").first()
     assert halves.n == want[None]
+
+
+def test_named_points_of_hot_names(spark):
+    """Every name has all points of the other kind twice; the join has one row a variant, not one a point."""
+    from pyspark.sql import functions as F
+
+    from wayfold.operators import evidence
+
+    names = spark.createDataFrame([(1, 1, ["a", "b"]), (2, 2, ["a", "a"]), (3, 1, ["c"]), (4, None, ["c", None]), (5, 1, ["d"]), (6, 3, ["e", "f"]), (7, 1, ["g"])], "id int, region int, variants array<string>")
+    points = [("a", 1, 10), ("a", 1, 10), ("a", 2, 11), ("a", 2, 12), ("b", 1, 10), ("c", 2, 13), ("c", None, 13), ("d", 1, None), ("d", 2, 14), ("e", 1, 15), ("f", 2, 15)] + [("h", 9, i) for i in range(500)]
+    points = spark.createDataFrame(points, "name string, region int, point int")
+    got = evidence.name_points(names, points)
+    assert {r.id: r.point for r in got.collect()} == {1: 10, 2: None, 3: 13, 4: 13, 5: 14, 6: 15, 7: None}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.rindex("Aggregate [name")  # points are reduced below the join
+
+
+def test_common_branches_of_one_order(spark, tmp_path):
+    """A list that meets no other keeps what it repeats, as in SQL."""
+    import duckdb
+
+    from wayfold.plans import evidence
+
+    spark.createDataFrame([(15, 1), (15, 2), (16, 2), (7, 3), (22, 3), (31, 4)], "o_orderkey long, o_custkey long").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    sql = workload.ORACLE_SQL["common_branches"].replace("FROM orders", f"FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+    want = sorted(duckdb.connect().execute(sql).fetchall())
+    assert ("0,0,7" in dict(want).values()) and sorted(map(tuple, evidence.common_branches(spark, str(tmp_path)).collect())) == want
+
+
+def test_string_tables_of_large_files(spark, tmp_path):
+    """Two files of many texts each, made and read in linear time."""
+    import time
+
+    from wayfold.plans import reports
+
+    n = 60_000
+    rows = spark.range(n).selectExpr("id as p_partkey", "concat('name ', id % 97) as p_name", "concat('Brand#', id % 2) as p_brand")
+    rows.write.parquet(f"{tmp_path}/part.parquet")
+    t = time.monotonic()
+    got = reports.string_tables(spark, str(tmp_path)).collect()
+    assert time.monotonic() - t < 60
+    want = [(f"Brand#{b}", 101 + i, f"name {(2 * i + b) % 97}中") for b in (0, 1) for i in range(n // 2)]
+    assert sorted((r.path, r.id, r.text) for r in got if r.path != "broken") == want and len(got) == n + 1
+
+
+def test_repelled_crowd_and_chain(spark):
+    """A crowd of thousands is moved in near-linear time, and a chain of parts that meet one after another needs few rounds."""
+    import time
+
+    import numpy as np
+
+    from wayfold.operators import layout
+
+    rng = np.random.default_rng(3)
+    xy, t = rng.integers(0, 14_000, (10_000, 2)) / 10.0, time.monotonic()
+    one = xy.copy()
+    layout._push_apart(one, np.arange(len(xy)), 12.0, 10)
+    assert time.monotonic() - t < 15
+    few = xy[:400] / 10
+    want = few.copy()
+    for _ in range(5):
+        for i in range(len(few) - 1):
+            for j in range(i + 1, len(few)):
+                d = want[j] - want[i]
+                size = float(np.hypot(*d))
+                if size < 12.0:
+                    unit = d / size if size > 1e-9 else np.array([np.cos(i + j), np.sin(i + j)])
+                    want[i] -= unit * (12.0 - size) / 2
+                    want[j] += unit * (12.0 - size) / 2
+    got = few.copy()
+    layout._push_apart(got, np.arange(len(few)), 12.0, 5)
+    assert np.allclose(got, want)
+    # pairs that are pushed towards the next pair: each joins its neighbour only after it has moved
+    rows = [("g", 2 * i + e, 27.0 * i + 0.5 * e, 0.0) for i in range(64) for e in (0, 1)]
+    whole = np.array([[x, y] for _, _, x, y in rows])
+    layout._push_apart(whole, np.arange(len(rows)), 10.0, 90)
+    runs, connected = [], layout.connected_components
+    layout.connected_components = lambda *a: (runs.append(1), connected(*a))[1]
+    try:
+        out = layout.repel(spark.createDataFrame(rows, "g string, id int, x double, y double"), "g", 10.0).orderBy("id").collect()
+    finally:
+        layout.connected_components = connected
+    assert [(r.x, r.y) for r in out] == [tuple(p) for p in whole.tolist()] and len(runs) <= 9

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Sequence
 
 import numpy as np
@@ -55,29 +56,60 @@ def zoom_to_fit(df: DataFrame, width: float, height: float, pad: float = 70.0, l
 
 
 def _push_apart(xy: np.ndarray, place: np.ndarray, least: float, rounds: int) -> list[set[tuple[int, int]]]:
-    """Move the points of xy until all are `least` apart, pair after pair in order; the grid cells that each point was in."""
-    cell = lambda p: (math.floor(p[0] / least), math.floor(p[1] / least))
-    cells = [{cell(p)} for p in xy]
+    """Move the points of xy until all are `least` apart, pair after pair in order; the grid cells that each point was in.
+
+    Points are kept in a grid a hair wider than `least`, so that a point is compared with those of nine cells, not with all.
+    """
+    cell = lambda x, y, w: (math.floor(x / w), math.floor(y / w))
+    xs, ys, place, n = xy[:, 0].tolist(), xy[:, 1].tolist(), place.tolist(), len(xy)
+    cells, wide = [{cell(x, y, least)} for x, y in zip(xs, ys, strict=True)], least * (1 + 1e-9)
+    lo, hi = (least * (1 - 1e-12)) ** 2, (least * (1 + 1e-12)) ** 2
+    grid: defaultdict[tuple[int, int], set[int]] = defaultdict(set)
+    at = [cell(x, y, wide) for x, y in zip(xs, ys, strict=True)]
+    for i, c in enumerate(at):
+        grid[c].add(i)
+    beside: dict[tuple[int, int], list[set[int]]] = {}
+
+    def first_near(i: int, j: int) -> int:
+        """The first point after j that is too near to i; n without one."""
+        x, y, best, (cx, cy) = xs[i], ys[i], n, at[i]
+        around = beside.get(at[i])
+        if around is None:
+            around = beside[at[i]] = [grid[cx + dx, cy + dy] for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
+        for members in around:
+            for k in members:
+                if j < k < best:
+                    dx, dy = xs[k] - x, ys[k] - y
+                    d = dx * dx + dy * dy
+                    if d < lo or d <= hi and np.hypot(dx, dy) < least:
+                        best = k
+        return best
+
+    def move(i: int, x: float, y: float) -> None:
+        xs[i], ys[i] = x, y
+        cells[i].add(cell(x, y, least))
+        c = cell(x, y, wide)
+        if c != at[i]:
+            grid[at[i]].discard(i)
+            grid[c].add(i)
+            at[i] = c
+
     for _ in range(rounds):
         moved = False
-        for i in range(len(xy) - 1):
+        for i in range(n - 1):
             j = i
-            while True:
-                near = np.flatnonzero(np.hypot(xy[j + 1 :, 0] - xy[i, 0], xy[j + 1 :, 1] - xy[i, 1]) < least)
-                if not len(near):
-                    break
-                j += 1 + int(near[0])
-                d = xy[j] - xy[i]
-                size = math.hypot(*d)
+            while (j := first_near(i, j)) < n:
+                dx, dy = xs[j] - xs[i], ys[j] - ys[i]
+                size = math.hypot(dx, dy)
                 turn = float(place[i] + place[j])
-                unit = d / size if size > 1e-9 else np.array([math.cos(turn), math.sin(turn)])
-                xy[i] -= unit * (least - size) / 2
-                xy[j] += unit * (least - size) / 2
-                cells[i].add(cell(xy[i]))
-                cells[j].add(cell(xy[j]))
+                ux, uy = (dx / size, dy / size) if size > 1e-9 else (math.cos(turn), math.sin(turn))
+                px, py = ux * (least - size) / 2, uy * (least - size) / 2
+                move(i, xs[i] - px, ys[i] - py)
+                move(j, xs[j] + px, ys[j] + py)
                 moved = True
         if not moved:
             break
+    xy[:, 0], xy[:, 1] = xs, ys
     return cells
 
 
@@ -96,8 +128,9 @@ def repel(df: DataFrame, group: str, least: float, rounds: int = 90) -> DataFram
     Pairs that are never nearer than `least` do not touch each other, so the plane is cut into cells
     of that size and only nodes of connected cells are moved in one task. If the cells that two such parts
     passed through are the same or side by side, they could have met: they become one part and are moved again from
-    their first places, until no two parts meet. The result is that of one sequential run over the
-    whole group. A part is one task; nodes without a finite place stay as they are.
+    their first places, until no two parts meet. Joining more parts than meet changes nothing, so each round joins
+    parts twice as far from each other as the one before, and rounds grow with the logarithm of the plane's width.
+    The result is that of one sequential run over the whole group. A part is one task; nodes without a finite place stay as they are.
     """
     rows = df.withColumns({"_group": F.col(group).cast("string"), "_x": F.col("x").cast("double"), "_y": F.col("y").cast("double")}).withColumn("_group", F.coalesce("_group", F.lit("")))
     fine = F.coalesce(~F.isnan("_x") & ~F.isnan("_y") & (F.abs("_x") < float("inf")) & (F.abs("_y") < float("inf")), F.lit(False))
@@ -114,20 +147,24 @@ def repel(df: DataFrame, group: str, least: float, rounds: int = 90) -> DataFram
         cells = _push_apart(xy, pdf["_i"].to_numpy(), least, rounds)
         return pd.DataFrame({"_group": pdf["_group"], "_i": pdf["_i"], "_x": xy[:, 0], "_y": xy[:, 1], "part": pdf["part"], "cells": [[{"cx": x, "cy": y} for x, y in sorted(c)] for c in cells]})
 
-    done = None
+    done, near, tasks = None, 1, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
         # parts that meet become one; those that do not keep what they have
         joined = connected_components(meets).select(F.col("id").alias("part"), F.col("component").alias("_new"))
         parts = materialize(parts.join(joined, "part", "left").select("cell", F.coalesce("_new", "part").alias("part"), F.col("_new").isNotNull().alias("again")), "parts")
         todo = points.join(parts if done is None else parts.filter("again"), F.col("_part") == F.col("cell"))
-        moved = todo.select("_group", "_i", "_x", "_y", "part").groupBy("part").applyInPandas(run, shape)
+        # so many tasks, since the few bytes of a part say nothing of its work
+        moved = todo.select("_group", "_i", "_x", "_y", "part").repartition(tasks, "part").groupBy("part").applyInPandas(run, shape)
         if done is not None:
             gone = parts.filter("again").select("cell").join(points.select("_group", "_i", F.col("_part").alias("cell")), "cell").select("_group", "_i")
             moved = done.join(gone, ["_group", "_i"], "left_anti").unionByName(moved)
         done = materialize(moved, "moved")
-        meets = materialize(_meeting(done.select("_group", "part", F.explode("cells").alias("c")).select("_group", "part", "c.cx", "c.cy"), "part"), "meets")
-        if meets.isEmpty():
+        passed = done.select("_group", "part", F.explode("cells").alias("c")).select("_group", "part", "c.cx", "c.cy")
+        if _meeting(passed, "part").isEmpty():
             break
+        near *= 2
+        wider = passed.select("_group", "part", F.floor(F.col("cx") / near).alias("cx"), F.floor(F.col("cy") / near).alias("cy"))
+        meets = materialize(_meeting(wider, "part"), "meets")
         parts = parts.select("cell", "part")
     new = done.select("_group", "_i", F.col("_x").alias("_nx"), F.col("_y").alias("_ny"))
     kinds = dict(df.dtypes)
