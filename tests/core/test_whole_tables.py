@@ -149,3 +149,17 @@ def test_repelled_crowd_and_chain(spark):
     finally:
         layout.connected_components = connected
     assert [(r.x, r.y) for r in out] == [tuple(p) for p in whole.tolist()] and len(runs) <= 9
+
+
+def test_contained_words_of_copies(spark, tmp_path):
+    """Texts go to no join of pairs: copies are searched once and met again by their digest; letters beyond 16 bits count as one."""
+    from wayfold.operators import grams
+
+    texts = [(i, "ab𝄞cd long text " + "x" * 50 if i % 2 else f"other {i % 7} text") for i in range(200)] + [(900, None), (901, "")]
+    needles = [(1, "b𝄞c"), (2, "text"), (3, "ab𝄞d"), (4, "𝄞"), (5, "r 3 t"), (6, None)]
+    n, t = spark.createDataFrame(needles, "n int, needle string"), spark.createDataFrame(texts, "t int, text string")
+    for size in (1, 3, 8):
+        got = grams.contains_pairs(n, t, "needle", "text", size).select("n", "t")
+        assert sorted(map(tuple, got.collect())) == sorted((a, b) for a, x in needles for b, y in texts if x and y and x in y)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "_text" not in plan and "(text" not in plan.split("Join")[1].split("\n")[0]

@@ -26,12 +26,10 @@ BROADCAST_GRAMS = 500_000
 def grams(text: Column, size) -> Column:
     """The distinct grams of size characters; none if the text is shorter or null.
 
-    The text is taken apart once, into a bound array of characters: taking a substring at each place would walk there from the start.
+    One scan by a pattern that looks ahead at each character, so that no place is walked to from the start of the text.
     """
-    size, none = F.lit(size) if isinstance(size, int) else size, F.array().cast("array<string>")
-    every = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - size + 1), lambda i: F.array_join(F.slice(c, i, size), ""))
-    bound = F.transform(F.array(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))), lambda c: F.when(F.size(c) >= size, F.array_distinct(every(c))).otherwise(none))
-    return F.coalesce(F.get(bound, F.lit(0)), none)
+    pattern = F.lit(f"(?s)(?=(.{{{size}}})).") if isinstance(size, int) else F.concat(F.lit("(?s)(?=(.{"), size.cast("string"), F.lit("}))."))
+    return F.coalesce(F.array_distinct(F.regexp_extract_all(text, pattern, F.lit(1))), F.array().cast("array<string>"))
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -44,25 +42,28 @@ def contains_pairs(needles: DataFrame, texts: DataFrame, needle: str, text: str,
     """Every row of needles with every row of texts whose text contains its needle; all columns of both, whose names must differ.
 
     Each distinct needle is looked up by its rarest gram among the texts. Null needles, empty ones
-    and null texts meet nothing. Only grams that some needle holds are counted and shuffled.
+    and null texts meet nothing. Only grams that some needle holds are counted and shuffled; a text meets all its
+    candidates at once, and its copies are told by its digest and searched once.
     """
     words = materialize(needles.select(F.col(needle).alias("_needle")).filter("_needle <> ''").distinct(), "needles")
     own = words.withColumn("_size", F.least(F.lit(size), F.length("_needle")))
     own = materialize(own.select("_needle", "_size", F.explode(grams(F.col("_needle"), F.col("_size"))).alias("_gram")), "needle_grams")
     wanted = _few(own.select("_gram").distinct())
-    # distinct texts, so that copies are searched once
-    every = materialize(texts.select(F.col(text).alias("_text")).filter("_text <> ''").distinct().withColumn("_id", F.monotonically_increasing_id()), "texts")
+    key = F.unhex(F.sha2(text, 256)).alias("_key")
+    every = materialize(texts.select(key, F.col(text).alias("_text")).filter("_text <> ''").dropDuplicates(["_key"]).withColumn("_id", F.monotonically_increasing_id()), "texts")
     sizes = [r[0] for r in own.select("_size").distinct().orderBy("_size").collect()]  # size of them at most
     held = every.select("_id", F.explode(F.concat(*[grams(F.col("_text"), k) for k in sizes] or [F.array().cast("array<string>")])).alias("_gram"))
     held = materialize(held.join(wanted, "_gram", "left_semi"), "text_grams")
     often = held.groupBy("_gram").agg(F.count("*").alias("_n"))
     # a gram that no text holds is the rarest of all, and its needle then meets nothing
     rarest = own.join(often, "_gram", "left").groupBy("_needle").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("g"))).alias("_x"))
-    asked = rarest.filter("_x.n > 0").select("_needle", F.col("_x.g").alias("_gram"))
-    met = materialize(held.join(asked, "_gram").select("_id", "_needle"), "candidates")
-    pairs = met.join(every, "_id").filter(F.contains("_text", "_needle")).select("_needle", "_text")
+    asked = _few(rarest.filter("_x.n > 0").select("_needle", F.col("_x.g").alias("_gram")))
+    met = held.join(asked, "_gram").groupBy("_id").agg(F.collect_list("_needle").alias("_needles"))
+    # not explode(), for which Spark would test the array's size first and so search each text twice
+    true = F.filter("_needles", lambda x: F.contains("_text", x))
+    pairs = materialize(met.join(every, "_id").select("_key", F.explode_outer(true).alias("_needle")).filter("_needle is not null"), "pairs")
     found = pairs.join(needles, pairs["_needle"] == needles[needle]).drop("_needle")
-    return found.join(texts, found["_text"] == texts[text]).drop("_text")
+    return found.join(texts.withColumn("_key", key), "_key").drop("_key")
 
 
 def contained_once(needles: DataFrame, texts: DataFrame, needle: str, text: str, key: str, on: Sequence[str] = (), size: int = 3) -> DataFrame:

@@ -97,7 +97,7 @@ def running_quantity(spark, sf_dir):
 def contained_words(spark, sf_dir):
     """Documents with the long words of the benchmark that their texts hold anywhere; there is no key to join on."""
     words = _t(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{8,}"), 0)).alias("word")).distinct()
-    return grams.contains_pairs(words, _t(spark, sf_dir, "documents").select("doc_id", "text"), "word", "text").select("doc_id", "word")
+    return grams.contains_pairs(words, _t(spark, sf_dir, "documents").select("doc_id", "text"), "word", "text", size=8).select("doc_id", "word")
 
 
 @query("""SELECT s AS supplier, c AS customer FROM (SELECT s_suppkey AS s, c_custkey AS c, count(*) OVER (PARTITION BY s_suppkey) AS n FROM supplier JOIN customer ON s_nationkey = c_nationkey AND contains(c_name, CAST(s_suppkey AS VARCHAR))) WHERE n = 1""")
