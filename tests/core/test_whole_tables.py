@@ -163,3 +163,14 @@ def test_contained_words_of_copies(spark, tmp_path):
         assert sorted(map(tuple, got.collect())) == sorted((a, b) for a, x in needles for b, y in texts if x and y and x in y)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "_text" not in plan and "(text" not in plan.split("Join")[1].split("\n")[0]
+
+
+def test_written_index_is_dealt(spark, tmp_path):
+    """One small file of many rows becomes as many files as there are shuffle partitions, whose grams are many tasks' work."""
+    from wayfold.operators import grams
+
+    nodes = spark.range(0, 4000, 1, 1).selectExpr("id", "concat('name ', id) as label", "'k' as kind", "'r' as region")
+    grams.write_index(nodes, f"{tmp_path}/index")
+    index = grams.read_index(spark, f"{tmp_path}/index")
+    assert len(index.rows.inputFiles()) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert grams.indexed_text_filter(index, "me 399").count() == 11

@@ -101,13 +101,16 @@ def write_index(nodes: DataFrame, path: str, columns: Sequence[str] = TEXT, size
     gram that many rows hold is many rows of a folder, which tasks write and read in pieces.
     """
     every = F.lower(F.concat_ws("\n", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns if c in nodes.columns]))
+    # dealt first: a small file of many short rows would be one task's work
+    nodes = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     nodes.withColumn("_id", F.monotonically_increasing_id()).withColumn("_text", every).write.mode("errorifexists").parquet(f"{path}/rows")
     rows = nodes.sparkSession.read.parquet(f"{path}/rows")
     of = F.explode(F.concat(*[grams(F.col("_text"), k) for k in range(1, size + 1)]))
     postings = rows.select("_id", of.alias("gram")).withColumn("bucket", _bucket(F.col("gram"), buckets))
-    dealt = postings.repartitionByRange("bucket", "gram", "_id").sortWithinPartitions("bucket", "gram", "_id")
+    # by hash, which needs no scan for ranges; a folder has 8 pieces
+    dealt = postings.repartition("bucket", F.pmod(F.hash("_id"), F.lit(8))).sortWithinPartitions("bucket", "gram", "_id")
     dealt.write.mode("errorifexists").partitionBy("bucket").parquet(f"{path}/postings")
-    kept = nodes.sparkSession.createDataFrame([(size, buckets)], "size int, buckets int")
+    kept = nodes.sparkSession.range(1).select(F.lit(size).alias("size"), F.lit(buckets).alias("buckets"))
     kept.write.mode("errorifexists").parquet(f"{path}/settings")
 
 
