@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayfold.operators import cfg, grams, layout, reachability, scans, search
+from wayfold.storage import materialize
 
 
 def closure(edges):
@@ -183,3 +184,18 @@ def test_repelled_as_in_one_run(spark):
         for i, p in pushed([x[1:] for x in rows if x[0] == g], 10.0).items():
             assert got[g, i] == pytest.approx(p, abs=1e-6), (g, i)
     assert layout.repel(df.limit(0), "g", 10.0).count() == 0
+
+
+def test_paths_of_small_events_take_no_rounds(spark, monkeypatch):
+    rng = random.Random(7)
+    kinds = [("GOTO IF X", 1, None), ("GOTO Unconditionally", 2, None), ("SKIP IF Y", None, 1), ("END IF Z", None, None), ("Label 1", None, None), ("Label", 2, None), ("SET", None, None), ("SKIP Z", None, 2)]
+    rows = [("m", e, i, *rng.choice(kinds)) for e in range(60) for i in range(rng.randint(1, 14)) if e % 7 or i != 3]
+    b = materialize(cfg.successors(spark.createDataFrame(rows, "map_id string, event_id long, index int, name string, label int, skip int")))
+    goal = spark.createDataFrame([("m", e, g) for e in range(61) for g in (0, 5, 9)], "map_id string, event_id long, target_index int")
+    written = []
+    monkeypatch.setattr(cfg, "materialize", lambda df, name="table": (written.append(name), materialize(df, name))[1])
+    told = lambda most, **how: sorted(map(str, cfg.bounded_paths(b, goal, most_paths=most, most_steps=6, **how).collect()))
+    one, few = told(32), told(2)
+    assert written == ["targets", "tried"] * 2  # before, some tables for each straight run of the longest path
+    assert one == told(32, small=0) and few == told(2, visits=12)
+    assert any("truncated=True" in x for x in one) and any("path=1" in x for x in one)
