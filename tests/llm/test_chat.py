@@ -1,8 +1,11 @@
 import json
+import random
 
 import duckdb
 
+from wayfold.llm import chat
 from wayfold.llm.chat import ORACLE_SQL, ChatParams, canonical, chat_digest, format_chats, violations
+from wayfold.storage import materialize
 
 SCHEMAS = {"add": {"type": "object", "properties": {"a": {"type": "integer"}, "b": {"type": ["integer", "null"]}, "op": {"enum": ["x", "y"]}}, "required": ["a"], "additionalProperties": False}}
 
@@ -77,3 +80,17 @@ def test_calls_made_from_turns_same_as_sql(spark):
     want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLE_SQL})").fetchall()
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
     assert {r.status for r in got.select("status").distinct().collect()} == {"ok", "linked", "orphan", "duplicate", "cyclic", "unanswered", "bad"}
+
+
+def test_calls_of_a_conversation_take_no_rounds(spark, monkeypatch):
+    rng = random.Random(3)
+    names = [f"c{i}" for i in range(40)]
+    rows = [(1, t, "assistant", call(f"c{t}", [f"c{t - 1}"] if t else None)) for t in range(20)]
+    rows += [(k, t, "assistant", call(rng.choice(names), rng.sample([*names, "gone"], rng.choice((0, 0, 1, 2))))) for k in range(2, 14) for t in rng.sample(range(90), 30)]
+    df = materialize(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    written = []
+    monkeypatch.setattr(chat, "materialize", lambda df, name="table": (written.append(name), materialize(df, name))[1])
+    told = lambda n: sorted(map(str, format_chats(df, ChatParams(SCHEMAS, n)).drop("json").collect()))
+    whole = told(2_000)
+    assert len(written) == 5  # before, two tables for each call of the chain
+    assert whole == told(25) and any("level=39" in x for x in whole) and any("cyclic" in x for x in whole)

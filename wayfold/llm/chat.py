@@ -23,10 +23,12 @@ from wayfold.storage import discard, materialize
 @dataclass(frozen=True)
 class ChatParams:
     """schemas: JSON Schema (type, properties, required, enum, items, additionalProperties) by tool
-    name.
+    name. Calls of a conversation with at most whole_calls calls and dependencies are ordered in one
+    row, those of larger ones by rounds; the number changes no result.
     """
 
     schemas: dict = field(default_factory=dict, hash=False)
+    whole_calls: int = 2_000
 
 
 _LONE = re.compile("[\ud800-\udfff]")
@@ -97,6 +99,67 @@ def items(messages: DataFrame) -> DataFrame:
     return messages.select("conv_id", "turn", "role", F.explode_outer(F.concat(whole, one("call", "tool_call"), one("result", "tool_result"))).alias("i")).select("conv_id", "turn", "role", "i.*")
 
 
+def ordered_calls(calls: list[dict]) -> list[tuple[str, int, int | None]]:
+    """(id, level, after) of one conversation's calls (id, turn, on); calls on cycles or with a missing dependency, and what depends on them, are left out."""
+    after, level, users = {c["id"]: c["turn"] for c in calls}, {}, {}
+    open_ = {c["id"]: len(c["on"]) for c in calls}
+    for c in calls:
+        for x in c["on"]:
+            users.setdefault(x, []).append(c["id"])
+    ready = [x for x, n in open_.items() if n == 0]
+    for x in ready:  # grows while it is read
+        level.setdefault(x, 0)
+        for y in users.get(x, ()):
+            level[y] = max(level.get(y, 0), level[x] + 1)
+            after[y] = max((t for t in (after[x], after[y]) if t is not None), default=None)
+            open_[y] -= 1
+            if open_[y] == 0:
+                ready.append(y)
+    return [(x, level[x], after[x]) for x in ready]
+
+
+def _ordered_batches(batches):
+    for b in batches:
+        got = [(i, *x) for i, calls in enumerate(b.column("calls").to_pylist()) for x in ordered_calls(calls)]
+        row, ids, level, after = zip(*got, strict=True) if got else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays(
+            [b.column("conv_id").take(pa.array(row, pa.int64())), pa.array(ids, pa.string()), pa.array(level, pa.int32()), pa.array(after, pa.int64())],
+            names=["conv_id", "id", "level", "after"])
+
+
+def call_levels(calls: DataFrame, deps: DataFrame, whole_calls: int) -> DataFrame:
+    """(conv_id, id, level, after), written: level as in _levels(); after, the greatest turn of a call and all it depends on.
+
+    calls: conv_id, id, call_turn; deps: conv_id, id, on, a written table without repeated rows.
+    """
+    calls = calls.select("conv_id", "id", F.col("call_turn").cast("long").alias("call_turn"))
+    wants = deps.groupBy("conv_id", "id").agg(F.collect_list(F.struct("on")).alias("on"))  # a list leaves no struct out, but nulls
+    nodes = materialize(calls.join(wants, ["conv_id", "id"], "left").select("conv_id", "id", "call_turn", F.coalesce(F.col("on.on"), F.array().cast("array<string>")).alias("on")), "calls")
+    large = materialize(nodes.groupBy("conv_id").agg(F.sum(F.size("on") + 1).alias("n")).filter(F.col("n") > whole_calls).select("conv_id"), "large")
+    whole = nodes.join(large, "conv_id", "left_anti").groupBy("conv_id").agg(F.collect_list(F.struct("id", F.col("call_turn").alias("turn"), "on")).alias("calls"))
+    out = materialize(whole.mapInArrow(_ordered_batches, "conv_id long, id string, level int, after long"), "turns")
+    if not large.isEmpty():
+        out = materialize(out.union(_by_rounds(nodes.join(large, "conv_id", "left_semi").drop("on"), deps.join(large, "conv_id", "left_semi"))), "turns")
+    discard(nodes, large)
+    return out
+
+
+def _by_rounds(calls: DataFrame, deps: DataFrame) -> DataFrame:
+    """call_levels() of conversations of any size."""
+    deps = materialize(deps, "deps")
+    levels = materialize(_levels(calls, deps), "levels")
+    turns = materialize(levels.join(calls, ["conv_id", "id"]).select("conv_id", "id", "level", F.col("call_turn").alias("after")), "turns")
+    while True:  # a call stands no earlier than what it depends on
+        late = deps.join(turns.select("conv_id", F.col("id").alias("on"), F.col("after").alias("dep")), ["conv_id", "on"]).groupBy("conv_id", "id").agg(F.max("dep").alias("dep"))
+        later = F.col("dep").isNotNull() & (F.col("after").isNull() | (F.col("dep") > F.col("after")))
+        moved = materialize(turns.join(late, ["conv_id", "id"], "left").select("conv_id", "id", "level", F.greatest("after", "dep").alias("after"), later.alias("m")), "turns")
+        done = moved.filter("m").isEmpty()
+        discard(turns)
+        if done:
+            return moved.drop("m")
+        turns = moved
+
+
 def _levels(calls: DataFrame, deps: DataFrame) -> DataFrame:
     """(conv_id, id, level): 0 without dependencies, else one more than the deepest; none on cycles.
 
@@ -186,17 +249,7 @@ def format_chats(messages: DataFrame, p: ChatParams = ChatParams()) -> DataFrame
     if deps.isEmpty():
         levels = calls.select("conv_id", "id", F.lit(0).alias("level"), F.col("call_turn").alias("after"))
     else:
-        levels = _levels(calls, deps)
-        turns = materialize(levels.join(calls, ["conv_id", "id"]).select("conv_id", "id", "level", F.col("call_turn").alias("after")), "turns")
-        while True:  # a call stands no earlier than what it depends on
-            late = deps.join(turns.select("conv_id", F.col("id").alias("on"), F.col("after").alias("dep")), ["conv_id", "on"]).groupBy("conv_id", "id").agg(F.max("dep").alias("dep"))
-            moved = materialize(turns.join(late, ["conv_id", "id"], "left").select("conv_id", "id", "level", F.greatest("after", "dep").alias("after"), (F.col("dep") > F.col("after")).alias("m")), "turns")
-            done = moved.filter("m").isEmpty()
-            discard(turns)
-            turns = moved.drop("m")
-            if done:
-                break
-        levels = turns
+        levels = call_levels(calls, deps, p.whole_calls)
     info = links.join(levels, ["conv_id", "id"], "left")
     full = parts.join(info, ["conv_id", "id"], "left")
     call, result = F.col("kind") == "call", F.col("kind") == "result"
