@@ -1,5 +1,7 @@
 import time
+from dataclasses import replace
 
+from wayfold.llm import quality as quality_module
 from wayfold.llm.quality import QualityParams, base_rules, clean, common_lines, quality, quality_digest, rated_rows
 
 P = QualityParams(least_docs=2, min_words=4)
@@ -71,3 +73,14 @@ def test_extra_columns_with_clashing_names(spark):
     df = spark.createDataFrame([(1, "a b c d e", "s", 1, 2, 3, 4)], "doc_id long, text string, source string, _row int, host int, lines int, copy int")
     assert clean(df, P).collect() == df.collect()
     assert set(df.columns) < set(quality(df, P).columns)
+
+
+def test_clean_writes_no_texts(spark, monkeypatch):
+    rows = [(i, f"the header line of the site\nown words of document number {i % 50}\nthe footer line" + "\nagain and again" * (i % 3), f"h{i % 2}", "", 0) for i in range(200)]
+    df = docs(spark, [*rows, (300, None, "h0", "", 0), (301, "a line of no host\nthe header line of the site", None, "", 0)])
+    written, write = [], quality_module.materialize
+    monkeypatch.setattr(quality_module, "materialize", lambda df, name: (written.append((name, df.columns)), write(df, name))[1])
+    p = QualityParams(min_words=4, depleted_percent=60)
+    one = sorted(map(str, clean(df, p).collect()))
+    assert written == [("common", ["host", "line"])]  # before, a table with the texts
+    assert one == sorted(map(str, clean(df, replace(p, broadcast_lines=0)).collect())) and 0 < len(one) < 202

@@ -125,7 +125,9 @@ def _linked(pairs: DataFrame, sets: DataFrame, p: NearDupParams) -> DataFrame:
         .filter(F.lit(100) * F.col("both") >= F.lit(p.percent) * (F.col("sum") - F.col("both")))
         .select("a", "b")
     )
-    return materialize(found, "links")
+    links = materialize(found, "links")
+    discard(ids)
+    return links
 
 
 def _ordered(x: str, y: str) -> list:
@@ -191,6 +193,7 @@ def link_classes(buckets: DataFrame, sets_for, p: NearDupParams) -> DataFrame:
     open_ = materialize(live.select("bucket", "id").join(mixed, "bucket").select("id").distinct(), "open")
     discard(live, heads)
     if open_.isEmpty():
+        discard(sets)
         return labels
     rest = materialize(prefixes(sets.join(open_, "id", "left_semi"), p.percent), "prefixes")
     while True:
@@ -199,6 +202,7 @@ def link_classes(buckets: DataFrame, sets_for, p: NearDupParams) -> DataFrame:
         left = materialize(at.join(alive, "item"), "prefixes")
         discard(rest)
         if left.isEmpty():
+            discard(sets)
             return labels
         lead = left.filter("short").withColumn("r", F.row_number().over(W.partitionBy("item").orderBy("id"))).filter(F.col("r") <= p.leaders)
         lead = materialize(lead.select("item", F.col("id").alias("lid"), F.col("n").alias("ln"), F.col("pos").alias("lpos"), F.col("comp").alias("lcomp")), "lead")

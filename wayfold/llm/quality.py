@@ -1,7 +1,8 @@
 """Operator 1: quality rules and cross-document line frequency, in built-in functions only.
 
-The texts are read once: a written table holds, for each row, the base rules' figures and its lines
-as (hash of the normalised line, words). Lines are counted, compared and joined by their hashes.
+For figures the texts are read once: a written table holds, for each row, the base rules' figures and its lines
+as (hash of the normalised line, words). Lines are counted, compared and joined by their hashes. clean(), which
+returns the texts, reads them twice instead: they are neither written nor shuffled besides its result.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ class QualityParams:
     """A line is common on a host (column host) if more than max(least_docs, host_percent % of the
     host's documents) distinct documents hold it; exact copies of a text are one document. A document
     is depleted if its common lines hold more than depleted_percent % of its words. min_words and repeat_percent are the base rules.
+    broadcast_lines is the most common lines that clean() broadcasts; for more, rows are joined with theirs.
     """
 
     host: str = "source"
@@ -30,6 +32,7 @@ class QualityParams:
     depleted_percent: int = 70
     min_words: int = 50
     repeat_percent: int = 50
+    broadcast_lines: int = 100_000
 
 
 def bound(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -94,33 +97,40 @@ def _figures(text: Column) -> Column:
     return F.struct(of_words.alias("w"), symbols.alias("n_symbols"), copies.alias("n_dup_lines"))
 
 
+def _base_failed(n: Column, again: Column, p: QualityParams) -> Column:
+    return (n < p.min_words) | (F.lit(100) * again > F.lit(p.repeat_percent) * n)
+
+
 def base_rules(docs: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed added."""
     d = docs.withColumn("_f", bound(F.coalesce("text", F.lit("")), _figures))
     n, again = F.col("_f.w.n_words"), F.col("_f.w.n_repeat_words")
-    bad = (n < p.min_words) | (F.lit(100) * again > F.lit(p.repeat_percent) * n)
     return d.withColumns({
         "n_words": n, "word_chars": F.col("_f.w.word_chars"), "n_symbols": F.col("_f.n_symbols"),
-        "n_dup_lines": F.col("_f.n_dup_lines"), "n_repeat_words": again, "base_failed": bad,
+        "n_dup_lines": F.col("_f.n_dup_lines"), "n_repeat_words": again, "base_failed": _base_failed(n, again, p),
     }).drop("_f")
 
 
+def _host(p: QualityParams) -> Column:
+    return F.coalesce(F.col(p.host).cast("string"), F.lit(""))
+
+
 def rated_rows(docs: DataFrame, p: QualityParams, keep: bool) -> DataFrame:
     """A written table of docs: _row (a key of the row), doc (its columns, or doc_id alone unless keep),
     host, copy (hash of the whole text), lines and the columns of base_rules()."""
     doc = F.struct("*") if keep else F.struct("doc_id")
-    d = docs.select(F.monotonically_increasing_id().alias("_row"), doc.alias("doc"), F.coalesce(F.col(p.host).cast("string"), F.lit("")).alias("host"), "text")
+    d = docs.select(F.monotonically_increasing_id().alias("_row"), doc.alias("doc"), _host(p).alias("host"), "text")
     d = d.withColumns({"copy": F.xxhash64(F.coalesce("text", F.lit(""))), "lines": line_keys(F.coalesce("text", F.lit("")))})
     return materialize(base_rules(d, p).drop("text"), "rated")
 
 
-def _exploded(rated: DataFrame) -> DataFrame:
+def _exploded(rated: DataFrame, *keys: str) -> DataFrame:
     # explode() would add a filter on the array's size
-    return rated.select("_row", "host", "copy", F.explode_outer("lines").alias("l")).filter("l is not null").select("_row", "host", "copy", "l.line", "l.words")
+    return rated.select(*keys, "host", "copy", F.explode_outer("lines").alias("l")).filter("l is not null").select(*keys, "host", "copy", "l.line", "l.words")
 
 
 def common_lines(rated: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
-    """(host, line), written: lines of rated_rows() above their host's limit.
+    """(host, line), written: lines of rows (host, copy, lines) as in rated_rows() above their host's limit.
 
     Distinct documents of a line are its distinct (host, line, copy): exact copies of a text are one
     document, all others count each. Both counts are pre-aggregated, so no host's rows meet in one task.
@@ -133,7 +143,7 @@ def common_lines(rated: DataFrame, p: QualityParams = QualityParams()) -> DataFr
 
 def judged(rated: DataFrame, p: QualityParams) -> DataFrame:
     """rated with n_common_words, common (line hashes, null without any) and kept added."""
-    hit = _exploded(rated).join(common_lines(rated, p), ["host", "line"])
+    hit = _exploded(rated, "_row").join(common_lines(rated, p), ["host", "line"])
     gone = materialize(hit.groupBy("_row").agg(F.sum("words").alias("n_common_words"), F.collect_set("line").alias("common")), "gone")
     out = rated.join(gone, "_row", "left").withColumn("n_common_words", F.coalesce("n_common_words", F.lit(0)).cast("long"))
     depleted = F.lit(100) * F.col("n_common_words") > F.lit(p.depleted_percent) * F.col("n_words")
@@ -161,9 +171,33 @@ def quality_digest(docs: DataFrame, p: QualityParams = QualityParams()) -> DataF
     return out.select("doc.doc_id", *_BASE, "kept", "n_common_words")
 
 
+def _hits(lines: Column, common: Column) -> Column:
+    """Struct of common (hashes of the lines that are common) and n_common_words."""
+    words = lambda x, hit: F.aggregate(F.filter(x, lambda y: F.array_contains(hit, y["line"])), F.lit(0).cast("long"), lambda a, y: a + y["words"])
+    held = lambda x: bound(F.array_intersect(F.transform(x, lambda y: y["line"]), common), lambda hit: F.struct(hit.alias("common"), words(x, hit).alias("n_common_words")))
+    return bound(lines, held)
+
+
+def _kept_rows(docs: DataFrame, p: QualityParams) -> DataFrame:
+    """(doc, common) of the kept rows of docs: the columns as a struct, and the hashes of a row's common lines or null."""
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(_host(p).alias("host"), F.xxhash64(text).alias("copy"), line_keys(text).alias("lines"))
+    common = common_lines(rows, p)
+    if common.count() > p.broadcast_lines:
+        return judged(rated_rows(docs, p, keep=True), p).filter("kept").select("doc", "common")
+    of_host = F.broadcast(common.groupBy("host").agg(F.collect_list("line").alias("_common")))
+    met = docs.select(F.struct("*").alias("doc"), _host(p).alias("host"), text.alias("text")).join(of_host, "host", "left")
+    hits = F.when(F.col("_common").isNotNull(), _hits(line_keys(F.col("text")), F.col("_common")))
+    # a filter would be put below a projection and the figures computed twice
+    met = met.select("doc", F.explode_outer(F.array(F.struct(bound(F.col("text"), _figures).alias("f"), hits.alias("h")))).alias("x"))
+    n, again, gone = F.col("x.f.w.n_words"), F.col("x.f.w.n_repeat_words"), F.coalesce("x.h.n_common_words", F.lit(0).cast("long"))
+    kept = ~_base_failed(n, again, p) & ~(F.lit(100) * gone > F.lit(p.depleted_percent) * n)
+    return met.filter(kept).select("doc", F.when(gone > 0, F.col("x.h.common")).alias("common"))
+
+
 def clean(docs: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
     """The kept documents, without their common lines; columns as in docs, n_chars anew if present."""
-    out = judged(rated_rows(docs, p, keep=True), p).filter("kept")
+    out = _kept_rows(docs, p)
     stays = lambda common: lambda x: ~F.coalesce(F.array_contains(common, line_key(x)), F.lit(False))
     rest = F.array_join(F.filter(F.split("doc.text", "\n", -1), stays(F.col("common"))), "\n")
     text = F.when(F.col("common").isNotNull(), rest).otherwise(F.col("doc.text"))
