@@ -199,3 +199,22 @@ def test_paths_of_small_events_take_no_rounds(spark, monkeypatch):
     assert written == ["targets", "tried"] * 2  # before, some tables for each straight run of the longest path
     assert one == told(32, small=0) and few == told(2, visits=12)
     assert any("truncated=True" in x for x in one) and any("path=1" in x for x in one)
+
+
+def _written(monkeypatch):
+    written = []
+    monkeypatch.setattr(reachability, "materialize", lambda df, name="table": (written.append(name), materialize(df, name))[1])
+    return written
+
+
+def test_components_take_a_quarter_of_the_rounds(spark, monkeypatch):
+    ring = [(i, (i + 1) % 20) for i in range(20)]
+    edges = ring + [(i, 100) for i in range(20, 50)] + [(100, i) for i in range(50, 80)] + [(3, 20), (60, 61), (61, 60), (60, 90)]
+    written = _written(monkeypatch)
+    got = {r.id: r.scc for r in reachability.scc_labels(spark.createDataFrame(edges, "src int, dst int")).collect()}
+    seen = closure(edges)
+    assert got == {n: min(m for m in seen[n] if n in seen[m]) for n in seen}
+    assert written.count("colours") + written.count("members") < 20  # before, a round for each node of the ring forwards, and again backwards
+    hub = spark.createDataFrame([(i, 100) for i in range(30)] + [(100, i) for i in range(50, 80)] + [(50, 90), (90, 91)], "src int, dst int")
+    ways = {(r.src, r.dst): r.low for r in reachability._shortened(hub).collect()}
+    assert len(ways) == 62 + 3 and ways[100, 90] == ways[100, 91] == 50  # the hub itself joins no ways

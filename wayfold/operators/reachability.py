@@ -1,12 +1,13 @@
 """An index that answers whether one node reaches another by a join of labels.
 
-Strongly connected components are found by colouring: the least id that reaches each node is spread
-forwards, and the component of an id that kept its own colour is what reaches it backwards within
-that colour. Components then are the nodes of an acyclic graph, whose labels are pruned landmarks:
+Strongly connected components are found by colouring: the first node that reaches each is spread
+forwards and the first that it reaches backwards, in the same rounds. Where the two are one, it lies in
+the node's component; the others are coloured again within equal pairs. Components then are the
+nodes of an acyclic graph, whose labels are pruned landmarks:
 node v is labelled with landmark w if w reaches v and no node of a higher place lies on the way. For
 every pair that is connected, the highest node on any of its paths is a label of both, so a query
-joins two short lists instead of searching. Rounds grow with the graph's diameter, as for graph.reach(); a round
-holds labels that are new, not a closure for each seed.
+joins two short lists instead of searching. Rounds grow with the graph's diameter, a quarter of it where nodes have
+few edges; a round holds labels that are new, not a closure for each seed.
 """
 
 from __future__ import annotations
@@ -31,34 +32,55 @@ def _inner(edges: DataFrame) -> DataFrame:
     return out.join(both, out["dst"] == both["node"], "left_semi")
 
 
-def _colours(edges: DataFrame, max_rounds: int) -> DataFrame:
-    """(node, c), written: the least id among a node and all that reach it."""
-    ids = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    state = materialize(ids.select("node", F.col("node").alias("c"), F.lit(True).alias("new")), "colours")
+def _shortened(edges: DataFrame, width: int = 8) -> DataFrame:
+    """(src, dst, low), written: the edges and ways of up to four edges, so that rounds are a quarter of a path's length.
+
+    low is the least node on a way, its ends included; of several ways between two nodes the one with the
+    greatest is kept. Ways are joined only at nodes with at most `width` of them in or out, so a join makes
+    no more than 2 * width for each there is; where none is made, the edges lead on.
+    """
+    ways = materialize(edges.select("src", "dst", F.least("src", "dst").alias("low")), "ways")
+    for _ in range(2):
+        ends = ways.select(F.col("dst").alias("at"), F.lit(1).alias("i"), F.lit(0).alias("o")).union(ways.select("src", F.lit(0), F.lit(1)))
+        narrow = ends.groupBy("at").agg(F.sum("i").alias("i"), F.sum("o").alias("o")).filter(f"least(i, o) between 1 and {width}").select("at")
+        a = ways.select("src", F.col("dst").alias("at"), F.col("low").alias("_low")).join(narrow, "at", "left_semi")
+        longer = a.join(ways.select(F.col("src").alias("at"), "dst", "low"), "at").filter("src <> dst").select("src", "dst", F.least("low", "_low").alias("low"))
+        fresh = materialize(ways.union(longer).groupBy("src", "dst").agg(F.max("low").alias("low")), "ways")
+        discard(ways)
+        ways = fresh
+    return ways
+
+
+def _both_ways(ways: DataFrame) -> DataFrame:
+    """(side, at, to, low): ways forwards as `in`, backwards as `out`."""
+    way = F.explode(F.array(F.struct(F.lit("in").alias("side"), F.col("src").alias("at"), F.col("dst").alias("to")), F.struct(F.lit("out").alias("side"), F.col("dst").alias("at"), F.col("src").alias("to"))))
+    return ways.select(way.alias("w"), "low").select("w.*", "low")
+
+
+def _colours(ways: DataFrame, max_rounds: int) -> DataFrame:
+    """(node, f, b), written: the first among a node and all that reach it, and among it and all that it reaches.
+
+    Nodes with many ways in and out come first: they lie in large components, which then have one colour at once.
+    """
+    both = materialize(_both_ways(ways).drop("low"), "both")
+    degree = both.groupBy(F.col("to").alias("node")).agg(F.sum(F.when(F.col("side") == "in", -1).otherwise(0)).alias("i"), F.sum(F.when(F.col("side") == "out", 1).otherwise(0)).alias("o"))
+    first = degree.select(F.explode(F.array(F.lit("in"), F.lit("out"))).alias("side"), "node", F.struct((F.col("i") * F.col("o")).alias("d"), F.col("node").alias("id")).alias("c"))
+    state = materialize(first.withColumn("new", F.lit(True)), "colours")
     for _ in range(max_rounds):
-        front = state.filter("new").select(F.col("node").alias("src"), "c")
+        front = state.filter("new").select("side", F.col("node").alias("at"), "c")
         if front.isEmpty():
-            return state.select("node", "c")
-        told = front.join(edges, "src").groupBy(F.col("dst").alias("node")).agg(F.min("c").alias("t"))
-        lower = F.coalesce(F.col("t") < F.col("c"), F.lit(False))
-        fresh = materialize(state.select("node", "c").join(told, "node", "left").select("node", F.when(lower, F.col("t")).otherwise(F.col("c")).alias("c"), lower.alias("new")), "colours")
+            kept = [F.min(F.when(F.col("side") == side, F.col("c"))) for side in ("in", "out")]
+            out = materialize(state.groupBy("node").agg(kept[0].alias("f"), kept[1].alias("b")).select("node", F.col("f.id").alias("f"), F.col("b.id").alias("b")), "colours")
+            discard(state, both)
+            return out
+        told = front.join(both, ["side", "at"]).select("side", F.col("to").alias("node"), "c", F.lit(None).cast(front.schema["c"].dataType).alias("was"))
+        least = state.select("side", "node", "c", F.col("c").alias("was")).union(told).groupBy("side", "node").agg(F.min("c").alias("c"), F.min("was").alias("was"))
+        fresh = materialize(least.select("side", "node", "c", (F.col("c") < F.col("was")).alias("new")), "colours")
         discard(state)
         state = fresh
     raise RuntimeError("colours did not settle")
 
 
-def _reaching(edges: DataFrame, roots: DataFrame, max_rounds: int) -> DataFrame:
-    """(node, c): what reaches its colour's root over edges (src, dst, c) of one colour each; roots: node, c."""
-    seen = front = materialize(roots, "members")
-    for k in range(1, max_rounds + 1):
-        new = front.select(F.col("node").alias("dst"), "c").join(edges, ["dst", "c"]).select(F.col("src").alias("node"), "c").distinct()
-        front = materialize(new.join(seen, ["node", "c"], "left_anti"), "members")
-        if front.isEmpty():
-            return seen
-        seen = seen.union(front) if k % 8 else materialize(seen.union(front), "members")
-    raise RuntimeError("components did not settle")
-
-
 def scc_labels(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """(id, scc) of every endpoint: its strongly connected component, named by the least id in it.
 
@@ -66,25 +88,27 @@ def scc_labels(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     own; an empty list gives an empty result.
     """
     ids = edges.select(F.col("src").alias("id")).union(edges.select("dst")).dropna().distinct()
-    left, found = materialize(_inner(_edges(edges)), "cyclic"), None
+    inner, found = materialize(_inner(_edges(edges)), "cyclic"), None
+    left = inner if inner.isEmpty() else _shortened(inner)
     for _ in range(max_rounds):
         if left.isEmpty():
             break
         colours = _colours(left, max_rounds)
-        a, b = (colours.select(F.col("node").alias(e), F.col("c").alias(f"_{e}")) for e in ("src", "dst"))
-        # an edge whose ends differ in colour lies in no component
-        same = materialize(left.join(a, "src").join(b, "dst").filter("_src = _dst").select("src", "dst", F.col("_src").alias("c")), "same")
-        members = materialize(_reaching(same, colours.filter("node = c"), max_rounds), "members")
+        members = colours.filter("f = b").select("node", F.col("f").alias("c"))
         found = members if found is None else found.union(members)
-        rest = same.join(members, same["src"] == members["node"], "left_anti").join(members, same["dst"] == members["node"], "left_anti").select("src", "dst")
-        fresh = materialize(_inner(materialize(rest, "cyclic")), "cyclic")
-        discard(left, same)
+        # the others' components lie within one pair of colours, as does every way whose ends have that pair
+        a, b = (colours.filter("f <> b").select(F.col("node").alias(e), "f", "b") for e in ("src", "dst"))
+        rest = materialize(left.join(a, "src").join(b, ["dst", "f", "b"]).select("src", "dst", "low"), "cyclic")
+        fresh = materialize(_inner(rest), "cyclic")
+        discard(left, rest)
         left = fresh
     else:
         raise RuntimeError("components did not settle")
+    discard(inner, left)
     if found is None:
         return ids.select("id", F.col("id").alias("scc"))
-    return ids.join(found.select(F.col("node").alias("id"), "c"), "id", "left").select("id", F.coalesce("c", "id").alias("scc"))
+    least = materialize(found.groupBy("c").agg(F.min("node").alias("scc")), "least")
+    return ids.join(found.join(least, "c").select(F.col("node").alias("id"), "scc"), "id", "left").select("id", F.coalesce("scc", "id").alias("scc"))
 
 
 def condensed(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -153,9 +177,7 @@ def reach_index(edges: DataFrame, first: int = 64, max_rounds: int = 10_000) ->
     every = labels.select("scc").distinct().join(degree, "scc", "left").withColumn("d", F.coalesce("d", F.lit(1)))
     placed = materialize(numbered(every, [F.desc("d"), F.asc("scc")], "place").select("scc", F.col("place").cast("long").alias("place")), "places")
     a, b = (placed.select(F.col("scc").alias(e), F.col("place").alias(f"_{e}")) for e in ("src", "dst"))
-    pairs = dag.join(a, "src").join(b, "dst")
-    ways = F.explode(F.array(F.struct(F.lit("in").alias("side"), F.col("_src").alias("at"), F.col("_dst").alias("to")), F.struct(F.lit("out").alias("side"), F.col("_dst").alias("at"), F.col("_src").alias("to"))))
-    ways = materialize(pairs.select(ways.alias("w")).select("w.*"), "ways")
+    ways = materialize(_both_ways(dag.join(a, "src").join(b, "dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst"), F.least("_src", "_dst").alias("low"))), "ways")
     high = materialize(_labels(ways, placed.filter(F.col("place") <= first), None, max_rounds), "labels")
     rest = _labels(ways, placed.filter(F.col("place") > first), high, max_rounds)
     places = materialize(labels.join(placed, "scc").select("id", "place"), "places")
