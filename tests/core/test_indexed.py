@@ -218,3 +218,13 @@ def test_components_take_a_quarter_of_the_rounds(spark, monkeypatch):
     hub = spark.createDataFrame([(i, 100) for i in range(30)] + [(100, i) for i in range(50, 80)] + [(50, 90), (90, 91)], "src int, dst int")
     ways = {(r.src, r.dst): r.low for r in reachability._shortened(hub).collect()}
     assert len(ways) == 62 + 3 and ways[100, 90] == ways[100, 91] == 50  # the hub itself joins no ways
+
+
+def test_labels_take_a_quarter_of_the_rounds(spark, monkeypatch):
+    chain = [(i, i + 1) for i in range(16)]
+    written = _written(monkeypatch)
+    index = reachability.reach_index(spark.createDataFrame(chain, "src int, dst int"), first=1)
+    pairs = [(a, b) for a in range(17) for b in range(17)]
+    got = {(r.a, r.b): r.reaches for r in reachability.reach_by_labels(index, spark.createDataFrame(pairs, "a int, b int")).collect()}
+    assert got == {(a, b): a <= b for a, b in pairs}
+    assert written.count("labels") + written.count("asked") < 20  # before, a round for each edge of the chain

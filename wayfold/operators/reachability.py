@@ -147,11 +147,11 @@ def _covered(asked: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _labels(ways: DataFrame, starts: DataFrame, known: DataFrame | None, max_rounds: int) -> DataFrame:
-    """Labels (side, landmark, node) of the starts (place): each spreads over lower nodes only, and not where known labels answer."""
+    """Labels (side, landmark, node) of the starts (place): each spreads over lower nodes only (low is a way's highest place), and not where known labels answer."""
     sides = F.explode(F.array(F.lit("in"), F.lit("out")))
     seen = front = materialize(starts.select(sides.alias("side"), F.col("place").alias("landmark"), F.col("place").alias("node")), "labels")
     for k in range(1, max_rounds + 1):
-        new = front.withColumnRenamed("node", "at").join(ways, ["side", "at"]).filter("to > landmark").select("side", "landmark", F.col("to").alias("node")).distinct()
+        new = front.withColumnRenamed("node", "at").join(ways, ["side", "at"]).filter("low >= landmark").select("side", "landmark", F.col("to").alias("node")).distinct()
         new = new.join(seen, ["side", "landmark", "node"], "left_anti")
         if known is not None:
             new = materialize(new, "asked")
@@ -177,7 +177,7 @@ def reach_index(edges: DataFrame, first: int = 64, max_rounds: int = 10_000) ->
     every = labels.select("scc").distinct().join(degree, "scc", "left").withColumn("d", F.coalesce("d", F.lit(1)))
     placed = materialize(numbered(every, [F.desc("d"), F.asc("scc")], "place").select("scc", F.col("place").cast("long").alias("place")), "places")
     a, b = (placed.select(F.col("scc").alias(e), F.col("place").alias(f"_{e}")) for e in ("src", "dst"))
-    ways = materialize(_both_ways(dag.join(a, "src").join(b, "dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst"), F.least("_src", "_dst").alias("low"))), "ways")
+    ways = materialize(_both_ways(_shortened(dag.join(a, "src").join(b, "dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst")))), "ways")
     high = materialize(_labels(ways, placed.filter(F.col("place") <= first), None, max_rounds), "labels")
     rest = _labels(ways, placed.filter(F.col("place") > first), high, max_rounds)
     places = materialize(labels.join(placed, "scc").select("id", "place"), "places")
