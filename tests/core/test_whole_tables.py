@@ -174,3 +174,52 @@ def test_written_index_is_dealt(spark, tmp_path):
     index = grams.read_index(spark, f"{tmp_path}/index")
     assert len(index.rows.inputFiles()) == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert grams.indexed_text_filter(index, "me 399").count() == 11
+
+
+def test_large_parts_have_tasks_of_their_own(spark, tmp_path, monkeypatch):
+    """As many crowds as nations: before, some met in one task by the hash of their names, and each point told the cells that it passed."""
+    from pathlib import Path
+
+    from pyspark import TaskContext
+
+    from wayfold.operators import layout
+
+    seen = str(tmp_path)
+
+    def noted(xy, place, least, rounds):
+        Path(seen, f"{TaskContext.get().partitionId()}-{len(xy)}-{place[0]}-{xy[0, 0]}").touch()
+        return {(int(x // 12.1), int(y // 12.1)) for x, y in xy}
+
+    monkeypatch.setattr(layout, "_push_apart", noted)
+    crowds = spark.range(25 * layout.LARGE + 300).selectExpr("cast(id % 25 as int) as g", "id", "id % 25 + id * 7919 % 1009 / 20.0 as x", "id * 104729 % 997 / 20.0 as y")
+    assert layout.repel(crowds, "g", 12.0).count() == 25 * layout.LARGE + 300
+    names = [p.name.split("-") for p in tmp_path.iterdir()]
+    assert sorted(int(x[0]) for x in names) == list(range(25)) and all(int(x[1]) == layout.LARGE + 12 for x in names)
+
+
+def test_repelled_crowd_equals_plain_run(spark):
+    """A crowd with points in one place, by the plain rule; the cells told are those that some point was in."""
+    import math
+
+    import numpy as np
+
+    from wayfold.operators import layout
+
+    rng = np.random.default_rng(8)
+    xy = np.concatenate([rng.uniform(-40, 60, (160, 2)), np.zeros((3, 2))])
+    place, wide = np.arange(len(xy)) * 2 + 1, layout._cell_width(12.0)
+    want, cells = xy.tolist(), set()
+    see = lambda p: cells.add((math.floor(p[0] / wide), math.floor(p[1] / wide)))
+    list(map(see, want))
+    for _ in range(12):
+        for i in range(len(want)):
+            for j in range(i + 1, len(want)):
+                dx, dy = want[j][0] - want[i][0], want[j][1] - want[i][1]
+                size, turn = math.hypot(dx, dy), float(place[i] + place[j])
+                if np.hypot(dx, dy) < 12.0:
+                    ux, uy = (dx / size, dy / size) if size > 1e-9 else (math.cos(turn), math.sin(turn))
+                    px, py = ux * (12.0 - size) / 2, uy * (12.0 - size) / 2
+                    want[i], want[j] = [want[i][0] - px, want[i][1] - py], [want[j][0] + px, want[j][1] + py]
+                    see(want[i]), see(want[j])
+    got = xy.copy()
+    assert layout._push_apart(got, place, 12.0, 12) == cells and got.tolist() == want

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect
 from collections import defaultdict
 from collections.abc import Sequence
 
@@ -16,6 +17,9 @@ from wayfold.operators.components import connected_components
 from wayfold.operators.scans import count_before
 from wayfold.storage import materialize
 
+#: Parts of so many points are moved in tasks of their own while there are tasks enough.
+LARGE = 1000
+
 
 def ring_layout(placed: DataFrame, added: DataFrame, region: str = "region", order: str = "id", radius: float = 40.0, per_ring: int = 12) -> DataFrame:
     """added (id, region) with x, y on rings around the centre of the region's placed nodes (x, y); 0, 0 without any."""
@@ -55,62 +59,82 @@ def zoom_to_fit(df: DataFrame, width: float, height: float, pad: float = 70.0, l
     return b.select(*by, ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"), zoom.alias("zoom"))
 
 
-def _push_apart(xy: np.ndarray, place: np.ndarray, least: float, rounds: int) -> list[set[tuple[int, int]]]:
-    """Move the points of xy until all are `least` apart, pair after pair in order; the grid cells that each point was in.
+def _push_apart(xy: np.ndarray, place: np.ndarray, least: float, rounds: int) -> set[tuple[int, int]]:
+    """Move the points of xy until all are `least` apart, pair after pair in order; the cells that any point was in.
 
-    Points are kept in a grid a hair wider than `least`, so that a point is compared with those of nine cells, not with all.
+    Cells are a hair wider than `least`, so that a point is compared with those of nine cells, not with all. A point's turn
+    compares it with later ones only: cells hold the points whose turn is to come, and are read once a turn and cell.
     """
-    cell = lambda x, y, w: (math.floor(x / w), math.floor(y / w))
-    xs, ys, place, n = xy[:, 0].tolist(), xy[:, 1].tolist(), place.tolist(), len(xy)
-    cells, wide = [{cell(x, y, least)} for x, y in zip(xs, ys, strict=True)], least * (1 + 1e-9)
+    floor, hypot, wide = math.floor, math.hypot, _cell_width(least)
+    xs, ys, place = xy[:, 0].tolist(), xy[:, 1].tolist(), place.tolist()
     lo, hi = (least * (1 - 1e-12)) ** 2, (least * (1 + 1e-12)) ** 2
-    grid: defaultdict[tuple[int, int], set[int]] = defaultdict(set)
-    at = [cell(x, y, wide) for x, y in zip(xs, ys, strict=True)]
-    for i, c in enumerate(at):
-        grid[c].add(i)
-    beside: dict[tuple[int, int], list[set[int]]] = {}
-
-    def first_near(i: int, j: int) -> int:
-        """The first point after j that is too near to i; n without one."""
-        x, y, best, (cx, cy) = xs[i], ys[i], n, at[i]
-        around = beside.get(at[i])
+    cell = [(floor(x / wide), floor(y / wide)) for x, y in zip(xs, ys, strict=True)]
+    passed = set(cell)
+    ahead: defaultdict[tuple[int, int], list[int]] = defaultdict(list)
+    beside: dict[tuple[int, int], list[list[int]]] = {}
+
+    def near(c: tuple[int, int]) -> list[int]:
+        around = beside.get(c)
         if around is None:
-            around = beside[at[i]] = [grid[cx + dx, cy + dy] for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
-        for members in around:
-            for k in members:
-                if j < k < best:
-                    dx, dy = xs[k] - x, ys[k] - y
-                    d = dx * dx + dy * dy
-                    if d < lo or d <= hi and np.hypot(dx, dy) < least:
-                        best = k
-        return best
-
-    def move(i: int, x: float, y: float) -> None:
-        xs[i], ys[i] = x, y
-        cells[i].add(cell(x, y, least))
-        c = cell(x, y, wide)
-        if c != at[i]:
-            grid[at[i]].discard(i)
-            grid[c].add(i)
-            at[i] = c
+            around = beside[c] = [ahead[c[0] + x, c[1] + y] for x in (-1, 0, 1) for y in (-1, 0, 1)]
+        q, r, s, t, u, v, w, x, y = around
+        some = [*q, *r, *s, *t, *u, *v, *w, *x, *y]
+        some.sort()
+        return some
 
     for _ in range(rounds):
         moved = False
-        for i in range(n - 1):
-            j = i
-            while (j := first_near(i, j)) < n:
-                dx, dy = xs[j] - xs[i], ys[j] - ys[i]
-                size = math.hypot(dx, dy)
-                turn = float(place[i] + place[j])
-                ux, uy = (dx / size, dy / size) if size > 1e-9 else (math.cos(turn), math.sin(turn))
-                px, py = ux * (least - size) / 2, uy * (least - size) / 2
-                move(i, xs[i] - px, ys[i] - py)
-                move(j, xs[j] + px, ys[j] + py)
-                moved = True
+        for i, c in enumerate(cell):
+            ahead[c].append(i)
+        for i, c in enumerate(cell):
+            x, y = xs[i], ys[i]
+            ahead[c].remove(i)
+            todo, x0, y0 = near(c), c[0] * wide, c[1] * wide
+            x1, y1 = x0 + wide, y0 + wide
+            while todo:
+                for j in todo:
+                    dx = xs[j] - x
+                    if not -least < dx < least:
+                        continue
+                    dy = ys[j] - y
+                    d = dx * dx + dy * dy
+                    if d < lo or d <= hi and np.hypot(dx, dy) < least:
+                        size = hypot(dx, dy)
+                        if size > 1e-9:
+                            ux, uy = dx / size, dy / size
+                        else:
+                            turn = float(place[i] + place[j])
+                            ux, uy = math.cos(turn), math.sin(turn)
+                        px, py = ux * (least - size) / 2, uy * (least - size) / 2
+                        x, y = x - px, y - py
+                        xs[j] = px = xs[j] + px
+                        ys[j] = py = ys[j] + py
+                        moved = True
+                        to, was = (floor(px / wide), floor(py / wide)), cell[j]
+                        if to != was:
+                            ahead[was].remove(j)
+                            ahead[to].append(j)
+                            cell[j] = to
+                            passed.add(to)
+                        if not (x0 <= x < x1 and y0 <= y < y1):
+                            c = (floor(x / wide), floor(y / wide))
+                            passed.add(c)
+                            todo, x0, y0 = near(c), c[0] * wide, c[1] * wide
+                            x1, y1 = x0 + wide, y0 + wide
+                            todo = todo[bisect(todo, j) :]
+                            break
+                else:
+                    break
+            xs[i], ys[i], cell[i] = x, y, c
         if not moved:
             break
     xy[:, 0], xy[:, 1] = xs, ys
-    return cells
+    return passed
+
+
+def _cell_width(least: float) -> float:
+    """A hair more than `least`, so that points nearer than that lie in the same cell or in cells side by side, however their places are rounded."""
+    return least * (1 + 1e-9)
 
 
 def _meeting(cells: DataFrame, part: str) -> DataFrame:
@@ -130,31 +154,38 @@ def repel(df: DataFrame, group: str, least: float, rounds: int = 90) -> DataFram
     passed through are the same or side by side, they could have met: they become one part and are moved again from
     their first places, until no two parts meet. Joining more parts than meet changes nothing, so each round joins
     parts twice as far from each other as the one before, and rounds grow with the logarithm of the plane's width.
-    The result is that of one sequential run over the whole group. A part is one task; nodes without a finite place stay as they are.
+    The result is that of one sequential run over the whole group. A part is one task, and each large part has its own;
+    nodes without a finite place stay as they are.
     """
+    wide = _cell_width(least)
     rows = df.withColumns({"_group": F.col(group).cast("string"), "_x": F.col("x").cast("double"), "_y": F.col("y").cast("double")}).withColumn("_group", F.coalesce("_group", F.lit("")))
     fine = F.coalesce(~F.isnan("_x") & ~F.isnan("_y") & (F.abs("_x") < float("inf")) & (F.abs("_y") < float("inf")), F.lit(False))
-    placed = count_before(rows.filter(fine), F.lit(True), "_group", "id", "_i").withColumn("_cell", F.struct(F.floor(F.col("_x") / least).alias("cx"), F.floor(F.col("_y") / least).alias("cy")))
+    placed = count_before(rows.filter(fine), F.lit(True), "_group", "id", "_i").withColumn("_cell", F.struct(F.floor(F.col("_x") / wide).alias("cx"), F.floor(F.col("_y") / wide).alias("cy")))
     placed = materialize(placed.withColumn("_part", F.concat_ws("|", "_cell.cx", "_cell.cy", "_group")), "placed")
     points = placed.select("_group", "_i", "_x", "_y", "_part")
-    parts = points.select("_part").distinct().select(F.col("_part").alias("cell"), F.col("_part").alias("part"))
+    parts = points.groupBy(F.col("_part").alias("cell")).agg(F.count("*").alias("n")).withColumn("part", F.col("cell"))
     meets = _meeting(placed.select("_group", "_part", "_cell.cx", "_cell.cy"), "_part")
     shape = "_group string, _i long, _x double, _y double, part string, cells array<struct<cx:long,cy:long>>"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_i")
         xy = pdf[["_x", "_y"]].to_numpy(dtype=float).copy()
-        cells = _push_apart(xy, pdf["_i"].to_numpy(), least, rounds)
-        return pd.DataFrame({"_group": pdf["_group"], "_i": pdf["_i"], "_x": xy[:, 0], "_y": xy[:, 1], "part": pdf["part"], "cells": [[{"cx": x, "cy": y} for x, y in sorted(c)] for c in cells]})
+        passed = [{"cx": x, "cy": y} for x, y in sorted(_push_apart(xy, pdf["_i"].to_numpy(), least, rounds))]
+        # the part's cells are in its first row
+        return pd.DataFrame({"_group": pdf["_group"], "_i": pdf["_i"], "_x": xy[:, 0], "_y": xy[:, 1], "part": pdf["part"], "cells": [passed] + [None] * (len(pdf) - 1)})
 
     done, near, tasks = None, 1, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
         # parts that meet become one; those that do not keep what they have
         joined = connected_components(meets).select(F.col("id").alias("part"), F.col("component").alias("_new"))
-        parts = materialize(parts.join(joined, "part", "left").select("cell", F.coalesce("_new", "part").alias("part"), F.col("_new").isNotNull().alias("again")), "parts")
-        todo = points.join(parts if done is None else parts.filter("again"), F.col("_part") == F.col("cell"))
-        # so many tasks, since the few bytes of a part say nothing of its work
-        moved = todo.select("_group", "_i", "_x", "_y", "part").repartition(tasks, "part").groupBy("part").applyInPandas(run, shape)
+        parts = materialize(parts.join(joined, "part", "left").select("cell", "n", F.coalesce("_new", "part").alias("part"), F.col("_new").isNotNull().alias("again")), "parts")
+        again = parts if done is None else parts.filter("again")
+        # a task for each few parts, since the bytes of a part say nothing of its work; large parts are dealt one by one, the largest first
+        large = again.groupBy("part").agg(F.sum("n").alias("n")).filter(F.col("n") >= LARGE)
+        large = large.select("part", ((F.row_number().over(W.orderBy(F.desc("n"), "part")) - 1) % tasks).alias("_task"))
+        dealt = again.join(large, "part", "left").select("cell", "part", F.coalesce("_task", F.pmod(F.xxhash64("part"), F.lit(tasks)).cast("int")).alias("_task"))
+        todo = points.join(dealt, F.col("_part") == F.col("cell")).select("_group", "_i", "_x", "_y", "part", "_task")
+        moved = todo.repartitionById(tasks, "_task").groupBy("_task", "part").applyInPandas(run, shape)
         if done is not None:
             gone = parts.filter("again").select("cell").join(points.select("_group", "_i", F.col("_part").alias("cell")), "cell").select("_group", "_i")
             moved = done.join(gone, ["_group", "_i"], "left_anti").unionByName(moved)
@@ -165,7 +196,7 @@ def repel(df: DataFrame, group: str, least: float, rounds: int = 90) -> DataFram
         near *= 2
         wider = passed.select("_group", "part", F.floor(F.col("cx") / near).alias("cx"), F.floor(F.col("cy") / near).alias("cy"))
         meets = materialize(_meeting(wider, "part"), "meets")
-        parts = parts.select("cell", "part")
+        parts = parts.select("cell", "n", "part")
     new = done.select("_group", "_i", F.col("_x").alias("_nx"), F.col("_y").alias("_ny"))
     kinds = dict(df.dtypes)
     out = placed.join(new, ["_group", "_i"]).withColumns({"x": F.col("_nx").cast(kinds["x"]), "y": F.col("_ny").cast(kinds["y"])}).select(*df.columns)
