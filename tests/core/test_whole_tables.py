@@ -223,3 +223,37 @@ def test_repelled_crowd_equals_plain_run(spark):
                     see(want[i]), see(want[j])
     got = xy.copy()
     assert layout._push_apart(got, place, 12.0, 12) == cells and got.tolist() == want
+
+
+def test_contained_once_meets_its_own_part_only(spark, monkeypatch):
+    """Needles meet texts of their own part whole; before, each met all texts that held three of its digits, of any part."""
+    import random
+    from collections import Counter
+
+    from wayfold.operators import grams
+    from wayfold.storage import materialize
+
+    r = random.Random(2)
+    needles = [(r.choice([None, *range(400)]), r.choice([None, *range(6)]), str(r.randrange(1500)) if i % 40 else r.choice([None, "", "4321 and more 4321"])) for i in range(300)]
+    texts = [(i, r.choice([None, *range(6)]), f"T#{r.randrange(1500):09d}" if i % 30 else r.choice([None, "", "x 4321 and more 4321", "T#1"])) for i in range(300)]
+    texts += [(900 + i, *texts[i][1:]) for i in range(40)]
+    told = []
+
+    def noted(df, name="table"):
+        out = materialize(df, name)
+        told.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(grams, "materialize", noted)
+    n, t = spark.createDataFrame(needles, "k int, g int, needle string"), spark.createDataFrame(texts, "t int, g int, text string")
+    out = grams.contained_once(n, t, "needle", "text", "k", on=["g"])
+    pairs = [(k, g, a, i, b) for k, g, a in needles for i, h, b in texts if g is not None and g == h and a and b and a in b]
+    often = Counter(p[0] for p in pairs)
+    want = [p for p in pairs if often[p[0]] == 1]
+    assert out.columns == ["k", "g", "needle", "t", "text"] and sorted(map(repr, (tuple(x) for x in out.collect()))) == sorted(map(repr, want)) and len(want) > 5
+    short = {(g, a, b) for _, g, a, _, b in pairs if len(a) <= grams.WHOLE}
+    held = dict(told)["text_grams"]
+    assert len(short) <= held <= len(short) + 16 * 20  # the rest are grams of the few long needles
+    told.clear()
+    every = grams.contains_pairs(n, t.withColumnRenamed("g", "h"), "needle", "text", 3)
+    assert Counter((x.k, x.g, x.needle, x.t) for x in every.collect()) == Counter((k, g, a, i) for k, g, a in needles for i, _, b in texts if a and b and a in b)

@@ -3,7 +3,7 @@
 A text that contains a needle contains all of the needle's grams. The containment join compares a
 needle only with the texts that hold its rarest gram; the search index keeps, for each gram, the rows
 whose text holds it, so that a query reads its own grams' files and verifies what holds them all.
-Needles shorter than a gram use grams of their own length, so there is no other, slower way.
+Short needles use grams of their own length, so there is no other, slower way.
 """
 
 from __future__ import annotations
@@ -17,11 +17,14 @@ from pyspark.sql.window import Window as W
 
 from wayfold.operators.catalog import in_chinese_order
 from wayfold.operators.search import TEXT, expand_tokens
-from wayfold.storage import materialize
+from wayfold.storage import discard, materialize
 
 #: The most distinct grams of needles that are broadcast to the texts; more are joined.
 BROADCAST_GRAMS = 500_000
 
+#: Needles of up to so many characters are looked up whole: the grams of short ones are few, and each then stands in many texts and needles.
+WHOLE = 8
+
 
 def grams(text: Column, size) -> Column:
     """The distinct grams of size characters; none if the text is shorter or null.
@@ -33,50 +36,74 @@ def grams(text: Column, size) -> Column:
 
 
 def _few(df: DataFrame) -> DataFrame:
-    """df, written, with a broadcast hint if its rows are few."""
-    df = materialize(df, "grams")
+    """df, a written table, with a broadcast hint if its rows are few."""
     return F.broadcast(df) if df.count() <= BROADCAST_GRAMS else df
 
 
-def contains_pairs(needles: DataFrame, texts: DataFrame, needle: str, text: str, size: int = 3) -> DataFrame:
-    """Every row of needles with every row of texts whose text contains its needle; all columns of both, whose names must differ.
+def _held(needles: DataFrame, texts: DataFrame, needle: str, text: str, size: int, on: Sequence[str] = ()) -> DataFrame:
+    """(_on0.., _needle, _key, _copies), written: each distinct needle in each distinct text that agree on the columns `on`.
 
-    Each distinct needle is looked up by its rarest gram among the texts. Null needles, empty ones
-    and null texts meet nothing. Only grams that some needle holds are counted and shuffled; a text meets all its
-    candidates at once, and its copies are told by its digest and searched once.
+    _key is the text's digest, _copies how many rows it has. Only grams that some needle of the same `on` holds
+    are counted and shuffled; a text meets all its candidates at once and is searched once.
     """
-    words = materialize(needles.select(F.col(needle).alias("_needle")).filter("_needle <> ''").distinct(), "needles")
-    own = words.withColumn("_size", F.least(F.lit(size), F.length("_needle")))
-    own = materialize(own.select("_needle", "_size", F.explode(grams(F.col("_needle"), F.col("_size"))).alias("_gram")), "needle_grams")
-    wanted = _few(own.select("_gram").distinct())
-    key = F.unhex(F.sha2(text, 256)).alias("_key")
-    every = materialize(texts.select(key, F.col(text).alias("_text")).filter("_text <> ''").dropDuplicates(["_key"]).withColumn("_id", F.monotonically_increasing_id()), "texts")
-    sizes = [r[0] for r in own.select("_size").distinct().orderBy("_size").collect()]  # size of them at most
-    held = every.select("_id", F.explode(F.concat(*[grams(F.col("_text"), k) for k in sizes] or [F.array().cast("array<string>")])).alias("_gram"))
-    held = materialize(held.join(wanted, "_gram", "left_semi"), "text_grams")
-    often = held.groupBy("_gram").agg(F.count("*").alias("_n"))
+    ons = [f"_on{i}" for i in range(len(on))]
+    same = [F.col(c).alias(o) for c, o in zip(on, ons, strict=True)]
+    words = materialize(needles.select(*same, F.col(needle).alias("_needle")).filter("_needle <> ''").dropna(subset=ons or None).distinct(), "needles")
+    n = F.length("_needle")
+    own = words.withColumn("_size", F.when(n <= max(size, WHOLE), n).otherwise(size))
+    own = materialize(own.select(*ons, "_needle", "_size", F.explode(grams(F.col("_needle"), F.col("_size"))).alias("_gram")), "needle_grams")
+    wanted = materialize(own.select(*ons, "_gram").distinct(), "grams")
+    every = texts.select(*same, _digest(text), F.col(text).alias("_text")).filter("_text <> ''").groupBy(*ons, "_key").agg(F.first("_text").alias("_text"), F.count("*").alias("_copies"))
+    every = materialize(every.withColumn("_id", F.monotonically_increasing_id()), "texts")
+    sizes = [r[0] for r in own.select("_size").distinct().orderBy("_size").collect()]  # one for each length up to max(size, WHOLE) at most
+    held = every.select("_id", *ons, F.explode(F.concat(*[grams(F.col("_text"), k) for k in sizes] or [F.array().cast("array<string>")])).alias("_gram"))
+    held = materialize(held.join(_few(wanted), [*ons, "_gram"], "left_semi").select("_id", *ons, "_gram"), "text_grams")
+    often = held.groupBy(*ons, "_gram").agg(F.count("*").alias("_n"))
     # a gram that no text holds is the rarest of all, and its needle then meets nothing
-    rarest = own.join(often, "_gram", "left").groupBy("_needle").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("g"))).alias("_x"))
-    asked = _few(rarest.filter("_x.n > 0").select("_needle", F.col("_x.g").alias("_gram")))
-    met = held.join(asked, "_gram").groupBy("_id").agg(F.collect_list("_needle").alias("_needles"))
+    rarest = own.join(often, [*ons, "_gram"], "left").groupBy(*ons, "_needle").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("g"))).alias("_x"))
+    asked = materialize(rarest.filter("_x.n > 0").select(*ons, "_needle", F.col("_x.g").alias("_gram")), "grams")
+    met = held.join(_few(asked), [*ons, "_gram"]).groupBy("_id").agg(F.collect_list("_needle").alias("_needles"))
     # not explode(), for which Spark would test the array's size first and so search each text twice
     true = F.filter("_needles", lambda x: F.contains("_text", x))
-    pairs = materialize(met.join(every, "_id").select("_key", F.explode_outer(true).alias("_needle")).filter("_needle is not null"), "pairs")
-    found = pairs.join(needles, pairs["_needle"] == needles[needle]).drop("_needle")
-    return found.join(texts.withColumn("_key", key), "_key").drop("_key")
+    pairs = materialize(met.join(every, "_id").select(*ons, "_key", "_copies", F.explode_outer(true).alias("_needle")).filter("_needle is not null"), "pairs")
+    discard(words, own, wanted, every, held, asked)
+    return pairs
+
+
+def _digest(text: str) -> Column:
+    return F.unhex(F.sha2(text, 256)).alias("_key")
+
+
+def contains_pairs(needles: DataFrame, texts: DataFrame, needle: str, text: str, size: int = 3) -> DataFrame:
+    """Every row of needles with every row of texts whose text contains its needle; all columns of both, whose names must differ.
+
+    Each distinct needle is looked up by its rarest gram among the texts, or whole if it is short. Null needles,
+    empty ones and null texts meet nothing. Copies of a text are told by its digest and searched once.
+    """
+    pairs = _held(needles, texts, needle, text, size)
+    found = pairs.join(needles, pairs["_needle"] == needles[needle]).drop("_needle", "_copies")
+    return found.join(texts.withColumn("_key", _digest(text)), "_key").drop("_key")
 
 
 def contained_once(needles: DataFrame, texts: DataFrame, needle: str, text: str, key: str, on: Sequence[str] = (), size: int = 3) -> DataFrame:
     """The pairs of contains_pairs() that agree on the columns `on`, if a needle's key has just one of them.
 
-    The other columns of both sides must differ in name; `on` is given once.
+    The other columns of both sides must differ in name; `on` is given once. Needles and texts that do not agree never
+    meet, and a needle's pairs are counted before rows are joined to them.
     """
-    right = texts.withColumnsRenamed({c: f"_on_{c}" for c in on})
-    pairs = contains_pairs(needles, right, needle, text, size)
-    for c in on:
-        pairs = pairs.filter(F.col(c) == F.col(f"_on_{c}"))
-    pairs = pairs.drop(*[f"_on_{c}" for c in on])
-    return pairs.withColumn("_n", F.count("*").over(W.partitionBy(key))).filter("_n = 1").drop("_n")
+    pairs = _held(needles, texts, needle, text, size, on)
+    ons = [f"_on{i}" for i in range(len(on))]
+    told = pairs.groupBy(*ons, "_needle").agg(F.sum("_copies").alias("_n"), F.min("_key").alias("_key"))
+    same = told["_needle"] == needles[needle]
+    for c, o in zip(on, ons, strict=True):
+        same = same & (told[o] == needles[c])
+    found = needles.join(told, same).select(*[needles[c] for c in needles.columns], "_n", "_key")
+    once = found.withColumn("_n", F.sum("_n").over(W.partitionBy(key))).filter("_n = 1").drop("_n")
+    right = texts.withColumn("_key", _digest(text)).withColumnsRenamed({c: f"_on{i}" for i, c in enumerate(on)})
+    out = once.join(right, "_key")
+    for c, o in zip(on, ons, strict=True):
+        out = out.filter(F.col(c) == F.col(o))
+    return out.drop("_key", *ons)
 
 
 @dataclass(frozen=True)
